@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_chat, op4_pii, op6_warc, op8_mixing, op10_minhash
+from . import op1_chat, op3_embeddings, op4_pii, op6_warc, op8_mixing, op10_minhash
 
 QUERIES = {
     "op1_chat": op1_chat.op1_chat,
+    "op3_embeddings": op3_embeddings.op3_embeddings,
     "op4_pii": op4_pii.op4_pii,
     "op6_warc": op6_warc.op6_warc,
     "op8_mixing": op8_mixing.op8_mixing,
     "op10_minhash": op10_minhash.op10_minhash,
 }
-SQL = {"op1_chat": op1_chat.SQL, "op6_warc": op6_warc.SQL}
+SQL = {"op1_chat": op1_chat.SQL, "op3_embeddings": op3_embeddings.SQL, "op6_warc": op6_warc.SQL}
