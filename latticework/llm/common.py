@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Of sessions that name no folder, as in tests.
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,8 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='latticework-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/latticework-{uuid.uuid4().hex}")
     return where.rstrip("/")
 
 
