@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_chat, op2_language, op3_embeddings, op4_pii, op6_warc, op7_decontamination, op8_mixing, op10_minhash
+from . import op1_chat, op2_language, op3_embeddings, op4_pii, op6_warc, op7_decontamination, op8_mixing, op9_html, op10_minhash
 
 QUERIES = {
     "op1_chat": op1_chat.op1_chat,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_warc": op6_warc.op6_warc,
     "op7_decontamination": op7_decontamination.op7_decontamination,
     "op8_mixing": op8_mixing.op8_mixing,
+    "op9_html": op9_html.op9_html,
     "op10_minhash": op10_minhash.op10_minhash,
 }
 SQL = {"op1_chat": op1_chat.SQL, "op3_embeddings": op3_embeddings.SQL, "op6_warc": op6_warc.SQL}
