@@ -38,7 +38,7 @@ HASHES = BANDS * ROWS
 #: A candidate is confirmed on full sets if its estimate is at most this much below the threshold: over 4 standard errors.
 SLACK = 0.16
 #: Members of a block in the comparison of whole buckets.
-BLOCK = 96
+BLOCK = 256
 
 _R = np.random.RandomState(7)
 _MUL = (_R.randint(0, 1 << 31, HASHES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -175,7 +175,7 @@ def _blocks(percent: int):
             return c
 
         out = []
-        alone = (rows.column("bi")[0].as_py() == rows.column("bj")[0].as_py()) if n else True
+        alone = not rows.column("across")[0].as_py() and rows.column("bi")[0].as_py() == rows.column("bj")[0].as_py()
         for i in range(n):
             other = (ids > ids[i]) if alone else (side != side[i]) & (ids > ids[i])
             js = np.flatnonzero(other & (comp != comp[i]))
@@ -234,17 +234,31 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     )
     found = cut(components(confirmed), "found")
     named = cut(inside.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "named")
-    open_ = cut(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    # a bucket's largest component needs no comparison inside, only with the bucket's other members
+    counts = named.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket")
+    open_ = counts.agg(F.max(F.struct("c", "component")).alias("big"), F.sum("c").alias("n"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = cut(open_.select("bucket", F.col("big.component").alias("big"), blocks(F.col("big.c")).alias("nl"), blocks(F.col("n") - F.col("big.c")).alias("no")), "open")
+    large = F.col("component") == F.col("big")
+    block = F.pmod(F.xxhash64("id"), F.when(large, F.col("nl")).otherwise(F.col("no"))).cast("int")
+    across = large | (F.col("other") < F.col("nl"))
+    mate = F.col("other") - F.col("nl")
     rest = (
         named.join(open_, "bucket")
-        .withColumn("block", block)
-        .select("bucket", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("bucket", "id", "component", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.col("block").alias("side"))
+        .select("bucket", "id", "component", "big", "nl", block.alias("block"), F.explode(F.sequence(F.lit(0), F.when(large, F.col("no")).otherwise(F.col("nl") + F.col("no")) - 1)).alias("other"))
+        .select(
+            "bucket",
+            "id",
+            "component",
+            across.alias("across"),
+            F.when(large, F.col("block")).when(across, F.col("other")).otherwise(F.least("block", mate)).alias("bi"),
+            F.when(large, F.col("other")).when(across, F.col("block")).otherwise(F.greatest("block", mate)).alias("bj"),
+            F.when(across, large.cast("int")).otherwise(F.col("block")).alias("side"),
+        )
         .join(reps, "id")
         .join(sets, "id")
     )
-    more = rest.groupBy("bucket", "bi", "bj").applyInArrow(_blocks(percent), "a long, b long")
+    more = rest.groupBy("bucket", "across", "bi", "bj").applyInArrow(_blocks(percent), "a long, b long")
     joined = components(cut(more, "more"))
     # links between components rename components
     named = found.join(joined.select(F.col("id").alias("component"), F.col("component").alias("further")), "component", "left").select("id", F.coalesce("further", "component").alias("component"))
