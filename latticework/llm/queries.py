@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_chat, op2_language, op3_embeddings, op4_pii, op6_warc, op7_decontamination, op8_mixing, op9_html, op10_minhash
+from . import op1_chat, op2_language, op3_embeddings, op4_pii, op5_tokens, op6_warc, op7_decontamination, op8_mixing, op9_html, op10_minhash
 
 QUERIES = {
     "op1_chat": op1_chat.op1_chat,
     "op2_language": op2_language.op2_language,
     "op3_embeddings": op3_embeddings.op3_embeddings,
     "op4_pii": op4_pii.op4_pii,
+    "op5_tokens": op5_tokens.op5_tokens,
     "op6_warc": op6_warc.op6_warc,
     "op7_decontamination": op7_decontamination.op7_decontamination,
     "op8_mixing": op8_mixing.op8_mixing,
