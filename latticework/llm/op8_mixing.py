@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, cut, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -40,9 +40,10 @@ FEWEST = 256
 SHARDS = 4096
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, source, size; with carry all columns of docs as a struct besides."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", size.alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
 
 
 def targets(each: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -80,17 +81,20 @@ def _seats(rows: DataFrame, group: list[str], wish: str, seats: str, names: list
     return dealt.select(*rows.columns, "given")
 
 
-def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: str = SEED) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, taken."""
-    from .common import cut
-
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: str = SEED, carry: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, taken; with carry all columns of docs instead of the first two."""
     each = cut(sized(docs), "sized")
     goal = cut(targets(each, weights, most).withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(SHARDS), F.ceil(F.col("source_size") / shard))).cast("int")), "targets")
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
     g = goal.select(F.col("source").alias("s"), "source_size", "target", "shards")
-    dealt = each.join(F.broadcast(g) if goal.count() <= 10_000 else g, each["source"].eqNullSafe(g["s"]))
-    dealt = dealt.select("doc_id", "source", "size", "source_size", "target", F.substring(digest, 9, 24).alias("key"), (number % F.col("shards")).cast("int").alias("shard"))
+    small = goal.count() <= 10_000
+
+    def deal(rows: DataFrame) -> DataFrame:
+        out = rows.join(F.broadcast(g) if small else g, rows["source"].eqNullSafe(g["s"]))
+        return out.select(*rows.columns, "source_size", "target", F.substring(digest, 9, 24).alias("key"), (number % F.col("shards")).cast("int").alias("shard"))
+
+    dealt = deal(each)
     shards = cut(dealt.groupBy("source", "shard").agg(F.sum("size").alias("n")).where("n > 0"), "shards")
     # one block size for all sources, small enough that the smallest source has some hundred blocks
     least = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(Window.partitionBy("one"))
@@ -103,7 +107,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: in
     many = F.greatest(F.lit(1), F.round(F.col("n") / F.col("unit"))).cast("long")
     quota = quota.withColumn("m", many).select(F.col("source").alias("s"), F.col("shard").alias("h"), "n", "m", F.least("given", F.col("m") * most).alias("q"))
     line = Window.partitionBy("source", "shard").orderBy("key", "doc_id", "size")
-    placed = dealt.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = (deal(sized(docs, True)) if carry else dealt).withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     out = placed.join(quota, placed["source"].eqNullSafe(F.col("s")) & (placed["shard"] == F.col("h")), "left")
     # block i holds the words from i * n div m to (i + 1) * n div m; the ranking is i * step + start mod m, step prime to m
     first, last = F.expr("(end - size) * m div n"), F.expr("(end - 1) * m div n")
@@ -116,7 +120,10 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: in
     start = F.expr("conv(substring(md5(concat('" + seed + "', coalesce(source, ''), ':', h)), 1, 7), 16, 10)").cast("long")
     out = out.withColumn("first", first).withColumn("last", last).withColumn("start", start).withColumn("step", F.expr("2147483647L % m"))
     taken = F.when((F.col("size") > 0) & F.col("m").isNotNull(), words).otherwise(F.lit(0)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    # columns of docs named as the result's own get a prefix
+    own = ("size", "source_size", "target", "taken")
+    first_columns = [F.col("row").getField(c).alias(f"doc_{c}" if c in own else c) for c in docs.columns] if carry else ["doc_id", "source"]
+    return out.select(*first_columns, "size", "source_size", "target", taken.alias("taken"))
 
 
 def op8_mixing(spark, sf_dir):
