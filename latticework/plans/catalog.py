@@ -1,6 +1,695 @@
-"""The registered queries of the linear-algebra part, with their SQL."""
+"""The registered queries of sparse linear algebra, each with SQL that gives the same rows.
+
+The test tables become matrices: supplier x part with summed quantities, customer x part as a pattern, the
+nation-region graph; structural queries use grid Laplacians made from ranges. Doubles are rounded
+so that the order of sums does not show.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import algebra, graph, layout, lowrank, numeric, ordering, refine, symbolic
+from ..operators.lineage import cut
+from ..schema import Matrix
+from ..sources import generators
+from . import parameters
+from .solver import Solver
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def supplier_part(spark, sf) -> DataFrame:
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"))
+    return rows.agg(F.sum("l_quantity").alias("re")).withColumn("im", F.lit(0.0))
+
+
+def prices(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.lit(0).alias("k"), F.col("p_retailprice").alias("re"), F.lit(0.0).alias("im"))
+
+
+def balances(spark, sf) -> DataFrame:
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("i"), F.lit(0).alias("k"), F.col("s_acctbal").alias("re"), F.lit(0.0).alias("im"))
+
+
+def grid_edges(spark, nx, ny) -> DataFrame:
+    return graph.prepare(generators.laplacian(spark, nx, ny).coo)
+
+
+def r(c: str, digits: int = 2):
+    return F.round(c, digits).alias(c)
+
+
+A = "a as (select l_suppkey as i, l_partkey as j, sum(l_quantity) as re from lineitem group by 1, 2)"
+X = "x as (select p_partkey as j, p_retailprice as v from part)"
+Y = "y as (select s_suppkey as i, s_acctbal as v from supplier)"
+#: Edges of a grid, both directions.
+GRID = "v as (select range as i, range % {nx} as x, range // {nx} as y from range({n})), e as (select a.i, b.i as j from v a join v b on abs(a.x - b.x) + abs(a.y - b.y) = 1)"
+
+
+def grid_sql(nx: int, ny: int) -> str:
+    return GRID.format(nx=nx, n=nx * ny)
+
+
+# products, vectors and norms
+
+
+@query(f"with {A}, {X} select i, round(sum(re * v), 2) as re from a join x using (j) group by i")
+def spmv(spark, sf):
+    return algebra.spmv(supplier_part(spark, sf), prices(spark, sf)).select("i", r("re"))
+
+
+@query(f"with {A}, {Y} select j as i, round(sum(re * v), 2) as re from a join y using (i) group by j")
+def spmv_transposed(spark, sf):
+    return algebra.spmv(algebra.transpose(supplier_part(spark, sf)), balances(spark, sf)).select("i", r("re"))
+
+
+@query(f"with {A}, {X}, {Y}, p as (select i, 2 * sum(re * v) as t from a join x using (j) group by i) select coalesce(p.i, y.i) as i, round(coalesce(t, 0) - 3 * coalesce(v, 0), 2) as re from p full outer join y on p.i = y.i")
+def spmv_scaled(spark, sf):
+    return algebra.spmv(supplier_part(spark, sf), prices(spark, sf), 2.0, -3.0, balances(spark, sf)).select("i", r("re"))
+
+
+@query(
+    f"with {A}, {X} select i, round(sum(re * v), 2) as re, round(sum(mod(i + j, 7) * v), 2) as im from a join x using (j) group by i"
+)
+def spmv_complex(spark, sf):
+    return algebra.spmv(supplier_part(spark, sf).withColumn("im", ((F.col("i") + F.col("j")) % 7).cast("double")), prices(spark, sf)).select("i", r("re"), r("im"))
+
+
+@query(f"with {A} select (select max(re) from a) as norm_max, (select max(s) from (select sum(re) as s from a group by i)) as norm_inf, (select max(s) from (select sum(re) as s from a group by j)) as norm_one, round((select sqrt(sum(re * re)) from a), 4) as norm_fro")
+def matrix_norms(spark, sf):
+    return algebra.norms(supplier_part(spark, sf)).withColumn("norm_fro", F.round("norm_fro", 4))
+
+
+@query("select p_partkey as i, 0 as k, round(2.5 * p_retailprice + p_size, 3) as re from part")
+def vector_axpy(spark, sf):
+    sizes = table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.lit(0).alias("k"), F.col("p_size").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    return algebra.axpy(2.5, prices(spark, sf), sizes).select("i", "k", r("re", 3))
+
+
+@query("select p_partkey as i, 0 as k, round(-0.5 * p_retailprice, 3) as re, round(1.5 * p_retailprice, 3) as im from part")
+def vector_scal(spark, sf):
+    return algebra.scal(-0.5 + 1.5j, prices(spark, sf)).select("i", "k", r("re", 3), r("im", 3))
+
+
+@query("select p_partkey as i, 0 as k, p_retailprice as re, 0.0::double as im from part")
+def vector_copy(spark, sf):
+    return algebra.copy(prices(spark, sf))
+
+
+@query("select 0 as k, round(sum(p_retailprice * p_size), 2) as re, round(sum(p_retailprice * p_size * 2), 2) as im from part")
+def vector_dotu(spark, sf):
+    y = table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.lit(0).alias("k"), F.col("p_size").cast("double").alias("re"), (F.col("p_size") * 2.0).alias("im"))
+    return algebra.dot(prices(spark, sf), y).select("k", r("re"), r("im"))
+
+
+@query("select 0 as k, round(sum(p_retailprice * p_size), 2) as re, round(sum(-p_retailprice * p_size * 2), 2) as im from part")
+def vector_dotc(spark, sf):
+    y = table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.lit(0).alias("k"), F.col("p_size").cast("double").alias("re"), (F.col("p_size") * 2.0).alias("im"))
+    return algebra.dot(y, prices(spark, sf), conjugate=True).select("k", r("re"), r("im"))
+
+
+@query("select 0 as k, round(sqrt(sum(p_retailprice * p_retailprice)), 4) as norm from part")
+def vector_nrm2(spark, sf):
+    return algebra.nrm2(prices(spark, sf)).select("k", r("norm", 4))
+
+
+@query("select o_orderkey as i, round(2 * (o_totalprice + 2 * o_custkey + 3) - o_totalprice, 3) as re from orders")
+def tall_gemv(spark, sf):
+    o = table(spark, sf, "orders")
+    x = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 3.0)], "j long, re double")
+    rows = o.select(F.col("o_orderkey").alias("i"), F.array("o_totalprice", F.col("o_custkey").cast("double"), F.lit(1.0)).alias("row"))
+    return algebra.gemv(rows, x, 2.0, -1.0, o.select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("re"))).select("i", r("re", 3))
+
+
+@query(f"with {A} select j as i, i as j, re from a")
+def matrix_transpose(spark, sf):
+    return algebra.transpose(supplier_part(spark, sf)).select("i", "j", "re")
+
+
+@query("select l_suppkey as i, l_partkey as j, sum(l_quantity) as re from lineitem group by 1, 2")
+def merge_duplicates(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("re"), F.lit(0.0).alias("im"))
+    return algebra.merge_duplicates(rows).select("i", "j", "re")
+
+
+@query(f"with {A}, b as (select s_suppkey as i, s_suppkey as j, s_acctbal as re from supplier) select coalesce(a.i, b.i) as i, coalesce(a.j, b.j) as j, round(2 * coalesce(a.re, 0) + coalesce(b.re, 0), 2) as re from a full outer join b on a.i = b.i and a.j = b.j")
+def matrix_add(spark, sf):
+    diag = balances(spark, sf).select("i", F.col("i").alias("j"), "re", "im")
+    return algebra.add(supplier_part(spark, sf), diag, 2.0).select("i", "j", r("re"))
+
+
+@query(f"with {A}, {X} select p.i, q.i as j, round(sum(p.re * v * q.re), 2) as re from a p join x on p.j = x.j join a q on p.j = q.j where p.i < 20 and q.i < 20 group by 1, 2")
+def scaled_product(spark, sf):
+    a = supplier_part(spark, sf).where("i < 20")
+    return algebra.scaled_product(a, prices(spark, sf).drop("k"), algebra.transpose(a)).select("i", "j", r("re"))
+
+
+@query(f"with {A}, {Y} select i, j, round(re * v, 2) as re from a join y using (i)")
+def diagonal_scaling(spark, sf):
+    return algebra.scale_rows(supplier_part(spark, sf), balances(spark, sf).drop("k")).select("i", "j", r("re"))
+
+
+@query(f"with {A} select i, re from a where i = j")
+def diagonal_extract(spark, sf):
+    return algebra.diagonal(supplier_part(spark, sf)).select("i", "re")
+
+
+@query(f"with {A} select i, j, round(re / (select sqrt(sum(re * re)) from a) * 1e6, 2) as re from a")
+def scale_by_norm(spark, sf):
+    a = supplier_part(spark, sf)
+    norm = algebra.norms(a).first()["norm_fro"]
+    return algebra.scal(1e6 / norm, a).select("i", "j", r("re"))
+
+
+@query(f"with {A}, {X}, {Y}, p as (select i, sum(re * v) as t from a join x using (j) group by i) select coalesce(p.i, y.i) as i, round(coalesce(v, 0) - coalesce(t, 0), 2) as re from p full outer join y on p.i = y.i")
+def residual(spark, sf):
+    return algebra.residual(supplier_part(spark, sf), prices(spark, sf), balances(spark, sf)).select("i", r("re"))
+
+
+@query(f"with {A}, b as (select l_suppkey as i, l_partkey as j, sum(l_quantity) as re from lineitem where l_returnflag <> 'R' group by 1, 2) select max(abs(coalesce(a.re, 0) - coalesce(b.re, 0))) as max_difference, sum((a.re is null or b.re is null)::int)::bigint as unmatched from a full outer join b on a.i = b.i and a.j = b.j")
+def factor_difference(spark, sf):
+    other = table(spark, sf, "lineitem").where("l_returnflag <> 'R'").groupBy(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j")).agg(F.sum("l_quantity").alias("re")).withColumn("im", F.lit(0.0))
+    return algebra.difference(supplier_part(spark, sf), other)
+
+
+@query("select p_partkey as i, 0 as k, p_retailprice::float::double as re from part")
+def to_single_precision(spark, sf):
+    return algebra.to_single(prices(spark, sf)).select("i", "k", "re")
+
+
+# graphs
+
+
+PATTERN = "p as (select distinct o_custkey as i, l_partkey as j from orders join lineitem on l_orderkey = o_orderkey)"
+
+
+def customer_part(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("i"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("j"))
+    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("i", "j")
+
+
+@query(f"with {PATTERN} select * from p")
+def pattern_graph(spark, sf):
+    return graph.pattern(customer_part(spark, sf))
+
+
+@query(f"with {PATTERN} select i, j from p union select j, i from p")
+def symmetrize(spark, sf):
+    return graph.symmetrize(graph.pattern(customer_part(spark, sf)))
+
+
+@query(f"with {PATTERN} select i, j from p where i <> j")
+def remove_diagonal(spark, sf):
+    return graph.without_diagonal(graph.pattern(customer_part(spark, sf)))
+
+
+@query(f"with {PATTERN}, s as (select i, j from p union select j, i from p) select i, j from s where i <> j")
+def graph_prepare(spark, sf):
+    return graph.prepare(customer_part(spark, sf))
+
+
+@query(f"with {PATTERN} select j, string_agg(i::varchar, ',' order by i) as rows from p group by j")
+def sort_adjacency(spark, sf):
+    return graph.sorted_adjacency(graph.pattern(customer_part(spark, sf))).select("j", F.array_join("rows", ",").alias("rows"))
+
+
+@query(f"with {PATTERN} select i - 1 as i, j - 1 as j from p")
+def rebase(spark, sf):
+    return graph.rebase(graph.pattern(customer_part(spark, sf)), -1)
+
+
+@query(f"with {PATTERN} select count(*) as nnz, greatest(max(i), max(j)) + 1 as n from p")
+def graph_summary(spark, sf):
+    return graph.summary(graph.pattern(customer_part(spark, sf)))
+
+
+@query("select o_orderkey as i, count(*)::bigint as weight from orders join lineitem on l_orderkey = o_orderkey group by 1")
+def vertex_weights(spark, sf):
+    counts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("i")).agg(F.count("*").alias("end"))
+    return graph.vertex_weights(counts.withColumn("begin", F.lit(0)))
+
+
+@query("with u as (select n_nationkey as i, 100 + n_regionkey as j from nation), s as (select i, j from u union select j, i from u), v as (select distinct i from s), l as (select i from v where i % 7 = 3), n as (select i, row_number() over (order by i) - 1 as p from v where i % 7 <> 3) select a.p as i, b.p as j from s join n a on s.i = a.i join n b on s.j = b.i")
+def isolate_subset(spark, sf):
+    e = graph.symmetrize(nation_region(spark, sf))
+    v = e.select("i").distinct()
+    return graph.isolate(e, v, v.where("i % 7 = 3"))[0]
+
+
+@query("with u as (select n_nationkey as i from nation union select distinct 100 + n_regionkey from nation) select i, row_number() over (order by i % 7 = 3, i) - 1 as perm from u")
+def isolate_permutation(spark, sf):
+    e = graph.symmetrize(nation_region(spark, sf))
+    v = e.select("i").distinct()
+    return graph.isolate(e, v, v.where("i % 7 = 3"))[1]
+
+
+def nation_region(spark, sf) -> DataFrame:
+    return table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("i"), (F.col("n_regionkey") + 100).cast("long").alias("j"))
+
+
+@query(
+    "with recursive "
+    + grid_sql(12, 10)
+    + ", walk(s, v, d) as (select i, j, 0 from e where i between 30 and 69 union select s, e.j, d + 1 from walk join e on e.i = walk.v where walk.v not between 30 and 69 and d < 2) select distinct s - 30 as i, v - 30 as j from walk where v between 30 and 69 and s <> v"
+)
+def isolate_range(spark, sf):
+    e = grid_edges(spark, 12, 10)
+    return graph.isolate_range(e, ordering.identity(spark.range(120).select(F.col("id").alias("i"))), 30, 70, distance=1)
+
+
+@query("with recursive u as (select n_nationkey as i, 100 + n_regionkey as j from nation), s as (select i, j from u union select j, i from u), w(i, v) as (select i, i from s union select w.i, s.j from w join s on s.i = w.v) select i, min(v) as component from w group by i")
+def connected_components(spark, sf):
+    e = nation_region(spark, sf)
+    v = graph.symmetrize(e).select("i").distinct()
+    return graph.components(e, v)
+
+
+@query("select 16 as n, 4 as parts, 4 as smallest, 4 as largest")
+def kway_partition(spark, sf):
+    e = grid_edges(spark, 4, 4)
+    labels = spark.range(16).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("component"))
+    sizes = graph.partition(e, labels, 4).groupBy("part").count()
+    return sizes.agg(F.sum("count").alias("n"), F.count("*").alias("parts"), F.min("count").alias("smallest"), F.max("count").alias("largest"))
+
+
+@query("select unnest([21, 22, 23]) as i, unnest([-1, -2, -4]) as mark")
+def projection_marks(spark, sf):
+    e = spark.createDataFrame([(21, 1), (22, 2), (1, 21), (2, 22), (2, 3)], "i long, j long")
+    lv = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "i long, level int")
+    return graph.projections(lv, e, spark.createDataFrame([(21,), (22,), (23,)], "i long"), 3, 1)
+
+
+@query(f"with {PATTERN}, a as (select j from p where i % 2 = 0), b as (select j from p where i % 3 = 0) select j from a union select j from b")
+def integer_set_union(spark, sf):
+    p = customer_part(spark, sf)
+    return p.where("i % 2 = 0").select("j").union(p.where("i % 3 = 0").select("j")).distinct()
+
+
+# generators
+
+
+@query("with v as (select range as i, range % 7 as x, (range // 7) % 5 as y, range // 35 as z from range(105)), d as (select *, 2.0 * ((x > 0)::int + (x < 6)::int + (y > 0)::int + (y < 4)::int + (z > 0)::int + (z < 2)::int) as g from v) select i, i as j, g::double as re from d union all select i, i - 1, -1.0 from v where x > 0 union all select i, i - 7, -1.0 from v where y > 0 union all select i, i - 35, -1.0 from v where z > 0")
+def laplacian_3d(spark, sf):
+    return generators.laplacian(spark, 7, 5, 3, alpha=2.0).coo.select("i", "j", "re")
+
+
+@query("with v as (select range as i, range % 9 as x, range // 9 as y from range(72)), e as (select a.i, b.i as j from v a join v b on a.i <> b.i and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1) select i, j, -1.0::double as re from e where j < i union all select i, i, 1.5 * count(*) from e group by i")
+def laplacian_extended(spark, sf):
+    return generators.extended_laplacian(spark, 9, 8, alpha=1.5).coo.select("i", "j", "re")
+
+
+@query(f"with {PATTERN}, s as (select i, j from p where i <> j), d as (select i from p union select j from p), c as (select i, count(*) as c from s group by i) select i, j, -1.0::double as re from s union all select d.i, d.i, (coalesce(c, 0) + 1)::double from d left join c on c.i = d.i")
+def fake_values(spark, sf):
+    return generators.fake_values(graph.pattern(customer_part(spark, sf))).select("i", "j", "re")
+
+
+@query(
+    "with recursive s(n, x) as (select 0, (6364136223846793005::hugeint * 3927 + 1) % 18446744073709551616::hugeint union all select n + 1, (((x % 4294967296) * 6364136223846793005::hugeint) % 18446744073709551616::hugeint + (((x // 4294967296) * (6364136223846793005::hugeint % 4294967296) % 4294967296 + 0) * 4294967296)  % 18446744073709551616::hugeint + 1) % 18446744073709551616::hugeint from s where n < 198) select n + 1 as i, 0 as k, round(0.5 - x::double * 5.4210108624275222e-20, 9) as re from s where n < 199 union all select 0, 0, round(0.5 - 3927 * 5.4210108624275222e-20, 9) from s where n = 0"
+)
+def random_right_hand_side(spark, sf):
+    out = generators.random_vector(spark, 200, 3927)
+    return out.select("i", "k", r("re", 9))
+
+
+# orderings, trees, symbolic structure
+
+NX, NY = 6, 5
+#: Factor structure by fill paths: i is reachable from j through vertices smaller than both.
+FILL = (
+    grid_sql(NX, NY)
+    + ", path(j, v) as (select i, j from e union select path.j, e.j from path join e on e.i = path.v where path.v < path.j), l as (select distinct v as i, j from path where v > j)"
+)
+
+
+def _small(spark) -> tuple[DataFrame, DataFrame]:
+    e = grid_edges(spark, NX, NY)
+    labels = spark.range(NX * NY).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("component"))
+    return e, labels
+
+
+def _columns(spark) -> DataFrame:
+    return cut(ordering.elimination(*_small(spark)))
+
+
+PARENT = FILL + ", t as (select v.i, coalesce(min(l.i), v.i) as parent from v left join l on l.j = v.i group by v.i)"
+
+
+@query(f"with recursive {PARENT} select i, parent from t")
+def elimination_tree(spark, sf):
+    return _columns(spark).select("i", "parent")
+
+
+@query(f"with recursive {FILL} select i, j from l")
+def symbolic_columns(spark, sf):
+    return symbolic.column_structure(_columns(spark))
+
+
+@query(f"with recursive {FILL} select i, j from l")
+def symbolic_fill_rounds(spark, sf):
+    return symbolic.fill_pattern(_small(spark)[0])
+
+
+UP = PARENT + ", up(i, a, d) as (select i, i, 0 from t union all select up.i, t.parent, d + 1 from up join t on t.i = up.a where t.parent <> t.i)"
+
+
+@query(f"with recursive {UP} select i, max(d)::bigint as level from up group by i")
+def tree_levels(spark, sf):
+    return ordering.levels(_columns(spark).select("i", "parent"))
+
+
+@query(f"with recursive {UP} select a as i, count(*) as size from up group by a")
+def subtree_sizes(spark, sf):
+    return ordering.subtree_sizes(_columns(spark).select("i", "parent"))
+
+
+@query(f"with recursive {UP}, z as (select a as i, count(*) as size from up group by a), paths as (select up.i, string_agg(lpad(a::varchar, 4, '0'), '/' order by d desc) as path from up group by up.i) select p.i, (select count(*) from paths q where q.path < p.path and not starts_with(p.path, q.path)) + z.size - 1 as perm from paths p join z on z.i = p.i")
+def postorder(spark, sf):
+    return ordering.postorder(_columns(spark).select("i", "parent"))
+
+
+HEIGHT = PARENT + ", h as (select v.i, (select count(*) from l where l.j = v.i) as height from v), k as (select parent as i, count(*) as kids from t where parent <> i group by parent), b as (select v.i, coalesce(p.parent = v.i and k.kids = 1 and hv.height = hp.height - 1, false) as joins from v left join t p on p.i = v.i - 1 left join k on k.i = v.i join h hv on hv.i = v.i left join h hp on hp.i = v.i - 1), sn as (select row_number() over (order by i) - 1 as k, i as first, lead(i, 1, 30) over (order by i) - 1 as last from b where not joins)"
+
+
+@query(f"with recursive {HEIGHT} select k, first, last from sn")
+def supernodes(spark, sf):
+    return ordering.supernodes(_columns(spark))
+
+
+@query(f"with recursive {HEIGHT}, o as (select sn.k, v.i from sn join v on v.i between first and last) select sn.k, sn.first, sn.last, o.k as parent from sn join t on t.i = sn.last join o on o.i = t.parent")
+def supernode_tree(spark, sf):
+    return _tree(spark).select("k", "first", "last", "parent")
+
+
+def _tree(spark) -> DataFrame:
+    columns = _columns(spark)
+    return cut(ordering.supernode_tree(cut(ordering.supernodes(columns)), columns))
+
+
+BLOK = HEIGHT + ", o as (select sn.k, v.i from sn join v on v.i between first and last), tr as (select sn.k, sn.last, l.i as r from sn join l on l.j = sn.last), g as (select tr.k, r, o.k as facing, r - row_number() over (partition by tr.k, o.k order by r) as run from tr join o on o.i = tr.r), blok as (select k, first as first_row, last as last_row, k as facing from sn union all select k, min(r), max(r), facing from g group by k, facing, run)"
+
+
+@query(f"with recursive {BLOK} select k, first_row, last_row, facing from blok")
+def symbolic_blocks(spark, sf):
+    return symbolic.blocks(_tree(spark))
+
+
+@query(f"with recursive {BLOK} select facing, string_agg(k || ':' || first_row, ',' order by k, first_row) as blocks from blok where k <> facing group by facing")
+def facing_lists(spark, sf):
+    rows = symbolic.facing_lists(symbolic.blocks(_tree(spark)))
+    return rows.select("facing", F.array_join(F.transform("blocks", lambda b: F.concat(b["k"], F.lit(":"), b["first_row"])), ",").alias("blocks"))
+
+
+@query(f"with recursive {BLOK} select a.k, a.facing, a.first_row, a.last_row, b.first_row as b_first, b.last_row as b_last from blok a join blok b on b.k = a.facing and a.first_row >= b.first_row and a.last_row <= b.last_row where a.k <> a.facing")
+def find_facing_block(spark, sf):
+    blok = cut(symbolic.blocks(_tree(spark)))
+    return symbolic.find_facing(blok, blok.where("k <> facing")).select("k", "facing", "first_row", "last_row", "b_first", "b_last")
+
+
+@query("select 0::bigint as empty_ranges, 0::bigint as backward, 0::bigint as no_diagonal")
+def check_symbol(spark, sf):
+    return symbolic.check_blocks(symbolic.blocks(_tree(spark)))
+
+
+@query(f"with recursive {FILL} select count(*) as nnz from l")
+def factor_nnz(spark, sf):
+    return symbolic.factor_entries(symbolic.heights(symbolic.blocks(_tree(spark))))
+
+
+WIDE = BLOK + ", h2 as (select k, sum(case when k = facing then last_row - first_row + 1 else 0 end)::double as w, sum(case when k <> facing then last_row - first_row + 1 else 0 end)::double as r, count(*) as bloks from blok group by k)"
+
+
+@query(f"with recursive {WIDE} select round(sum(w*w*w/6 + w*w/2 + w/3 + w*w*w/6 - w/6 + r*w*w + w*r*(r+1)), 3) as flops from h2")
+def factor_flops(spark, sf):
+    return symbolic.total_flops(symbolic.heights(symbolic.blocks(_tree(spark))), "LLT").select(r("flops", 3))
+
+
+@query(f"with recursive {WIDE} select k, round(w*w*w/3 - w/3 + w*w*w/3 - w*w/2 + w/6 + 2*r*w*w + 2*w*r*r, 3) as cost from h2")
+def cost_matrix(spark, sf):
+    return symbolic.costs(symbolic.blocks(_tree(spark)), "LU").select("k", r("cost", 3))
+
+
+@query(f"with recursive {WIDE} select count(*) as cblks, sum(bloks)::bigint as bloks, round(avg(w), 6) as avg_width, max(w)::bigint as max_width, round(avg(r), 6) as avg_below, max(r)::bigint as max_below from h2")
+def symbol_statistics(spark, sf):
+    out = symbolic.statistics(symbolic.blocks(_tree(spark)))
+    return out.select("cblks", "bloks", r("avg_width", 6), "max_width", r("avg_below", 6), "max_below")
+
+
+@query("select p_partkey as k, round((2.429169e-10 * p_size * 100 * 50 + 1e-9 * p_size * 50 + 1e-9 * 100 * 50 + 1e-7) * 1e6, 6) as microseconds from part")
+def time_model(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("k"), F.round(symbolic.time_model(F.col("p_size"), F.lit(100), F.lit(50)) * 1e6, 6).alias("microseconds"))
+
+
+@query(f"with recursive {grid_sql(NX, NY)}, one as (select a.i, b.j, 1 as level from e a join e b on a.j = b.i where a.j < a.i and a.j < b.j and a.i <> b.j), lv as (select i, j, min(level)::int as level from (select i, j, 0 as level from e union all select i, j, level from one) group by i, j) select i, j, level from lv")
+def incomplete_levels(spark, sf):
+    return symbolic.incomplete_levels(_small(spark)[0], 1)
+
+
+@query("with s as (select l_suppkey as k, l_partkey as r from lineitem group by 1, 2), c as (select o_custkey as k, o_orderkey as r from orders) select c.k, count(*) as rows from c group by c.k")
+def column_to_supernode(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("r"))
+    return o.groupBy("k").agg(F.size(F.collect_set("r")).cast("long").alias("rows"))
+
+
+@query("with n as (select p_partkey as k, p_partkey * 100 as first, p_partkey * 100 + p_size - 1 as last, p_size as w from part), c as (select *, case when ceil(w / 8.0) > 1 and floor(w / ceil(w / 8.0)) < 5 then ceil(w / 8.0) - 1 else ceil(w / 8.0) end::bigint as c from n), p as (select *, unnest(range(0, c)) as piece from c) select k, piece, first + (piece * w) // c as first, first + ((piece + 1) * w) // c - 1 as last from p")
+def split_supernodes(spark, sf):
+    n = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") * 100).alias("first"), (F.col("p_partkey") * 100 + F.col("p_size") - 1).alias("last"))
+    return symbolic.split_constant(n, 8, 5)
+
+
+@query("with s as (select distinct l_orderkey as r, l_suppkey as c, l_orderkey // 100 as k from lineitem), o as (select k, r, list(c) as cs from s group by k, r), w as (select *, lag(cs) over (partition by k order by r) as before from o) select k, r, case when before is not null then len(list_filter(cs, lambda c: not list_contains(before, c))) + len(list_filter(before, lambda c: not list_contains(cs, c))) end as distance from w")
+def row_hamming(spark, sf):
+    s = table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 100).alias("k"), F.col("l_orderkey").alias("r"), "l_suppkey")
+    return symbolic.hamming(s.groupBy("k", "r").agg(F.collect_set("l_suppkey").alias("contributors")))
+
+
+@query("with c as (select s_suppkey as k, abs(s_acctbal) as cost from supplier), w as (select k, cost, sum(cost) over (order by k) - cost / 2 as m, sum(cost) over () as t from c) select k, least(7, floor(m * 8 / t))::int as bin from w")
+def proportional_mapping(spark, sf):
+    c = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.abs("s_acctbal").alias("cost"))
+    return symbolic.proportional_map(c, 8)
+
+
+@query(f"with recursive {HEIGHT}, o as (select sn.k, v.i from sn join v on v.i between first and last), st as (select sn.k, o.k as parent, last - first + 1 >= 2 as ok from sn join t on t.i = sn.last join o on o.i = t.parent), anc(k, a) as (select k, k from st union all select anc.k, st.parent from anc join st on st.k = anc.a where st.parent <> st.k) select anc.k, bool_and(ok) as eligible from anc join st on st.k = anc.a group by anc.k")
+def candidate_flags(spark, sf):
+    return symbolic.candidates(_tree(spark), 2)
+
+
+@query(f"with recursive {HEIGHT}, o as (select sn.k, v.i from sn join v on v.i between first and last), st as (select sn.k, o.k as parent from sn join t on t.i = sn.last join o on o.i = t.parent), anc(k, a, d) as (select k, k, 0 from st union all select anc.k, st.parent, d + 1 from anc join st on st.k = anc.a where st.parent <> st.k), lv as (select k, max(d)::bigint as level from anc group by k) select k, level, row_number() over (order by level desc, k) - 1 as number from lv")
+def level_order(spark, sf):
+    return ordering.level_order(_tree(spark))
+
+
+@query("select 105::bigint as n, true as valid")
+def grid_ordering(spark, sf):
+    return ordering.check(ordering.grid(spark, 7, 5, 3))
+
+
+@query("select 120::bigint as n, true as valid")
+def nested_dissection(spark, sf):
+    e = grid_edges(spark, 12, 10)
+    labels = spark.range(120).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("component"))
+    return ordering.check(ordering.nested_dissection(e, labels, 8))
+
+
+@query("select c_custkey as i, c_custkey as perm from customer")
+def identity_ordering(spark, sf):
+    return ordering.identity(table(spark, sf, "customer").select(F.col("c_custkey").alias("i")))
+
+
+@query("select c_custkey as i, row_number() over (order by c_acctbal desc, c_custkey) - 1 as perm from customer")
+def personal_ordering(spark, sf):
+    from pyspark.sql import Window
+
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), "c_acctbal")
+    given = c.select((F.row_number().over(Window.orderBy(F.col("c_acctbal").desc(), "i")) - 1).cast("long").alias("i"), F.col("i").alias("perm"))
+    return ordering.personal(c, given, inverse=True)
+
+
+@query("with n as (select count(*) as n from part) select p_partkey as i, p_retailprice as re from part")
+def permutation_round_trip(spark, sf):
+    x = prices(spark, sf)
+    order = cut(ordering.random_order(x.select("i"), 11))
+    return layout.apply_order(layout.apply_order(x, order), order, back=True).select("i", "re")
+
+
+@query(f"with {A} select 1000000 - i as i, 1000000 - j as j, re from a where i <= 100 and j <= 100")
+def permute_matrix(spark, sf):
+    order = spark.range(1_000_001).select(F.col("id").alias("i"), (1_000_000 - F.col("id")).alias("perm")).where("i <= 100")
+    return layout.permute(supplier_part(spark, sf), order).select("i", "j", "re")
+
+
+@query(f"with {A}, c as (select j, count(*) as entries from a group by j) select j, entries, (sum(entries) over (order by j) - entries)::bigint as pointer from c")
+def column_pointers(spark, sf):
+    return layout.column_pointers(supplier_part(spark, sf))
+
+
+@query(f"with {A} select j, i, re, (j // 64) as k from a")
+def block_columns(spark, sf):
+    a = supplier_part(spark, sf)
+    nodes = a.select(F.floor(F.col("j") / 64).alias("k")).distinct().select("k", (F.col("k") * 64).alias("first"), (F.col("k") * 64 + 63).alias("last"))
+    return a.join(layout.columns_of(nodes), "j").repartition("k").select("j", "i", "re", "k")
+
+
+@query("with d as (select n_nationkey as i, n_nationkey * 2 as b from nation), c as (select n_nationkey as i, n_regionkey as j, 1.0 as re from nation) select c.i * 2 + a.x as i, c.j * 2 + b.x as j, 1.0::double as re from c, (select unnest([0, 1]) as x) a, (select unnest([0, 1]) as x) b")
+def expand_degrees_of_freedom(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("i"), F.col("n_regionkey").cast("long").alias("j"), F.lit(1.0).alias("re"))
+    return layout.expand_matrix(n, layout.constant_dofs(n.select("i"), 2))
+
+
+@query("with d as (select n_nationkey as i, sum(n_regionkey + 1) over (order by n_nationkey) - n_regionkey - 1 as b, n_regionkey + 1 as s, 24 - n_nationkey as perm from nation), p as (select *, sum(s) over (order by perm) - s as at from d), u as (select b, at, unnest(range(0, s::bigint)) as x from p) select (b + x)::bigint as i, (at + x)::bigint as perm from u")
+def expand_ordering(spark, sf):
+    from pyspark.sql import Window
+
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("i"), (F.col("n_regionkey") + 1).cast("long").alias("s"))
+    dofs = n.withColumn("end", F.sum("s").over(Window.orderBy("i"))).select("i", (F.col("end") - F.col("s")).alias("begin"), "end")
+    return layout.expand_ordering(n.select("i", (24 - F.col("i")).alias("perm")), dofs)
+
+
+@query("select p_partkey as b, floor(1.0 * p_size * 40 / (p_size + 40))::bigint as minimal_memory, floor(least(p_size, 40) / 4.0)::bigint as just_in_time from part")
+def rank_limits(spark, sf):
+    p = table(spark, sf, "part")
+    m, n = F.col("p_size"), F.lit(40)
+    return p.select(F.col("p_partkey").alias("b"), lowrank.rank_limit_column(m, n).alias("minimal_memory"), lowrank.rank_limit_column(m, n, "JustInTime").alias("just_in_time"))
+
+
+@query("with b as (select p_size as m, 40 as n, (p_partkey % 4)::int - 1 as rank from part) select case when rank < 0 then 'dense' when rank = 0 then 'null' else 'low-rank' end as class, count(*) as blocks, sum(m * n * 8)::bigint as dense_bytes, sum(case when rank < 0 then m * n * 8 else (m + n) * rank * 8 end)::bigint as used_bytes from b group by 1")
+def lowrank_memory(spark, sf):
+    p = table(spark, sf, "part")
+    return lowrank.memory(p.select(F.col("p_size").alias("m"), F.lit(40).alias("n"), ((F.col("p_partkey") % 4).cast("int") - 1).alias("rank")))
+
+
+@query("select b, 24 as m, 18 as n, (b % 4)::int + 1 as rank from (select range as b from range(40))")
+def lowrank_compress(spark, sf):
+    """Blocks that are sums of a known number of rank-one terms."""
+    cell = "aggregate(sequence(0, cast(b % 4 as int)), 0d, (s, t) -> s + cos((t + 1) * (r + 1) * 0.37) * sin((t + 2) * (c + 1) * 0.29))"
+    data = F.expr(f"flatten(transform(sequence(0, 17), c -> transform(sequence(0, 23), r -> {cell})))")
+    blocks = spark.range(40).select(F.col("id").alias("b"), F.lit(24).alias("m"), F.lit(18).alias("n"), F.expr("id").alias("bb")).withColumn("data", data)
+    return lowrank.compressed(blocks, 1e-8, "PQRCP", relative=True).select("b", "m", "n", "rank")
+
+
+# factorization, solution and refinement: solutions are known
+
+
+def _known(m: Matrix, spark) -> tuple[DataFrame, DataFrame]:
+    x = spark.range(m.n).select(F.col("id").alias("i"), F.lit(0).alias("k"), (F.col("id") % 7 + 1).cast("double").alias("re"), F.lit(0.0).alias("im"))
+    return x, algebra.spmv(algebra.full(m), x)
+
+
+def _solved(spark, kind: str, limit: int = 20_000, **options) -> DataFrame:
+    m = generators.laplacian(spark, 6, 5, 4, alpha=2.0, hermitian=kind in ("LLH", "LDLH"))
+    _, b = _known(m, spark)
+    s = Solver(m, parameters.Parameters(factorization=kind, limit=limit, **options))
+    return s.solve(b).select("i", F.round("re", 6).alias("re"))
+
+
+ANSWER = "select range as i, (range % 7 + 1)::double as re from range(120)"
+
+
+@query(ANSWER)
+def solve_cholesky(spark, sf):
+    return _solved(spark, "LLT")
+
+
+@query(ANSWER)
+def solve_ldlt(spark, sf):
+    return _solved(spark, "LDLT")
+
+
+@query(ANSWER)
+def solve_lu_by_levels(spark, sf):
+    return _solved(spark, "LU", limit=40)
+
+
+@query(ANSWER)
+def solve_cholesky_hermitian(spark, sf):
+    return _solved(spark, "LLH")
+
+
+@query(ANSWER)
+def solve_ldl_hermitian(spark, sf):
+    return _solved(spark, "LDLH")
+
+
+@query("select range as i, (range % 7 + 1)::double as re from range(49)")
+def refine_cg(spark, sf):
+    m = generators.laplacian(spark, 7, 7, alpha=2.0)
+    _, b = _known(m, spark)
+    out = refine.cg(refine.matvec(cut(algebra.full(m))), cut(b.select("i", "re", "im")), eps=1e-9)
+    return out.x.select("i", F.round("re", 5).alias("re"))
+
+
+@query("select range as i, (range % 7 + 1)::double as re from range(49)")
+def refine_gmres(spark, sf):
+    m = generators.laplacian(spark, 7, 7, alpha=2.0)
+    _, b = _known(m, spark)
+    s = Solver(m, parameters.Parameters(refinement="GMRES", mixed=True, refine_epsilon=1e-10), definite=True)
+    return s.solve(b, refined=True).select("i", F.round("re", 5).alias("re"))
+
+
+@query("select range as i, (range % 7 + 1)::double as re from range(49)")
+def refine_bicgstab(spark, sf):
+    m = generators.laplacian(spark, 7, 7, alpha=2.0)
+    _, b = _known(m, spark)
+    s = Solver(m, parameters.Parameters(refinement="BiCGSTAB", mixed=True, refine_epsilon=1e-10), definite=True)
+    return s.solve(b, refined=True).select("i", F.round("re", 5).alias("re"))
+
+
+@query()
+def schur_complement(spark, sf):
+    m = generators.laplacian(spark, 6, 6, alpha=2.0)
+    s = Solver(m, parameters.Parameters(factorization="LLT"), schur=spark.range(12).select(F.col("id").alias("i")))
+    return s.schur().select("i", "j", F.round("re", 6).alias("re"))
+
+
+@query()
+def amalgamation(spark, sf):
+    return ordering.amalgamated(_tree(spark), 0.2)
+
+
+@query()
+def row_reordering(spark, sf):
+    tree = _tree(spark)
+    return symbolic.reordered(symbolic.contributors(symbolic.blocks(tree)), tree.select("k", "first", "last"))
+
+
+@query("select 120::bigint as n, true as valid")
+def block_low_rank_clusters(spark, sf):
+    e = grid_edges(spark, 12, 10)
+    nodes = spark.createDataFrame([(0, 0, 59), (1, 60, 119)], "k long, first long, last long")
+    parts = ordering.clusters(nodes, e, 16)
+    sizes = parts.groupBy("k", "part").count()
+    return sizes.agg(F.sum("count").alias("n"), (F.max("count") <= 16).alias("valid"))
+
+
+@query("select unnest(['One', 'Frobenius', 'Inf', 'Max']) as name, unnest([0, 1, 2, 3]) as number")
+def enumeration_names(spark, sf):
+    return parameters.names_table(spark).where("kind = 'norm'").select("name", "number")
+
+
+@query()
+def parameter_table(spark, sf):
+    return parameters.Parameters().table(spark)
+
+
+def entry(spark: SparkSession, sf: str) -> DataFrame:
+    return spmv(spark, sf)
