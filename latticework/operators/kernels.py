@@ -111,12 +111,31 @@ def structures(starts: np.ndarray, targets: np.ndarray, parent: np.ndarray) -> l
     return below
 
 
-def supernode_starts(parent: np.ndarray, below: list[np.ndarray]) -> np.ndarray:
-    """First columns of fundamental supernodes: the next column joins if it is the only child's parent with one row less."""
+def postorder(parent: np.ndarray) -> np.ndarray:
+    """Place of each vertex in a postorder; siblings keep their order. Parents have larger numbers than children."""
     n = len(parent)
-    children = np.bincount(parent[parent != np.arange(n)], minlength=n)
-    begin = [j for j in range(n) if j == 0 or parent[j - 1] != j or children[j] != 1 or len(below[j]) != len(below[j - 1]) - 1]
-    return np.array(begin, dtype=np.int64)
+    size = np.ones(n, dtype=np.int64)
+    for v in range(n):
+        if parent[v] != v:
+            size[parent[v]] += size[v]
+    begin, used, roots = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), 0
+    # fathers first: each hands out places to its children in ascending order
+    kids: list[list[int]] = [[] for _ in range(n)]
+    for v in range(n):
+        if parent[v] != v:
+            kids[parent[v]].append(v)
+    for v in range(n - 1, -1, -1):
+        at = begin[v]
+        for c in kids[v]:
+            begin[c] = at
+            at += size[c]
+    for v in range(n):
+        if parent[v] == v:
+            used[v], roots = roots, roots + size[v]
+    top = np.arange(n)
+    for v in range(n - 1, -1, -1):
+        top[v] = v if parent[v] == v else top[parent[v]]
+    return begin + used[top] + size - 1
 
 
 def amalgamate(first: list[int], width: list[int], rows: list[np.ndarray], parent: list[int], ratio: float) -> list[int]:

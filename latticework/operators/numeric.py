@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import algebra, layout, ordering, symbolic
@@ -52,6 +52,7 @@ class Factor:
     replaced: int
     schur: DataFrame | None = None
     first_schur: int | None = None
+    is_complex: bool = False
 
 
 def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, ratio: float = 0.05, last: DataFrame | None = None) -> Analysis:
@@ -61,30 +62,33 @@ def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, rati
     """
     edges = cut(prepare(a.coo))
     vertices = cut(a.coo.sparkSession.range(a.n).select(F.col("id").alias("i")))
+    named = cut(components(edges, vertices))
     if order is None:
-        order = ordering.nested_dissection(edges, components(edges, vertices))
+        order = ordering.nested_dissection(edges, named)
     if last is not None:
         listed = order.join(last, "i", "left_semi")
         moved = order.join(last, "i", "left_anti").select("i", "perm", F.lit(0).alias("late")).unionByName(listed.select("i", "perm", F.lit(1).alias("late")))
         order = _renumbered(moved)
     order = cut(order)
-    permuted = cut(layout.permute(edges, order))
-    labels = cut(components(permuted, vertices))
-    # a dense block at the end is needed for a Schur complement: its columns depend on each other
-    columns = cut(ordering.elimination(permuted, labels))
-    post = ordering.postorder(columns.select("i", "parent"))
+    permuted = layout.permute(edges, order)
+    labels = layout.apply_order(named, order)
+    columns = cut(ordering.elimination(permuted, labels, post=last is None))
     if last is None:
-        # after postordering supernodes are runs of columns
-        order = cut(layout.compose(order, post))
-        to = cut(post.select(F.col("i").alias("r"), F.col("perm").alias("q")))
-        rows = columns.select("i", F.explode("rows").alias("r")).join(to, "r").groupBy("i").agg(F.array_sort(F.collect_list("q")).alias("rows"))
-        moved = columns.select("i", "parent").join(rows, "i", "left").join(to.select(F.col("r").alias("i"), F.col("q").alias("p")), "i").join(to.select(F.col("r").alias("parent"), F.col("q").alias("up")), "parent")
+        # after postordering supernodes are runs of columns; components follow each other
+        sizes = columns.groupBy("component").agg(F.count("*").alias("c"))
+        before = sizes.select("component", (F.sum("c").over(Window.orderBy("component")) - F.col("c")).alias("before"))
+        to = cut(columns.join(before, "component").select("i", (F.col("post") + F.col("before")).alias("q")))
+        order = cut(layout.compose(order, to.select("i", F.col("q").alias("perm"))))
+        rows = columns.select("i", F.explode("rows").alias("r")).join(to.withColumnRenamed("i", "r"), "r").groupBy("i").agg(F.array_sort(F.collect_list("q")).alias("rows"))
+        moved = columns.select("i", "parent").join(rows, "i", "left").join(to.select("i", F.col("q").alias("p")), "i").join(to.select(F.col("i").alias("parent"), F.col("q").alias("up")), "parent")
         columns = cut(moved.select(F.col("p").alias("i"), F.col("up").alias("parent"), F.coalesce("rows", F.array().cast("array<long>")).alias("rows")))
     nodes = cut(ordering.supernodes(columns)) if last is None else columns.select(F.col("i").alias("k"), F.col("i").alias("first"), F.col("i").alias("last"))
     tree = cut(ordering.supernode_tree(nodes, columns))
     if ratio > 0 and last is None:
         nodes = cut(ordering.amalgamated(tree, ratio))
         tree = cut(_widened(nodes, columns))
+    if a.n <= limit:  # all of it is one group
+        return Analysis(a.n, order, columns, tree, tree.select("k", F.lit(0).cast("long").alias("grp"), F.lit(0).alias("stage")), 1)
     groups, stages = grouping(tree, limit)
     return Analysis(a.n, order, columns, tree, groups, stages)
 
@@ -236,7 +240,7 @@ def factorize(a: Matrix, analysis: Analysis, kind: str = "LU", epsilon: float =
         upper = lower if kind in ("LLT", "LDLT") else lower.withColumn("im", -F.col("im"))
     d = everything.where("part = 'D'").select("i", "re", "im") if kind in ("LDLT", "LDLH") else None
     s = everything.where("part = 'S'").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im")) if schur is not None else None
-    return Factor(kind, analysis, lower, upper, d, int(replaced), s, schur)
+    return Factor(kind, analysis, lower, upper, d, int(replaced), s, schur, a.is_complex)
 
 
 def _sweep(is_complex: bool, back: bool):
@@ -304,7 +308,7 @@ def triangular(entries: DataFrame, b: DataFrame, analysis: Analysis, back: bool,
 
 def solve(f: Factor, b: DataFrame, trans: str = algebra.NO, mode: str = "Local") -> DataFrame:
     """x with op(A) x = b. With a Schur complement: `Interface` stops after the forward sweep, `Backward` starts from its values."""
-    is_complex = _complex(f)
+    is_complex = f.is_complex
     if trans == algebra.CONJ and f.kind in ("LLT", "LDLT", "LU") and is_complex:
         b = b.withColumn("im", -F.col("im"))
     y = layout.apply_order(b, f.analysis.ordering)
@@ -324,10 +328,6 @@ def solve(f: Factor, b: DataFrame, trans: str = algebra.NO, mode: str = "Local")
     return cut(x)
 
 
-def _complex(f: Factor) -> bool:
-    return bool(f.lower.where("im <> 0").limit(1).count() or f.upper.where("im <> 0").limit(1).count())
-
-
 def schur_complement(f: Factor) -> DataFrame:
     """The Schur complement's entries (i, j from 0, in the order of the listed unknowns); both triangles."""
     s = f.schur.select((F.col("i") - f.first_schur).alias("i"), (F.col("j") - f.first_schur).alias("j"), "re", "im")

@@ -33,7 +33,7 @@ def grid(spark: SparkSession, nx: int, ny: int = 1, nz: int = 1, leaf: int = 15)
 
 
 def random_order(vertices: DataFrame, seed: int) -> DataFrame:
-    keyed = vertices.select("i").withColumn("key", F.xxhash64(F.lit(seed), "i"))
+    keyed = vertices.select("i").withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "i"), 2))
     return new_numbers(keyed, "key").select("i", F.col("number").alias("perm"))
 
 
@@ -65,11 +65,12 @@ def check(ordering: DataFrame) -> DataFrame:
     return ordering.agg(n.alias("n"), ((F.count_distinct("perm") == n) & (F.min("perm") == 0) & (F.max("perm") == n - 1)).alias("valid"))
 
 
-def elimination(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def elimination(edges: DataFrame, labels: DataFrame, post: bool = False) -> DataFrame:
     """Elimination tree and factor structure of a permuted graph: (i, parent, rows).
 
     Roots are their own parents; rows lists the factor's rows below the diagonal of column i. Tree
-    and structure come in one pass over each connected component (labels: i, component).
+    and structure come in one pass over each connected component (labels: i, component). With post also
+    (component, post): the column's place in a postorder of its component.
     """
     own = labels.select("i", F.col("i").alias("j"), "component")
     rows = edges.select("i", "j").join(labels, "i").select("i", "j", "component").unionByName(own)
@@ -78,9 +79,12 @@ def elimination(edges: DataFrame, labels: DataFrame) -> DataFrame:
         names, starts, targets = _of_component(pdf)
         parent = kernels.elimination_tree(starts, targets)
         below = kernels.structures(starts, targets, parent)
-        return pd.DataFrame({"i": names, "parent": names[parent], "rows": [names[b] for b in below]})
+        out = {"i": names, "parent": names[parent], "rows": [names[b] for b in below]}
+        if post:
+            out |= {"component": pdf["component"].iloc[0], "post": kernels.postorder(parent)}
+        return pd.DataFrame(out)
 
-    return rows.groupBy("component").applyInPandas(walk, "i long, parent long, rows array<long>")
+    return rows.groupBy("component").applyInPandas(walk, "i long, parent long, rows array<long>" + ", component long, post long" * post)
 
 
 def levels(tree: DataFrame) -> DataFrame:

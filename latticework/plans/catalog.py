@@ -477,10 +477,10 @@ def split_supernodes(spark, sf):
     return symbolic.split_constant(n, 8, 5)
 
 
-@query("with s as (select distinct l_orderkey as r, l_suppkey as c, l_orderkey // 100 as k from lineitem), o as (select k, r, list(c) as cs from s group by k, r), w as (select *, lag(cs) over (partition by k order by r) as before from o) select k, r, case when before is not null then len(list_filter(cs, lambda c: not list_contains(before, c))) + len(list_filter(before, lambda c: not list_contains(cs, c))) end as distance from w")
+@query("with s as (select distinct l_orderkey as r, l_suppkey as c, l_orderkey // 100 as k from lineitem), o as (select k, r, list(c) as cs from s group by k, r), w as (select *, lag(cs) over (partition by k order by r) as before from o) select k, r, case when before is not null then len(list_filter(cs, lambda c: not list_contains(before, c))) + len(list_filter(before, lambda c: not list_contains(cs, c))) else -1 end as distance from w")
 def row_hamming(spark, sf):
     s = table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 100).alias("k"), F.col("l_orderkey").alias("r"), "l_suppkey")
-    return symbolic.hamming(s.groupBy("k", "r").agg(F.collect_set("l_suppkey").alias("contributors")))
+    return symbolic.hamming(s.groupBy("k", "r").agg(F.collect_set("l_suppkey").alias("contributors"))).fillna({"distance": -1})
 
 
 @query("with c as (select s_suppkey as k, abs(s_acctbal) as cost from supplier), w as (select k, cost, sum(cost) over (order by k) - cost / 2 as m, sum(cost) over () as t from c) select k, least(7, floor(m * 8 / t))::int as bin from w")
@@ -556,7 +556,7 @@ def expand_degrees_of_freedom(spark, sf):
     return layout.expand_matrix(n, layout.constant_dofs(n.select("i"), 2))
 
 
-@query("with d as (select n_nationkey as i, sum(n_regionkey + 1) over (order by n_nationkey) - n_regionkey - 1 as b, n_regionkey + 1 as s, 24 - n_nationkey as perm from nation), p as (select *, sum(s) over (order by perm) - s as at from d), u as (select b, at, unnest(range(0, s::bigint)) as x from p) select (b + x)::bigint as i, (at + x)::bigint as perm from u")
+@query("with d as (select n_nationkey as i, sum(n_regionkey + 1) over (order by n_nationkey) - n_regionkey - 1 as b, n_regionkey + 1 as s, 24 - n_nationkey as perm from nation), p as (select *, sum(s) over (order by perm) - s as pos from d), u as (select b, pos, unnest(range(0, s::bigint)) as x from p) select (b + x)::bigint as i, (pos + x)::bigint as perm from u")
 def expand_ordering(spark, sf):
     from pyspark.sql import Window
 

@@ -47,7 +47,7 @@ class Solver:
             if self.parameters.mixed:
                 single = lambda df: None if df is None else cut(algebra.to_single(df))
                 f = self.factor
-                self.factor = numeric.Factor(f.kind, f.analysis, single(f.lower), single(f.upper), single(f.d), f.replaced, f.schur, f.first_schur)
+                self.factor = numeric.Factor(f.kind, f.analysis, single(f.lower), single(f.upper), single(f.d), f.replaced, f.schur, f.first_schur, f.is_complex)
         return self.factor
 
     def solve(self, b: DataFrame, refined: bool = False, trans: str | None = None) -> DataFrame:
