@@ -6,8 +6,8 @@ goes on; its size counts in n_links. (Only bitwise equal vectors share a class;
 a cosine of 1 up to rounding.)
 
 Each of TABLES tables hashes a vector to the signs of PLANES random hyperplanes. At a cosine of
-0.98 two vectors agree on a sign with probability 1 - acos(0.98) / pi = 0.936, on a table's 14
-signs with 0.397, and in one of 24 tables at least with all but 0.000005.
+0.98 two vectors agree on a sign with probability 1 - acos(0.98) / pi = 0.936, on a table's 20
+signs with 0.268, and in one of 36 tables at least with all but 0.000013.
 
 Vectors that share a bucket are compared in blocks of it, all against all, by one matrix product
 in a task. A pair counts in the first table that it shares, so each pair counts once. A task
@@ -27,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, table
 
-TABLES, PLANES = 24, 14
-BLOCK = 256
+TABLES, PLANES = 36, 20
+#: Vectors of a block in a large bucket; buckets of at most SMALL are compared pair by pair.
+BLOCK, SMALL = 256, 16
 LEAST = 0.98
 
 
@@ -60,45 +62,97 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(keys, pa.list_(pa.int64()))], names=["id", "label", "codes"])
 
 
+class _Rows:
+    """Rows of some whole buckets as arrays."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        column = lambda c: rows.column(c).chunk(0)
+        self.ids, self.side, self.count, self.code, self.bi, self.bj = (column(c).to_numpy() for c in ("id", "side", "copies", "code", "bi", "bj"))
+        label = pa.compute.dictionary_encode(column("label")).indices.to_numpy()
+        self.codes = column("codes").flatten().to_numpy().reshape(rows.num_rows, -1)
+        lists = column("embedding")
+        self.sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        flat = lists.flatten().to_numpy().astype(np.float64)
+        x = np.zeros((rows.num_rows, int(self.sizes.max())))
+        x[np.arange(x.shape[1])[None, :] < self.sizes[:, None]] = flat
+        top = np.abs(x).max(axis=1, keepdims=True)
+        self.unit = x / top
+        self.unit /= np.linalg.norm(self.unit, axis=1, keepdims=True)
+        change = (self.code[1:] != self.code[:-1]) | (label[1:] != label[:-1]) | (self.bi[1:] != self.bi[:-1]) | (self.bj[1:] != self.bj[:-1])
+        self.starts = np.concatenate([[0], np.flatnonzero(change) + 1, [rows.num_rows]])
+
+    def keep(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs that belong here: of one length, of both blocks, and in the first table that they share."""
+        good = (self.sizes[i] == self.sizes[j]) & ((self.bi[i] == self.bj[i]) | (self.side[i] != self.side[j]))
+        return good & (self.codes[i, (self.codes[i] == self.codes[j]).argmax(axis=1)] == self.code[i])
+
+
+def _joined(out: list, r: _Rows, i: np.ndarray, j: np.ndarray, base: int, n: int) -> None:
+    """Links of a large bucket as a count for each row and one edge to its component's root."""
+    links = np.zeros(n, dtype=np.int64)
+    np.add.at(links, i - base, r.count[j])
+    np.add.at(links, j - base, r.count[i])
+    root = list(range(n))
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for p, q in zip((i - base).tolist(), (j - base).tolist(), strict=True):
+        p, q = find(p), find(q)
+        if p != q:
+            root[q] = p
+    to = np.array([find(v) for v in range(n)])
+    keep = np.flatnonzero(links > 0)
+    out.append((r.ids[base + keep], links[keep], r.ids[base + to[keep]]))
+
+
+def _links(rows: pa.Table, least: float) -> pa.RecordBatch | None:
+    r = _Rows(rows)
+    out: list[tuple] = []
+    n = np.diff(r.starts)
+    small = np.repeat(n <= SMALL, n)
+    end = np.repeat(r.starts[1:], n)
+    for d in range(1, int(n[n <= SMALL].max(initial=1))):
+        i = np.flatnonzero(small & (np.arange(len(small)) + d < end))
+        i = i[np.einsum("ij,ij->i", r.unit[i], r.unit[i + d]) >= least]
+        i = i[r.keep(i, i + d)]
+        out += [(r.ids[i], r.count[i + d], r.ids[i + d]), (r.ids[i + d], r.count[i], r.ids[i])]
+    for k in np.flatnonzero(n > SMALL):
+        s, e = r.starts[k], r.starts[k + 1]
+        i, j = np.nonzero(np.triu(r.unit[s:e] @ r.unit[s:e].T >= least, 1))
+        i, j = i + s, j + s
+        good = r.keep(i, j)
+        if good.any():
+            _joined(out, r, i[good], j[good], s, e - s)
+    if not out:
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out]), pa.int64()) for c in range(3)], names=["id", "links", "to"])
+
+
 def _compare(least: float):
-    def run(rows: pa.Table) -> pa.Table:
-        n = rows.num_rows
-        ids, side, count = (rows.column(c).to_numpy() for c in ("id", "side", "copies"))
-        codes = np.array(rows.column("codes").to_pylist(), dtype=np.int64).reshape(n, -1)
-        bucket = rows.column("code")[0].as_py()
-        alone = rows.column("bi")[0].as_py() == rows.column("bj")[0].as_py()
-        vectors = [np.asarray(v, dtype=np.float64) for v in rows.column("embedding").to_pylist()]
-        if len({len(v) for v in vectors}) > 1:
-            most = max(len(v) for v in vectors)
-            vectors = [np.concatenate([v, np.zeros(most - len(v))]) for v in vectors]
-        sizes = np.array([len(v) for v in rows.column("embedding").to_pylist()])
-        x = np.array(vectors)
-        x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
-        near = (x @ x.T >= least) & (sizes[:, None] == sizes[None, :])
-        near &= np.triu(np.ones((n, n), dtype=bool), 1) if alone else (side[:, None] < side[None, :])
-        i, j = np.nonzero(near)
-        if len(i):
-            first = codes[i, (codes[i] == codes[j]).argmax(axis=1)] == bucket
-            i, j = i[first], j[first]
-        links = np.zeros(n, dtype=np.int64)
-        np.add.at(links, i, count[j])
-        np.add.at(links, j, count[i])
-        root = list(range(n))
-
-        def find(v):
-            while root[v] != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        edge = np.arange(n)
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = find(p), find(q)
-            if p != q:
-                root[q] = p
-        edge = np.array([find(v) for v in range(n)])
-        keep = (links > 0) | (edge != np.arange(n))
-        return pa.table({"id": ids[keep], "links": links[keep], "to": ids[edge][keep]})
+    """Batches of rows sorted by bucket and block; a bucket's rows may straddle batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            keys = rows.select(["label", "code", "bi", "bj"])
+            last = keys.slice(rows.num_rows - 1).to_pylist()[0]
+            same = pa.compute.and_(pa.compute.equal(keys["code"], last["code"]), pa.compute.equal(keys["label"], last["label"]))
+            same = pa.compute.and_(same, pa.compute.and_(pa.compute.equal(keys["bi"], last["bi"]), pa.compute.equal(keys["bj"], last["bj"]))).to_numpy()
+            begin = int(same.argmax())
+            held = rows.slice(begin)
+            if begin and (found := _links(rows.slice(0, begin), least)) is not None:
+                yield found
+        if held is not None and (found := _links(held, least)) is not None:
+            yield found
 
     return run
 
@@ -125,7 +179,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     dealt = members.join(buckets, ["label", "code"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("id", "label", "code", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.col("block").alias("side"))
     full = cut(hashed.select("id", "codes").join(classes.select(F.col("class").alias("id"), "copies", "embedding"), "id"), "full")
-    compared = cut(dealt.join(full, "id").groupBy("label", "code", "bi", "bj").applyInArrow(_compare(least), "id long, links long, to long"), "compared")
+    # a task streams the buckets that it holds: one at a time in memory, none of more than two blocks
+    together = dealt.join(full, "id").repartition("label", "code", "bi", "bj").sortWithinPartitions("label", "code", "bi", "bj")
+    compared = cut(together.mapInArrow(_compare(least), "id long, links long, to long"), "compared")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     found = components(compared.select(F.col("id").alias("a"), F.col("to").alias("b")))
     per_class = classes.select("class", "id", "copies", "label", "digest").join(links.withColumnRenamed("id", "class"), "class", "left").join(found.select(F.col("id").alias("class"), "component"), "class", "left")
