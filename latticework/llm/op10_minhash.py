@@ -300,3 +300,20 @@ def op10_minhash(spark, sf_dir):
     from .common import table
 
     return membership(table(spark, sf_dir, "documents"))
+
+
+#: Shared shingles of all pairs, and components by recursion.
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select distinct doc_id, unnest(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+p as (
+  select a.doc_id as x, b.doc_id as y from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 85 * (na.n + nb.n - count(*))
+), r(x, y) as (select doc_id, doc_id from documents union select r.x, p.y from r join p on r.y = p.x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.y) as component_id, min(r.y) = d.doc_id as kept
+from documents d join r on r.x = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id, n.n
+"""

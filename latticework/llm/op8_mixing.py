@@ -128,3 +128,40 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: in
 
 def op8_mixing(spark, sf_dir):
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL = rf"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(concat('{SEED}', coalesce(doc_id::varchar, ''))) as h from documents
+), s0 as (select source, sum(size)::bigint as source_size from d group by source),
+s1 as (select *, ([{", ".join(f"{w}.0" for w in WEIGHTS)}])[(row_number() over (order by source is null, source) - 1) % {len(WEIGHTS)} + 1]::double as weight, (source_size * {MOST})::double as cap from s0),
+s2 as (
+  select *, (sum(source_size) over ()::double - coalesce(sum(cap) over o, 0)) / (sum(weight) over () - coalesce(sum(weight) over o, 0)) as level from s1
+  window o as (order by cap / weight, source is null, source rows between unbounded preceding and 1 preceding)
+), s3 as (select *, (select level from s2 where level * weight <= cap order by cap / weight, level limit 1) as water from s2),
+goal as (
+  select source, source_size, case when water is null then cap else least(cap, water * weight) end as target,
+    greatest(1, least({SHARDS}, ceil(source_size / {SHARD}.0)))::bigint as shards from s3
+), p1 as (select *, greatest(1, least({BLOCK}, floor(coalesce(min(case when source_size > 0 then source_size end) over (), 1) / {FEWEST}.0)))::bigint as unit from goal),
+p2 as (select *, round(sum(target) over () / unit)::bigint as seats, sum(target) over () as whole, count(*) over () as parties from p1),
+p3 as (select *, greatest(0, floor(case when whole > 0 then target * seats / whole else 0 end) - least(parties, 8))::bigint as base from p2),
+p4 as (select *, seats - sum(base) over () as rest, unnest(range(base + 1, base + 21)) as seat from p3),
+p5 as (select *, row_number() over (order by target / (2 * seat - 1) desc, source is null, source, seat) as rank from p4),
+own as (select source, unit, any_value(base) + sum((rank <= rest and target > 0)::bigint) as seats from p5 group by source, unit),
+dealt as (select d.*, source_size, target, substr(h, 9, 24) as key, ('0x' || substr(h, 1, 8))::bigint % shards as shard from d join goal on d.source is not distinct from goal.source),
+q1 as (
+  select a.source, shard, n, unit, seats::bigint as seats, sum(n) over (partition by a.source) as whole, count(*) over (partition by a.source) as parties
+  from (select source, shard, sum(size)::bigint as n from dealt group by source, shard having sum(size) > 0) a join own on a.source is not distinct from own.source
+), q2 as (select *, greatest(0, floor(n::double * seats / whole) - least(parties, 8))::bigint as base from q1),
+q3 as (select *, seats - sum(base) over (partition by source) as rest, unnest(range(base + 1, base + 21)) as seat from q2),
+q4 as (select *, row_number() over (partition by source order by n::double / (2 * seat - 1) desc, shard, seat) as rank from q3),
+q5 as (select source, shard, n, greatest(1, round(n / unit::double))::bigint as m, any_value(base) + sum((rank <= rest)::bigint) as given from q4 group by source, shard, n, unit),
+q as (select *, least(given, m * {MOST})::bigint as q, ('0x' || substr(md5(concat('{SEED}', coalesce(source, ''), ':', shard)), 1, 7))::bigint as start, 2147483647 % m as step from q5),
+l as (
+  select dealt.*, n, m, q.q, start, step, (sum(size) over (partition by dealt.source, dealt.shard order by key, doc_id nulls first, size rows unbounded preceding))::bigint as e
+  from dealt left join q on dealt.source is not distinct from q.source and dealt.shard = q.shard
+)
+select doc_id, size, source_size, target, case when size > 0 and m is not null then list_sum(list_transform(range(greatest(0, (e - size) * m // n - 1), least(m - 1, (e - 1) * m // n + 1) + 1),
+  lambda i: greatest(0, least(e, (i + 1) * n // m) - greatest(e - size, i * n // m)) * (q // m + case when (i * step + start) % m < q % m then 1 else 0 end)))::bigint else 0 end as taken
+from l
+"""

@@ -16,4 +16,10 @@ QUERIES = {
     "op9_html": op9_html.op9_html,
     "op10_minhash": op10_minhash.op10_minhash,
 }
-SQL = {"op1_chat": op1_chat.SQL, "op3_embeddings": op3_embeddings.SQL, "op6_warc": op6_warc.SQL}
+SQL = {
+    "op1_chat": op1_chat.SQL,
+    "op3_embeddings": op3_embeddings.SQL,
+    "op6_warc": op6_warc.SQL,
+    "op8_mixing": op8_mixing.SQL,
+    "op10_minhash": op10_minhash.SQL,
+}
