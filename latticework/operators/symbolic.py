@@ -156,6 +156,11 @@ def split_blocks(blok: DataFrame, pieces: DataFrame) -> DataFrame:
     return out.select("k", "piece", "facing", "facing_piece", F.greatest("first_row", "f_first").alias("first_row"), F.least("last_row", "f_last").alias("last_row"))
 
 
+def expand_blocks(blok: DataFrame, dof: int) -> DataFrame:
+    """Blocks of the unknowns, dof of them for each vertex."""
+    return blok.select("k", (F.col("first_row") * dof).alias("first_row"), ((F.col("last_row") + 1) * dof - 1).alias("last_row"), "facing")
+
+
 def candidates(tree: DataFrame, least_width: int) -> DataFrame:
     """(k, eligible): a supernode stays eligible while it and all its ancestors are at least so wide."""
     ok = (F.col("last") - F.col("first") + 1) >= least_width

@@ -587,6 +587,44 @@ def lowrank_compress(spark, sf):
     return lowrank.compressed(blocks, 1e-8, "PQRCP", relative=True).select("b", "m", "n", "rank")
 
 
+@query(f"with recursive {BLOK} select k, first_row * 3 as first_row, last_row * 3 + 2 as last_row, facing from blok")
+def expand_symbol(spark, sf):
+    return symbolic.expand_blocks(symbolic.blocks(_tree(spark)), 3)
+
+
+@query(
+    f"with recursive {BLOK}, c as (select k, first, last - first + 1 as w, ceil((last - first + 1) / 3.0)::bigint as c from sn), pc as (select k, unnest(range(0, c)) as piece, first, w, c from c), pieces as (select k, piece, first + (piece * w) // c as f, first + ((piece + 1) * w) // c - 1 as l from pc) "
+    "select b.k, p.piece, b.facing, q.piece as facing_piece, greatest(b.first_row, q.f) as first_row, least(b.last_row, q.l) as last_row from blok b join pieces p on p.k = b.k join pieces q on q.k = b.facing and b.first_row <= q.l and b.last_row >= q.f where b.k <> b.facing or q.piece >= p.piece"
+)
+def split_symbol(spark, sf):
+    tree = _tree(spark)
+    return symbolic.split_blocks(symbolic.blocks(tree), symbolic.split_constant(tree.select("k", "first", "last"), 3))
+
+
+@query("select c_custkey as i, (c_custkey * 7919 + 13) % 1000003 * 3 as perm from customer")
+def compose_orderings(spark, sf):
+    first = table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), ((F.col("c_custkey") * 7919 + 13) % 1000003).alias("perm"))
+    return layout.compose(first, first.select(F.col("perm").alias("i"), (F.col("perm") * 3).alias("perm")))
+
+
+@query(f"with {A} select p.i, q.i as j, sum(p.re * q.re) as re from a p join a q on p.j = q.j where p.i < 30 and q.i < 30 group by 1, 2")
+def matrix_product(spark, sf):
+    a = supplier_part(spark, sf).where("i < 30")
+    return algebra.product(a, algebra.transpose(a)).select("i", "j", "re")
+
+
+@query(f"with {A}, {X}, {Y}, t as (select i, sum(re * v) as t from a join x using (j) group by i), d as (select coalesce(v, 0) - coalesce(t, 0) as d, coalesce(v, 0) as v from t full outer join y using (i)) select 0 as k, round(sqrt(sum(d * d)) / (select sqrt(sum(v * v)) from y), 4) as error from d")
+def backward_error(spark, sf):
+    return algebra.check(supplier_part(spark, sf), prices(spark, sf), balances(spark, sf)).select("k", r("error", 4))
+
+
+@query("select '\"' || n_regionkey + 100 || '\" -> \"' || n_nationkey || '\"' as value from nation")
+def tree_drawing(spark, sf):
+    from ..sources.files import tree_dot
+
+    return tree_dot(nation_region(spark, sf).select(F.col("i").alias("k"), F.col("j").alias("parent")))
+
+
 # factorization, solution and refinement: solutions are known
 
 
