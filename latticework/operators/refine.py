@@ -72,7 +72,8 @@ def _start(a: Apply, b: DataFrame, x: DataFrame | None) -> tuple[DataFrame, Data
 
 def cg(a: Apply, b: DataFrame, x: DataFrame | None = None, m: Apply | None = None, eps: float = EPS, most: int = MOST) -> Result:
     """Preconditioned conjugate gradients; step sizes are real."""
-    m = m or (lambda v: v)
+    if m is None:
+        return _plain_cg(a, b, x, eps, most)
     x, r, size = _start(a, b, x)
     z = m(r)
     p = z
@@ -91,6 +92,30 @@ def cg(a: Apply, b: DataFrame, x: DataFrame | None = None, m: Apply | None = Non
     return Result(x, n, log[-1], log)
 
 
+def _plain_cg(a: Apply, b: DataFrame, x: DataFrame | None, eps: float, most: int) -> Result:
+    """Without a preconditioner x, r and p share one table, so that a round writes once and adds up twice."""
+    x, r, size = _start(a, b, x)
+    part = lambda v, name: v.select("i", F.col("re").alias(f"{name}_re"), F.col("im").alias(f"{name}_im"))
+    s = part(r, "r").join(part(x, "x"), "i", "left").na.fill(0.0)
+    s = cut(s.select("*", F.col("r_re").alias("p_re"), F.col("r_im").alias("p_im")))
+    total = lambda df, re, im: float(df.agg(F.sum(re + im)).first()[0] or 0.0)
+    rr = total(s, F.col("r_re") * F.col("r_re"), F.col("r_im") * F.col("r_im"))
+    log = [rr**0.5 / size]
+    n = 0
+    while log[-1] > eps and n < most:
+        q = part(a(s.select("i", F.col("p_re").alias("re"), F.col("p_im").alias("im"))), "q")
+        t = cut(s.join(q, "i", "left").na.fill(0.0))
+        alpha = rr / total(t, F.col("p_re") * F.col("q_re"), F.col("p_im") * F.col("q_im"))
+        r_re, r_im = F.col("r_re") - alpha * F.col("q_re"), F.col("r_im") - alpha * F.col("q_im")
+        new = total(t, r_re * r_re, r_im * r_im)
+        moved = {"x_re": F.col("x_re") + alpha * F.col("p_re"), "x_im": F.col("x_im") + alpha * F.col("p_im"), "r_re": r_re, "r_im": r_im}
+        beta = new / rr
+        s = t.withColumns(moved | {"p_re": r_re + beta * F.col("p_re"), "p_im": r_im + beta * F.col("p_im")}).drop("q_re", "q_im")
+        rr, n = new, n + 1
+        log.append(rr**0.5 / size)
+    return Result(cut(s.select("i", F.col("x_re").alias("re"), F.col("x_im").alias("im"))), n, log[-1], log)
+
+
 def bicgstab(a: Apply, b: DataFrame, x: DataFrame | None = None, m: Apply | None = None, eps: float = EPS, most: int = MOST) -> Result:
     """Preconditioned stabilised biconjugate gradients."""
     m = m or (lambda v: v)
