@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .words import U, Words, mix, slices
 
-CHAIN, SAMPLE = 64, 1200
+CHAIN, SAMPLE = 64, 600
 BITS, STEPS, RATE, DECAY, SWITCHED = 18, 40, 0.25, 1e-6, 0.25
 NONE = "und"
 _LETTER = np.zeros(256, dtype=bool)
@@ -64,7 +64,7 @@ def features(data: np.ndarray, begin: np.ndarray, end: np.ndarray, word: np.ndar
     number = np.concatenate([p[0] for p in parts]) >> U(64 - BITS)
     owner = np.concatenate([p[1] for p in parts])
     order = np.argsort(owner, kind="stable")
-    return number[order].astype(np.int64), owner[order]
+    return number[order].astype(np.int32), owner[order].astype(np.int32)
 
 
 def emissions(weights: np.ndarray, number: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:

@@ -24,7 +24,7 @@ _GAP[[32, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text handled at once; a longer text is handled alone.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 @lru_cache(2)
