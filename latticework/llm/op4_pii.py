@@ -15,9 +15,10 @@ contexts' confidences; instances over SURE are trusted from then on. Contexts wi
 of at least CONFIDENT and SUPPORT distinct trusted instances are the learned patterns, and
 every token they introduce is a span of kind `id`, unless it overlaps a base span.
 
-The learned patterns go to all tasks as a literal; they are words of labels, and no more than
-PATTERNS of them, by confidence * log2(instances), are learned (the size of the model, as in the
-method's own top-k step; on fewer, all are used).
+All contexts over the thresholds are used. Up to PATTERNS of them go to all tasks as a literal: a
+context has at most 24 letters and 6 signs, so that is about 30,000 characters at most. More stay a
+table, which is joined with the distinct contexts of each row (a number given to rows when they are
+written tells them apart), and each row gets the learned ones among its own as an array.
 
 Cases: null text is empty; positions are code points, end exclusive; rows are independent, so
 repeated rows and null ids need no care; an empty table learns nothing and gives an empty result;
@@ -43,6 +44,10 @@ _TOKEN = r"(?=[A-Za-z_.%+@-]*+[0-9])[A-Za-z0-9._%+@-]{6,}+"
 CONTEXT = r"(?<!\p{L})(\p{L}{2,24}+)(\x20?[:=#\x22'(\[][:=#\x22'(\[\x20]{0,4}+)(" + _TOKEN + ")"
 CONFIDENT, SUPPORT, SURE, ROUNDS, PATTERNS = 0.9, 3, 0.9, 3, 1000
 _CHUNK = 256
+#: Parts that the rows with one context are dealt to where contexts are joined.
+_SALTS = 32
+#: Column of a row's own learned contexts, and of its number.
+_KNOWN, _ROW = "__known", "__row"
 _ARRAY = "array<struct<begin:int,end:int,hit:string>>"
 
 
@@ -95,9 +100,9 @@ def _check(kind: str):
     return lambda x: valid(kind, x["hit"])
 
 
-def based(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and for each kind an array of its valid spans."""
-    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def based(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text, and for each kind an array of its valid spans; those of the columns `more` that docs has stay."""
+    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(c for c in more if c in docs.columns))
     for kind, (pattern, needle) in KINDS.items():
         out = out.withColumn(kind, F.filter(located(F.col("text"), pattern, needle), _check(kind)))
     return out
@@ -123,7 +128,7 @@ def contexts_of(text: Column) -> Column:
 
 
 def learn(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The learned contexts: context, confidence, hits, rank value."""
+    """The learned contexts: context, n, hits, confidence."""
     pairs = docs.select(F.explode(contexts_of(F.col("text"))).alias("x")).select("x.context", "x.instance").distinct()
     pairs = cut(pairs.withColumn("trust", is_seed(F.col("instance")).cast("double")), "pairs")
     score = lambda p: p.groupBy("context").agg(F.count("*").alias("n"), F.sum((F.col("trust") >= SURE).cast("long")).alias("hits")).where(F.col("hits") >= SUPPORT).withColumn("confidence", F.col("hits") / F.col("n"))
@@ -132,28 +137,42 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         doubt = F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))
         scores = cut(pairs.select("context", "instance").join(found, "context").groupBy("instance").agg((1 - F.exp(doubt)).alias("score")), "instances")
         pairs = cut(pairs.join(scores, "instance", "left").select("context", "instance", F.greatest("trust", F.coalesce("score", F.lit(0.0))).alias("trust")), "pairs")
-    return score(pairs).where(F.col("confidence") >= CONFIDENT).withColumn("value", F.col("confidence") * F.log2(F.col("hits")))
+    return score(pairs).where(F.col("confidence") >= CONFIDENT)
 
 
-def learned(docs: DataFrame) -> list[str]:
-    rows = learn(docs).orderBy(F.col("value").desc(), "context").limit(PATTERNS).select("context").collect()
-    return sorted(r[0] for r in rows)
+def learned(docs: DataFrame) -> list[str] | DataFrame:
+    """All learned contexts: a list of up to PATTERNS, else a table (context)."""
+    found = cut(learn(docs).select("context"), "learned")
+    rows = found.limit(PATTERNS + 1).collect()
+    return found if len(rows) > PATTERNS else sorted(r[0] for r in rows)
 
 
-def _identified(text: Column, contexts: list[str]) -> Column:
+def _with_known(docs: DataFrame, contexts: list[str] | DataFrame) -> tuple[DataFrame, Column | None]:
+    """docs and the array of contexts to look for in a row: a literal, or a column that is added."""
+    if not isinstance(contexts, DataFrame):
+        return docs, F.array(*map(F.lit, contexts)) if contexts else None
+    rows = cut(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    own = rows.select(_ROW, F.explode(F.array_distinct(F.transform(contexts_of(F.col("text")), lambda x: x["context"]))).alias("context"))
+    dealt = contexts.select("context", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    met = own.withColumn("salt", (F.xxhash64(_ROW) % _SALTS + _SALTS) % _SALTS).join(dealt.withColumn("salt", F.col("salt").cast("long")), ["context", "salt"])
+    known = met.groupBy(_ROW).agg(F.collect_list("context").alias(_KNOWN))
+    return rows.join(known, _ROW, "left").withColumn(_KNOWN, F.coalesce(_KNOWN, F.array().cast("array<string>"))).drop(_ROW), F.col(_KNOWN)
+
+
+def _identified(text: Column, known: Column | None) -> Column:
     """Spans of tokens after learned contexts."""
-    if not contexts:
+    if known is None:
         return F.array().cast(_ARRAY)
-    known = F.array(*map(F.lit, contexts))
     token = lambda x: F.regexp_extract(x["hit"], CONTEXT, 3)
     key = lambda x: _key(F.regexp_extract(x["hit"], CONTEXT, 1), F.regexp_extract(x["hit"], CONTEXT, 2))
     fit = F.filter(located(text, CONTEXT, None), lambda x: F.array_contains(known, key(x)))
     return F.transform(fit, lambda x: F.struct((x["end"] - F.length(token(x))).cast("int").alias("begin"), x["end"].alias("end"), token(x).alias("hit")))
 
 
-def spans(docs: DataFrame, contexts: list[str]) -> DataFrame:
+def spans(docs: DataFrame, contexts: list[str] | DataFrame) -> DataFrame:
     """doc_id, text and arrays of spans: email, ip, card, phone and id."""
-    out = based(docs).withColumn("id", _identified(F.col("text"), contexts))
+    docs, known = _with_known(docs.select("doc_id", "text"), contexts)
+    out = based(docs, _KNOWN).withColumn("id", _identified(F.col("text"), known)).drop(_KNOWN)
     base = F.concat(*KINDS)
     clear = F.filter("id", lambda x: ~F.exists(base, lambda b: (b["begin"] < x["end"]) & (b["end"] > x["begin"])))
     return out.withColumn("id", F.when(F.size("id") > 0, clear).otherwise(F.col("id")))
@@ -171,7 +190,7 @@ def _named(kinds) -> Column:
     return F.array_join(F.concat(*(F.transform(k, _label(k)) for k in kinds)), ",")
 
 
-def redact(docs: DataFrame, contexts: list[str] | None = None) -> DataFrame:
+def redact(docs: DataFrame, contexts: list[str] | DataFrame | None = None) -> DataFrame:
     """docs with personal data in text replaced by [EMAIL], [IP], [CARD], [PHONE], [ID] and n_chars renewed."""
     contexts = learned(docs) if contexts is None else contexts
     text = F.col("text")
@@ -186,8 +205,8 @@ def redact(docs: DataFrame, contexts: list[str] | None = None) -> DataFrame:
     out = docs
     for kind, (pattern, needle) in KINDS.items():
         out = out.withColumn("text", put(text, pattern, needle, _mask(kind)))
-    if contexts:
-        known = F.array(*map(F.lit, contexts))
+    out, known = _with_known(out, contexts)
+    if known is not None:
         hit = lambda h: F.array_contains(known, _key(F.regexp_extract(h, CONTEXT, 1), F.regexp_extract(h, CONTEXT, 2)))
         out = out.withColumn("text", put(text, CONTEXT, None, lambda h: F.when(hit(h), F.concat(F.regexp_extract(h, CONTEXT, 1), F.regexp_extract(h, CONTEXT, 2), F.lit("[ID]"))).otherwise(h)))
     if "n_chars" in docs.columns:

@@ -67,6 +67,32 @@ def test_bootstrapping(spark):
     assert text[100] == 'my token = "[ID]" x' and text[103] == "clean text only, 12 of 3" and text[102] is None
 
 
+def word(i):
+    return "lab" + "".join(chr(97 + int(c)) for c in f"{i:04}")
+
+
+def test_all_contexts_over_the_thresholds_are_used(spark):
+    """More contexts than the literal holds; rows repeat and ids are null."""
+    n = m.PATTERNS + 50
+    hexes = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    rows = [(i, " ".join(f"{word(i)}: {hexes(3 * i + k)} x" for k in range(3))) for i in range(n)]
+    rows += [(None, f"{word(i)}: abc-{i:06} and other: abc-123456") for i in range(n)] + [(None, f"{word(7)}: abc-000007 and other: abc-123456")] * 2 + [(5, None), (6, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # the labels also have an instance that is no seed; as 3 of 4 are trusted, only a lower bound makes them learned
+    old, m.CONFIDENT = m.CONFIDENT, 0.7
+    try:
+        contexts = m.learned(docs)
+    finally:
+        m.CONFIDENT = old
+    assert {r.context for r in contexts.collect()} == {word(i) + ":" for i in range(n)}
+    ids = sorted((r.text, x.hit) for r in m.spans(docs, contexts).collect() if r.doc_id is None for x in r.id)
+    assert ids == sorted((t, t.split()[1]) for d, t in rows if d is None)
+    out = m.redact(docs, contexts)
+    assert out.columns == docs.columns
+    want = [None if t is None else re.sub(r"(lab\w+: )\S+", r"\1[ID]", t) for _, t in rows]
+    assert sorted(map(str, want)) == sorted(str(r.text) for r in out.collect())
+
+
 def test_redaction_leaves_nothing(spark):
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long")
     for row in m.redact(docs, []).collect():
