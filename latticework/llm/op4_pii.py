@@ -5,10 +5,13 @@ checks. A kind's spans come from the pieces between matches and the matches them
 lengths add up to positions, so one split and one extraction find them all. Patterns are written
 with possessive repeats and look-behinds that match the same strings in linear time.
 
-Bootstrapping finds identifiers without a fixed form. An instance is a token of at least six
-characters with a digit; its context is the word before it with a label's delimiter (`:`, `=`,
-`#`, quote or bracket). Seeds are instances that are base entities or secrets by form (at
+Bootstrapping finds identifiers without a fixed form. A context is a word with a label's delimiter
+(`:`, `=`, `#`, quote or bracket); its instance is the valid base span of any kind that begins right
+after it (spaced phones and cards included), else a token of at least six characters with a
+digit. Seeds are instances that are base entities or secrets by form (at
 least 16 hexadecimal digits, both letters and digits; or 20 or more capitals and digits).
+No base pattern holds a letter before a label's sign, so what the pattern matches right after a
+context is a base span: no earlier match can reach over the context's word.
 On the graph of contexts and instances, over all documents, Spark repeats: a context's confidence
 is the share of its distinct instances that are trusted; an instance's score is the noisy-or of its
 contexts' confidences; instances over SURE are trusted from then on. Contexts with a confidence
@@ -41,7 +44,10 @@ KINDS = {"email": (EMAIL, "@"), "ip": (IP, None), "card": (CARD, None), "phone":
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TOKEN = r"(?=[A-Za-z_.%+@-]*+[0-9])[A-Za-z0-9._%+@-]{6,}+"
 #: word, delimiter and token; the delimiter holds one of a label's signs
-CONTEXT = r"(?<!\p{L})(\p{L}{2,24}+)(\x20?[:=#\x22'(\[][:=#\x22'(\[\x20]{0,4}+)(" + _TOKEN + ")"
+_LABEL = r"(?<!\p{L})(\p{L}{2,24}+)(\x20?[:=#\x22'(\[][:=#\x22'(\[\x20]{0,4}+)"
+CONTEXT = _LABEL + "(" + _TOKEN + ")"
+#: word, delimiter, what begins right after of each kind, token; empty where there is none
+LABELLED = _LABEL + r"(?=[A-Za-z0-9._%+@-])" + "".join(f"(?=({p})?+)" for p, _ in KINDS.values()) + "(" + _TOKEN + ")?+"
 CONFIDENT, SUPPORT, SURE, ROUNDS, PATTERNS = 0.9, 3, 0.9, 3, 1000
 _CHUNK = 256
 #: Parts that the rows with one context are dealt to where contexts are joined.
@@ -112,19 +118,23 @@ def _key(word: Column, delimiter: Column) -> Column:
     return F.concat(F.lower(word), F.translate(delimiter, " ", ""))
 
 
-def is_seed(token: Column) -> Column:
-    secret = (token.rlike("^[0-9a-fA-F]{16,}+$") & token.rlike("[a-fA-F]")) | token.rlike("^(?=[A-Z]*+[0-9])[A-Z0-9]{20,}+$")
-    base = token.rlike(f"^(?:{EMAIL})$") | (token.rlike(f"^(?:{IP})$") & valid("ip", token)) | (token.rlike("^[0-9]{16,19}$") & valid("card", token))
-    return secret | base
+def is_seed(instance: Column) -> Column:
+    seed = (instance.rlike("^[0-9a-fA-F]{16,}+$") & instance.rlike("[a-fA-F]")) | instance.rlike("^(?=[A-Z]*+[0-9])[A-Z0-9]{20,}+$")
+    for kind, (pattern, _) in KINDS.items():
+        seed |= instance.rlike(f"^(?:{pattern})$") & valid(kind, instance)
+    return seed
 
 
 def contexts_of(text: Column) -> Column:
-    """Array of (key, token)."""
-    keys = F.transform(
-        F.arrays_zip(*(F.regexp_extract_all(text, F.lit(CONTEXT), F.lit(i)).alias(n) for i, n in ((1, "w"), (2, "d"), (3, "t")))),
-        lambda x: F.struct(_key(x["w"], x["d"]).alias("context"), x["t"].alias("instance")),
-    )
-    return F.when(text.rlike("[0-9]") & text.rlike("[:=#\"'(\\[]"), keys)
+    """Array of (context, instance)."""
+    names = ["w", "d", *KINDS, "t"]
+
+    def pair(x: Column) -> Column:
+        base = (F.when((x[k] != "") & valid(k, x[k]), x[k]) for k in KINDS)
+        return F.struct(_key(x["w"], x["d"]).alias("context"), F.coalesce(*base, x["t"]).alias("instance"))
+
+    found = F.transform(F.arrays_zip(*(F.regexp_extract_all(text, F.lit(LABELLED), F.lit(i)).alias(n) for i, n in enumerate(names, 1))), pair)
+    return F.when(text.rlike("[0-9@]") & text.rlike("[:=#\"'(\\[]"), F.filter(found, lambda x: x["instance"] != ""))
 
 
 def learn(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

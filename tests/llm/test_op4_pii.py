@@ -67,6 +67,26 @@ def test_bootstrapping(spark):
     assert text[100] == 'my token = "[ID]" x' and text[103] == "clean text only, 12 of 3" and text[102] is None
 
 
+def test_labelled_base_spans_of_all_kinds_are_seeds(spark):
+    seeds = {
+        "phone: ": ("+1-555-010-7713", "+1 (555) 010-7714", "+44 20 7946 0958"),
+        "card=": ("4111 1111 1111 1111", "5500-0000-0000-0004", "4111111111111111"),
+        "mail [": ("me@x.org", "you@y.org", "he@z.org."),
+        "host#": ("10.0.0.1", "10.0.0.2.", "001.2.3.4"),
+        # not valid, so no seeds
+        "part ": ("4111 1111 1111 1112",) * 3,
+        "call: ": ("+12345", "+123456", "+1234567890123456789"),
+        "node: ": ("300.1.1.1", "300.1.1.2", "300.1.1.3"),
+    }
+    rows = [(i, f"text {label}{x} and more") for label, xs in seeds.items() for i, x in enumerate(xs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    contexts = m.learned(docs)
+    assert contexts == ["card=", "host#", "mail[", "phone:"]
+    new = spark.createDataFrame([(1, "my phone: 555-0107 x"), (2, "call: 555-0107"), (3, "phone: +1 555 010 7713")], "doc_id long, text string")
+    assert {r.doc_id: [x.hit for x in r.id] for r in m.spans(new, contexts).collect()} == {1: ["555-0107"], 2: [], 3: []}
+    assert sorted(r.text for r in m.redact(new, contexts).collect()) == ["call: 555-0107", "my phone: [ID] x", "phone: [PHONE]"]
+
+
 def word(i):
     return "lab" + "".join(chr(97 + int(c)) for c in f"{i:04}")
 
