@@ -2,8 +2,9 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame,
 which run() writes as Parquet and reads again as the next stage's docs. All stages but the last
-return the columns of documents. The last returns them with size, source_size, target and taken
-(words that the mix takes of the document, repeats counted) for the documents that it takes.
+return the columns of documents. The last returns, for the documents of which the mix takes words, the
+same columns, whose text holds the taken words alone, as often as they are taken, besides size
+(words before), source_size, target and taken (words of the new text).
 
 Cases are those of the operators: documents without a language go in the first stage; null and
 repeated doc_ids are handled by rows; empty tables pass through.
@@ -12,7 +13,6 @@ repeated doc_ids are handled by rows; empty tables pass through.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from latticework.llm import op2_language, op4_pii, op7_decontamination, op8_mixing, op10_minhash
 from latticework.llm.common import cut, table
@@ -42,8 +42,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes words of documents by the sources' weights."""
-    return op8_mixing.mixed(docs, carry=True).where(F.col("taken") > 0)
+    """Takes words of documents by the sources' weights; texts hold what is taken, repeats included."""
+    return op8_mixing.remade(docs)
 
 
 STAGES = [

@@ -12,8 +12,11 @@ whenever no source is more than the slack away from its quota; the slack is the
 sources ranked together, so this always holds.
 
 Selection: of a shard's m blocks a seeded affine permutation ranks block i; with q seats each
-block is taken q div m times and the q mod m first of the ranking once more. A document's taken
-words are those of its words that lie in taken blocks, repeats counted.
+block is taken q div m times and the q mod m first of the ranking once more. A document's
+selection is its ranges of words that lie in taken blocks, each with its number of repeats;
+taken is the number of those words, repeats counted. remade() gives documents the selected text:
+pass t over the document holds the ranges taken t times or more, with the white space between their words;
+passes are separated by a newline.
 
 Only the table of sources and that of shards (words only) are ever in a single task.
 
@@ -24,7 +27,7 @@ words are returned. An empty table gives an empty result. Other columns are not
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, table
@@ -34,6 +37,9 @@ MOST = 3
 SEED = "mix-1"
 #: Words in a block, and about how many words a shard holds.
 BLOCK, SHARD = 64, 100_000
+#: What separates words, as in WORD.
+SPACE = r"[\x20\x09-\x0D]"
+RANGES = "array<struct<begin:long,end:long,times:long>>"
 #: Blocks that the smallest source has at least; the block shrinks, down to one word, until it has.
 FEWEST = 256
 #: Shards of a source at most; beyond it shards hold more words, of which a task only sorts sizes.
@@ -81,8 +87,11 @@ def _seats(rows: DataFrame, group: list[str], wish: str, seats: str, names: list
     return dealt.select(*rows.columns, "given")
 
 
-def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: str = SEED, carry: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, taken; with carry all columns of docs instead of the first two."""
+def selected(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: str = SEED, carry: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, ranges; with carry the columns of docs as the struct row instead of the first two.
+
+    ranges: the taken ranges of words in ascending order, array of (begin, end exclusive, times); words count from 0.
+    """
     each = cut(sized(docs), "sized")
     goal = cut(targets(each, weights, most).withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(SHARDS), F.ceil(F.col("source_size") / shard))).cast("int")), "targets")
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -111,19 +120,57 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: in
     out = placed.join(quota, placed["source"].eqNullSafe(F.col("s")) & (placed["shard"] == F.col("h")), "left")
     # block i holds the words from i * n div m to (i + 1) * n div m; the ranking is i * step + start mod m, step prime to m
     first, last = F.expr("(end - size) * m div n"), F.expr("(end - 1) * m div n")
-    words = F.expr(
-        "aggregate(sequence(greatest(0, first - 1), least(m - 1, last + 1)), 0L, (acc, i) -> acc + "
-        "greatest(0L, least(end, (i + 1) * n div m) - greatest(end - size, i * n div m)) * "
-        "(q div m + if((i * step + start) % m < q % m, 1L, 0L)))"
+    ranges = F.expr(
+        "filter(transform(sequence(greatest(0, first - 1), least(m - 1, last + 1)), i -> named_struct("
+        "'begin', greatest(0L, i * n div m - (end - size)), 'end', least(end, (i + 1) * n div m) - (end - size), "
+        "'times', q div m + if((i * step + start) % m < q % m, 1L, 0L))), x -> x.end > x.begin and x.times > 0)"
     )
     # 2^31 - 1 is prime and larger than any shard's number of blocks; a step of it is prime to m
     start = F.expr("conv(substring(md5(concat('" + seed + "', coalesce(source, ''), ':', h)), 1, 7), 16, 10)").cast("long")
     out = out.withColumn("first", first).withColumn("last", last).withColumn("start", start).withColumn("step", F.expr("2147483647L % m"))
-    taken = F.when((F.col("size") > 0) & F.col("m").isNotNull(), words).otherwise(F.lit(0)).cast("long")
-    # columns of docs named as the result's own get a prefix
+    ranges = F.when((F.col("size") > 0) & F.col("m").isNotNull(), ranges).otherwise(F.array()).cast(RANGES)
+    return out.select(*(["row"] if carry else ["doc_id", "source"]), "size", "source_size", "target", ranges.alias("ranges"))
+
+
+def _taken(ranges: Column) -> Column:
+    return F.aggregate(ranges, F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["begin"]) * x["times"])
+
+
+def _carried(columns: list[str]) -> list[Column]:
+    """Columns of docs named as the result's own get a prefix."""
     own = ("size", "source_size", "target", "taken")
-    first_columns = [F.col("row").getField(c).alias(f"doc_{c}" if c in own else c) for c in docs.columns] if carry else ["doc_id", "source"]
-    return out.select(*first_columns, "size", "source_size", "target", taken.alias("taken"))
+    return [F.col("row").getField(c).alias(f"doc_{c}" if c in own else c) for c in columns]
+
+
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: str = SEED, carry: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, taken; with carry all columns of docs instead of the first two."""
+    first = _carried(docs.columns) if carry else ["doc_id", "source"]
+    return selected(docs, weights, most, block, shard, seed, carry).select(*first, "size", "source_size", "target", _taken(F.col("ranges")).alias("taken"))
+
+
+def remade_text(text: Column, ranges: Column) -> Column:
+    """The words of ranges in text, repeats included."""
+    words = F.regexp_extract_all(text, F.lit(WORD + SPACE + "*"), F.lit(0))
+
+    def passes(x: Column) -> Column:
+        part = lambda y: F.array_join(F.slice(x["words"], (y["begin"] + 1).cast("int"), (y["end"] - y["begin"]).cast("int")), "")
+        one = lambda t: F.array_join(F.transform(F.filter(x["ranges"], lambda y: y["times"] >= t), part), "")
+        return F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform(x["ranges"], lambda y: y["times"]))), one), "\n")
+
+    # one row's words and ranges are named once, so that they are not made anew for each range
+    named = F.array(F.struct(words.alias("words"), ranges.alias("ranges")))
+    return F.when(F.size(ranges) > 0, F.element_at(F.transform(named, passes), 1)).otherwise(F.lit(""))
+
+
+def remade(docs: DataFrame, **options) -> DataFrame:
+    """The documents of which words are taken, all columns of docs, with the selected words as text, n_chars renewed; besides size, source_size, target and taken."""
+    out = selected(docs, carry=True, **options).where(F.size("ranges") > 0)
+    out = out.withColumn("text", remade_text(F.col("row.text"), F.col("ranges")))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    carried = [new.get(c, x) for c, x in zip(docs.columns, _carried(docs.columns), strict=True)]
+    return out.select(*carried, "size", "source_size", "target", _taken(F.col("ranges")).alias("taken"))
 
 
 def op8_mixing(spark, sf_dir):

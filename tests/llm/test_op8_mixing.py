@@ -70,3 +70,34 @@ def test_seats_are_those_of_highest_quotients(spark):
         df = spark.createDataFrame([(1, s, w, seats) for s, w in wish.items()], "one int, source string, wish double, seats long")
         got = {r.source: r.given for r in m._seats(df, ["one"], "wish", "seats", ["source"]).collect()}
         assert got == sainte_lague(wish, seats)
+
+
+def remade(text, ranges):
+    words = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)
+    return "\n".join("".join("".join(words[x.begin : x.end]) for x in ranges if x.times >= t) for t in range(1, max(x.times for x in ranges) + 1))
+
+
+def test_selection_and_its_texts(spark):
+    """Texts hold the taken words as often as they are taken, so the sources' words are at their targets."""
+    rows = [(i, "  " + " ".join(f"w{i}_{k}" + "\t" * (k % 3) for k in range(i % 60)), "a small" if i % 7 == 0 else "b big") for i in range(700)]
+    rows += [(800, "é😀 " * 20_000, "b big"), (801, None, "a small"), (None, " x  y\nz ", None), (None, " x  y\nz ", None)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, n_chars int, taken string")
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    picks = {r.row.doc_id: r for r in m.selected(docs, carry=True).collect() if r.row.doc_id is not None}
+    got = m.remade(docs).collect()
+    assert m.remade(docs).columns == ["doc_id", "text", "source", "n_chars", "doc_taken", "size", "source_size", "target", "taken"]
+    total, goal = defaultdict(int), {}
+    for r in got:
+        assert r.taken == count(r.text) > 0 and r.n_chars == len(r.text) and r.doc_taken == "x"
+        total[r.source] += count(r.text)
+        goal[r.source] = r.target
+        if r.doc_id is not None:
+            p = picks[r.doc_id].ranges
+            assert all(x.end <= y.begin for x, y in zip(p, p[1:])) and p[0].begin >= 0 and p[-1].end <= r["size"]
+            assert r.text == remade(rows[r.doc_id][1] if r.doc_id < 700 else rows[700][1], p)
+    assert set(goal) == {"a small", "b big", None}
+    assert all(abs(total[s] - t) <= max(8, 0.01 * t) for s, t in goal.items()), (total, goal)
+    assert {d for d, p in picks.items() if p.ranges} == {r.doc_id for r in got if r.doc_id is not None}
+    assert any(x.times > 1 for p in picks.values() for x in p.ranges)
+    long = next(r for r in got if r.doc_id == 800)
+    assert long.taken != long["size"]
