@@ -4,9 +4,13 @@ Parsing: tags, comments, declarations and raw-text elements are told apart as in
 built with implied end tags (p, li, dt, dd, option, table parts) and implied cells and rows; an
 end tag closes what is open inside its element and is ignored if nothing matches.
 
-Visibility: head, script, style, template, noscript, comments, elements with `hidden`, hidden inputs
-and inline styles display:none or visibility:hidden yield nothing. All other text is kept,
-navigation and advertisements included.
+Visibility: these yield nothing: head, title, script, style, template, noscript, comments; elements with
+`hidden` or an inline style display:none or visibility:hidden or collapse; what a browser shows only where it lacks
+the element (iframe, noframes, object, audio, video, canvas) and datalist; annotation, annotation-xml and mphantom of
+formulas; desc, metadata, defs, symbol, clipPath, mask, marker, pattern, gradients, filter and elements with
+display="none" or visibility="hidden" or "collapse" of svg; values of inputs of type hidden, password, checkbox, radio,
+file, image, color and range. All other text is kept: navigation and advertisements, formulas, labels of
+svg, and the values of all other inputs. A space parts labels of svg and cells of formulas.
 
 Layout: white space collapses outside pre and textarea; blocks begin on their own line, paragraphs,
 headings, lists and tables have a blank line around them; br and hr break; list items get `- ` or their
@@ -33,7 +37,12 @@ from .common import table
 PAD = 40
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes iframe".split())
-UNSEEN = frozenset("head script style template noscript title iframe noframes datalist object svg math audio video canvas".split())
+UNSEEN = frozenset("head script style template noscript title iframe noframes datalist object audio video canvas".split())
+#: Inside svg and math only.
+UNSEEN_FOREIGN = frozenset("annotation annotation-xml mphantom desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+UNSEEN_INPUT = frozenset("hidden password checkbox radio file image color range".split())
+#: Inside svg and math, what begins apart from the text before it.
+APART = frozenset("text mtr mtd svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption optgroup option select tr td th thead tbody tfoot".split()
 )
@@ -133,7 +142,18 @@ def parse(source: str) -> Node:
                 tag, _, rest = source[at + 1 : end].partition(" ")
                 tag, at = tag.strip("/").lower(), end + 1
             node = start(tag, _attributes(rest))
-            if tag in RAW:
+            # inside svg and math a slash closes any element, and no element is raw; foreignObject holds HTML again
+            foreign = count.get("svg", 0) + count.get("math", 0) > count.get("foreignobject", 0)
+            if foreign:
+                a = node.attributes
+                if tag in UNSEEN_FOREIGN or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse"):
+                    a["hidden"] = ""
+                if tag in APART or tag == "tspan" and ("x" in a or "dy" in a):
+                    node.children.append(" ")
+            if foreign and tag not in VOID:
+                if rest.endswith("/"):
+                    pop()
+            elif tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
                 stop = end.start() if end else n
                 if stop > at:
@@ -141,8 +161,6 @@ def parse(source: str) -> Node:
                 pop()
                 close_at = source.find(">", stop) if end else -1
                 at = close_at + 1 if close_at >= 0 else n
-            elif rest.endswith("/") and tag in ("svg", "math"):
-                pop()
         elif follows == "/" and source[at + 2 : at + 3].isascii() and source[at + 2 : at + 3].isalpha():
             end = source.find(">", at)
             end = n if end < 0 else end
@@ -282,7 +300,7 @@ def render(root: Node) -> str:
             if tag == "hr":
                 out.end(1)
                 continue
-            if tag == "input" and node.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text"):
+            if tag == "input" and node.attributes.get("type", "text").lower() not in UNSEEN_INPUT:
                 out.text(" " + node.attributes.get("value", "") + " ")
                 continue
             if tag in BLOCK:
@@ -334,7 +352,7 @@ def render(root: Node) -> str:
                 out.line(line)
         if tag in BLOCK:
             out.end(1 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 0)
-        elif tag in ("button", "label", "textarea"):
+        elif tag in ("button", "label", "textarea", "svg"):
             out.text(" ")
     return "\n".join(out.finish()).strip("\n")
 

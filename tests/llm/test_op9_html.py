@@ -33,6 +33,25 @@ CASES = [
 ]
 
 
+FOREIGN = [
+    ("so <math><mi>x</mi><mo>+</mo><mn>1</mn></math>, yes", "so x+1, yes"),
+    ("<math><semantics><mi>y</mi><annotation encoding='TeX'>no</annotation></semantics></math>.", "y."),
+    ("<math><mtable><mtr><mtd>a</mtd><mtd>b</mtd></mtr></mtable></math>", "a b"),
+    ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><rect/><text>north</text><text x=1>south</text></svg>end", "north south end"),
+    ("<svg><defs/><path d='m0'/><title/><text>a<tspan x='0' dy='1'>b</tspan></text></svg><title>no</title>c", "a b c"),
+    ("<svg><style/><style>p > q {}</style><text display='none'>no</text><g visibility='hidden'><text>no</text></g><text>yes</text></svg>", "yes"),
+    ("<svg><foreignObject><div>in<script>if (a<b) no</script></div></foreignObject></svg>out", "in\nout"),
+    ("<svg/>a<math/>b <desc>shown</desc>", "ab shown"),
+    ('<input type="email" value="a@b.org"><input type=number value=7><input type="TEL" value="123"><input type=url value=u><input type=search value=s>', "a@b.org 7 123 u s"),
+    ('<input value="x"><input type="hidden" value="no"><input type=password value=no><input type="checkbox" value="on"><input type=range value=3>', "x"),
+]
+
+
+@pytest.mark.parametrize("source,text", FOREIGN)
+def test_formulas_svg_and_inputs(source, text):
+    assert m.extract(source) == text
+
+
 @pytest.mark.parametrize("source,text", CASES)
 def test_cases(source, text):
     assert m.extract(source) == text
