@@ -163,6 +163,13 @@ def scaled_product(spark, sf):
     return algebra.scaled_product(a, prices(spark, sf).drop("k"), algebra.transpose(a)).select("i", "j", r("re"))
 
 
+@query(f"with {A}, {X} select p.i, q.i as j, round(sum(p.re * v * q.re), 2) as re from a p join x on p.j = x.j join a q on p.j = q.j group by 1, 2")
+def scaled_product_whole(spark, sf):
+    """scaled_product is over a few rows, as its SQL; this is over all."""
+    a = supplier_part(spark, sf)
+    return algebra.scaled_product(a, prices(spark, sf).drop("k"), algebra.transpose(a)).select("i", "j", r("re"))
+
+
 @query(f"with {A}, {Y} select i, j, round(re * v, 2) as re from a join y using (i)")
 def diagonal_scaling(spark, sf):
     return algebra.scale_rows(supplier_part(spark, sf), balances(spark, sf).drop("k")).select("i", "j", r("re"))
@@ -305,6 +312,13 @@ def integer_set_union(spark, sf):
     return p.where("i % 2 = 0").select("j").union(p.where("i % 3 = 0").select("j")).distinct()
 
 
+@query(f"with {PATTERN} select i as j from p union select j from p")
+def integer_set_union_whole(spark, sf):
+    """The union of all row and all column ids."""
+    p = customer_part(spark, sf)
+    return p.select(F.col("i").alias("j")).union(p.select("j")).distinct()
+
+
 # generators
 
 
@@ -538,6 +552,15 @@ def permute_matrix(spark, sf):
     return layout.permute(supplier_part(spark, sf), order).select("i", "j", "re")
 
 
+@query(f"with {A}, m as (select greatest(max(i), max(j)) as m from a) select m - i as i, m - j as j, re from a, m")
+def permute_matrix_whole(spark, sf):
+    """All rows and columns, by the reverse order of all ids of the table."""
+    a = supplier_part(spark, sf)
+    ids = cut(a.select("i").union(a.select("j")).distinct())
+    order = ids.crossJoin(F.broadcast(ids.agg(F.max("i").alias("most")))).select("i", (F.col("most") - F.col("i")).alias("perm"))
+    return layout.permute(a, order).select("i", "j", "re")
+
+
 @query(f"with {A}, c as (select j, count(*) as entries from a group by j) select j, entries, (sum(entries) over (order by j) - entries)::bigint as pointer from c")
 def column_pointers(spark, sf):
     return layout.column_pointers(supplier_part(spark, sf))
@@ -613,6 +636,13 @@ def matrix_product(spark, sf):
     return algebra.product(a, algebra.transpose(a)).select("i", "j", "re")
 
 
+@query(f"with {A} select p.i, q.i as j, sum(p.re * q.re) as re from a p join a q on p.j = q.j group by 1, 2")
+def matrix_product_whole(spark, sf):
+    """matrix_product is over a few rows, as its SQL; this is over all."""
+    a = supplier_part(spark, sf)
+    return algebra.product(a, algebra.transpose(a)).select("i", "j", "re")
+
+
 @query(f"with {A}, {X}, {Y}, t as (select i, sum(re * v) as t from a join x using (j) group by i), d as (select coalesce(v, 0) - coalesce(t, 0) as d, coalesce(v, 0) as v from t full outer join y using (i)) select 0 as k, round(sqrt(sum(d * d)) / (select sqrt(sum(v * v)) from y), 4) as error from d")
 def backward_error(spark, sf):
     return algebra.check(supplier_part(spark, sf), prices(spark, sf), balances(spark, sf)).select("k", r("error", 4))
