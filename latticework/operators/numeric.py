@@ -55,16 +55,17 @@ class Factor:
     is_complex: bool = False
 
 
-def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, ratio: float = 0.05, last: DataFrame | None = None) -> Analysis:
+def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, ratio: float = 0.05, last: DataFrame | None = None, leaf: int = 24) -> Analysis:
     """Ordering (nested dissection unless given), elimination tree, supernodes, amalgamation and groups.
 
     last: vertices (i) to put at the end, as a Schur complement needs; they are in supernodes of their own.
+    leaf: vertices that dissection does not cut further.
     """
     edges = cut(prepare(a.coo))
     vertices = cut(a.coo.sparkSession.range(a.n).select(F.col("id").alias("i")))
     named = cut(components(edges, vertices))
     if order is None:
-        order = ordering.nested_dissection(edges, named)
+        order = ordering.nested_dissection(edges, named, leaf)
     if last is not None:
         listed = order.join(last, "i", "left_semi")
         moved = order.join(last, "i", "left_anti").select("i", "perm", F.lit(0).alias("late")).unionByName(listed.select("i", "perm", F.lit(1).alias("late")))

@@ -15,6 +15,11 @@ def column_structure(columns: DataFrame) -> DataFrame:
     return columns.select(F.col("i").alias("j"), F.explode("rows").alias("i"))
 
 
+def united_columns(pattern: DataFrame, columns: DataFrame) -> DataFrame:
+    """Rows (k, i) of each supernode: the union of its columns' patterns, from (i, j) and each column's supernode (j, k)."""
+    return pattern.join(columns, "j").select("k", "i").distinct()
+
+
 def fill_pattern(edges: DataFrame) -> DataFrame:
     """The same entries by elimination rounds on DataFrames: child structures join their fathers level by level.
 

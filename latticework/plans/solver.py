@@ -15,11 +15,15 @@ class Solver:
     """Solves A x = b. Steps run when they are first needed and again after what they depend on changes.
 
     definite: a symmetric or Hermitian matrix is positive definite. order: a permutation (i, perm) of one's
-    own. schur: unknowns (i) whose Schur complement is wanted instead of a complete factor.
+    own, which the orderings Grid (see ordering.grid) and Personal need. schur: unknowns (i) whose Schur complement is wanted instead of a complete factor.
     """
 
     def __init__(self, a: Matrix, parameters: Parameters | None = None, definite: bool = False, order: DataFrame | None = None, schur: DataFrame | None = None):
         self.parameters = parameters or Parameters()
+        if self.parameters.compress_when != "Never":
+            raise NotImplementedError(f"factors are dense: compress_when={self.parameters.compress_when} is not reproduced")
+        if order is None and self.parameters.ordering in ("Grid", "Personal"):
+            raise ValueError(f"ordering={self.parameters.ordering} needs an order")
         self.kind = self.parameters.factorization or numeric.default_kind(a, definite)
         self.order, self.listed = order, schur
         self.analysis: numeric.Analysis | None = None
@@ -37,7 +41,7 @@ class Solver:
             order = self.order
             if order is None and self.parameters.ordering == "Identity":
                 order = self.a.coo.sparkSession.range(self.a.n).select(F.col("id").alias("i"), F.col("id").alias("perm"))
-            self.analysis = numeric.analyze(self.a, order, self.parameters.limit, self.parameters.amalgamation, self.listed)
+            self.analysis = numeric.analyze(self.a, order, self.parameters.limit, self.parameters.amalgamation, self.listed, self.parameters.leaf)
         return self.analysis
 
     def factorize(self) -> numeric.Factor:
