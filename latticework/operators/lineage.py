@@ -5,18 +5,41 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of sessions that name none, as in tests.
+#: Folders of local sessions that name none, as in tests.
 _OWN: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once and read again; a lost executor costs no recomputation of earlier rounds."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/latticework-{uuid.uuid4().hex}")
-    path = f"{where.rstrip('/')}/latticework/{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def new_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/latticework/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, what: str = "cut") -> DataFrame:
+    """df, written once and read again; a lost executor costs no recomputation of earlier rounds."""
+    spark = df.sparkSession
+    path = new_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables that cut made, once all that was made of them is written itself."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
