@@ -1,66 +1,88 @@
-"""Shared helpers: table access, cutting lineage in the shared folder, components."""
+"""Shared helpers: table access, global order without a single task, joins with hot keys, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Characters that separate words: space, tab, newline, vertical tab, form feed, carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
+from ..operators.lineage import cut, drop, new_path, shared_dir
 
+__all__ = ["WORD", "components", "cut", "drop", "new_path", "ordered", "shared_dir", "spread_join", "table"]
 
-#: Of sessions that name no folder, as in tests.
-_OWN: dict[str, str] = {}
+#: Characters that separate words: space, tab, newline, vertical tab, form feed, carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a folder of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/latticework-{uuid.uuid4().hex}")
-    return where.rstrip("/")
+def ordered(df: DataFrame, order: list[Column], rank: str, **sums: str) -> DataFrame:
+    """df with its rank (from 1) in a global order and running sums of columns: name of the sum = column.
+
+    Rows are dealt to ranges of the order, the ranges' counts are added up (one row for each range, as
+    many as shuffle partitions at most) and a window runs inside each range, so no task holds all.
+    """
+    ranges = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("__range").agg(F.count("*").alias("__n"), *(F.sum(c).alias(f"__{k}") for k, c in sums.items()))
+    totals = totals.select("__range", *(F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in ("n", *sums)))
+    inside = Window.partitionBy("__range").orderBy(*order)
+    out = ranges.withColumn("__at", F.row_number().over(inside))
+    for k, c in sums.items():
+        out = out.withColumn(k, F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.join(F.broadcast(totals), "__range")
+    return out.select(*df.columns, (F.col("__at") + F.col("__n")).alias(rank), *((F.col(k) + F.col(f"__{k}")).alias(k) for k in sums))
 
 
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/latticework/{what}-{uuid.uuid4().hex}"
+#: A key is hot if it has more rows than PART and than a thousandth of all; it is joined in parts of about that many.
+PART = 10_000
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, salt: Column, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key and, as `size`, its number of rows in left.
+
+    Rows of hot keys are dealt to parts by salt (a number of the row) and the right row goes to each
+    part. There are at most a thousand hot keys for each time that left's rows are counted in size, so their list is small.
+    """
+    total = right.agg(F.sum(size)).first()[0] or 0
+    per = max(PART, total // 1000)
+    hot = right.where(F.col(size) > per).select(*keys, F.ceil(F.col(size) / per).cast("int").alias("__parts"))
+    if not hot.limit(1).count():
+        return left.join(right, keys, how)
+    parts = F.coalesce("__parts", F.lit(1))
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(salt, parts).cast("int")).drop("__parts")
+    right = right.join(F.broadcast(hot), keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [*keys, "__part"], how).drop("__part")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): (id, component), component the smallest id.
 
-    Alternates large-star and small-star until the edges stand still. Only vertices with an
-    edge to another vertex appear. An empty edge table gives an empty result.
+    Alternates large-star and small-star until the edges stand still; a round's tables are deleted
+    when the next one is written. Only vertices with an edge to another vertex appear. An empty edge
+    table gives an empty result.
     """
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first())
 
+    def least(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+
     hi, lo = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     now = cut(edges.where("a <> b").select(hi, lo).distinct(), "edges")
     before = mark(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        after = mark(now)
+        low = least(both)
+        large = spread_join(both, low, ["a"], "n", F.col("b")).select("a", "b", F.least("a", "m").alias("m"))
+        large = cut(large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        small = least(large)
+        moved = spread_join(large, small, ["a"], "n", F.col("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = cut(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop(now, low, large, small)
+        now, after = new, mark(new)
         if after == before:
             break
         before = after
