@@ -14,10 +14,14 @@ No base pattern holds a letter before a label's sign, so what the pattern matche
 context is a base span: no earlier match can reach over the context's word.
 On the graph of contexts and instances, over all documents, Spark repeats: a context's confidence
 is the share of its distinct instances that are trusted; an instance's score is the noisy-or of its
-contexts' confidences; instances over SURE are trusted from then on. Contexts with a confidence
+contexts' confidences; instances over SURE are trusted from then on. Trust only grows, and rounds end
+when one trusts nothing new. Contexts with a confidence
 of at least CONFIDENT and SUPPORT distinct trusted instances are the learned patterns, and
 every token they introduce is a span of kind `id`, unless it overlaps a base span.
 
+Redaction masks the union of a text's spans at once, from their positions: of spans that overlap, the
+first (then by kind as listed) names the mask, and what the others cover besides goes with it.
+
 All contexts over the thresholds are used. Up to PATTERNS of them go to all tasks as a literal: a
 context has at most 24 letters and 6 signs, so that is about 30,000 characters at most. More stay a
 table, which is joined with the distinct contexts of each row (a number given to rows when they are
@@ -33,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, spread_join, table
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -48,13 +52,16 @@ _LABEL = r"(?<!\p{L})(\p{L}{2,24}+)(\x20?[:=#\x22'(\[][:=#\x22'(\[\x20]{0,4}+)"
 CONTEXT = _LABEL + "(" + _TOKEN + ")"
 #: word, delimiter, what begins right after of each kind, token; empty where there is none
 LABELLED = _LABEL + r"(?=[A-Za-z0-9._%+@-])" + "".join(f"(?=({p})?+)" for p, _ in KINDS.values()) + "(" + _TOKEN + ")?+"
-CONFIDENT, SUPPORT, SURE, ROUNDS, PATTERNS = 0.9, 3, 0.9, 3, 1000
+CONFIDENT, SUPPORT, SURE = 0.9, 3, 0.9
+#: Learned contexts that are sent as a literal at most.
+PATTERNS = 1000
 _CHUNK = 256
 #: Parts that the rows with one context are dealt to where contexts are joined.
 _SALTS = 32
 #: Column of a row's own learned contexts, and of its number.
 _KNOWN, _ROW = "__known", "__row"
 _ARRAY = "array<struct<begin:int,end:int,hit:string>>"
+_ORDER = [*KINDS, "id"]
 
 
 def valid(kind: str, hit: Column) -> Column:
@@ -137,17 +144,26 @@ def contexts_of(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]") & text.rlike("[:=#\"'(\\[]"), F.filter(found, lambda x: x["instance"] != ""))
 
 
-def learn(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _scores(pairs: DataFrame) -> DataFrame:
+    sure = F.sum((F.col("trust") >= SURE).cast("long"))
+    return pairs.groupBy("context").agg(F.count("*").alias("n"), sure.alias("hits")).where(F.col("hits") >= SUPPORT).withColumn("confidence", F.col("hits") / F.col("n"))
+
+
+def learn(docs: DataFrame) -> DataFrame:
     """The learned contexts: context, n, hits, confidence."""
     pairs = docs.select(F.explode(contexts_of(F.col("text"))).alias("x")).select("x.context", "x.instance").distinct()
     pairs = cut(pairs.withColumn("trust", is_seed(F.col("instance")).cast("double")), "pairs")
-    score = lambda p: p.groupBy("context").agg(F.count("*").alias("n"), F.sum((F.col("trust") >= SURE).cast("long")).alias("hits")).where(F.col("hits") >= SUPPORT).withColumn("confidence", F.col("hits") / F.col("n"))
-    for _ in range(rounds):
-        found = cut(score(pairs), "contexts")
+    trusted = lambda: pairs.where(F.col("trust") >= SURE).count()
+    before = -1
+    while (now := trusted()) != before:
+        before = now
+        found = cut(_scores(pairs), "contexts")
         doubt = F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))
-        scores = cut(pairs.select("context", "instance").join(found, "context").groupBy("instance").agg((1 - F.exp(doubt)).alias("score")), "instances")
-        pairs = cut(pairs.join(scores, "instance", "left").select("context", "instance", F.greatest("trust", F.coalesce("score", F.lit(0.0))).alias("trust")), "pairs")
-    return score(pairs).where(F.col("confidence") >= CONFIDENT)
+        scores = cut(spread_join(pairs.select("context", "instance"), found, ["context"], "n", F.xxhash64("instance")).groupBy("instance").agg((1 - F.exp(doubt)).alias("score")), "instances")
+        new = cut(pairs.join(scores, "instance", "left").select("context", "instance", F.greatest("trust", F.coalesce("score", F.lit(0.0))).alias("trust")), "pairs")
+        drop(pairs, found, scores)
+        pairs = new
+    return _scores(pairs).where(F.col("confidence") >= CONFIDENT)
 
 
 def learned(docs: DataFrame) -> list[str] | DataFrame:
@@ -179,10 +195,10 @@ def _identified(text: Column, known: Column | None) -> Column:
     return F.transform(fit, lambda x: F.struct((x["end"] - F.length(token(x))).cast("int").alias("begin"), x["end"].alias("end"), token(x).alias("hit")))
 
 
-def spans(docs: DataFrame, contexts: list[str] | DataFrame) -> DataFrame:
-    """doc_id, text and arrays of spans: email, ip, card, phone and id."""
-    docs, known = _with_known(docs.select("doc_id", "text"), contexts)
-    out = based(docs, _KNOWN).withColumn("id", _identified(F.col("text"), known)).drop(_KNOWN)
+def spans(docs: DataFrame, contexts: list[str] | DataFrame, *more: str) -> DataFrame:
+    """doc_id, text, the columns `more` of docs and arrays of spans: email, ip, card, phone and id."""
+    docs, known = _with_known(docs.select("doc_id", "text", *more), contexts)
+    out = based(docs, _KNOWN, *more).withColumn("id", _identified(F.col("text"), known)).drop(_KNOWN)
     base = F.concat(*KINDS)
     clear = F.filter("id", lambda x: ~F.exists(base, lambda b: (b["begin"] < x["end"]) & (b["end"] > x["begin"])))
     return out.withColumn("id", F.when(F.size("id") > 0, clear).otherwise(F.col("id")))
@@ -192,37 +208,54 @@ def _label(kind: str):
     return lambda x: F.concat(F.lit(kind + ":"), x["begin"], F.lit(":"), x["end"])
 
 
-def _mask(kind: str):
-    return lambda h: F.when(valid(kind, h), F.lit(f"[{kind.upper()}]")).otherwise(h)
-
-
 def _named(kinds) -> Column:
     return F.array_join(F.concat(*(F.transform(k, _label(k)) for k in kinds)), ",")
 
 
+def _masked(text: Column, marks: Column) -> Column:
+    """text with marks (begin, kind, end), sorted, replaced. Positions go by chunks of marks, so that a long text is cut up once for each chunk."""
+    chunk = lambda k: F.slice(marks, k * _CHUNK + 1, F.lit(_CHUNK))
+    far = lambda xs, at: F.aggregate(xs, at, lambda s, x: F.greatest(s, x["end"]))
+    chunks = F.sequence(F.lit(0), F.floor((F.size(marks) - 1) / _CHUNK).cast("int"))
+    # how far the marks before each chunk reach, and those of all
+    start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("out"))
+    reach = F.aggregate(chunks, start, lambda acc, k: F.struct(far(chunk(k), acc["at"]).alias("at"), F.array_append(acc["out"], far(chunk(k), acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def inner(k: Column) -> Column:
+        first, last = F.element_at(reach, k + 1), F.element_at(reach, k + 2)
+        piece = F.substring(text, first + 1, last - first)
+
+        def step(acc: Column, x: Column) -> Column:
+            new = x["begin"] >= acc["at"]
+            shown = F.concat(F.substring(acc["piece"], acc["at"] - first + 1, x["begin"] - acc["at"]), F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in _ORDER)), x["kind"]))
+            out = F.array_append(acc["out"], F.when(new, shown).otherwise(F.lit("")))
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["piece"].alias("piece"), out.alias("out"))
+
+        begin = F.struct(first.alias("at"), piece.alias("piece"), F.array().cast("array<string>").alias("out"))
+        return F.array_join(F.aggregate(chunk(k), begin, step, lambda acc: acc["out"]), "")
+
+    body = F.array_join(F.transform(chunks, inner), "")
+    return F.when(F.size(marks) > 0, F.concat(body, F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))).otherwise(text)
+
+
 def redact(docs: DataFrame, contexts: list[str] | DataFrame | None = None) -> DataFrame:
     """docs with personal data in text replaced by [EMAIL], [IP], [CARD], [PHONE], [ID] and n_chars renewed."""
     contexts = learned(docs) if contexts is None else contexts
-    text = F.col("text")
-
-    def put(text: Column, pattern: str, needle: str | None, change) -> Column:
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        pieces = F.split(text, pattern, -1)
-        new = F.concat(F.transform(hits, change), F.array(F.lit("")))
-        mixed = F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), new.alias("h")), lambda x: F.concat(x["p"], x["h"])), "")
-        return F.when(_may(text, needle) & (F.size(hits) > 0), mixed).otherwise(text)
-
-    out = docs
-    for kind, (pattern, needle) in KINDS.items():
-        out = out.withColumn("text", put(text, pattern, needle, _mask(kind)))
-    out, known = _with_known(out, contexts)
-    if known is not None:
-        hit = lambda h: F.array_contains(known, _key(F.regexp_extract(h, CONTEXT, 1), F.regexp_extract(h, CONTEXT, 2)))
-        out = out.withColumn("text", put(text, CONTEXT, None, lambda h: F.when(hit(h), F.concat(F.regexp_extract(h, CONTEXT, 1), F.regexp_extract(h, CONTEXT, 2), F.lit("[ID]"))).otherwise(h)))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(text.isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(kind))
-    return out.select(*docs.columns)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    whole = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")])).withColumn("doc_id", F.lit(None).cast("long"))
+    found = spans(whole, contexts, *names)
+    mark = lambda k: lambda x: F.struct(x["begin"], F.lit(_ORDER.index(k) + 1).alias("kind"), x["end"])
+    found = found.withColumn("__marks", F.array_sort(F.concat(*(F.transform(k, mark(k)) for k in _ORDER))))
+    found = found.withColumn("__new", _masked(F.col("text"), F.col("__marks")))
+    out = []
+    for name, c in zip(names, docs.schema, strict=True):
+        new = F.col(name)
+        if c.name == "text":
+            new = F.when(new.isNull(), new).otherwise(F.col("__new"))
+        elif c.name == "n_chars":
+            new = F.when(F.col(names[docs.columns.index("text")]).isNull(), new).otherwise(F.length("__new").cast(c.dataType))
+        out.append(new.alias(c.name))
+    return found.select(*out)
 
 
 def op4_pii(spark, sf_dir):
