@@ -14,8 +14,11 @@ svg, and the values of all other inputs. A space parts labels of svg and cells o
 
 Layout: white space collapses outside pre and textarea; blocks begin on their own line, paragraphs,
 headings, lists and tables have a blank line around them; br and hr break; list items get `- ` or their
-number and are indented under it; the cells of a table's rows are padded to common columns (up to
-PAD characters; longer cells are not cut, they only end the alignment of their row).
+number and are indented under it; the cells of a table's rows begin at common columns. A cell of several
+columns or rows takes them as in a browser: the next cells stand beside it, in the free columns, and its lines in its
+first row. Columns are as wide as their widest cell, up to WIDE characters; nothing is cut: what stands
+after a longer line goes on in its own column on the next line. A page has FAR characters of columns at most, beyond
+which cells are parted by two spaces; so a page's text is at most about FAR times its number of cells longer than its visible text.
 
 The work of a page stays in its task and neither parser nor renderer recurses, so nesting of any
 depth is fine. Cases: null html gives null, a page without visible text an empty string; broken markup is
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 
 from .common import table
 
-PAD = 40
+WIDE, FAR = 80, 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes iframe".split())
 UNSEEN = frozenset("head script style template noscript title iframe noframes datalist object audio video canvas".split())
@@ -248,31 +252,64 @@ class Lines:
         return self.done
 
 
-def _grid(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
-    """Rows of (columns spanned, lines) as aligned lines."""
+def _placed(rows: list[list[tuple[int, int, list[str]]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Rows of (first column, columns, lines) from rows of (columns, rows, lines)."""
+    taken: dict[int, int] = {}  # by column: the row up to which a cell from above holds it
+    out = []
+    for r, row in enumerate(rows):
+        c, placed = 0, []
+        for across, down, lines in row:
+            while taken.get(c, 0) > r:
+                c += 1
+            placed.append((c, across, lines))
+            if down > 1:
+                taken.update(dict.fromkeys(range(c, c + across), r + down))
+            c += across
+        out.append(placed)
+    return out
+
+
+def _grid(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """Rows of cells (columns, rows, lines) as aligned lines."""
+    placed = _placed(rows)
+    cells = [(across, c, max(map(len, lines), default=0)) for row in placed for c, across, lines in row]
     widths: dict[int, int] = {}
-    for row in rows:
-        c = 0
-        for span, lines in row:
-            if span == 1:
-                widths[c] = min(PAD, max(widths.get(c, 0), *(len(x) for x in lines), 0))
-            c += span
+    for across, c, width in sorted(cells):
+        # what a cell of several columns lacks goes to its first one
+        have = widths.get(c, 0) if across == 1 else sum(widths[i] + 2 for i in range(c, c + across) if i in widths) - 2
+        if width > have:
+            widths[c] = min(WIDE, widths.get(c, 0) + width - max(0, have))
+    columns = sorted(widths)
+    begins = [0]
+    for c in columns:
+        begins.append(begins[-1] + widths[c] + 2)
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for _, lines in row), default=0)):
-            parts, c, owed = [], 0, 0
-            for span, lines in row:
-                width = sum(widths.get(i, 0) for i in range(c, c + min(span, 1000))) + 2 * (span - 1)
-                if k < len(lines) and lines[k]:
-                    parts.append(" " * owed + lines[k])
-                    owed = max(0, min(width, 4 * PAD) - len(lines[k])) + 2
-                else:
-                    owed += min(width, 4 * PAD) + 2
-                c += span
-            out.append("".join(parts))
+    for row in placed:
+        for k in range(max((len(lines) for *_, lines in row), default=0)):
+            line = ""
+            for c, _, lines in row:
+                if k >= len(lines) or not lines[k]:
+                    continue
+                at = begins[bisect_left(columns, c)]
+                if at > FAR:
+                    at = len(line) + 2 if line else FAR
+                elif line and at < len(line) + 2:
+                    out.append(line)
+                    line = ""
+                line = line.ljust(at) + lines[k]
+            out.append(line)
     return out
 
 
+def _span(node: Node, name: str, most: int) -> int:
+    """A number of columns or rows; none below 1 and, as rows go, 0 for all that follow."""
+    said = node.attributes.get(name, "1").strip()
+    if not (said.isascii() and said.isdigit()):
+        return 1
+    n = min(most, int(said[:6]))
+    return n or (most if name == "rowspan" else 1)
+
+
 def render(root: Node) -> str:
     """The visible text of a tree."""
     out = Lines()
@@ -342,8 +379,7 @@ def render(root: Node) -> str:
             lines, out = out.finish(), held.pop()
             if not tables[-1]:
                 tables[-1].append([])
-            span = node.attributes.get("colspan", "1")
-            tables[-1][-1].append((int(span) if span.isascii() and span.isdigit() and 0 < int(span[:5]) <= 1000 else 1, lines))
+            tables[-1][-1].append((_span(node, "colspan", 1000), _span(node, "rowspan", 65534), lines))
         elif tag == "table":
             inner, out = out.finish(), held.pop()  # captions and stray text
             for line in inner:

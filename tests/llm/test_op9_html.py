@@ -33,6 +33,32 @@ CASES = [
 ]
 
 
+LONG = "long " * 30 + "end"
+TABLES = [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+    ("<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
+    ("<table><tr><td rowspan=9>a</table>x", "a\n\nx"),
+    (f"<table><tr><td>{LONG}<td>b<td>c<tr><td>d<td>e<td>f</table>", f"{LONG}\n{' ' * 82}b  c\n{'d'.ljust(82)}e  f"),
+    ("<table><tr><td>a<td>" + "x" * 60 + "<td>b<tr><td>c<td>d<td>e</table>", "a  " + "x" * 60 + "  b\nc  " + "d".ljust(62) + "e"),
+    ("<table><tr><td colspan=2>aaaa<td colspan=2>b<tr><td colspan=2>c<td colspan=2>d</table>", "aaaa  b\nc     d"),
+    ("<table><tr><td colspan=3>a wide cell<td>x<tr><td>b<td>c<td>d<td>y</table>", "a wide cell  x\nb      c  d  y"),
+    ("<table><tr><td rowspan=-1>a<td colspan=x>b</table>", "a  b"),
+]
+
+
+@pytest.mark.parametrize("source,text", TABLES)
+def test_tables(source, text):
+    assert m.extract(source) == text
+
+
+def test_wide_tables_stay_small():
+    page = "<table><tr>" + "<td>" + "<td>".join(["x" * 90] * 300) + "<tr><td colspan=299><td>y" * 3000 + "</table>"
+    text = m.extract(page)
+    assert text.count("y") == 3000 and text.count("x") == 27_000 and len(text) < 4_000_000
+    assert m.extract("<table><tr>" + "<td colspan=1000 rowspan=9>a" * 50 + "<tr><td>b" * 9).count("b") == 9
+
+
 FOREIGN = [
     ("so <math><mi>x</mi><mo>+</mo><mn>1</mn></math>, yes", "so x+1, yes"),
     ("<math><semantics><mi>y</mi><annotation encoding='TeX'>no</annotation></semantics></math>.", "y."),
