@@ -9,6 +9,18 @@ Reader: files are dealt out in byte ranges. A task scans its range for the gzip
 candidate only if the bytes there inflate to the start of a WARC record, and owns the records that
 begin inside its range, reading on past the range's end for the last one. After a record the
 next candidate is where its member ends. So ranges need no index and may cut records anywhere.
+A task holds one member at a time, inflated.
+
+Records of any writer are read: all types, any version 1.x, several records in one member; names of header fields in
+any case, with or without a space after the colon, folded lines, bare newlines. What a record lacks is
+null: id, type, target, digest, length of the HTTP body. A digest is lower-case hex if it is SHA-1 (base32 or hex), else
+as it stands. The payload is the body of an HTTP block of a response or request, else the whole block.
+
+Damage is never passed over in silence: it gives a row of its own with `error` set and nothing but path and
+offset besides. These are: a member that begins as a record and does not end well (cut off, wrong
+checksum), a record without a valid length or shorter than it, and bytes between the end of a member, or the
+file's beginning, and the next record or the range's end. Reading goes on behind the damage. A member whose
+beginning is damaged shows as such bytes, if the record before it was read by the same task.
 
 Archives go to the folder that spark.checkpoint.dir names, by pyarrow's file systems.
 
@@ -20,6 +32,7 @@ null url is left out of the record; an empty table writes no archive and gives a
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +51,9 @@ MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "urn:page:"
-RECORD = "record_id string, record_type string, uri string, refers_to string, digest string, http_bytes long, payload binary"
+RECORD = "path string, offset long, record_id string, record_type string, uri string, refers_to string, digest string, http_bytes long, payload binary, error string"
+_TYPES = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+_SCHEMA = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in RECORD.split(", "))])
 
 
 def marked(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -102,8 +117,29 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     return cut(marked(pages, least).mapInArrow(_writer(folder), "path string, bytes long, records long"), "archives")
 
 
-def _ranges(fs, path: str, begin: int, end: int) -> Iterator[tuple[bytes, bytes]]:
-    """Records (header, block) that begin in [begin, end)."""
+def _member(at, held: bytes, pos: int) -> tuple[bytes | None, int, str | None]:
+    """What the member at pos inflates to, where it ends and what is wrong with it; None if it is no record."""
+    try:
+        if not zlib.decompressobj(31).decompress(held if len(held) >= 512 else at(pos, 512), 64).startswith(b"WARC/1."):
+            return None, pos + 1, None
+    except zlib.error:
+        return None, pos + 1, None
+    gz, data, read, chunk = zlib.decompressobj(31), [], pos, held
+    try:
+        while not gz.eof:
+            chunk = chunk or at(read, READ)
+            if not chunk:
+                return b"", pos + 1, "the file ends inside a record"
+            data.append(gz.decompress(chunk))
+            read += len(chunk)
+            chunk = b""
+    except zlib.error as wrong:
+        return b"", pos + 1, f"damaged member: {wrong}"
+    return b"".join(data), read - len(gz.unused_data), None
+
+
+def members(fs, path: str, begin: int, end: int) -> Iterator[tuple[int, bytes, str | None]]:
+    """Offset, content and error of members that begin in [begin, end), and of bytes that belong to none."""
     with fs.open_input_file(path) as file:
         size = file.size()
 
@@ -111,74 +147,120 @@ def _ranges(fs, path: str, begin: int, end: int) -> Iterator[tuple[bytes, bytes]
             file.seek(pos)
             return file.read(min(n, size - pos)) if pos < size else b""
 
-        pos = begin
-        held, base = b"", begin
-        while pos < end:
+        pos, held, base = begin, b"", begin
+        due = 0 if begin == 0 else None  # where a member should begin, if that is known
+        while pos < min(end, size):
             # magic may straddle two reads
             if not base <= pos <= base + len(held) - len(MAGIC):
                 held, base = at(pos, READ), pos
             k = held.find(MAGIC, pos - base)
             if k < 0:
-                pos = base + max(len(held) - len(MAGIC) + 1, pos - base + 1)
-                if base + len(held) >= size:
-                    return
+                pos = max(base + len(held) - len(MAGIC) + 1, pos + 1)
                 continue
             pos = base + k
             if pos >= end:
-                return
-            gz, data, read = zlib.decompressobj(31), [], pos
-            good = True
-            first = held[k : k + 512] if len(held) - k >= 512 else at(pos, 512)
-            try:
-                if not gz.decompress(first, 64).startswith(b"WARC/1."):
-                    good = False
-                else:
-                    gz = zlib.decompressobj(31)
-                    chunk = held[k:]
-                    while not gz.eof:
-                        if not chunk:
-                            chunk = at(read, READ)
-                        if not chunk:
-                            raise zlib.error("the file ends inside a record")
-                        data.append(gz.decompress(chunk))
-                        read += len(chunk)
-                        chunk = b""
-            except zlib.error:
-                good = False
-            whole = b"".join(data)
-            header, sep, block = whole.partition(b"\r\n\r\n")
-            if not good or not sep:
-                pos += 1
-                continue
-            yield header, block
-            pos = read - len(gz.unused_data)
+                break
+            whole, after, error = _member(at, held[k:], pos)
+            if whole is not None:
+                if due is not None and due < pos:
+                    yield due, b"", f"{pos - due} bytes belong to no record"
+                yield pos, whole, error
+                due = None if error else after
+            pos = after
+        if due is not None and due < min(end, size):
+            yield due, b"", f"{min(end, size) - due} bytes or more belong to no record"
+
+
+def _fields(head: bytes) -> tuple[str, dict[str, str]]:
+    """First line and header fields by lower-case name; folded lines go on with the field before."""
+    first, *lines = head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
+    out: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            if name in out:  # of a repeated field the first counts
+                name = None
+            else:
+                out[name] = value.strip()
+    return first, out
+
+
+def _split(data: bytes, start: int = 0) -> tuple[bytes, int] | None:
+    """The header that begins at start, and where what follows it begins."""
+    ends = [(k, k + len(x)) for x in (b"\r\n\r\n", b"\n\n") if (k := data.find(x, start)) >= 0]
+    return (data[start : min(ends)[0]], min(ends)[1]) if ends else None
+
+
+def _length(said: str | None) -> int | None:
+    return int(said) if said and said.isascii() and said.isdigit() else None
+
+
+def _digest(said: str | None) -> str | None:
+    kind, _, value = (said or "").partition(":")
+    if kind.strip().lower() == "sha1":
+        value = value.strip()
+        if re.fullmatch("[0-9a-fA-F]{40}", value):
+            return value.lower()
+        if re.fullmatch("[2-7a-zA-Z]{32}", value):
+            return base64.b32decode(value.upper()).hex()
+    return said or None
+
+
+def records(whole: bytes, payloads: bool = True) -> Iterator[tuple]:
+    """The records of a member's content: what RECORD lists after the offset."""
+    at = 0
+    while whole[at:].strip(b"\r\n") if len(whole) - at < 64 else True:
+        while whole[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        parts = _split(whole, at)
+        version, fields = _fields(parts[0]) if parts else ("", {})
+        n = _length(fields.get("content-length"))
+        if not parts or not version.startswith("WARC/1.") or n is None or parts[1] + n > len(whole):
+            yield (*[None] * 7, "a record without a header, a valid length or all of its block")
+            return
+        at = parts[1] + n
+        block = whole[parts[1] : at]
+        body, http_bytes = block, None
+        if block.startswith(b"HTTP/") or "application/http" in fields.get("content-type", "").lower():
+            http = _split(block)
+            if http:
+                body = block[http[1] :]
+                http_bytes = _length(_fields(http[0])[1].get("content-length"))
+                http_bytes = len(body) if http_bytes is None else http_bytes
+        name = lambda k: fields.get(k, "").strip("<> ") or None
+        yield name("warc-record-id"), fields.get("warc-type", "").lower() or None, name("warc-target-uri"), name("warc-refers-to"), _digest(fields.get("warc-payload-digest")), http_bytes, body if payloads else None, None
 
 
 def _reader(payloads: bool):
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in RECORD.split(", "))])
         for batch in batches:
             for uri, begin, end in zip(*(batch.column(c).to_pylist() for c in ("path", "begin", "end")), strict=True):
                 fs, path = pafs.FileSystem.from_uri(uri)
                 rows, held = [], 0
-                for header, block in _ranges(fs, path, begin, end):
-                    lines = dict(x.split(": ", 1) for x in header.decode().split("\r\n")[1:])
-                    head, _, body = block[: int(lines["Content-Length"])].partition(b"\r\n\r\n")
-                    http = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-                    digest = base64.b32decode(lines["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    rows.append((lines["WARC-Record-ID"].strip("<>"), lines["WARC-Type"], lines.get("WARC-Target-URI"), lines.get("WARC-Refers-To", "").strip("<>") or None, digest, int(http["Content-Length"]), body if payloads else None))
-                    held += len(body)
-                    if held > READ * 8:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows, held = [], 0
+                for offset, whole, error in members(fs, path, begin, end):
+                    found = [(*[None] * 7, error)] if error else records(whole, payloads)
+                    for r in found:
+                        rows.append((uri, offset, *r))
+                        held += len(r[6] or b"") + 200
+                        if held > READ * 8:
+                            yield batch_of(rows)
+                            rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield batch_of(rows)
 
     return run
 
 
 def read(files: DataFrame, prefix: str = "", split: int = SPLIT, payloads: bool = True) -> DataFrame:
-    """Records of archives (path, bytes), read by byte ranges. prefix: what stands before paths to make them URIs."""
+    """Records of archives (path, bytes), read by byte ranges, and a row with error for each damage. prefix: what stands before paths to make them URIs."""
+    files = files.where("bytes > 0")
     ranges = files.select(F.concat(F.lit(prefix), "path").alias("path"), "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split))).alias("begin"))
     total = files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
     ranges = ranges.select("path", "begin", F.least("bytes", F.col("begin") + split).alias("end")).repartition(int(total))
@@ -190,10 +272,10 @@ def op6_warc(spark, sf_dir):
     scheme = folder.split("://")[0] + "://" if "://" in folder else ""
     files = write(table(spark, sf_dir, "pages"), folder)
     # from_uri gives paths without scheme; a bucket or host stays part of them
-    records = read(files, scheme)
+    found = read(files, scheme)
     number = lambda c: F.expr(f"try_cast(substring({c}, {len(NAME) + 1}) as bigint)")
     whole = F.col("record_type") == "response"
-    return records.select(
+    return found.select(
         number("record_id").alias("page_id"),
         F.when(whole, F.octet_length("payload")).otherwise(F.col("http_bytes")).cast("long").alias("payload_bytes"),
         F.when(whole, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
