@@ -13,14 +13,20 @@ segments of FAN, the leaves of a tree whose nodes hold sums of characters and to
 A segment that grows to more than GROW times FAN has the tree rebuilt from its leaves, without encoding.
 Edits of a document apply in order, each to the text that the ones before it left.
 
+Trees are rows of a table that is kept: build() makes it, one row for each document with its text, its pre-tokens'
+lengths and counts, the segments' sizes and the nodes' sums. edited() takes rows with edits and gives the rows as they
+are after them, encoding nothing but the touched regions. write() stores a table in buckets of
+doc_id; update() applies a batch of edits to it: it reads and rewrites only buckets with an edit, and of these only edited documents
+pass through Python.
+
 The vocabulary is a parameter: a file of base64 ranks, by default one of the public vocabularies
 installed with the tools; its path must be readable on all executors. A worker keeps the counts of
-up to CACHE pre-tokens.
+up to CACHE pre-tokens of at most LONGEST characters.
 
 Cases: null text counts as empty; positions beyond the text's end are cut to it; a null insert is
-empty; null edits and null start or stop do nothing; strings of special tokens are ordinary text;
-repeated rows and null ids are passed through; an empty table gives an empty result; other columns
-are not read.
+empty; null edits and null start or stop do nothing; edits of equal seq go by start, stop and insert; strings of
+special tokens are ordinary text; repeated rows are edited alike, and rows with a null id by no batch; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,15 +36,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, drop, table
+from .words import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-FAN, GROW, CACHE = 32, 4, 300_000
+FAN, GROW, CACHE, LONGEST = 32, 4, 300_000, 64
 EDITS = "array<struct<start:int,stop:int,insert:string>>"
+#: Of a stored table: buckets, and tasks that write one of them.
+BUCKETS, SPREAD = 256, 8
+ARRAYS = ("lengths", "counts", "sizes", "chars", "tokens")
+TREE = "text string, " + ", ".join(f"{a} array<int>" for a in ARRAYS) + ", n_tokens long"
 
 
 class Counter:
@@ -57,9 +68,11 @@ class Counter:
     def count(self, piece: str) -> int:
         n = self.cache.get(piece)
         if n is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            n = self.cache[piece] = len(self.encoding.encode_ordinary(piece))
+            n = len(self.encoding.encode_ordinary(piece))
+            if len(piece) <= LONGEST:
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                self.cache[piece] = n
         return n
 
     def counts(self, pieces: list[str]) -> list[int]:
@@ -82,6 +95,22 @@ class Tree:
         self.encoded = 0  # characters encoded by edits
         self._build(list(map(len, pieces)), by.counts(pieces))
 
+    @classmethod
+    def stored(cls, row: tuple, by: Counter) -> Tree:
+        """A tree from its row: text and ARRAYS."""
+        tree = cls.__new__(cls)
+        tree.by, tree.encoded = by, 0
+        tree.text, lengths, counts, sizes, tree.chars, tree.tokens = row
+        tree.base, tree.lengths, tree.counts, at = len(tree.chars) // 2, [], [], 0
+        for n in sizes:
+            tree.lengths.append(lengths[at : at + n])
+            tree.counts.append(counts[at : at + n])
+            at += n
+        return tree
+
+    def row(self) -> tuple:
+        return self.text, [x for s in self.lengths for x in s], [x for s in self.counts for x in s], list(map(len, self.lengths)), self.chars, self.tokens
+
     def _build(self, lengths: list[int], counts: list[int]) -> None:
         self.lengths = [lengths[i : i + FAN] for i in range(0, len(lengths), FAN)] or [[]]
         self.counts = [counts[i : i + FAN] for i in range(0, len(counts), FAN)] or [[]]
@@ -164,44 +193,108 @@ class Tree:
                 self._sum(i)
 
 
-def _run(vocabulary: str):
+def _batch(first: list[pa.Array], rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Columns `first`, then the trees' and the numbers that follow them."""
+    types = [pa.string(), *[pa.list_(pa.int32())] * len(ARRAYS)]
+    types += [pa.int64()] * (len(names) - len(first) - len(types))
+    return pa.RecordBatch.from_arrays([*first, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
+
+
+def _built(vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = counter(vocabulary)
+        for batch in batches:
+            for at, to in slices(batch.column("text")):
+                part = batch.slice(at, to - at)
+                trees = [Tree(t or "", by) for t in part.column("text").to_pylist()]
+                yield _batch([part.column("doc_id")], [(*t.row(), t.total) for t in trees], ["doc_id", "text", *ARRAYS, "n_tokens"])
+
+    return run
+
+
+def _lists(column: pa.Array) -> list[list[int]]:
+    flat, ends = column.flatten().to_numpy().tolist(), [0, *column.value_lengths().to_numpy().cumsum().tolist()]
+    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _edited(vocabulary: str, more: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = counter(vocabulary)
         for batch in batches:
-            out = []
-            for text, edits in zip(batch.column("text"), batch.column("edits"), strict=True):
-                tree = Tree(text.as_py() or "", by)
-                before, n = tree.total, 0
-                for e in edits.as_py() or ():
-                    if e and e["start"] is not None and e["stop"] is not None:
-                        tree.edit(e["start"], e["stop"], e["insert"] or "")
-                        n += 1
-                out.append((before, n, tree.total, len(tree.text), tree.encoded))
-            columns = [pa.array([x[i] for x in out], pa.int64()) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "encoded_chars"])
+            for at, to in slices(batch.column("text")):
+                part = batch.slice(at, to - at)
+                out = []
+                columns = [part.column("text").to_pylist(), *(_lists(part.column(a)) for a in ARRAYS)]
+                for edits, *row in zip(part.column("edits").to_pylist(), *columns, strict=True):
+                    tree, n = Tree.stored(row, by), 0
+                    for e in edits or ():
+                        if e and e["start"] is not None and e["stop"] is not None:
+                            tree.edit(e["start"], e["stop"], e["insert"] or "")
+                            n += 1
+                    out.append((*tree.row(), tree.total, n, tree.encoded))
+                first = ["doc_id", *more]
+                yield _batch([part.column(c) for c in first], out, [*first, "text", *ARRAYS, "n_tokens", "n_edits", "encoded_chars"])
 
     return run
 
 
-def counted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Token counts of docs (doc_id, text, edits) before and after their edits, and the characters encoded for them."""
-    kind = dict(docs.dtypes)["doc_id"]
-    plain = docs.select("doc_id", "text", F.col("edits").cast(EDITS))
-    return plain.mapInArrow(_run(vocabulary), f"doc_id {kind}, n_tokens long, n_edits long, n_tokens_after long, n_chars_after long, encoded_chars long")
+def build(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Trees of docs (doc_id, text): doc_id and TREE."""
+    return docs.select("doc_id", "text").mapInArrow(_built(vocabulary), f"doc_id {dict(docs.dtypes)['doc_id']}, {TREE}")
+
+
+def edited(trees: DataFrame, vocabulary: str = VOCABULARY, more: tuple[str, ...] = ()) -> DataFrame:
+    """Trees after their edits, of rows of trees with a column of EDITS: doc_id, the columns `more`, TREE, n_edits and encoded_chars, the characters encoded for them."""
+    plain = trees.select("doc_id", *more, F.col("edits").cast(EDITS), "text", *ARRAYS)
+    kinds = dict(trees.dtypes)
+    first = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *more))
+    return plain.mapInArrow(_edited(vocabulary, more), f"{first}, {TREE}, n_edits long, encoded_chars long")
 
 
-def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs with their edits (doc_id, seq, start, stop, insert) as an array in order of seq."""
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """The rows of trees with an edit (doc_id, seq, start, stop, insert), with their edits as an array in order of seq."""
     lists = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "stop", "insert"))).alias("edits"))
     lists = lists.select("doc_id", F.transform("edits", lambda e: F.struct(e["start"], e["stop"], e["insert"])).cast(EDITS).alias("edits"))
-    return docs.select("doc_id", "text").join(lists, "doc_id", "left")
+    return trees.join(lists, "doc_id")
+
+
+def bucket(doc_id: Column, text: Column | None = None) -> Column:
+    """The bucket of a document; those without an id, which no edit can name, go by their texts."""
+    number = F.xxhash64(doc_id) if text is None else F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc_id))
+    return F.pmod(number, F.lit(BUCKETS)).cast("int")
+
+
+def write(trees: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Stores trees in buckets; with overwrite only in place of the buckets that it has rows of."""
+    rows = trees.withColumn("bucket", bucket(F.col("doc_id"), F.col("text"))).repartition("bucket", F.pmod(F.xxhash64("text"), F.lit(SPREAD)))
+    to = rows.write.partitionBy("bucket")
+    (to.mode("overwrite").option("partitionOverwriteMode", "dynamic") if overwrite else to).parquet(path)
+
+
+def update(spark: SparkSession, path: str, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Applies a batch of edits to stored trees; returns doc_id, n_edits, n_tokens and encoded_chars of the edited documents."""
+    # at most BUCKETS numbers
+    touched = [r[0] for r in edits.where("doc_id is not null").select(bucket(F.col("doc_id"))).distinct().collect()]
+    trees = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+    changed = cut(edited(with_edits(trees, edits), vocabulary), "edited")
+    kept = trees.join(edits.select("doc_id").distinct(), "doc_id", "left_anti")
+    whole = cut(kept.unionByName(changed.select(*kept.columns)), "trees")
+    write(whole, path, overwrite=True)
+    drop(whole)
+    return changed.select("doc_id", "n_edits", "n_tokens", "encoded_chars")
 
 
 def op5_tokens(spark, sf_dir):
-    """Three edits for each document: an insertion at a third, a replacement in the middle, a deletion at two thirds."""
-    n = F.length(F.coalesce("text", F.lit("")))
-    third, half, two = F.floor(n / 3), F.floor(n / 2), F.floor(2 * n / 3)
+    """Keeps the trees of all documents and applies two batches of edits to each.
+
+    First an insertion at a third, a replacement in the middle and a deletion at two thirds, then an insertion in the middle.
+    """
     put = lambda a, b, s: F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"), F.lit(s).alias("insert"))
-    edits = F.array(put(third, third, " (revised 2024)\n"), put(half, half + 9, "it's "), put(two, two + 14, ""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return counted(docs.withColumn("edits", edits))
+    n = F.length("text")
+    third, half, two = F.floor(n / 3), F.floor(n / 2), F.floor(2 * n / 3)
+    trees = cut(build(table(spark, sf_dir, "documents")), "trees").withColumn("before", F.col("n_tokens"))
+    one = edited(trees.withColumn("edits", F.array(put(third, third, " (revised 2024)\n"), put(half, half + 9, "it's "), put(two, two + 14, ""))), more=("before",))
+    one = one.withColumns({"after": F.col("n_tokens"), "length_1": n.cast("long"), "edits_1": F.col("n_edits"), "encoded_1": F.col("encoded_chars")})
+    two_ = edited(one.withColumn("edits", F.array(put(half, half, " once more"))), more=("before", "after", "length_1", "edits_1", "encoded_1"))
+    names = {"before": "n_tokens", "edits_1": "n_edits", "after": "n_tokens_after", "length_1": "n_chars_after", "encoded_1": "encoded_chars"}
+    return two_.select("doc_id", *(F.col(c).alias(a) for c, a in names.items()), F.col("n_tokens").alias("n_tokens_second"), F.col("encoded_chars").alias("encoded_second"))
