@@ -10,8 +10,8 @@ becomes `\\h`, `</turn>` becomes `\\t`, and in roles a newline becomes `\\n`. Af
 backslash is followed by its letter and no control string is left in a text.
 
 A conversation is gathered in one row, as its format and its digest need all of it in order; that
-row is as long as the conversation itself. Examples are substrings of it, made row by row, and
-reading them back needs no shuffle.
+row is as long as the conversation itself. Examples are its first turns joined, made row by row, so the work is that of
+writing them, and reading them back needs no shuffle.
 
 Cases: null texts and roles are empty; rows of a conversation go by turn (null first), then role,
 then text, so ties and repeated rows have a fixed order; a null conv_id is a conversation of its
@@ -54,30 +54,19 @@ def examples(conversations: DataFrame) -> DataFrame:
         "turns",
         lambda t: F.struct(
             (t["role"] == REPLY).alias("reply"),
-            F.concat(F.lit("### "), escape(t["role"], True), F.lit("\n")).alias("head"),
-            escape(t["text"]).alias("body"),
+            F.concat(F.lit("### "), escape(t["role"], True), F.lit("\n"), escape(t["text"]), F.lit(END)).alias("piece"),
+            F.length(escape(t["text"])).alias("chars"),
         ),
     )
     whole = whole.select("conv_id", shown.alias("shown"))
-    whole = whole.withColumn("formatted", F.array_join(F.transform("shown", lambda s: F.concat(s["head"], s["body"], F.lit(END))), ""))
-    # where each turn's text begins and ends in the formatted conversation
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<reply:boolean,begin:int,end:int>>").alias("all"))
-    step = lambda acc, s: F.struct(
-        (acc["at"] + F.length(s["head"]) + F.length(s["body"]) + len(END)).alias("at"),
-        F.array_append(acc["all"], F.struct(s["reply"].alias("reply"), (acc["at"] + F.length(s["head"])).alias("begin"), (acc["at"] + F.length(s["head"]) + F.length(s["body"])).alias("end"))).alias("all"),
-    )
-    whole = whole.withColumn("spans", F.aggregate("shown", zero, step)["all"])
-    replies = F.filter("spans", lambda s: s["reply"])
-    tail = F.when(F.element_at("spans", -1)["reply"], F.lit(None)).otherwise(F.element_at("spans", -1)["end"])
-    # the tail's struct has no span of loss
-    wanted = F.concat(
-        F.transform(replies, lambda s: F.struct(s["end"].alias("upto"), s["begin"].alias("loss_start"), s["end"].alias("loss_end"))),
-        F.when(tail.isNotNull(), F.array(F.struct(tail.alias("upto"), F.lit(None).cast("int").alias("loss_start"), F.lit(None).cast("int").alias("loss_end")))).otherwise(
-            F.array().cast("array<struct<upto:int,loss_start:int,loss_end:int>>")
-        ),
-    )
-    out = whole.select("conv_id", "formatted", F.posexplode(wanted).alias("example", "x"))
-    return out.select("conv_id", "example", F.substring("formatted", F.lit(1), F.col("x.upto") + len(END)).alias("text"), "x.loss_start", "x.loss_end")
+    # an example ends with a reply or with the conversation
+    last = F.size("shown")
+    ends = F.filter(F.sequence(F.lit(1), last), lambda i: F.element_at("shown", i)["reply"] | (i == last))
+    out = whole.select("conv_id", "shown", F.posexplode(ends).alias("example", "upto"))
+    turn = F.element_at("shown", F.col("upto"))
+    out = out.select("conv_id", "example", F.array_join(F.transform(F.slice("shown", F.lit(1), F.col("upto")), lambda s: s["piece"]), "").alias("text"), F.when(turn["reply"], turn["chars"]).alias("chars"))
+    loss_end = F.when(F.col("chars").isNotNull(), F.length("text") - len(END))
+    return out.select("conv_id", "example", "text", (loss_end - F.col("chars")).alias("loss_start"), loss_end.alias("loss_end"))
 
 
 def read_back(made: DataFrame) -> DataFrame:

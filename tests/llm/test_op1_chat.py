@@ -31,6 +31,18 @@ def test_examples(spark):
     assert m.examples(df.limit(0)).count() == 0
 
 
+def test_many_turns(spark, tmp_path):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} \\n é") for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    made = m.examples(df).collect()
+    assert len(made) == 450 and all(r.text[r.loss_start : r.loss_end] == m_escape(rows[2 * r.example + 1][3]) for r in made)
+    assert of(m.op1_chat(spark, write(spark, tmp_path, conversations=df))) == oracle(m.SQL, conversations=pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+
+
+def m_escape(text):
+    return text.replace("\\", "\\b").replace("###", "\\h")
+
+
 def test_native():
     source = open(m.__file__).read()
     assert not any(x in source for x in ("pandas_udf", "mapIn", "applyIn", ".rdd", "F.udf"))
