@@ -5,13 +5,16 @@ n-grams and a mark for words without a letter, hashed into one table of weights
 Transitions between labels are learned with them. Training maximises the likelihood of labelled
 chains; a share of the chains is code-switched, made of pieces of two documents of different
 languages, so that transitions learn that languages last but change. Labelling runs forward-
-backward on chains of CHAIN consecutive words and gives each word a distribution over labels.
-A document's prediction is the label with the largest mean over its words that have letters; its
-score is that mean.
+backward over a document's whole chain of words and gives each word a distribution over labels. For speed
+the chain is cut into pieces of CHAIN words, whose products of transitions and emissions carry the messages from piece
+to piece in both directions; the result is that of the whole chain.
+A document's prediction is the label with the largest mean over its words that have letters, the first by
+name of equals; its score is that mean.
 
-The fit uses a bounded sample: about SAMPLE labelled documents, equally many of each language,
-drawn by a hash among those whose crc32(doc_id) mod 5 is not 0. Everything else covers all
-documents whole; a task needs memory for one slice of texts.
+The fit uses a bounded sample: about SAMPLE labelled documents of at most LONGEST characters, equally many of each
+language and EACH at least, drawn by a hash among those whose crc32(doc_id) mod 5 is not 0. The driver holds them (30 MB
+at most for up to 75 languages) and the model, 1 MB for each language, which is sent to all tasks; more than MOST languages are refused.
+Everything else covers all documents whole; a task needs memory for one slice of texts.
 
 Cases: null text and text without a letter give `und` with score 0; a null doc_id counts as an
 empty string in the split; if no document has a label, all are `und`; repeated rows get equal
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .words import U, Words, mix, slices
 
-CHAIN, SAMPLE = 64, 600
+CHAIN, SAMPLE, EACH, LONGEST, MOST = 64, 600, 8, 50_000, 256
 BITS, STEPS, RATE, DECAY, SWITCHED = 18, 40, 0.25, 1e-6, 0.25
 NONE = "und"
 _LETTER = np.zeros(256, dtype=bool)
@@ -98,6 +101,51 @@ def forward_backward(score: np.ndarray, live: np.ndarray, move: np.ndarray) -> t
     return post, moves * step, (np.log(scale) + np.where(live, top[:, :, 0], 0)).sum(axis=1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each first-level entry scaled to a largest value of 1."""
+    return x / x.max(axis=tuple(range(1, x.ndim)), keepdims=True)
+
+
+def whole_chains(score: np.ndarray, live: np.ndarray, pieces: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Posteriors of labels for chains cut into pieces: score is pieces of all chains x words x labels, `pieces` how many each chain has."""
+    n, t, k = score.shape
+    step = np.exp(move)
+    local = np.exp(score - score.max(axis=2, keepdims=True))
+    local[~live] = 1.0
+    at = np.cumsum(pieces) - pieces  # each chain's first piece
+    first = np.zeros(n, dtype=bool)
+    first[at] = True
+    enter, leave = np.ones((n, k)), np.ones((n, k))
+    many = np.repeat(pieces > 1, pieces)
+    if many.any():
+        # what a piece does to a message: a product of matrices (label before it x its last label)
+        rows = np.flatnonzero(many)
+        part, on = local[rows], live[rows]
+        through = np.where(first[rows, None, None], np.eye(k), step) * part[:, 0, None, :]
+        for i in range(1, t):
+            through = np.where(on[:, i, None, None], _scaled((through.reshape(-1, k) @ step).reshape(-1, k, k) * part[:, i, None, :]), through)
+        place = np.zeros(n, dtype=np.int64)
+        place[rows] = np.arange(len(rows))
+        # long chains first, so those with a piece of a number are a prefix
+        order = np.argsort(-pieces, kind="stable")
+        with_more = np.searchsorted(-pieces[order], -np.arange(1, pieces.max() + 1), "right")
+        for p in range(pieces.max() - 1):
+            here = at[order[: with_more[p + 1]]] + p
+            enter[here + 1] = _scaled((enter[here, None, :] @ through[place[here]])[:, 0])
+        for p in range(pieces.max() - 1, 0, -1):
+            here = at[order[: with_more[p]]] + p
+            leave[here - 1] = _scaled((through[place[here]] @ leave[here, :, None])[:, :, 0])
+    ahead, back = np.empty_like(local), np.empty_like(local)
+    ahead[:, 0] = _scaled(np.where(first[:, None], 1.0, enter @ step) * local[:, 0])
+    for i in range(1, t):
+        ahead[:, i] = np.where(live[:, i, None], _scaled((ahead[:, i - 1] @ step) * local[:, i]), ahead[:, i - 1])
+    back[:, -1] = leave
+    for i in range(t - 1, 0, -1):
+        back[:, i - 1] = np.where(live[:, i, None], _scaled((back[:, i] * local[:, i]) @ step.T), back[:, i])
+    post = ahead * back
+    return post / post.sum(axis=2, keepdims=True)
+
+
 class Model:
     """labels, weights (labels x features), move (labels x labels)."""
 
@@ -121,7 +169,7 @@ class Model:
         live = np.zeros(grid.shape[:2], dtype=bool)
         grid[chain, place % CHAIN] = score
         live[chain, place % CHAIN] = True
-        return forward_backward(grid, live, self.move)[0][chain, place % CHAIN]
+        return whole_chains(grid, live, chains[chains > 0], self.move)[chain, place % CHAIN]
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model:
@@ -171,12 +219,14 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from labelled documents outside the held-out fifth."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
+    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") <= LONGEST) & ~held_out(F.col("doc_id")))
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().limit(MOST + 1).collect()}
+    if len(counts) > MOST:
+        raise ValueError(f"more than {MOST} languages: their model is too large to be sent to all tasks")
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / len(counts) / n))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, max(EACH, sample / len(counts)) / n))).otherwise(share)
     rows = sorted((r[0], r[1]) for r in usable.where(draw < share).select("lang", "text").collect())
     return fit([t for _, t in rows], [x for x, _ in rows])
 

@@ -26,6 +26,35 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(moves, expected)
 
 
+def test_pieces_give_the_posteriors_of_whole_chains():
+    """Chains of 1 to 300 words with strong transitions, cut into pieces of 7, against one forward-backward over each."""
+    r = np.random.RandomState(4)
+    for k in (1, 2, 4):
+        sizes, move = [1, 7, 8, 300, 14, 3, 61], 6 * r.randn(k, k)
+        scores = [9 * r.randn(n, k) for n in sizes]
+        pieces = np.array([-(-n // 7) for n in sizes])
+        grid, live = np.zeros((pieces.sum(), 7, k)), np.zeros((pieces.sum(), 7), dtype=bool)
+        for s, begin in zip(scores, np.cumsum(pieces) - pieces):
+            place = np.arange(len(s))
+            grid[begin + place // 7, place % 7] = s
+            live[begin + place // 7, place % 7] = True
+        got = m.whole_chains(grid, live, pieces, move)
+        for s, begin in zip(scores, np.cumsum(pieces) - pieces):
+            want = m.forward_backward(s[None], np.ones((1, len(s)), dtype=bool), move)[0][0]
+            place = np.arange(len(s))
+            assert np.allclose(got[begin + place // 7, place % 7], want)
+
+
+def test_labels_do_not_depend_on_the_size_of_pieces(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = m.learn(docs, sample=100)
+    text = " ".join(r.text for r in docs.orderBy("doc_id").limit(12).collect())
+    whole = m.word_labels(model, text)
+    monkeypatch.setattr(m, "CHAIN", 5)
+    again = m.word_labels(model, text)
+    assert [x[:2] for x in whole] == [x[:2] for x in again] and np.allclose([x[2] for x in whole], [x[2] for x in again])
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     out = m.op2_language(spark, d).toPandas().merge(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
