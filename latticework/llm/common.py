@@ -45,11 +45,11 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, s
     Rows of hot keys are dealt to parts by salt (a number of the row) and the right row goes to each
     part. There are at most a thousand hot keys for each time that left's rows are counted in size, so their list is small.
     """
-    total = right.agg(F.sum(size)).first()[0] or 0
+    total, most = right.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     per = max(PART, total // 1000)
-    hot = right.where(F.col(size) > per).select(*keys, F.ceil(F.col(size) / per).cast("int").alias("__parts"))
-    if not hot.limit(1).count():
+    if most <= per:
         return left.join(right, keys, how)
+    hot = right.where(F.col(size) > per).select(*keys, F.ceil(F.col(size) / per).cast("int").alias("__parts"))
     parts = F.coalesce("__parts", F.lit(1))
     left = left.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(salt, parts).cast("int")).drop("__parts")
     right = right.join(F.broadcast(hot), keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")

@@ -5,20 +5,26 @@ distinct word shingles. Two texts are linked if 100 * |intersection| >= percent
 
 1. One pass gives each document its set's size, a 128-bit digest of the set, band keys of its
    minima and the low bits of the minima packed in bit planes.
-2. Documents of equal sets form a class at once (similarity 1) and only its smallest doc_id
-   goes on, so copies never meet as pairs.
-3. In each band's bucket every member is compared with the bucket's smallest member by bit
-   counts of the packed signatures; the best candidate of each document is confirmed on
-   full sets. This joins almost every group in a star of as many pairs as documents.
+2. Documents of equal sets form a class at once (similarity 1), with a number of its own, and only
+   one of a class's texts goes on, so copies never meet as pairs.
+3. In each band's bucket every member is compared with the bucket's first member by bit
+   counts of the packed signatures; the best candidate of each class is confirmed on
+   full sets. This joins almost every group in a star of as many pairs as classes.
 4. Buckets that still hold several components are compared in blocks, all members against
    all, inside tasks: bit counts first, then full sets, and only links that join two
    components leave the task. So no link between components is lost and no pairs are dealt.
+   A bucket has about the square root of its members in each block, BLOCK at least, and a
+   block's sets hold about BYTES; so a task holds two such blocks, and a member goes to as many
+   tasks as its bucket has blocks.
+
+Classes carry the work; doc_ids only name what comes out, so null and repeated ids do no harm.
+Joins with hot buckets and hot first members are dealt to parts.
 
 Cases: null or empty texts and texts of white space have an empty set (n_shingles 0), are
-linked with nothing and kept; fewer words than the shingle size make one shingle. Repeated rows
-with the same doc_id share a component and are all kept by keep_one only once. A null doc_id
-takes part, but the component is named by the smallest non-null doc_id. Other columns are not
-read. An empty table gives an empty result.
+linked with nothing, name their component themselves and are kept; fewer words than the shingle size make one
+shingle. A component is named by its smallest doc_id that is not null, by null if it has none. keep_one keeps one row of each
+component, of the smallest doc_id (of rows that repeat it with different texts, one). Other columns are not
+read. doc_ids are cast to long. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, drop, spread_join, table
 from .words import U, Words, mix, shingle_hashes, shingle_sets, slices
 
 BANDS, ROWS, BITS = 24, 6, 8
 HASHES = BANDS * ROWS
 #: A candidate is confirmed on full sets if its estimate is at most this much below the threshold: over 4 standard errors.
 SLACK = 0.16
-#: Members of a block in the comparison of whole buckets.
-BLOCK = 256
+#: Members of a block in the comparison of whole buckets at least, and bytes of its sets.
+BLOCK, BYTES = 256, 16 << 20
 
 _R = np.random.RandomState(7)
 _MUL = (_R.randint(0, 1 << 31, HASHES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -150,7 +156,11 @@ def _to_sets(size: int):
             for at, to in slices(batch.column("text")):
                 part = batch.slice(at, to - at)
                 sets = shingle_sets(part.column("text"), size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "set"])
+                h = np.array([[mix(s, 11).sum(dtype=U), mix(s, 12).sum(dtype=U)] for s in sets], dtype=U).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    names=["h1", "h2", "n_shingles", "set"],
+                )
 
     return run
 
@@ -197,54 +207,48 @@ def _blocks(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
-    """Per class of equal sets: n_shingles, h1, h2 (its key), rep (smallest doc_id), component.
+KEY = ["h1", "h2", "n_shingles"]
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """Per class of equal sets: KEY, rep (its smallest doc_id), component (the smallest of the component), first (if it holds that one).
 
-    The second result holds doc_id and the key for each document.
+    The second result holds doc_id and KEY of each document.
     """
     signed = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(size, True, 0, 1), _schema()), "signed")
-    some = signed.where("n_shingles > 0")
-    classes = cut(
-        some.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("x"), F.min("doc_id").alias("rep")).select("h1", "h2", "n_shingles", "rep", "x.bands", "x.sig"),
-        "classes",
-    )
-    reps = classes.where("rep is not null").select(F.col("rep").alias("id"), "bands", "sig")
-    members = reps.select("id", F.explode("bands").alias("bucket"))
-    buckets = cut(members.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    inside = cut(members.join(buckets, "bucket"), "inside")
-    small = classes.where("rep is not null").select(F.col("rep").alias("id"), "sig")
-    pairs = inside.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    stars = (
-        pairs.join(small.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .join(small.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_estimates, "a long, b long, est double")
-        .where(F.col("est") >= percent / 100 - SLACK)
-    )
+    classes = signed.where("n_shingles > 0").groupBy(*KEY).agg(F.first(F.struct("bands", "sig")).alias("x"), F.min("doc_id").alias("rep"))
+    # numbers are unique, and fixed once the table is written
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), *KEY, "rep", "x.bands", "x.sig"), "classes")
+    members = classes.select("id", "n_shingles", "sig", F.explode("bands").alias("bucket"))
+    found_in = members.groupBy("bucket").agg(F.min(F.struct("id", "sig")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    buckets = cut(found_in.select("bucket", F.col("c.id").alias("center"), F.col("c.sig").alias("sig_a"), "n"), "buckets")
+    inside = cut(spread_join(members, buckets, ["bucket"], "n", F.xxhash64("id")), "inside")
+    stars = inside.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"), "sig_a", F.col("sig").alias("sig_b"))
+    stars = stars.mapInArrow(_estimates, "a long, b long, est double").where(F.col("est") >= percent / 100 - SLACK)
     best = cut(stars.groupBy("b").agg(F.max(F.struct("est", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b"), "best")
-    wanted = inside.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = cut(texts.mapInArrow(_to_sets(size), "id long, set array<long>"), "sets")
-    confirmed = cut(
-        best.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        .join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        .select("a", "b", "set_a", "set_b")
-        .mapInArrow(_confirm(percent), "a long, b long"),
-        "confirmed",
-    )
-    found = cut(components(confirmed), "found")
-    named = cut(inside.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "named")
+    wanted = classes.join(inside.select("id").distinct(), "id", "left_semi").select("id", *KEY, "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(wanted.select("rep").distinct(), F.col("d").eqNullSafe(F.col("rep")), "left_semi")
+    sets = texts.select("text").mapInArrow(_to_sets(size), "h1 long, h2 long, n_shingles long, set array<long>")
+    # an id that repeats may bring a class's text again, and texts of other classes
+    sets = cut(sets.groupBy(*KEY).agg(F.first("set").alias("set")).join(wanted, KEY).select("id", "set"), "sets")
+    with_b = best.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    centers = best.groupBy("a").agg(F.count("*").alias("n")).join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    confirmed = spread_join(with_b, cut(centers, "centers"), ["a"], "n", F.xxhash64("b")).select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
+    found = cut(components(cut(confirmed, "confirmed")), "found")
+    named = cut(inside.select("bucket", "id", "n_shingles").join(found, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component")), "named")
+    drop(buckets, inside, best)
     # a bucket's largest component needs no comparison inside, only with the bucket's other members
-    counts = named.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket")
-    open_ = counts.agg(F.max(F.struct("c", "component")).alias("big"), F.sum("c").alias("n"), F.count("*").alias("k")).where("k > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    open_ = cut(open_.select("bucket", F.col("big.component").alias("big"), blocks(F.col("big.c")).alias("nl"), blocks(F.col("n") - F.col("big.c")).alias("no")), "open")
+    counts = named.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s")).groupBy("bucket")
+    open_ = counts.agg(F.max(F.struct("c", "component", "s")).alias("big"), F.sum("c").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda n, s: F.greatest(F.ceil(n / F.greatest(F.lit(BLOCK), F.sqrt(F.col("n")))), F.ceil(8 * s / BYTES)).cast("int")
+    big = F.col("big")
+    open_ = cut(open_.select("bucket", "n", big["component"].alias("big"), blocks(big["c"], big["s"]).alias("nl"), blocks(F.col("n") - big["c"], F.col("s") - big["s"]).alias("no")), "open")
     large = F.col("component") == F.col("big")
     block = F.pmod(F.xxhash64("id"), F.when(large, F.col("nl")).otherwise(F.col("no"))).cast("int")
     across = large | (F.col("other") < F.col("nl"))
     mate = F.col("other") - F.col("nl")
     rest = (
-        named.join(open_, "bucket")
+        spread_join(named, open_, ["bucket"], "n", F.xxhash64("id", F.lit("part")))
         .select("bucket", "id", "component", "big", "nl", block.alias("block"), F.explode(F.sequence(F.lit(0), F.when(large, F.col("no")).otherwise(F.col("nl") + F.col("no")) - 1)).alias("other"))
         .select(
             "bucket",
@@ -255,34 +259,36 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
             F.when(large, F.col("other")).when(across, F.col("block")).otherwise(F.greatest("block", mate)).alias("bj"),
             F.when(across, large.cast("int")).otherwise(F.col("block")).alias("side"),
         )
-        .join(reps, "id")
+        .join(classes.select("id", "bands", "sig"), "id")
         .join(sets, "id")
     )
-    more = rest.groupBy("bucket", "across", "bi", "bj").applyInArrow(_blocks(percent), "a long, b long")
-    joined = components(cut(more, "more"))
+    more = cut(rest.groupBy("bucket", "across", "bi", "bj").applyInArrow(_blocks(percent), "a long, b long"), "more")
+    joined = components(more)
     # links between components rename components
-    named = found.join(joined.select(F.col("id").alias("component"), F.col("component").alias("further")), "component", "left").select("id", F.coalesce("further", "component").alias("component"))
-    single = joined.join(found, "id", "left_anti")
-    final = cut(named.unionByName(single), "final")
-    classes = classes.select("h1", "h2", "n_shingles", "rep")
-    return cut(classes.join(final, classes["rep"] == final["id"], "left").select("h1", "h2", "n_shingles", "rep", F.coalesce("component", "rep").alias("component")), "result"), signed.select("doc_id", "n_shingles", "h1", "h2")
+    renamed = found.join(joined.select(F.col("id").alias("component"), F.col("component").alias("further")), "component", "left").select("id", F.coalesce("further", "component").alias("component"))
+    final = cut(renamed.unionByName(joined.join(found, "id", "left_anti")), "final")
+    drop(named, open_, sets)
+    classes = classes.select("id", *KEY, "rep").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # of a component's classes the one with the smallest doc_id is the first
+    names = classes.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "id")).alias("m"))
+    out = classes.join(names, "component").select(*KEY, "rep", F.col("m.rep").alias("component"), (F.col("m.id") == F.col("id")).alias("first"))
+    return cut(out, "result"), signed.select("doc_id", *KEY)
 
 
 def membership(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     classes, each = near_duplicates(docs, size, percent)
-    # empty documents have no class; they get a key of their own so that they do not meet in one task
-    out = each.where("n_shingles > 0").join(classes, ["h1", "h2", "n_shingles"])
-    out = out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    out = each.where("n_shingles > 0").join(classes, KEY).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    # empty documents have no class, so they do not meet in one task
     out = out.unionByName(each.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which each near-duplicate group keeps one: its smallest doc_id. Columns as in docs."""
+    """docs with one row of each near-duplicate group: of its smallest doc_id. Columns as in docs."""
     classes, _ = near_duplicates(docs, size, percent)
     nobody = F.lit(-(1 << 63))
-    stay = classes.where("rep is null or rep = component").select("h1", "h2", F.col("n_shingles").alias("n"), F.coalesce("rep", nobody).alias("kept_id"))
+    stay = classes.where("first").select("h1", "h2", F.col("n_shingles").alias("n"), F.coalesce("rep", nobody).alias("kept_id"))
     names = docs.columns
     plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
@@ -297,8 +303,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op10_minhash(spark, sf_dir):
-    from .common import table
-
     return membership(table(spark, sf_dir, "documents"))
 
 

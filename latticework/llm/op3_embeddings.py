@@ -1,8 +1,8 @@
 """Embedding near-duplicates: sign hashing in tables, exact cosines, connected components.
 
 Vectors are linked if their labels are equal and not null and their cosine in double precision is
-at least `least`. Equal vectors of a label form a class first and only a class's smallest vec_id
-goes on; its size counts in n_links. (Only bitwise equal vectors share a class; such vectors have
+at least `least`. Equal vectors of a label form a class first, with a number of its own, and only the class
+goes on; its size counts in n_links. (Only vectors of the same doubles share a class, told by 128 bits of hash; they have
 a cosine of 1 up to rounding.)
 
 Each of TABLES tables hashes a vector to the signs of PLANES random hyperplanes. At a cosine of
@@ -12,7 +12,10 @@ signs with 0.268, and in one of 36 tables at least with all but 0.000013.
 Vectors that share a bucket are compared in blocks of it, all against all, by one matrix product
 in a task. A pair counts in the first table that it shares, so each pair counts once. A task
 returns sums for each vector, not pairs: class members linked, and links that join the
-block's components. Buckets of one vector drop out before vectors move.
+block's components. Buckets of one vector drop out before vectors move. A bucket has about the square root of its
+vectors in each block, BLOCK at least, and a block's vectors hold about BYTES at most; a task holds two blocks and a vector goes
+to as many tasks as its bucket has blocks. Joins with hot buckets are dealt to parts. Cosines
+within 1e-9 of the threshold are taken again by one formula, so the size of a bucket does not decide on a pair.
 
 Cases: null vectors, zero vectors, vectors with null or non-finite components, and rows with a null
 label link with nothing (n_links 0, a component of their own, kept). Vectors of other lengths than
@@ -31,11 +34,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, drop, spread_join, table
 
 TABLES, PLANES = 36, 20
-#: Vectors of a block in a large bucket; buckets of at most SMALL are compared pair by pair.
-BLOCK, SMALL = 256, 16
+#: Vectors of a block in a large bucket at least, bytes of a block; buckets of at most SMALL are compared pair by pair.
+BLOCK, BYTES, SMALL = 256, 16 << 20, 16
 LEAST = 0.98
 
 
@@ -82,6 +85,9 @@ class _Rows:
         change = (self.code[1:] != self.code[:-1]) | (label[1:] != label[:-1]) | (self.bi[1:] != self.bi[:-1]) | (self.bj[1:] != self.bj[:-1])
         self.starts = np.concatenate([[0], np.flatnonzero(change) + 1, [rows.num_rows]])
 
+    def cosine(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.unit[i], self.unit[j])
+
     def keep(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Pairs that belong here: of one length, of both blocks, and in the first table that they share."""
         good = (self.sizes[i] == self.sizes[j]) & ((self.bi[i] == self.bj[i]) | (self.side[i] != self.side[j]))
@@ -118,13 +124,18 @@ def _links(rows: pa.Table, least: float) -> pa.RecordBatch | None:
     end = np.repeat(r.starts[1:], n)
     for d in range(1, int(n[n <= SMALL].max(initial=1))):
         i = np.flatnonzero(small & (np.arange(len(small)) + d < end))
-        i = i[np.einsum("ij,ij->i", r.unit[i], r.unit[i + d]) >= least]
+        i = i[r.cosine(i, i + d) >= least]
         i = i[r.keep(i, i + d)]
         out += [(r.ids[i], r.count[i + d], r.ids[i + d]), (r.ids[i + d], r.count[i], r.ids[i])]
     for k in np.flatnonzero(n > SMALL):
         s, e = r.starts[k], r.starts[k + 1]
-        i, j = np.nonzero(np.triu(r.unit[s:e] @ r.unit[s:e].T >= least, 1))
+        cosine = r.unit[s:e] @ r.unit[s:e].T
+        i, j = np.nonzero(np.triu(cosine >= least - 1e-9, 1))
+        close = np.flatnonzero(cosine[i, j] < least + 1e-9)
         i, j = i + s, j + s
+        sure = np.ones(len(i), dtype=bool)
+        sure[close] = r.cosine(i[close], j[close]) >= least
+        i, j = i[sure], j[sure]
         good = r.keep(i, j)
         if good.any():
             _joined(out, r, i[good], j[good], s, e - s)
@@ -166,29 +177,33 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").withColumn("good", F.coalesce(good, F.lit(False)))
     # -0.0 and 0.0 are the same component
     plain = F.transform("embedding", lambda x: number(x) + F.lit(0.0))
-    digest = F.when(F.col("good"), F.sha2(F.array_join(F.transform(plain, lambda x: x.cast("string")), ","), 256))
-    rows = cut(rows.select("vec_id", "label", "embedding", "good", digest.alias("digest")), "vectors")
-    classes = rows.where("good").groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    # a class's own number, as vec_ids may repeat or be null
-    classes = cut(classes.withColumn("class", F.xxhash64("label", "digest")), "classes")
-    hashed = cut(classes.select(F.col("class").alias("id"), "label", "embedding").mapInArrow(_hash, f"id long, label {dict(vectors.dtypes)['label']}, codes array<long>"), "hashed")
+    keys = [F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit("second"), F.size("embedding"), plain).alias("h2")]
+    rows = cut(rows.select("vec_id", "label", "embedding", "good", *keys), "vectors")
+    key = ["label", "h1", "h2"]
+    classes = rows.where("good").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    # numbers are unique, and fixed once the table is written
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), *key, "rep", "copies", "embedding"), "classes")
+    hashed = cut(classes.select("id", "label", "embedding").mapInArrow(_hash, f"id long, label {dict(vectors.dtypes)['label']}, codes array<long>"), "hashed")
     members = hashed.select("id", "label", F.explode("codes").alias("code"))
-    buckets = members.groupBy("label", "code").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = cut(buckets.select("label", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    found_in = members.groupBy("label", "code").agg(F.count("*").alias("n")).where("n > 1")
+    longest = classes.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0]
+    blocks = F.greatest(F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), F.sqrt("n"))), F.ceil(F.col("n") * 8 * longest / BYTES)).cast("int")
+    buckets = cut(found_in.select("label", "code", "n", blocks.alias("blocks")), "buckets")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.join(buckets, ["label", "code"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = spread_join(members, buckets, ["label", "code"], "n", F.xxhash64("id", F.lit("part"))).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("id", "label", "code", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.col("block").alias("side"))
-    full = cut(hashed.select("id", "codes").join(classes.select(F.col("class").alias("id"), "copies", "embedding"), "id"), "full")
+    full = hashed.select("id", "codes").join(classes.select("id", "copies", "embedding"), "id")
     # a task streams the buckets that it holds: one at a time in memory, none of more than two blocks
     together = dealt.join(full, "id").repartition("label", "code", "bi", "bj").sortWithinPartitions("label", "code", "bi", "bj")
     compared = cut(together.mapInArrow(_compare(least), "id long, links long, to long"), "compared")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     found = components(compared.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    per_class = classes.select("class", "id", "copies", "label", "digest").join(links.withColumnRenamed("id", "class"), "class", "left").join(found.select(F.col("id").alias("class"), "component"), "class", "left")
-    per_class = cut(per_class.select("label", "digest", "id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "class").alias("component")), "linked")
-    names = cut(per_class.groupBy("component").agg(F.min("id").alias("component_id")), "names")
-    per_class = cut(per_class.join(names, "component").select("label", "digest", "copies", "links", "component_id"), "named")
-    out = rows.where("good").join(per_class, ["label", "digest"])
+    per_class = classes.select("id", *key, "rep", "copies").join(links, "id", "left").join(found, "id", "left")
+    per_class = cut(per_class.select(*key, "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component")), "linked")
+    names = per_class.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    per_class = cut(spread_join(per_class, names, ["component"], "n", F.col("h1")).select(*key, "copies", "links", "component_id"), "named")
+    drop(hashed, buckets, compared)
+    out = spread_join(rows.where("good"), per_class, key, "copies", F.coalesce("vec_id", F.lit(0)))
     out = out.select("vec_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), "component_id")
     out = out.unionByName(rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -78,6 +78,34 @@ def test_repeats_and_nulls(spark):
     assert m.membership(df.limit(0)).count() == 0 and m.keep_one(df.limit(0)).count() == 0
 
 
+def prose(seed, n=80):
+    r = np.random.RandomState(seed)
+    return [f"v{x}" for x in r.randint(0, 5000, n)]
+
+
+def test_ids_only_name_what_comes_out(spark):
+    """Near copies with null ids are compared; texts that share an id keep groups of their own."""
+    base, other, third = prose(1), prose(2), prose(3)
+    near_ = [" ".join([*base[:k], "changed", *base[k:]]) for k in (20, 40, 60)]
+    rows = [(None, x) for x in near_] + [(7, " ".join(other)), (7, " ".join(third)), (3, " ".join(["new", *other])), (9, " ".join(["new", *third]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.text: r for r in df.join(m.membership(df), "doc_id").collect()}
+    assert len(got) == 4
+    groups = sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles) for r in m.membership(df).collect())
+    assert groups == sorted([(0, 0, 79)] * 3 + [(7, 3, 78), (7, 7, 78), (3, 3, 79), (9, 7, 79)])
+    kept = sorted((r.doc_id or 0, r.text) for r in m.keep_one(df, 3, 85).collect())
+    assert [d for d, _ in kept] == [0, 3, 7] and kept[2][1] == " ".join(third) and kept[0][1] in near_
+
+
+def test_small_blocks_and_hot_keys(spark, monkeypatch):
+    from latticework.llm import common
+
+    monkeypatch.setattr(m, "BLOCK", 7)
+    monkeypatch.setattr(m, "BYTES", 3000)
+    monkeypatch.setattr(common, "PART", 20)
+    near(made(), spark, 3, 85)
+
+
 def test_estimate():
     r = np.random.RandomState(1)
     for share in (0.5, 0.85, 1.0):
