@@ -6,6 +6,8 @@ shuffle, and a product needs one join on the shared index and one aggregation.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,15 +120,18 @@ def gemv(a: DataFrame, x: DataFrame, alpha: float = 1.0, beta: float = 0.0, y: D
 
 
 def norms(entries: DataFrame) -> DataFrame:
-    """Max, infinity (row sums), one (column sums) and Frobenius norm."""
-    size = F.sqrt(squares()).alias("size")
-    e = entries.select("i", "j", size)
-    rows = e.groupBy("i").agg(F.sum("size").alias("s"), F.max("size").alias("m"), F.sum(F.col("size") * F.col("size")).alias("q"))
+    """Max, infinity (row sums), one (column sums) and Frobenius norm. Squares are those of entries over a power of two near the largest, so they neither overflow nor vanish."""
+    # hypot does not overflow either
+    e = entries.select("i", "j", F.hypot("re", "im").alias("size"))
+    top = entries.agg(F.max(F.greatest(F.abs("re"), F.abs("im")))).first()[0]
+    scale = 2.0 ** math.frexp(top)[1] if top and math.isfinite(top) and abs(math.frexp(top)[1]) < 1000 else (top or 1.0)
+    part = F.col("size") / scale
+    rows = e.groupBy("i").agg(F.sum("size").alias("s"), F.max("size").alias("m"), F.sum(part * part).alias("q"))
     none = F.lit(None).cast("double")
     by_row = rows.select("m", "s", "q", none.alias("c"))
     by_column = e.groupBy("j").agg(F.sum("size").alias("c")).select(none.alias("m"), none.alias("s"), none.alias("q"), "c")
     both = by_row.unionByName(by_column)
-    return both.agg(F.max("m").alias("norm_max"), F.max("s").alias("norm_inf"), F.max("c").alias("norm_one"), F.sqrt(F.sum("q")).alias("norm_fro"))
+    return both.agg(F.max("m").alias("norm_max"), F.max("s").alias("norm_inf"), F.max("c").alias("norm_one"), (F.sqrt(F.sum("q")) * scale).alias("norm_fro"))
 
 
 def add(a: DataFrame, b: DataFrame, alpha: complex = 1.0, beta: complex = 1.0, trans: str = NO) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .prefix import ordered
 
 
 def pattern(coo: DataFrame) -> DataFrame:
@@ -18,6 +19,11 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return edges.select("i", "j").union(edges.select("j", "i")).distinct()
 
 
+def united(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The union of two sets of integers, each a table of one column, which is named i."""
+    return a.toDF("i").union(b.toDF("i")).distinct()
+
+
 def without_diagonal(edges: DataFrame) -> DataFrame:
     return edges.where("i <> j")
 
@@ -46,20 +52,9 @@ def vertex_weights(offsets: DataFrame) -> DataFrame:
     return offsets.select("i", (F.col("end") - F.col("begin")).alias("weight"))
 
 
-def new_numbers(vertices: DataFrame, order: str = "i", blocks: int = 256) -> DataFrame:
-    """Vertices (i) with `number` 0, 1, ... by ascending i, without sorting in one task.
-
-    Ranges of equal width of i are numbered on their own; only counts of ranges meet in one task.
-    """
-    span = vertices.agg(F.min(order), F.max(order)).first()
-    if span[0] is None:
-        return vertices.select("*", F.lit(0).cast("long").alias("number"))
-    width = (span[1] - span[0]) // blocks + 1
-    slots = vertices.withColumn("slot", F.floor((F.col(order) - span[0]) / width))
-    counts = slots.groupBy("slot").agg(F.count("*").alias("c"))
-    before = counts.select("slot", (F.sum("c").over(Window.orderBy("slot")) - F.col("c")).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("slot").orderBy(order)) - 1
-    return slots.withColumn("inner", inner).join(F.broadcast(before), "slot").withColumn("number", (F.col("inner") + F.col("before")).cast("long")).drop("slot", "inner", "before")
+def new_numbers(vertices: DataFrame, order: str = "i") -> DataFrame:
+    """Vertices (i) with `number` 0, 1, ... by ascending i, without sorting in one task."""
+    return ordered(vertices, [F.col(order)], "number").withColumn("number", F.col("number") - 1)
 
 
 def isolate(edges: DataFrame, vertices: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,34 +7,43 @@ import numpy as np
 from .graph import neighbours
 
 
-def grid_order(nx: int, ny: int, nz: int, leaf: int = 15) -> np.ndarray:
-    """Permutation of a regular grid (x fastest): halves first, the one-layer separator last.
+def grid_places(i: np.ndarray, nx: int, ny: int, nz: int, leaf: int = 15) -> np.ndarray:
+    """Places of vertices i of a regular grid (x fastest): halves first, the one-layer separator last.
 
     The longest direction is cut, x before y before z on ties; fewer than `leaf` vertices stay as they are.
+    All vertices descend at once, each in its own box, from the whole grid to its separator or leaf.
     """
-    perm = np.full(nx * ny * nz, -1, dtype=np.int64)
-    todo = [((0, nx), (0, ny), (0, nz), 0)]
-    while todo:
-        (x0, x1), (y0, y1), (z0, z1), at = todo.pop()
-        size = [x1 - x0, y1 - y0, z1 - z0]
-        if min(size) <= 0:
-            continue
-        if np.prod(size) < leaf:
-            z, y, x = np.meshgrid(np.arange(z0, z1), np.arange(y0, y1), np.arange(x0, x1), indexing="ij")
-            v = ((z * ny + y) * nx + x).ravel()
-            perm[v] = at + np.arange(len(v))
-            continue
-        axis = int(np.argmax(size))
-        box = [(x0, x1), (y0, y1), (z0, z1)]
-        cut = box[axis][0] + size[axis] // 2
-        left, middle, right = (list(box) for _ in range(3))
-        left[axis], middle[axis], right[axis] = (box[axis][0], cut), (cut, cut + 1), (cut + 1, box[axis][1])
-        volume = lambda b: int(np.prod([q - p for p, q in b]))
-        z, y, x = np.meshgrid(np.arange(*middle[2]), np.arange(*middle[1]), np.arange(*middle[0]), indexing="ij")
-        v = ((z * ny + y) * nx + x).ravel()
-        perm[v] = at + volume(left) + volume(right) + np.arange(len(v))
-        todo += [(*left, at), (*right, at + volume(left))]
-    return perm
+    at = np.stack([i % nx, i // nx % ny, i // (nx * ny)])
+    low, high = np.zeros_like(at), np.repeat(np.array([[nx], [ny], [nz]], dtype=np.int64), len(i), axis=1)
+    base, out = np.zeros(len(i), dtype=np.int64), np.empty(len(i), dtype=np.int64)
+
+    def inside(v: np.ndarray) -> np.ndarray:
+        x, y, z = at[:, v] - low[:, v]
+        width, depth, _ = high[:, v] - low[:, v]
+        return (z * depth + y) * width + x
+
+    todo = np.arange(len(i))
+    while len(todo):
+        size = high[:, todo] - low[:, todo]
+        small = size.prod(axis=0) < leaf
+        done = todo[small]
+        out[done] = base[done] + inside(done)
+        todo, size = todo[~small], size[:, ~small]
+        axis, column = size.argmax(axis=0), np.arange(len(todo))
+        cut = low[axis, todo] + size[axis, column] // 2
+        layer = size.prod(axis=0) // size[axis, column]
+        left, right = layer * (cut - low[axis, todo]), layer * (high[axis, todo] - cut - 1)
+        c = at[axis, todo]
+        on = c == cut
+        v = todo[on]
+        low[axis[on], v], high[axis[on], v] = cut[on], cut[on] + 1
+        out[v] = base[v] + left[on] + right[on] + inside(v)
+        before, after = c < cut, c > cut
+        high[axis[before], todo[before]] = cut[before]
+        low[axis[after], todo[after]] = cut[after] + 1
+        base[todo[after]] += left[after]
+        todo = todo[~on]
+    return out
 
 
 def dissect(starts: np.ndarray, targets: np.ndarray, leaf: int = 24) -> np.ndarray:
@@ -159,9 +168,11 @@ def amalgamate(first: list[int], width: list[int], rows: list[np.ndarray], paren
 
     def find(s: int) -> int:
         while into[s] != s:
+            into[s] = into[into[s]]
             s = into[s]
         return s
 
+    ends = {first[s] + width[s]: s for s in range(k)}  # columns follow each other, so one supernode ends at a place
     heap = [(fill(s), s) for s in range(k) if parent[s] != s and first[s] + width[s] == first[parent[s]]]
     heapq.heapify(heap)
     budget, used = ratio * nnz, 0
@@ -182,9 +193,10 @@ def amalgamate(first: list[int], width: list[int], rows: list[np.ndarray], paren
         into[s] = f
         first[f] = first[s]
         width[f] += width[s]
-        for c in range(k):
-            if alive[c] and c != f and find(parent[c]) == f and first[c] + width[c] == first[f]:
-                heapq.heappush(heap, (fill(c) if parent[c] == f else 0, c))
+        # the merged supernode begins where its son began: who ends there may be a son in turn
+        c = ends.get(first[f])
+        if c is not None and alive[c] and c != f and find(parent[c]) == f:
+            heapq.heappush(heap, (fill(c) if parent[c] == f else 0, c))
     return [find(s) for s in range(k)]
 
 
@@ -217,42 +229,52 @@ def hamming_order(sets: list[frozenset], stop: int) -> list[int]:
     return tour[1:]
 
 
+#: Columns that are eliminated one by one before the rest of the front is updated by one matrix product.
+PANEL = 48
+
+
 def factor_front(front: np.ndarray, pivots: int, kind: str, criterion: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Eliminates the first columns of a dense front.
+    """Eliminates the first columns of a dense front, a panel at a time.
 
     Returns L (columns, unit diagonal except for LLT and LLH), D or the rows of U, the remaining
     Schur block and the number of pivots replaced. A pivot smaller than criterion is replaced: by
     plus the criterion in Cholesky, else by plus or minus it, after the sign of its real part.
     """
     a = front.copy()
-    m = len(a)
-    fixed = 0
-    for c in range(pivots):
-        p = a[c, c]
-        if abs(p) < criterion:
-            fixed += 1
-            p = criterion if kind in ("LLT", "LLH") or p.real >= 0 else -criterion
+    m, fixed = len(a), 0
+    hermitian, cholesky, general = kind in ("LLH", "LDLH"), kind in ("LLT", "LLH"), kind == "LU"
+    mirror = np.conj if hermitian else np.asarray
+    for begin in range(0, pivots, PANEL):
+        end = min(begin + PANEL, pivots)
+        for c in range(begin, end):
+            p = a[c, c]
+            if abs(p) < criterion:
+                fixed += 1
+                p = criterion if cholesky or p.real >= 0 else -criterion
+            if cholesky:
+                p = np.sqrt(p) if np.iscomplexobj(a) or p.real >= 0 else np.nan
             a[c, c] = p
-        if kind in ("LLT", "LLH"):
-            root = np.sqrt(p) if np.iscomplexobj(a) or p.real >= 0 else np.nan
-            a[c, c] = root
-            a[c + 1 :, c] /= root
-            right = a[c + 1 :, c].conj() if kind == "LLH" else a[c + 1 :, c]
-            a[c + 1 :, c + 1 :] -= np.outer(a[c + 1 :, c], right)
-        elif kind in ("LDLT", "LDLH"):
             a[c + 1 :, c] /= p
-            right = a[c + 1 :, c].conj() if kind == "LDLH" else a[c + 1 :, c]
-            a[c + 1 :, c + 1 :] -= np.outer(a[c + 1 :, c] * p, right)
+            if c + 1 < end:
+                # the panel's own columns; of LU its rows beyond the panel follow below
+                row = a[c, c + 1 : end] if general else mirror(a[c + 1 : end, c]) * (1 if cholesky else p)
+                a[c + 1 :, c + 1 : end] -= np.outer(a[c + 1 :, c], row)
+        low = a[end:, begin:end]
+        if general:
+            # rows of U: the panel's unit lower triangle is solved with
+            for c in range(begin, end - 1):
+                a[c + 1 : end, end:] -= np.outer(a[c + 1 : end, c], a[c, end:])
+            a[end:, end:] -= low @ a[begin:end, end:]
         else:
-            a[c + 1 :, c] /= p
-            a[c + 1 :, c + 1 :] -= np.outer(a[c + 1 :, c], a[c, c + 1 :])
+            right = low if cholesky else low * np.diag(a)[begin:end]
+            a[end:, end:] -= right @ mirror(low).T
     low = np.tril(a[:, :pivots])
-    if kind in ("LLT", "LLH"):
+    if cholesky:
         up = np.zeros((0, m), a.dtype)
-    elif kind in ("LDLT", "LDLH"):
-        up = np.diag(a)[:pivots].copy()
-        low[np.arange(pivots), np.arange(pivots)] = 1
-    else:
+    elif general:
         up = np.triu(a[:pivots])
+    else:
+        up = np.diag(a)[:pivots].copy()
+    if not cholesky:
         low[np.arange(pivots), np.arange(pivots)] = 1
     return low, up, a[pivots:, pivots:], fixed

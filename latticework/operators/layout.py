@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import ordered
+
 
 def permute(coo: DataFrame, ordering: DataFrame) -> DataFrame:
     """P A P^T: both indices through (i, perm)."""
@@ -33,7 +35,7 @@ def compose(first: DataFrame, second: DataFrame) -> DataFrame:
 def column_pointers(coo: DataFrame) -> DataFrame:
     """Per column its number of entries and the entries before it."""
     counts = coo.groupBy("j").agg(F.count("*").alias("entries"))
-    return counts.select("j", "entries", (F.sum("entries").over(Window.orderBy("j")) - F.col("entries")).alias("pointer"))
+    return ordered(counts, [F.col("j")], "at", upto="entries").select("j", "entries", (F.col("upto") - F.col("entries")).alias("pointer"))
 
 
 def columns_of(supernodes: DataFrame) -> DataFrame:
@@ -59,8 +61,8 @@ def expand_matrix(coo: DataFrame, dofs: DataFrame) -> DataFrame:
 def expand_ordering(ordering: DataFrame, dofs: DataFrame) -> DataFrame:
     """The ordering of unknowns: a vertex's unknowns stay together, in permuted order of the vertices."""
     sized = ordering.join(dofs, "i").withColumn("size", F.col("end") - F.col("begin"))
-    at = F.sum("size").over(Window.orderBy("perm")) - F.col("size")
-    out = sized.withColumn("at", at).withColumn("i", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)))
+    sized = ordered(sized, [F.col("perm")], "place", upto="size").withColumn("at", F.col("upto") - F.col("size"))
+    out = sized.withColumn("i", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)))
     return out.select("i", (F.col("at") + F.col("i") - F.col("begin")).alias("perm"))
 
 

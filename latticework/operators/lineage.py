@@ -35,6 +35,15 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df, written once in as many buckets of key as shuffles have partitions: joins on key do not move it again."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"latticework_{uuid.uuid4().hex}"
+    rows = df.repartition(n, key)
+    rows.write.bucketBy(n, key).sortBy(key).option("path", new_path(spark, "buckets")).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes the files of tables that cut made, once all that was made of them is written itself."""
     for df in tables:

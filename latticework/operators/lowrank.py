@@ -91,7 +91,6 @@ def compress(a: np.ndarray, tol: float, method: str = "SVD", relative: bool = Fa
     if method == "SVD":
         u, s, vt = np.linalg.svd(a, full_matrices=False)
         tail = np.sqrt(np.cumsum(s[::-1] ** 2))[::-1]
-        k = int(np.searchsorted(-tail, -bound, "right")) if tail[-1] < bound else len(s)
         k = int((tail >= bound).sum())
         return Block(k, u[:, :k] * s[:k], vt[:k].T) if k <= most else Block(-1, a, None)
     if method == "PQRCP":

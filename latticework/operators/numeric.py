@@ -5,6 +5,12 @@ supernodes above are groups of their own, taken level by level from the deepest.
 groups is one grouped function; what it leaves for later columns comes back as entries that are added
 up with those of the matrix (partial sums before the shuffle). So the number of Spark
 stages is the height of the cut tree, not that of the tree.
+
+With a Compression the rows below a wide enough supernode are cut into blocks, which are kept as U V^T
+where that is smaller: compressed before the supernode is eliminated (MinimalMemory, the solve with the pivot block then
+changes V alone) or after it (JustInTime). Updates of later columns are products of such blocks. A block's
+U and V are entries of a table `panels` (part, stage, grp, node, b, q, at, re, im): b the block's first row,
+q the term, at the row or column; a sweep applies V, then U.
 """
 
 from __future__ import annotations
@@ -13,19 +19,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import algebra, layout, ordering, symbolic
+from . import algebra, layout, lowrank, ordering, symbolic
 from .graph import components, prepare
 from .kernels import factor_front
 from .lineage import cut
+from .prefix import ordered
 from ..schema import GENERAL, HERMITIAN, Matrix
 
 KINDS = ("LLT", "LDLT", "LU", "LLH", "LDLH")
 #: Machine epsilon of pivot thresholds: relative rounding, half the spacing at 1.
 EPSILON = 2.0**-53
-_PARTS = "part string, k long, i long, j long, re double, im double"
+_PARTS = "part string, k long, i long, j long, b long, re double, im double"
 
 
 @dataclass(frozen=True)
@@ -53,6 +60,68 @@ class Factor:
     schur: DataFrame | None = None
     first_schur: int | None = None
     is_complex: bool = False
+    panels: DataFrame | None = None
+    ranks: DataFrame | None = None
+
+    def memory(self) -> DataFrame:
+        """Dense, null and low-rank blocks below supernodes with the bytes that they take."""
+        return lowrank.memory(self.ranks, 16 if self.is_complex else 8)
+
+
+@dataclass(frozen=True)
+class Compression:
+    """When and how blocks of at most `rows` rows are compressed; narrower supernodes and lower blocks stay dense. tolerance is relative to a block's norm."""
+
+    when: str = "JustInTime"
+    method: str = "PQRCP"
+    tolerance: float = 1e-8
+    least_width: int = 128
+    least_height: int = 20
+    rows: int = 256
+
+    def of(self, a: np.ndarray) -> lowrank.Block:
+        if min(a.shape) == 0 or a.shape[1] < self.least_width or a.shape[0] < self.least_height:
+            return lowrank.Block(-1, a, None)
+        return lowrank.compress(a, self.tolerance, self.method, relative=True, most=lowrank.rank_limit(*a.shape, self.when))
+
+
+def low_rank_front(front: np.ndarray, pivots: int, kind: str, criterion: float, c: Compression) -> tuple:
+    """As factor_front, with the rows below the pivots as blocks: L of the pivots, D or U of them, blocks (first row, L, U^T or None), what remains, pivots replaced."""
+    low, up, _, fixed = factor_front(front[:pivots, :pivots], pivots, kind, criterion)
+    hermitian, general = kind in ("LLH", "LDLH"), kind == "LU"
+    d = up if kind in ("LDLT", "LDLH") else np.ones(pivots, dtype=front.dtype)
+    # a block B of rows becomes B R^-1, which changes V of U V^T alone
+    right = up if general else (d[:, None] * (low.conj() if hermitian else low).T)
+
+    def solved(block: np.ndarray, by: np.ndarray) -> lowrank.Block:
+        if c.when == "MinimalMemory":
+            b = c.of(block)
+            return lowrank.Block(b.rank, b.u, np.linalg.solve(by.T, b.v)) if b.rank >= 0 else lowrank.Block(-1, np.linalg.solve(by.T, b.u.T).T, None)
+        return c.of(np.linalg.solve(by.T, block.T).T)
+
+    m = len(front)
+    cuts = [(a, min(a + c.rows, m)) for a in range(pivots, m, c.rows)]
+    lower = [solved(front[a:b, :pivots], right) for a, b in cuts]
+    upper = [solved(front[:pivots, a:b].T, low.T) for a, b in cuts] if general else [None] * len(cuts)
+
+    def other(n: int) -> lowrank.Block:
+        """What L is multiplied with, transposed."""
+        if general:
+            return upper[n]
+        x = lower[n]
+        u, v = (x.u.conj(), None if x.v is None else x.v.conj()) if hermitian else (x.u, x.v)
+        return lowrank.Block(-1, u * d, None) if x.rank < 0 else lowrank.Block(x.rank, u, d[:, None] * v)
+
+    rest = front[pivots:, pivots:].copy()
+    for j, (a, b) in enumerate(cuts):
+        by = other(j)
+        for i, (e, f) in enumerate(cuts):
+            if general or i >= j:
+                update = lowrank.multiply(lower[i], by, 0.0).dense()
+                rest[e - pivots : f - pivots, a - pivots : b - pivots] -= update
+                if not general and i > j:
+                    rest[a - pivots : b - pivots, e - pivots : f - pivots] -= (update.conj() if hermitian else update).T
+    return low, up, [(a, x, y) for (a, _), x, y in zip(cuts, lower, upper, strict=True)], rest, fixed
 
 
 def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, ratio: float = 0.05, last: DataFrame | None = None, leaf: int = 24) -> Analysis:
@@ -77,7 +146,7 @@ def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, rati
     if last is None:
         # after postordering supernodes are runs of columns; components follow each other
         sizes = columns.groupBy("component").agg(F.count("*").alias("c"))
-        before = sizes.select("component", (F.sum("c").over(Window.orderBy("component")) - F.col("c")).alias("before"))
+        before = ordered(sizes, [F.col("component")], "at", upto="c").select("component", (F.col("upto") - F.col("c")).alias("before"))
         to = cut(columns.join(before, "component").select("i", (F.col("post") + F.col("before")).alias("q")))
         order = cut(layout.compose(order, to.select("i", F.col("q").alias("perm"))))
         rows = columns.select("i", F.explode("rows").alias("r")).join(to.withColumnRenamed("i", "r"), "r").groupBy("i").agg(F.array_sort(F.collect_list("q")).alias("rows"))
@@ -146,7 +215,7 @@ def threshold(a: Matrix, epsilon: float) -> float:
     return (epsilon or EPSILON) * norm
 
 
-def _eliminate(kind: str, criterion: float, is_complex: bool, schur: int | None):
+def _eliminate(kind: str, criterion: float, is_complex: bool, schur: int | None, compression: Compression | None = None):
     symmetric = kind != "LU"
 
     def run(nodes: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
@@ -160,9 +229,20 @@ def _eliminate(kind: str, criterion: float, is_complex: bool, schur: int | None)
         waiting: dict[int, list] = {}
         out, fixed = [], 0
 
-        def put(part: str, k: int, rows, cols, vals) -> None:
+        def put(part: str, k: int, rows, cols, vals, b: int = 0) -> None:
             on = vals != 0
-            out.append((part, np.full(on.sum(), k), rows[on], cols[on], vals[on]))
+            out.append((part, np.full(on.sum(), k), rows[on], cols[on], vals[on], np.full(on.sum(), b)))
+
+        def put_block(names: str, k: int, rows: np.ndarray, cols: np.ndarray, block: lowrank.Block) -> None:
+            """A dense block as entries, another one as those of U (at, q) and V (at, q)."""
+            if block.rank < 0:
+                r, c = np.meshgrid(rows, cols, indexing="ij")
+                put(names[0].upper(), k, r.ravel(), c.ravel(), block.u.ravel())
+                return
+            q = np.arange(block.rank)
+            for side, at, values in (("u", rows, block.u), ("v", cols, block.v)):
+                r, c = np.meshgrid(at, q, indexing="ij")
+                put(names + side, k, r.ravel(), c.ravel(), values.ravel(), rows[0])
 
         for node in nodes.itertuples(index=False):
             index = np.concatenate([np.arange(node.first, node.last + 1), np.asarray(node.rows, dtype=np.int64)])
@@ -181,12 +261,21 @@ def _eliminate(kind: str, criterion: float, is_complex: bool, schur: int | None)
                 if m > pivots:
                     waiting.setdefault(node.parent, []).append((index[pivots:], front[pivots:, pivots:])) if node.parent in inside else _leave(put, index[pivots:], front[pivots:, pivots:], symmetric)
                 continue
-            low, up, rest, new = factor_front(front, pivots, kind, criterion)
+            if compression is None or pivots < compression.least_width or m == pivots:
+                low, up, rest, new = factor_front(front, pivots, kind, criterion)
+            else:
+                low, up, below, rest, new = low_rank_front(front, pivots, kind, criterion, compression)
+                for at, x, y in below:
+                    rows = index[at : at + compression.rows]
+                    for names, block in (("l", x), ("u", y)):
+                        if block is not None:
+                            put_block(names, node.k, rows, index[:pivots], block)
+                            out.append(("R", np.array([node.k]), np.array([len(rows)]), np.array([pivots]), np.array([float(block.rank)]), np.array([rows[0]])))
             fixed += new
-            r, c = np.nonzero(np.tril(np.ones((m, pivots), dtype=bool)))
+            r, c = np.nonzero(np.tril(np.ones((len(low), pivots), dtype=bool)))
             put("L", node.k, index[r], index[c], low[r, c])
             if kind in ("LDLT", "LDLH"):
-                out.append(("D", np.full(pivots, node.k), index[:pivots], index[:pivots], up))
+                out.append(("D", np.full(pivots, node.k), index[:pivots], index[:pivots], up, np.zeros(pivots, dtype=np.int64)))
             elif kind == "LU":
                 put("U", node.k, index[r], index[c], up[c, r])
             if m > pivots:
@@ -195,11 +284,12 @@ def _eliminate(kind: str, criterion: float, is_complex: bool, schur: int | None)
                 else:
                     _leave(put, index[pivots:], rest, symmetric)
         if fixed:
-            out.append(("P", *(np.zeros(1, dtype=np.int64),) * 3, np.array([float(fixed)])))
+            zero = np.zeros(1, dtype=np.int64)
+            out.append(("P", zero, zero, zero, np.array([float(fixed)]), zero))
         if not out:
-            return pd.DataFrame({"part": [], "k": [], "i": [], "j": [], "re": [], "im": []})
-        v = np.concatenate([x[4] for x in out])
-        return pd.DataFrame({"part": np.repeat([x[0] for x in out], [len(x[4]) for x in out]), "k": np.concatenate([x[1] for x in out]), "i": np.concatenate([x[2] for x in out]), "j": np.concatenate([x[3] for x in out]), "re": v.real, "im": v.imag})
+            return pd.DataFrame({"part": [], "k": [], "i": [], "j": [], "b": [], "re": [], "im": []})
+        k, i, j, v, b = (np.concatenate([x[c] for x in out]) for c in range(1, 6))
+        return pd.DataFrame({"part": np.repeat([x[0] for x in out], [len(x[4]) for x in out]), "k": k, "i": i, "j": j, "b": b, "re": v.real, "im": v.imag})
 
     return run
 
@@ -209,8 +299,8 @@ def _leave(put, index: np.ndarray, block: np.ndarray, symmetric: bool) -> None:
     put("C", -1, index[r], index[c], block[r, c])
 
 
-def factorize(a: Matrix, analysis: Analysis, kind: str = "LU", epsilon: float = 0.0, schur: int | None = None) -> Factor:
-    """Factors of P A P^T. With schur, columns from that number on are not eliminated and form the Schur complement."""
+def factorize(a: Matrix, analysis: Analysis, kind: str = "LU", epsilon: float = 0.0, schur: int | None = None, compression: Compression | None = None) -> Factor:
+    """Factors of P A P^T, with a compression of low-rank blocks. With schur, columns from that number on are not eliminated and form the Schur complement."""
     if kind not in KINDS:
         raise ValueError(f"no factorization {kind}")
     entries = layout.permute(algebra.full(a), analysis.ordering)
@@ -220,7 +310,7 @@ def factorize(a: Matrix, analysis: Analysis, kind: str = "LU", epsilon: float =
     keyed = lambda df: df.join(of.select(F.col("j").alias("owner"), "grp", "stage"), F.least("i", "j") == F.col("owner")).select("grp", "stage", "i", "j", "re", "im")
     pool = cut(keyed(entries))
     nodes = cut(analysis.tree.join(analysis.groups, "k"))
-    run = _eliminate(kind, threshold(a, epsilon), a.is_complex, schur)
+    run = _eliminate(kind, threshold(a, epsilon), a.is_complex, schur, compression)
     done = []
     for stage in range(analysis.stages):
         here = pool.where(F.col("stage") == stage).groupBy("grp", "i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
@@ -241,17 +331,24 @@ def factorize(a: Matrix, analysis: Analysis, kind: str = "LU", epsilon: float =
         upper = lower if kind in ("LLT", "LDLT") else lower.withColumn("im", -F.col("im"))
     d = everything.where("part = 'D'").select("i", "re", "im") if kind in ("LDLT", "LDLH") else None
     s = everything.where("part = 'S'").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im")) if schur is not None else None
-    return Factor(kind, analysis, lower, upper, d, int(replaced), s, schur, a.is_complex)
+    panels = ranks = None
+    if compression:
+        panels = everything.where("part in ('lu', 'lv', 'uu', 'uv')").withColumnsRenamed({"i": "at", "j": "q"}).join(analysis.groups, "k")
+        panels = cut(panels.select("part", "stage", "grp", F.col("k").alias("node"), "b", "q", "at", "re", "im"))
+        ranks = everything.where("part = 'R'").select(F.col("k").alias("node"), "b", F.col("i").cast("int").alias("m"), F.col("j").cast("int").alias("n"), F.col("re").cast("int").alias("rank"))
+    return Factor(kind, analysis, lower, upper, d, int(replaced), s, schur, a.is_complex, panels, ranks)
 
 
 def _sweep(is_complex: bool, back: bool):
     """Solves the columns of a group: forward, or backward with the transpose."""
 
     def run(entries: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
+        rows_of_panels = entries[entries["part"] != ""]
+        entries = entries[entries["part"] == ""]
         i, j = entries["i"].to_numpy(), entries["j"].to_numpy()
         v = entries["re"].to_numpy() + (1j * entries["im"].to_numpy() if is_complex else 0)
         cols = np.unique(j)
-        index = np.union1d(cols, i)
+        index = np.union1d(np.union1d(cols, i), rows_of_panels["i"].to_numpy())
         ks = np.unique(rhs["k"].to_numpy())
         x = np.zeros((len(index), len(ks)), dtype=complex if is_complex else float)
         own = np.isin(rhs["i"].to_numpy(), index)
@@ -259,13 +356,28 @@ def _sweep(is_complex: bool, back: bool):
         order = np.lexsort((i, j))
         i, j, v = np.searchsorted(index, i[order]), j[order], v[order]
         at = np.append(np.searchsorted(j, cols), len(j))
+        # a block takes effect once its last column is solved, or before that one is in the other direction
+        panels: dict[int, list] = {}
+        for _, block in rows_of_panels.groupby(["node", "b"]):
+            rank, sides = int(block["j"].max()) + 1, {}
+            for side, part in block.groupby(block["part"].str[1]):
+                places = np.unique(part["i"].to_numpy())
+                values = np.zeros((len(places), rank), dtype=x.dtype)
+                values[np.searchsorted(places, part["i"].to_numpy()), part["j"].to_numpy()] = part["re"].to_numpy() + (1j * part["im"].to_numpy() if is_complex else 0)
+                sides[side] = np.searchsorted(index, places), values
+            if len(sides) == 2:
+                panels.setdefault(int(sides["v"][0][-1]), []).append((*sides["u"], *sides["v"]))
         for c in range(len(cols) - 1, -1, -1) if back else range(len(cols)):
             s, e = at[c], at[c + 1]
             if back:
+                for rows, u, columns, w in panels.get(i[s], ()):
+                    x[columns] -= w @ (u.T @ x[rows])
                 x[i[s]] = (x[i[s]] - v[s + 1 : e] @ x[i[s + 1 : e]]) / v[s]
             else:
                 x[i[s]] /= v[s]
                 x[i[s + 1 : e]] -= np.outer(v[s + 1 : e], x[i[s]])
+                for rows, u, columns, w in panels.get(i[s], ()):
+                    x[rows] -= u @ (w.T @ x[columns])
         local = np.isin(index, cols)
         give = np.flatnonzero(local if back else np.ones(len(index), dtype=bool))
         r, k = np.meshgrid(give, np.arange(len(ks)), indexing="ij")
@@ -276,8 +388,8 @@ def _sweep(is_complex: bool, back: bool):
     return run
 
 
-def triangular(entries: DataFrame, b: DataFrame, analysis: Analysis, back: bool, is_complex: bool, stop: int | None = None) -> DataFrame:
-    """x with T x = b, T of entries (stage, grp, i, j, re, im) forward, or its transpose backward. stop: columns from there on pass through."""
+def triangular(entries: DataFrame, b: DataFrame, analysis: Analysis, back: bool, is_complex: bool, stop: int | None = None, panels: DataFrame | None = None) -> DataFrame:
+    """x with T x = b, T of entries (stage, grp, i, j, re, im) and panels forward, or its transpose backward. stop: columns from there on pass through."""
     of = layout.columns_of(analysis.tree).join(analysis.groups, "k").select(F.col("j").alias("i"), "grp", "stage")
     rest = cut(b.join(of, "i"))
     solved = rest.where(F.col("i") >= stop).select("i", "k", "re", "im") if stop is not None else None
@@ -288,12 +400,26 @@ def triangular(entries: DataFrame, b: DataFrame, analysis: Analysis, back: bool,
     run = _sweep(is_complex, back)
     for stage in reversed(range(analysis.stages)) if back else range(analysis.stages):
         here = entries.where(F.col("stage") == stage)
+        low = None if panels is None else panels.where(F.col("stage") == stage)
         rhs = rest.where(F.col("stage") == stage)
         if back and solved is not None:
             outer = here.join(solved.select("i", "k", F.col("re").alias("x_re"), F.col("im").alias("x_im")), "i")
             re, im = algebra.times(F.col("re"), F.col("im"), F.col("x_re"), F.col("x_im"))
             outer = outer.groupBy("grp", F.col("j").alias("i"), "k").agg((-F.sum(re)).alias("re"), (-F.sum(im)).alias("im"))
+            if low is not None:
+                # V (U^T x) of the rows that are solved already
+                term, place = ["grp", "node", "b", "q"], F.col("at") == F.col("i")
+                u = low.where("part like '_u'").join(solved.select("i", "k", F.col("re").alias("x_re"), F.col("im").alias("x_im")), place)
+                re, im = algebra.times(F.col("re"), F.col("im"), F.col("x_re"), F.col("x_im"))
+                t = u.groupBy(*term, "k").agg(F.sum(re).alias("x_re"), F.sum(im).alias("x_im"))
+                v = low.where("part like '_v'").select(*term, "at", "re", "im").join(t, term)
+                re, im = algebra.times(F.col("re"), F.col("im"), F.col("x_re"), F.col("x_im"))
+                outer = outer.unionByName(v.groupBy("grp", F.col("at").alias("i"), "k").agg((-F.sum(re)).alias("re"), (-F.sum(im)).alias("im")))
             rhs = rhs.select("grp", "i", "k", "re", "im").unionByName(outer).groupBy("grp", "i", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+        none = F.lit(0).cast("long")
+        here = here.select("grp", F.lit("").alias("part"), none.alias("node"), none.alias("b"), "i", "j", "re", "im")
+        if low is not None:
+            here = here.unionByName(low.select("grp", "part", "node", "b", F.col("at").alias("i"), F.col("q").alias("j"), "re", "im"))
         made = cut(here.groupBy("grp").cogroup(rhs.groupBy("grp")).applyInPandas(run, "own boolean, i long, k int, re double, im double"))
         new = made.where("own").select("i", "k", "re", "im")
         solved = new if solved is None else solved.unionByName(new)
@@ -313,16 +439,21 @@ def solve(f: Factor, b: DataFrame, trans: str = algebra.NO, mode: str = "Local")
     if trans == algebra.CONJ and f.kind in ("LLT", "LDLT", "LU") and is_complex:
         b = b.withColumn("im", -F.col("im"))
     y = layout.apply_order(b, f.analysis.ordering)
-    down, up = (f.upper, f.lower) if trans != algebra.NO and f.kind == "LU" else (f.lower, f.upper)
-    if trans == algebra.TRANS and f.kind in ("LLH", "LDLH") and is_complex:
-        down, up = f.upper, f.lower
+    swapped = trans != algebra.NO and f.kind == "LU" or trans == algebra.TRANS and f.kind in ("LLH", "LDLH") and is_complex
+    down, up = (f.upper, f.lower) if swapped else (f.lower, f.upper)
+    down_panels = up_panels = None
+    if f.panels is not None:
+        of_lower, of_upper = (f.panels.where(f"part like '{x}_'") for x in "lu")
+        if f.kind != "LU":
+            of_upper = of_lower if f.kind in ("LLT", "LDLT") else of_lower.withColumn("im", -F.col("im"))
+        down_panels, up_panels = (of_upper, of_lower) if swapped else (of_lower, of_upper)
     if mode != "Backward":
-        y = triangular(down, y, f.analysis, False, is_complex, f.first_schur)
+        y = triangular(down, y, f.analysis, False, is_complex, f.first_schur, down_panels)
         if f.d is not None:
             scaled = algebra.scale_rows(y, f.d, divide=True)
             y = scaled if f.first_schur is None else scaled.unionByName(y.where(F.col("i") >= f.first_schur))
     if mode != "Interface":
-        y = triangular(up, y, f.analysis, True, is_complex, f.first_schur)
+        y = triangular(up, y, f.analysis, True, is_complex, f.first_schur, up_panels)
     x = layout.apply_order(y, f.analysis.ordering, back=True)
     if trans == algebra.CONJ and f.kind in ("LLT", "LDLT", "LU") and is_complex:
         x = x.withColumn("im", -F.col("im"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import kernels
 from .graph import neighbours, new_numbers
 from .lineage import cut
+from .prefix import ordered
 
 
 def identity(vertices: DataFrame) -> DataFrame:
@@ -27,9 +28,14 @@ def personal(vertices: DataFrame, given: DataFrame, inverse: bool = False) -> Da
 
 
 def grid(spark: SparkSession, nx: int, ny: int = 1, nz: int = 1, leaf: int = 15) -> DataFrame:
-    """Geometric nested dissection of a regular grid."""
-    perm = kernels.grid_order(nx, ny, nz, leaf)
-    return spark.createDataFrame(pd.DataFrame({"i": np.arange(len(perm)), "perm": perm}), "i long, perm long")
+    """Geometric nested dissection of a regular grid. A vertex's place follows from its coordinates alone, so tasks need nothing else."""
+
+    def places(batches):
+        for pdf in batches:
+            i = pdf["i"].to_numpy()
+            yield pd.DataFrame({"i": i, "perm": kernels.grid_places(i, nx, ny, nz, leaf)})
+
+    return spark.range(nx * ny * nz).select(F.col("id").alias("i")).mapInPandas(places, "i long, perm long")
 
 
 def random_order(vertices: DataFrame, seed: int) -> DataFrame:
@@ -55,7 +61,7 @@ def nested_dissection(edges: DataFrame, labels: DataFrame, leaf: int = 24) -> Da
 
     local = cut(rows.groupBy("component").applyInPandas(order, "i long, component long, perm long"))
     sizes = local.groupBy("component").agg(F.count("*").alias("n"))
-    before = sizes.select("component", (F.sum("n").over(Window.orderBy("component")) - F.col("n")).alias("before"))
+    before = ordered(sizes, [F.col("component")], "at", upto="n").select("component", (F.col("upto") - F.col("n")).alias("before"))
     return local.join(before, "component").select("i", (F.col("perm") + F.col("before")).alias("perm"))
 
 
@@ -172,11 +178,7 @@ def amalgamated(tree: DataFrame, ratio: float = 0.05) -> DataFrame:
 def level_order(tree: DataFrame) -> DataFrame:
     """Supernodes (k, parent) renumbered so that deeper levels come first: (k, level, number)."""
     lv = levels(tree.select(F.col("k").alias("i"), "parent")).withColumnRenamed("i", "k")
-    top = lv.agg(F.max("level")).first()[0] or 0
-    counts = lv.groupBy("level").agg(F.count("*").alias("c"))
-    before = counts.select("level", (F.sum("c").over(Window.orderBy(F.col("level").desc())) - F.col("c")).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("level").orderBy("k")) - 1
-    return lv.withColumn("inner", inner).join(before, "level").select("k", "level", (F.col("before") + F.col("inner")).alias("number")).where(F.col("level") <= top)
+    return ordered(lv, [F.col("level").desc(), F.col("k")], "number").select("k", "level", (F.col("number") - 1).alias("number"))
 
 
 def clusters(nodes: DataFrame, edges: DataFrame, size: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import algebra
-from .lineage import cut
+from .lineage import bucketed, cut, drop, new_path
 
 Apply = Callable[[DataFrame], DataFrame]
 EPS, MOST, RESTART = 1e-12, 250, 25
@@ -30,8 +30,8 @@ class Result:
 
 
 def matvec(entries: DataFrame) -> Apply:
-    """One join and one aggregation for each product."""
-    held = entries
+    """One join and one aggregation for each product. The matrix is stored in buckets of its columns once, so a product shuffles the vector and partial sums only."""
+    held = bucketed(entries, "j")
 
     def apply(x: DataFrame) -> DataFrame:
         return algebra.spmv(held, x.select("i", F.lit(0).alias("k"), "re", "im")).select("i", "re", "im")
@@ -145,31 +145,66 @@ def bicgstab(a: Apply, b: DataFrame, x: DataFrame | None = None, m: Apply | None
     return Result(x, n, log[-1], log)
 
 
+class _Basis:
+    """Vectors q = 0, 1, ... as one table (q, i, re, im), so that all products with it take one join and one aggregation."""
+
+    def __init__(self, like: DataFrame):
+        self.spark, self.path, self.size = like.sparkSession, new_path(like.sparkSession, "basis"), 0
+
+    def append(self, v: DataFrame) -> None:
+        v.select("i", "re", "im", F.lit(self.size).alias("q")).write.mode("append").partitionBy("q").parquet(self.path)
+        self.size += 1
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema("i long, re double, im double, q int").parquet(self.path)
+
+    def vector(self, q: int) -> DataFrame:
+        return self.table().where(F.col("q") == q).select("i", "re", "im")
+
+    def dots(self, w: DataFrame) -> np.ndarray:
+        """Conjugated inner products of all vectors with w."""
+        right = w.select("i", F.col("re").alias("w_re"), F.col("im").alias("w_im"))
+        re, im = algebra.times(F.col("re"), -F.col("im"), F.col("w_re"), F.col("w_im"))
+        out = np.zeros(self.size, dtype=complex)
+        for row in algebra.summed(self.table().join(right, "i").select("q", re.alias("re"), im.alias("im")), "q").collect():
+            out[row["q"]] = complex(row["re"], row["im"])
+        return out
+
+    def combined(self, c: np.ndarray, w: DataFrame | None = None) -> DataFrame:
+        """w plus the vectors' combination with coefficients c."""
+        at = lambda part: F.element_at(F.array(*(F.lit(float(x)) for x in part)), F.col("q") + 1)
+        re, im = algebra.times(F.col("re"), F.col("im"), at(c.real), at(c.imag))
+        rows = self.table().where(F.col("q") < len(c)).select("i", re.alias("re"), im.alias("im"))
+        return cut(algebra.summed(rows if w is None else rows.unionByName(w.select("i", "re", "im")), "i"))
+
+
 def gmres(a: Apply, b: DataFrame, x: DataFrame | None = None, m: Apply | None = None, eps: float = EPS, most: int = MOST, restart: int = RESTART) -> Result:
-    """Right-preconditioned restarted GMRES with classical Gram-Schmidt: all products with the basis in one job."""
+    """Right-preconditioned restarted GMRES with classical Gram-Schmidt. A step takes as many jobs whatever the size of the basis."""
     m = m or (lambda v: v)
     x, r, size = _start(a, b, x)
     log = [_norm(r) / size]
     n = 0
     while log[-1] > eps and n < most:
         norm = _norm(r)
-        basis = [_combine((1 / norm, r))]
+        basis = _Basis(b)
+        basis.append(_combine((1 / norm, r)))
         h = np.zeros((restart + 1, restart), dtype=complex)
         small = np.zeros(restart + 1, dtype=complex)
         small[0] = norm
         for k in range(restart):
-            w = cut(a(m(basis[k])))
-            d = _dots({str(q): (v, w) for q, v in enumerate(basis)})
-            h[: k + 1, k] = [d[str(q)] for q in range(k + 1)]
-            w = _combine((1, w), *((-h[q, k], v) for q, v in enumerate(basis)))
-            h[k + 1, k] = _norm(w)
+            w = cut(a(m(basis.vector(k))))
+            h[: k + 1, k] = basis.dots(w)
+            new = basis.combined(-h[: k + 1, k], w)
+            drop(w)
+            h[k + 1, k] = _norm(new)
             y, *_ = np.linalg.lstsq(h[: k + 2, : k + 1], small[: k + 2], rcond=None)
             n += 1
             log.append(float(np.linalg.norm(small[: k + 2] - h[: k + 2, : k + 1] @ y)) / size)
             if log[-1] <= eps or n >= most or abs(h[k + 1, k]) == 0:
                 break
-            basis.append(_combine((1 / h[k + 1, k], w)))
-        step = m(_combine(*((complex(c), v) for c, v in zip(y, basis, strict=False))))
+            basis.append(algebra.scal(1 / h[k + 1, k], new))
+            drop(new)
+        step = m(basis.combined(np.asarray(y, dtype=complex)))
         x = _combine((1, x), (1, step))
         r = _combine((1, b), (-1, a(x)))
         log[-1] = _norm(r) / size

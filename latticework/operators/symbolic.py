@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .lineage import cut
+from .prefix import ordered
 
 
 def column_structure(columns: DataFrame) -> DataFrame:
@@ -178,9 +179,9 @@ def candidates(tree: DataFrame, least_width: int) -> DataFrame:
 
 def proportional_map(cost: DataFrame, bins: int) -> DataFrame:
     """(k, bin): supernodes in postorder dealt to bins of about equal cost by prefix sums."""
-    total = F.sum("cost").over(Window.partitionBy())
-    middle = F.sum("cost").over(Window.orderBy("k")) - F.col("cost") / 2
-    return cost.select("k", F.least(F.lit(bins - 1), F.floor(middle * bins / total)).cast("int").alias("bin"))
+    total = F.lit(cost.agg(F.sum("cost")).first()[0])
+    middle = F.col("upto") - F.col("cost") / 2
+    return ordered(cost, [F.col("k")], "at", upto="cost").select("k", F.least(F.lit(bins - 1), F.floor(middle * bins / total)).cast("int").alias("bin"))
 
 
 def hamming(sets: DataFrame, stop: int = 1 << 30) -> DataFrame:

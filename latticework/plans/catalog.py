@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import algebra, graph, layout, lowrank, numeric, ordering, refine, symbolic
-from ..operators.lineage import cut
+from ..operators.lineage import cut, new_path
 from ..schema import Matrix
 from ..sources import generators
 from . import parameters
@@ -157,15 +157,8 @@ def matrix_add(spark, sf):
     return algebra.add(supplier_part(spark, sf), diag, 2.0).select("i", "j", r("re"))
 
 
-@query(f"with {A}, {X} select p.i, q.i as j, round(sum(p.re * v * q.re), 2) as re from a p join x on p.j = x.j join a q on p.j = q.j where p.i < 20 and q.i < 20 group by 1, 2")
-def scaled_product(spark, sf):
-    a = supplier_part(spark, sf).where("i < 20")
-    return algebra.scaled_product(a, prices(spark, sf).drop("k"), algebra.transpose(a)).select("i", "j", r("re"))
-
-
 @query(f"with {A}, {X} select p.i, q.i as j, round(sum(p.re * v * q.re), 2) as re from a p join x on p.j = x.j join a q on p.j = q.j group by 1, 2")
-def scaled_product_whole(spark, sf):
-    """scaled_product is over a few rows, as its SQL; this is over all."""
+def scaled_product(spark, sf):
     a = supplier_part(spark, sf)
     return algebra.scaled_product(a, prices(spark, sf).drop("k"), algebra.transpose(a)).select("i", "j", r("re"))
 
@@ -284,19 +277,42 @@ def isolate_range(spark, sf):
     return graph.isolate_range(e, ordering.identity(spark.range(120).select(F.col("id").alias("i"))), 30, 70, distance=1)
 
 
-@query("with recursive u as (select n_nationkey as i, 100 + n_regionkey as j from nation), s as (select i, j from u union select j, i from u), w(i, v) as (select i, i from s union select w.i, s.j from w join s on s.i = w.v) select i, min(v) as component from w group by i")
+#: Nations, customers and orders, an id being 4 times the key plus 0, 1 or 2: a component is what hangs on a nation.
+OWNERS = (
+    "owners as (select 4 * n_nationkey as i, n_nationkey as k from nation union all select 4 * c_custkey + 1, c_nationkey from customer "
+    "union all select 4 * o_orderkey + 2, c_nationkey from orders join customer on c_custkey = o_custkey)"
+)
+
+
+@query(f"with {OWNERS} select i, min(i) over (partition by k) as component from owners")
 def connected_components(spark, sf):
-    e = nation_region(spark, sf)
-    v = graph.symmetrize(e).select("i").distinct()
+    c, o, n = (table(spark, sf, t) for t in ("customer", "orders", "nation"))
+    one = c.select((4 * F.col("c_custkey") + 1).alias("i"), (4 * F.col("c_nationkey")).cast("long").alias("j"))
+    two = o.select((4 * F.col("o_orderkey") + 2).alias("i"), (4 * F.col("o_custkey") + 1).alias("j"))
+    e = one.unionByName(two)
+    v = graph.united(n.select((4 * F.col("n_nationkey")).cast("long").alias("i")), graph.united(e.select("i"), e.select("j")))
     return graph.components(e, v)
 
 
-@query("select 16 as n, 4 as parts, 4 as smallest, 4 as largest")
+def sized_grid(spark, sf) -> tuple[int, DataFrame, DataFrame]:
+    """A grid of 25 columns with as many vertices as there are customers, about: its size, edges and labels."""
+    ny = table(spark, sf, "customer").count() // 25
+    labels = spark.range(25 * ny).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("component"))
+    return 25 * ny, grid_edges(spark, 25, ny), labels
+
+
+SIZED = "sized as (select 25 * (count(*) // 25) as n from customer)"
+
+
+@query(f"with {SIZED} select n, 8 as parts, n // 8 as smallest, (n + 7) // 8 as largest, true as short_cuts from sized")
 def kway_partition(spark, sf):
-    e = grid_edges(spark, 4, 4)
-    labels = spark.range(16).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("component"))
-    sizes = graph.partition(e, labels, 4).groupBy("part").count()
-    return sizes.agg(F.sum("count").alias("n"), F.count("*").alias("parts"), F.min("count").alias("smallest"), F.max("count").alias("largest"))
+    """Sizes of the parts; their cut is held against 7 cuts across the grid along a broken line of 25 + 2 edges."""
+    _, e, labels = sized_grid(spark, sf)
+    parts = cut(graph.partition(e, labels, 8))
+    sizes = parts.groupBy("part").count()
+    other = parts.select(F.col("i").alias("j"), F.col("part").alias("part_j"))
+    crossing = e.join(parts, "i").join(other, "j").where("part <> part_j and i < j").count()
+    return sizes.agg(F.sum("count").alias("n"), F.count("*").cast("int").alias("parts"), F.min("count").alias("smallest"), F.max("count").alias("largest")).withColumn("short_cuts", F.lit(crossing <= 2 * 7 * 27))
 
 
 @query("select unnest([21, 22, 23]) as i, unnest([-1, -2, -4]) as mark")
@@ -306,17 +322,11 @@ def projection_marks(spark, sf):
     return graph.projections(lv, e, spark.createDataFrame([(21,), (22,), (23,)], "i long"), 3, 1)
 
 
-@query(f"with {PATTERN}, a as (select j from p where i % 2 = 0), b as (select j from p where i % 3 = 0) select j from a union select j from b")
-def integer_set_union(spark, sf):
-    p = customer_part(spark, sf)
-    return p.where("i % 2 = 0").select("j").union(p.where("i % 3 = 0").select("j")).distinct()
-
-
 @query(f"with {PATTERN} select i as j from p union select j from p")
-def integer_set_union_whole(spark, sf):
+def integer_set_union(spark, sf):
     """The union of all row and all column ids."""
     p = customer_part(spark, sf)
-    return p.select(F.col("i").alias("j")).union(p.select("j")).distinct()
+    return graph.united(p.select("i"), p.select("j")).withColumnRenamed("i", "j")
 
 
 # generators
@@ -514,16 +524,24 @@ def level_order(spark, sf):
     return ordering.level_order(_tree(spark))
 
 
-@query("select 105::bigint as n, true as valid")
+def _judged(e: DataFrame, labels: DataFrame, order: DataFrame) -> DataFrame:
+    """Is an order a bijection, and has its factor fewer entries than a band of 25 columns?"""
+    order = cut(order)
+    columns = ordering.elimination(layout.permute(e, order), labels)
+    entries = columns.agg(F.sum(F.size("rows")).alias("entries"))
+    return ordering.check(order).crossJoin(entries).select("n", "valid", (F.col("entries") < 25 * F.col("n")).alias("less_fill"))
+
+
+@query(f"with {SIZED} select n, true as valid, true as less_fill from sized")
 def grid_ordering(spark, sf):
-    return ordering.check(ordering.grid(spark, 7, 5, 3))
+    n, e, labels = sized_grid(spark, sf)
+    return _judged(e, labels, ordering.grid(spark, 25, n // 25, 1))
 
 
-@query("select 120::bigint as n, true as valid")
+@query(f"with {SIZED} select n, true as valid, true as less_fill from sized")
 def nested_dissection(spark, sf):
-    e = grid_edges(spark, 12, 10)
-    labels = spark.range(120).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("component"))
-    return ordering.check(ordering.nested_dissection(e, labels, 8))
+    _, e, labels = sized_grid(spark, sf)
+    return _judged(e, labels, ordering.nested_dissection(e, labels, 8))
 
 
 @query("select c_custkey as i, c_custkey as perm from customer")
@@ -547,14 +565,8 @@ def permutation_round_trip(spark, sf):
     return layout.apply_order(layout.apply_order(x, order), order, back=True).select("i", "re")
 
 
-@query(f"with {A} select 1000000 - i as i, 1000000 - j as j, re from a where i <= 100 and j <= 100")
-def permute_matrix(spark, sf):
-    order = spark.range(1_000_001).select(F.col("id").alias("i"), (1_000_000 - F.col("id")).alias("perm")).where("i <= 100")
-    return layout.permute(supplier_part(spark, sf), order).select("i", "j", "re")
-
-
 @query(f"with {A}, m as (select greatest(max(i), max(j)) as m from a) select m - i as i, m - j as j, re from a, m")
-def permute_matrix_whole(spark, sf):
+def permute_matrix(spark, sf):
     """All rows and columns, by the reverse order of all ids of the table."""
     a = supplier_part(spark, sf)
     ids = cut(a.select("i").union(a.select("j")).distinct())
@@ -631,15 +643,8 @@ def compose_orderings(spark, sf):
     return layout.compose(first, first.select(F.col("perm").alias("i"), (F.col("perm") * 3).alias("perm")))
 
 
-@query(f"with {A} select p.i, q.i as j, sum(p.re * q.re) as re from a p join a q on p.j = q.j where p.i < 30 and q.i < 30 group by 1, 2")
-def matrix_product(spark, sf):
-    a = supplier_part(spark, sf).where("i < 30")
-    return algebra.product(a, algebra.transpose(a)).select("i", "j", "re")
-
-
 @query(f"with {A} select p.i, q.i as j, sum(p.re * q.re) as re from a p join a q on p.j = q.j group by 1, 2")
-def matrix_product_whole(spark, sf):
-    """matrix_product is over a few rows, as its SQL; this is over all."""
+def matrix_product(spark, sf):
     a = supplier_part(spark, sf)
     return algebra.product(a, algebra.transpose(a)).select("i", "j", "re")
 
@@ -723,11 +728,16 @@ def refine_bicgstab(spark, sf):
     return s.solve(b, refined=True).select("i", F.round("re", 5).alias("re"))
 
 
-@query()
+@query("select range as i, range as j, round(2 * (1 + (range > 0)::int + (range < 5)::int) - 1 / (2.0 * 6), 6) as re from range(6) union all select a.range, b.range, -1.0::double from range(6) a, range(6) b where abs(a.range - b.range) = 1")
 def schur_complement(spark, sf):
-    m = generators.laplacian(spark, 6, 6, alpha=2.0)
-    s = Solver(m, parameters.Parameters(factorization="LLT"), schur=spark.range(12).select(F.col("id").alias("i")))
-    return s.schur().select("i", "j", F.round("re", 6).alias("re"))
+    """A row of six vertices, each with a tail of its own of which the first vertex has six neighbours: eliminating the tails leaves a known matrix."""
+    base = generators.laplacian(spark, 6, 1, alpha=2.0).coo.where("i <> j")
+    own = spark.range(6).select(F.col("id").alias("i"), F.col("id").alias("j"), (2.0 * (1 + (F.col("id") > 0).cast("int") + (F.col("id") < 5).cast("int"))).alias("re"), F.lit(0.0).alias("im"))
+    tail = spark.range(6, 12).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(12.0).alias("re"), F.lit(0.0).alias("im"))
+    link = spark.range(6).select((F.col("id") + 6).alias("i"), F.col("id").alias("j"), F.lit(-1.0).alias("re"), F.lit(0.0).alias("im"))
+    m = Matrix(base.unionByName(own).unionByName(tail).unionByName(link), 12, "Symmetric")
+    s = Solver(m, parameters.Parameters(factorization="LLT"), schur=spark.range(6).select(F.col("id").alias("i")))
+    return s.schur().where("abs(re) > 1e-12").select("i", "j", F.round("re", 6).alias("re"))
 
 
 @query()
@@ -755,10 +765,75 @@ def enumeration_names(spark, sf):
     return parameters.names_table(spark).where("kind = 'norm'").select("name", "number")
 
 
-@query()
+@query("select unnest(['factorization', 'ordering', 'leaf', 'amalgamation', 'limit', 'epsilon', 'refinement', 'refine_epsilon', 'refine_most', 'restart', 'trans', 'mixed', 'compress_when', 'compress_method', 'compress_tolerance', 'compress_least_width', 'compress_least_height']) as name, unnest(['None', 'Dissection', '24', '0.05', '20000', '0.0', 'GMRES', '1e-12', '250', '25', 'NoTrans', 'False', 'Never', 'PQRCP', '1e-08', '128', '20']) as value")
 def parameter_table(spark, sf):
     return parameters.Parameters().table(spark)
 
 
+FORMATS = "f as (select unnest(['mm', 'ijv', 'spm']) as format)"
+
+
+@query(f"with {A}, {FORMATS} select format, i, count(*) as entries, sum(re) as re, sum(j)::bigint as columns from a, f group by format, i")
+def file_formats(spark, sf):
+    """The supplier x part matrix written in each format and read back."""
+    from ..sources import files
+
+    a = cut(supplier_part(spark, sf))
+    n = a.agg(F.max(F.greatest("i", "j"))).first()[0] + 1
+    m, out = Matrix(a, n), None
+    for name, write in (("mm", files.write_matrix_market), ("ijv", files.write_ijv), ("spm", lambda x, path: files.save(x.coo, path))):
+        path = new_path(spark, name)
+        write(m, path)
+        back = files.read(spark, name, path, **({} if name == "mm" else {"n": n})).coo
+        rows = back.groupBy(F.lit(name).alias("format"), "i").agg(F.count("*").alias("entries"), F.sum("re").alias("re"), F.sum("j").alias("columns"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("select c_custkey as i, c_custkey * 7 % 1000003 as perm from customer")
+def ordering_file(spark, sf):
+    from ..sources import files
+
+    path = new_path(spark, "ordering")
+    files.write_ordering(table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), (F.col("c_custkey") * 7 % 1000003).alias("perm")), path)
+    return files.read_ordering(spark, path)
+
+
+@query("with v as (select range as i, range % 4 as x, range // 4 % 3 as y, range // 12 as z from range(36)), e as (select a.i, b.i as j from v a join v b on a.i <> b.i and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1 and abs(a.z - b.z) <= 1) select i, j, -2.0::double as re, -1.0::double as im from e where j < i union all select i, i, 1.5 * count(*), 0.0 from e group by i")
+def laplacian_extended_hermitian(spark, sf):
+    return generators.extended_laplacian(spark, 4, 3, 3, 1.5, 2.0, "Complex64").coo.select("i", "j", "re", "im")
+
+
+def _low_rank(spark, when: str, kind: str) -> Solver:
+    m = generators.laplacian(spark, 12, 12, 8, alpha=2.0)
+    options = parameters.Parameters(factorization=kind, compress_when=when, compress_tolerance=1e-8, compress_least_width=16, compress_least_height=8)
+    return Solver(m, options)
+
+
+@query("select range as i, (range % 7 + 1)::double as re from range(1152)")
+def solve_low_rank_just_in_time(spark, sf):
+    s = _low_rank(spark, "JustInTime", "LLT")
+    return s.solve(_known(s.a, spark)[1]).select("i", F.round("re", 4).alias("re"))
+
+
+@query("select range as i, (range % 7 + 1)::double as re from range(1152)")
+def solve_low_rank_minimal_memory(spark, sf):
+    s = _low_rank(spark, "MinimalMemory", "LU")
+    return s.solve(_known(s.a, spark)[1]).select("i", F.round("re", 4).alias("re"))
+
+
+@query("select true as some_low_rank, true as smaller")
+def low_rank_factor_memory(spark, sf):
+    rows = cut(_low_rank(spark, "MinimalMemory", "LDLT").factorize().memory())
+    return rows.agg(F.coalesce(F.sum(F.when(F.col("class") == "low-rank", F.col("blocks"))) > 0, F.lit(False)).alias("some_low_rank"), (F.sum("used_bytes") < F.sum("dense_bytes")).alias("smaller"))
+
+
+@query("select range as i, (range % 7 + 1)::double as re from range(240)")
+def solve_degrees_of_freedom(spark, sf):
+    """Four unknowns for each vertex: the graph of vertices is ordered, and its order expanded."""
+    m = generators.with_dofs(generators.laplacian(spark, 5, 4, 3, alpha=2.0), 4)
+    return Solver(m, parameters.Parameters(factorization="LLT")).solve(_known(m, spark)[1]).select("i", F.round("re", 6).alias("re"))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return spmv(spark, sf)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import algebra, numeric, refine
+from ..operators import algebra, graph, layout, numeric, ordering, refine
 from ..operators.lineage import cut
 from ..schema import Matrix
 from .parameters import Parameters
@@ -20,8 +22,6 @@ class Solver:
 
     def __init__(self, a: Matrix, parameters: Parameters | None = None, definite: bool = False, order: DataFrame | None = None, schur: DataFrame | None = None):
         self.parameters = parameters or Parameters()
-        if self.parameters.compress_when != "Never":
-            raise NotImplementedError(f"factors are dense: compress_when={self.parameters.compress_when} is not reproduced")
         if order is None and self.parameters.ordering in ("Grid", "Personal"):
             raise ValueError(f"ordering={self.parameters.ordering} needs an order")
         self.kind = self.parameters.factorization or numeric.default_kind(a, definite)
@@ -33,7 +33,7 @@ class Solver:
 
     def setup(self, a: Matrix) -> None:
         """Another matrix: all steps are undone."""
-        self.a = Matrix(cut(a.coo), a.n, a.kind, a.arithmetic)
+        self.a = Matrix(cut(a.coo), a.n, a.kind, a.arithmetic, a.dof)
         self.analysis = self.factor = None
 
     def analyze(self) -> numeric.Analysis:
@@ -41,17 +41,30 @@ class Solver:
             order = self.order
             if order is None and self.parameters.ordering == "Identity":
                 order = self.a.coo.sparkSession.range(self.a.n).select(F.col("id").alias("i"), F.col("id").alias("perm"))
+            if order is None and self.a.dof > 1:
+                order = self._vertex_order()
             self.analysis = numeric.analyze(self.a, order, self.parameters.limit, self.parameters.amalgamation, self.listed, self.parameters.leaf)
         return self.analysis
 
+    def _vertex_order(self) -> DataFrame:
+        """The ordering of the graph of vertices, its places expanded to their unknowns."""
+        dof, spark = self.a.dof, self.a.coo.sparkSession
+        vertex = lambda c: F.floor(F.col(c) / dof).alias(c)
+        edges = cut(graph.prepare(self.a.coo.select(vertex("i"), vertex("j"))))
+        vertices = spark.range(self.a.n // dof).select(F.col("id").alias("i"))
+        order = ordering.nested_dissection(edges, cut(graph.components(edges, vertices)), self.parameters.leaf)
+        return layout.expand_ordering(order, layout.constant_dofs(vertices, dof))
+
     def factorize(self) -> numeric.Factor:
         if self.factor is None:
             first = None if self.listed is None else self.a.n - self.listed.count()
-            self.factor = numeric.factorize(self.a, self.analyze(), self.kind, self.parameters.epsilon, first)
+            p = self.parameters
+            compression = None if p.compress_when == "Never" else numeric.Compression(p.compress_when, p.compress_method, p.compress_tolerance, p.compress_least_width, p.compress_least_height)
+            self.factor = numeric.factorize(self.a, self.analyze(), self.kind, p.epsilon, first, compression)
             if self.parameters.mixed:
                 single = lambda df: None if df is None else cut(algebra.to_single(df))
                 f = self.factor
-                self.factor = numeric.Factor(f.kind, f.analysis, single(f.lower), single(f.upper), single(f.d), f.replaced, f.schur, f.first_schur, f.is_complex)
+                self.factor = replace(f, lower=single(f.lower), upper=single(f.upper), d=single(f.d), panels=single(f.panels))
         return self.factor
 
     def solve(self, b: DataFrame, refined: bool = False, trans: str | None = None) -> DataFrame:

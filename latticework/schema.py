@@ -21,12 +21,13 @@ ARITHMETIC = ("Pattern", "Float", "Double", "Complex32", "Complex64")
 
 @dataclass(frozen=True)
 class Matrix:
-    """A square sparse matrix. Symmetric and Hermitian ones store one triangle."""
+    """A square sparse matrix. Symmetric and Hermitian ones store one triangle. dof: unknowns of each vertex, which follow each other."""
 
     coo: DataFrame
     n: int
     kind: str = GENERAL
     arithmetic: str = "Double"
+    dof: int = 1
 
     @property
     def is_complex(self) -> bool:

@@ -27,8 +27,10 @@ def _numbers(lines: DataFrame, base: int, has_values: bool, complex_: bool) -> D
 
 def read_matrix_market(spark: SparkSession, path: str) -> Matrix:
     """A coordinate MatrixMarket file: real, integer, complex or pattern; general, symmetric or Hermitian."""
-    text = spark.read.text(path)
-    head = text.select("value", F.col("_metadata.file_block_start").alias("at")).where("at = 0")
+    text = spark.read.text(path, recursiveFileLookup=True)
+    # banner and size line begin the file, or the first of its parts
+    first = text.select(F.min("_metadata.file_path")).first()[0]
+    head = text.select("value", F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_path").alias("file")).where((F.col("at") == 0) & (F.col("file") == first))
     banner = head.first()["value"].lower().split()
     if len(banner) < 5 or banner[0] != "%%matrixmarket" or banner[2] != "coordinate":
         raise ValueError(f"{path} is no coordinate MatrixMarket file")
@@ -36,14 +38,43 @@ def read_matrix_market(spark: SparkSession, path: str) -> Matrix:
     size = head.where(~F.col("value").startswith("%") & (F.trim("value") != "")).first()["value"]
     field, shape = banner[3], banner[4]
     kind = {"general": GENERAL, "symmetric": SYMMETRIC, "hermitian": HERMITIAN}[shape]
-    # the size line is the only one that equals it and is not an entry: an entry's second index never exceeds the columns
-    rows, columns, nnz = map(int, size.split())
-    body = entries.where(F.trim("value") != size.strip()) if field != "pattern" else entries.where(F.size(F.split(F.trim("value"), r"\s+")) == 2)
+    rows, columns, _ = map(int, size.split())
+    # entries may read as the size line does; such lines are all alike, so any one of them can be taken for it
+    same = F.col("value") == size
+    again = entries.where(same).count() - 1
+    body = entries.where(~same).select("value").unionByName(spark.range(again).select(F.lit(size).alias("value")))
     coo = _numbers(body, 1, field != "pattern", field == "complex")
     arithmetic = {"pattern": "Pattern", "complex": "Complex64"}.get(field, "Double")
     return Matrix(coo, max(rows, columns), kind, arithmetic)
 
 
+def write_matrix_market(a: Matrix, path: str) -> None:
+    """A coordinate file in parts; banner and size line are a part of their own, the first by name."""
+    field = {"Pattern": "pattern"}.get(a.arithmetic, "complex" if a.is_complex else "real")
+    shown = ["re", "im"][: {"pattern": 0, "real": 1, "complex": 2}[field]]
+    lines = a.coo.select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, *(F.col(c).cast("string") for c in shown)).alias("value"))
+    head = [f"%%MatrixMarket matrix coordinate {field} {a.kind.lower()}", f"{a.n} {a.n} {a.coo.count()}"]
+    spark = a.coo.sparkSession
+    spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/part=0")
+    lines.write.mode("overwrite").text(f"{path}/part=1")
+
+
+def write_ijv(a: Matrix, path: str, base: int = 1) -> None:
+    shown = ("re", "im") if a.is_complex else ("re",)
+    a.coo.select(F.concat_ws(" ", F.col("i") + base, F.col("j") + base, *(F.col(c).cast("string") for c in shown)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_ordering(ordering: DataFrame, path: str) -> None:
+    """Lines `vertex place`."""
+    ordering.select(F.concat_ws(" ", "i", "perm").alias("value")).write.mode("overwrite").text(path)
+
+
+def read_ordering(spark: SparkSession, path: str, base: int = 0) -> DataFrame:
+    """(i, perm) from lines `vertex place`."""
+    t = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where(F.trim("value") != "").select((F.get(t, 0).cast("long") - base).alias("i"), (F.get(t, 1).cast("long") - base).alias("perm"))
+
+
 def read_ijv(spark: SparkSession, path: str, n: int, base: int = 1, complex_: bool = False, kind: str = GENERAL) -> Matrix:
     """Lines `i j re [im]`."""
     text = spark.read.text(path).where(F.trim("value") != "")
@@ -122,8 +153,10 @@ def read(spark: SparkSession, driver: str, source: str, **options) -> Matrix:
     if driver in ("laplacian", "xlaplacian"):
         g = parse_grid(source)
         if driver == "xlaplacian":
-            return generators.extended_laplacian(spark, g["nx"], g["ny"] * g["nz"], g["alpha"], g["beta"])
-        return generators.laplacian(spark, g["nx"], g["ny"], g["nz"], g["alpha"], g["beta"], g["arithmetic"])
+            a = generators.extended_laplacian(spark, g["nx"], g["ny"], g["nz"], g["alpha"], g["beta"], g["arithmetic"])
+        else:
+            a = generators.laplacian(spark, g["nx"], g["ny"], g["nz"], g["alpha"], g["beta"], g["arithmetic"])
+        return generators.with_dofs(a, g["dof"])
     if driver == "graph":
         edges = spark.read.schema("i long, j long").parquet(source)
         return Matrix(generators.fake_values(edges), (edges.agg(F.max(F.greatest("i", "j"))).first()[0] or 0) + 1)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import HERMITIAN, SYMMETRIC, Matrix
+from ..schema import GENERAL, HERMITIAN, SYMMETRIC, Matrix
 
 #: Multiplier, increment and scale of the 64-bit generator.
 LCG_A, LCG_C, LCG_SCALE = 6364136223846793005, 1, 5.4210108624275222e-20
@@ -27,16 +27,36 @@ def laplacian(spark: SparkSession, nx: int, ny: int = 1, nz: int = 1, alpha: flo
     return Matrix(coo, nx * ny * nz, HERMITIAN if hermitian else SYMMETRIC, "Complex64" if hermitian else arithmetic)
 
 
-def extended_laplacian(spark: SparkSession, nx: int, ny: int = 1, alpha: float = 1.0, beta: float = 1.0) -> Matrix:
-    """Lower triangle of a nine-point grid Laplacian: neighbours along edges and diagonals."""
-    v = spark.range(nx * ny).select(F.col("id").alias("i"), (F.col("id") % nx).alias("x"), F.floor(F.col("id") / nx).alias("y"))
-    shifts = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
-    inside = lambda a, b: (F.col("x") + a).between(0, nx - 1) & (F.col("y") + b).between(0, ny - 1)
-    degree = sum(inside(a, b).cast("int") for a, b in shifts)
-    entry = lambda j, re: F.struct(j.cast("long").alias("j"), re.alias("re"))
-    cells = F.array(entry(F.col("i"), F.lit(float(alpha)) * degree), *(F.when(inside(a, b), entry(F.col("i") + a + b * nx, F.lit(-float(beta)))) for a, b in shifts if a + b * nx < 0))
-    coo = v.select("i", F.explode(F.filter(cells, lambda e: e.isNotNull())).alias("e")).select("i", "e.j", "e.re", F.lit(0.0).alias("im"))
-    return Matrix(coo, nx * ny, SYMMETRIC)
+def extended_laplacian(spark: SparkSession, nx: int, ny: int = 1, nz: int = 1, alpha: float = 1.0, beta: float = 1.0, arithmetic: str = "Double") -> Matrix:
+    """Lower triangle of a grid Laplacian with neighbours along edges and all diagonals: 9 points in two directions, 27 in three.
+
+    In complex arithmetic it is Hermitian: edges have an imaginary part, as those of laplacian.
+    """
+    v = spark.range(nx * ny * nz).select(F.col("id").alias("i"), (F.col("id") % nx).alias("x"), (F.floor(F.col("id") / nx) % ny).alias("y"), F.floor(F.col("id") / (nx * ny)).alias("z"))
+    # the neighbours with smaller numbers; the others are their mirror images
+    shifts = [(a, b, c) for c in (-1, 0) for b in (-1, 0, 1) for a in (-1, 0, 1) if (c, b, a) < (0, 0, 0)]
+    inside = lambda a, b, c: (F.col("x") + a).between(0, nx - 1) & (F.col("y") + b).between(0, ny - 1) & (F.col("z") + c).between(0, nz - 1)
+    degree = sum(inside(*s).cast("int") + inside(*(-t for t in s)).cast("int") for s in shifts)
+    is_complex = arithmetic.startswith("Complex")
+    entry = lambda j, re, im: F.struct(j.cast("long").alias("j"), re.alias("re"), F.lit(im).alias("im"))
+    im = -beta / 2 if is_complex else 0.0
+    near = (F.when(inside(a, b, c), entry(F.col("i") + a + b * nx + c * nx * ny, F.lit(-float(beta)), im)) for a, b, c in shifts)
+    cells = F.array(entry(F.col("i"), F.lit(float(alpha)) * degree, 0.0), *near)
+    coo = v.select("i", F.explode(F.filter(cells, lambda e: e.isNotNull())).alias("e")).select("i", "e.j", "e.re", "e.im")
+    return Matrix(coo, nx * ny * nz, HERMITIAN if is_complex else SYMMETRIC, arithmetic)
+
+
+def with_dofs(a: Matrix, dof: int) -> Matrix:
+    """Every vertex as dof unknowns: the product A x B with B = 1 on the diagonal and 1 / (2 dof) beside it, which is definite if A is."""
+    if dof == 1:
+        return a
+    cell = F.explode(F.sequence(F.lit(0), F.lit(dof - 1)))
+    rows = a.coo.withColumn("a", cell).withColumn("b", cell)
+    if a.kind != GENERAL:  # a block on the diagonal keeps its lower triangle
+        rows = rows.where("i <> j or a >= b")
+    by = F.when(F.col("a") == F.col("b"), 1.0).otherwise(1 / (2 * dof))
+    coo = rows.select((F.col("i") * dof + F.col("a")).alias("i"), (F.col("j") * dof + F.col("b")).alias("j"), (F.col("re") * by).alias("re"), (F.col("im") * by).alias("im"))
+    return Matrix(coo, a.n * dof, a.kind, a.arithmetic, dof)
 
 
 def fake_values(edges: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, con, name):
         assert got == rows([d[0] for d in cur.description], cur.fetchall())
 
 
-@pytest.mark.parametrize("name,least", [("scaled_product_whole", 20), ("matrix_product_whole", 30), ("permute_matrix_whole", 100), ("integer_set_union_whole", 100)])
+@pytest.mark.parametrize("name,least", [("scaled_product", 20), ("matrix_product", 30), ("permute_matrix", 100), ("integer_set_union", 100)])
 def test_whole_tables(spark, name, least):
     """On a table with more ids than the queries over subsets keep."""
     small = TINY.replace("sf0.001", "sf0.01")
@@ -46,5 +46,5 @@ def test_whole_tables(spark, name, least):
     cur = con.execute(catalog.SQL[name])
     assert rows(df.columns, got) == rows([d[0] for d in cur.description], cur.fetchall())
     assert len({r.j for r in got}) > least
-    if name == "permute_matrix_whole":
+    if name == "permute_matrix":
         assert len(got) == con.execute("select count(*) from (select distinct l_suppkey, l_partkey from lineitem)").fetchone()[0]

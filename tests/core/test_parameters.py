@@ -7,9 +7,6 @@ from latticework.sources import generators
 
 def test_settings_are_honoured_or_refused(spark, monkeypatch):
     m = generators.laplacian(spark, 4, 4, alpha=2.0)
-    for when in ("JustInTime", "MinimalMemory"):
-        with pytest.raises(NotImplementedError):
-            Solver(m, Parameters(compress_when=when))
     for name in ("Grid", "Personal"):
         with pytest.raises(ValueError):
             Solver(m, Parameters(ordering=name))

@@ -98,3 +98,42 @@ def test_cg_without_preconditioner(spark):
     b = rhs(spark, a @ np.ones(m.n)).select("i", "re", "im")
     r = refine.cg(refine.matvec(algebra.full(m)), b, eps=1e-8)
     assert r.error <= 1e-8 and r.iterations <= 25
+
+
+@pytest.mark.parametrize("when,method,kind,limit,tolerance,bound", [("JustInTime", "SVD", "LLT", 10_000, 1e-3, 0.05), ("MinimalMemory", "PQRCP", "LU", 60, 1e-9, 1e-5), ("MinimalMemory", "RQRCP", "LDLH", 10_000, 1e-9, 1e-5)])
+def test_low_rank_factors(spark, when, method, kind, limit, tolerance, bound):
+    m = generators.laplacian(spark, 8, 8, 4, alpha=2.0, hermitian=kind == "LDLH")
+    a = dense(algebra.full(m), m.n)
+    x0 = np.random.RandomState(1).randn(m.n, 2)
+    options = {"factorization": kind, "limit": limit, "compress_method": method, "compress_least_width": 6, "compress_least_height": 4}
+    s = Solver(m, Parameters(compress_when=when, compress_tolerance=tolerance, **options))
+    error = np.abs(dense(s.solve(rhs(spark, a @ x0)), m.n, 2) - x0).max()
+    assert error < bound and (tolerance < 1e-6 or error > 1e-9)
+    assert any(0 < r["rank"] < min(r.m, r.n) for r in s.factorize().ranks.collect())
+    if kind == "LU":
+        assert np.abs(dense(s.solve(rhs(spark, a.T @ x0), trans="Trans"), m.n, 2) - x0).max() < bound
+
+
+def test_vertices_of_several_unknowns_are_ordered_together(spark):
+    m = generators.with_dofs(generators.laplacian(spark, 4, 4, alpha=2.0), 3)
+    a = dense(algebra.full(m), m.n).real
+    s = Solver(m, Parameters(factorization="LLT"))
+    x0 = np.arange(m.n, dtype=float)
+    assert np.abs(dense(s.solve(rhs(spark, a @ x0)), m.n, 1)[:, 0] - x0).max() < 1e-8
+
+
+def test_gmres_steps_take_as_many_jobs_whatever_the_basis(spark):
+    m = generators.laplacian(spark, 6, 6, alpha=2.0)
+    b = rhs(spark, np.arange(36, dtype=float)).select("i", "re", "im")
+    a, seen = refine.matvec(algebra.full(m)), []
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("gmres", "steps")
+
+    def counting(v):
+        seen.append(len(tracker.getJobIdsForGroup("gmres")))
+        return a(v)
+
+    out = refine.gmres(counting, b, eps=1e-8, most=12)
+    spark.sparkContext.setJobGroup("other", "")
+    steps = np.diff(seen)[1:-1]
+    assert out.iterations >= 8 and steps.max() - steps.min() <= 2, steps

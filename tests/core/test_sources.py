@@ -21,6 +21,8 @@ def test_matrix_market(spark, tmp_path):
     path.write_text("%%MatrixMarket matrix coordinate pattern symmetric\n2 2 2\n1 1\n2 1\n")
     p = files.read(spark, "mm", str(path))
     assert p.arithmetic == "Pattern" and [(r.i, r.j) for r in p.coo.orderBy("i").collect()] == [(0, 0), (1, 0)]
+    path.write_text("%%MatrixMarket matrix coordinate integer general\n3 3 4\n1 1 5\n3 3 4\n3 3 4\n2 1 7\n")
+    assert entries(files.read(spark, "mm", str(path))) == [(0, 0, 5.0, 0.0), (1, 0, 7.0, 0.0), (2, 2, 4.0, 0.0), (2, 2, 4.0, 0.0)]
     path.write_text("nothing\n")
     with pytest.raises(ValueError):
         files.read(spark, "mm", str(path))
@@ -54,7 +56,30 @@ def test_ijv_graph_and_matrix_round_trip(spark, tmp_path):
 def test_grid_texts(spark):
     assert files.parse_grid("d:10:10:10:4.:.5:5") == {"nx": 10, "ny": 10, "nz": 10, "alpha": 4.0, "beta": 0.5, "dof": 5, "arithmetic": "Double"}
     assert files.read(spark, "laplacian", "4:3").n == 12
-    assert files.read(spark, "xlaplacian", "z:4:3").kind == SYMMETRIC
+    assert files.read(spark, "xlaplacian", "d:4:3").kind == SYMMETRIC
+    x = files.read(spark, "xlaplacian", "z:3:3:3:2")
+    assert (x.kind, x.arithmetic, x.n) == (HERMITIAN, "Complex64", 27)
+    full = {(r.i, r.j): complex(r.re, r.im) for r in algebra.full(x).collect()}
+    assert sum(i == 13 for i, _ in full) == 27 and full[13, 0] == full[0, 13].conjugate() and full[13, 13] == 52 and full[13, 0].imag
+    d = files.read(spark, "laplacian", "d:3:3:3:4.:.5:5")
+    assert (d.n, d.dof) == (135, 5)
+    a = np.zeros((135, 135))
+    for r in algebra.full(d).collect():
+        a[r.i, r.j] += r.re
+    small = np.zeros((27, 27))
+    for r in algebra.full(files.read(spark, "laplacian", "d:3:3:3:4.:.5")).collect():
+        small[r.i, r.j] += r.re
+    assert np.allclose(a, np.kron(small, np.full((5, 5), 0.1) + 0.9 * np.eye(5))) and np.linalg.eigvalsh(a)[0] > 0
+
+
+def test_written_files_are_read_back(spark, tmp_path):
+    for a in (generators.laplacian(spark, 4, 3, hermitian=True), generators.laplacian(spark, 3, 3)):
+        files.write_matrix_market(a, str(tmp_path / f"{a.kind}.mm"))
+        b = files.read(spark, "mm", str(tmp_path / f"{a.kind}.mm"))
+        assert (b.n, b.kind, b.arithmetic, entries(b)) == (a.n, a.kind, a.arithmetic, entries(a))
+    order = ordering.grid(spark, 4, 3, 1, 3)
+    files.write_ordering(order, str(tmp_path / "order"))
+    assert sorted(map(tuple, files.read_ordering(spark, str(tmp_path / "order")).collect())) == sorted(map(tuple, order.collect()))
 
 
 def test_random_vector_does_not_depend_on_layout(spark):
@@ -68,7 +93,28 @@ def test_random_vector_does_not_depend_on_layout(spark):
 
 
 def test_grid_order_puts_separators_last():
-    perm = kernels.grid_order(9, 9, 1)
+    def brute(box, base, leaf, out):
+        size = [q - p for p, q in box]
+        if min(size) <= 0:
+            return
+        cells = [(x, y, z) for z in range(*box[2]) for y in range(*box[1]) for x in range(*box[0])]
+        if len(cells) < leaf:
+            out.update({c: base + n for n, c in enumerate(cells)})
+            return
+        axis = size.index(max(size))
+        cut = box[axis][0] + size[axis] // 2
+        left, middle, right = ([*box[:axis], part, *box[axis + 1 :]] for part in ((box[axis][0], cut), (cut, cut + 1), (cut + 1, box[axis][1])))
+        count = lambda b: int(np.prod([q - p for p, q in b]))
+        brute(left, base, leaf, out)
+        brute(right, base + count(left), leaf, out)
+        brute(middle, base + count(left) + count(right), 10**9, out)
+
+    for nx, ny, nz, leaf in ((9, 9, 1, 15), (7, 5, 3, 15), (4, 6, 5, 1), (1, 1, 1, 15), (2, 2, 2, 100)):
+        want: dict = {}
+        brute([(0, nx), (0, ny), (0, nz)], 0, leaf, want)
+        i = np.arange(nx * ny * nz)
+        assert list(kernels.grid_places(i, nx, ny, nz, leaf)) == [want[v % nx, v // nx % ny, v // (nx * ny)] for v in i]
+    perm = kernels.grid_places(np.arange(81), 9, 9, 1)
     assert sorted(perm) == list(range(81))
     assert sorted(perm[np.arange(81) % 9 == 4]) == list(range(72, 81))
 
@@ -103,6 +149,41 @@ def test_orders_cut_fill(spark):
     assert sum(len(r["rows"]) for r in ordering.elimination(permute(e, order), labels).collect()) < 0.8 * natural
 
 
+def test_amalgamation_against_all_orders_of_merging():
+    """A chain of sons: those that add no zeros merge, others until the budget is spent."""
+    rows = [np.arange(k + 1, 6) for k in range(5)] + [np.zeros(0, dtype=np.int64)]
+    assert kernels.amalgamate(list(range(6)), [1] * 6, rows, [1, 2, 3, 4, 5, 5], 0.0) == [5] * 6
+    apart = [np.array([k + 1]) for k in range(5)] + [np.zeros(0, dtype=np.int64)]
+    assert len(set(kernels.amalgamate(list(range(6)), [1] * 6, apart, [1, 2, 3, 4, 5, 5], 0.0))) == 5
+    assert len(set(kernels.amalgamate(list(range(6)), [1] * 6, apart, [1, 2, 3, 4, 5, 5], 100.0))) == 1
+
+
+@pytest.mark.parametrize("kind", ["LLT", "LLH", "LDLT", "LDLH", "LU", "LLTc"])
+def test_panels_eliminate_as_single_columns_do(kind):
+    r = np.random.RandomState(1)
+    n, p = 150, 110
+    a = r.randn(n, n) + (1j * r.randn(n, n) if kind in ("LLH", "LDLH", "LLTc") else 0)
+    kind = kind.rstrip("c")
+    if kind in ("LLH", "LDLH"):
+        a = a @ a.conj().T + n * np.eye(n)
+    elif kind != "LU":
+        a = a @ a.T + n * np.eye(n)
+    low, up, rest, fixed = kernels.factor_front(a, p, kind, 1e-12)
+    assert fixed == 0
+    mirror = np.conj if kind in ("LLH", "LDLH") else np.asarray
+    right = up[:, :] if kind == "LU" else mirror(low).T if kind in ("LLT", "LLH") else up[:, None] * mirror(low).T
+    gap = a - low @ right
+    assert np.abs(gap[:p]).max() < 1e-8 and np.abs(gap[:, :p]).max() < 1e-8
+    assert np.abs(gap[p:, p:] - rest).max() < 1e-8
+
+
+def test_norms_of_large_and_small_entries(spark):
+    for size in (1e200, 1.0, 1e-200):
+        e = spark.createDataFrame([(0, 0, 3.0 * size, 0.0), (1, 0, 0.0, 4.0 * size)], "i long, j long, re double, im double")
+        n = algebra.norms(e).first()
+        assert np.isclose(n.norm_fro / size, 5) and np.isclose(n.norm_one / size, 7)
+
+
 def test_names():
     assert parse("factorization", "lu") == 2 and name_of("factorization", 2) == "LU"
     assert Parameters(refinement="bicgstab").refinement == "BiCGSTAB"
