@@ -805,18 +805,18 @@ def laplacian_extended_hermitian(spark, sf):
 
 
 def _low_rank(spark, when: str, kind: str) -> Solver:
-    m = generators.laplacian(spark, 12, 12, 8, alpha=2.0)
-    options = parameters.Parameters(factorization=kind, compress_when=when, compress_tolerance=1e-8, compress_least_width=16, compress_least_height=8)
+    m = generators.laplacian(spark, 40, 32, alpha=2.0)
+    options = parameters.Parameters(factorization=kind, compress_when=when, compress_tolerance=1e-8, compress_least_width=10, compress_least_height=8)
     return Solver(m, options)
 
 
-@query("select range as i, (range % 7 + 1)::double as re from range(1152)")
+@query("select range as i, (range % 7 + 1)::double as re from range(1280)")
 def solve_low_rank_just_in_time(spark, sf):
     s = _low_rank(spark, "JustInTime", "LLT")
     return s.solve(_known(s.a, spark)[1]).select("i", F.round("re", 4).alias("re"))
 
 
-@query("select range as i, (range % 7 + 1)::double as re from range(1152)")
+@query("select range as i, (range % 7 + 1)::double as re from range(1280)")
 def solve_low_rank_minimal_memory(spark, sf):
     s = _low_rank(spark, "MinimalMemory", "LU")
     return s.solve(_known(s.a, spark)[1]).select("i", F.round("re", 4).alias("re"))
