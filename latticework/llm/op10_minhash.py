@@ -219,11 +219,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> tuple[
     classes = signed.where("n_shingles > 0").groupBy(*KEY).agg(F.first(F.struct("bands", "sig")).alias("x"), F.min("doc_id").alias("rep"))
     # numbers are unique, and fixed once the table is written
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), *KEY, "rep", "x.bands", "x.sig"), "classes")
-    members = classes.select("id", "n_shingles", "sig", F.explode("bands").alias("bucket"))
-    found_in = members.groupBy("bucket").agg(F.min(F.struct("id", "sig")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    buckets = cut(found_in.select("bucket", F.col("c.id").alias("center"), F.col("c.sig").alias("sig_a"), "n"), "buckets")
+    members = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
+    buckets = cut(members.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1"), "buckets")
     inside = cut(spread_join(members, buckets, ["bucket"], "n", F.xxhash64("id")), "inside")
-    stars = inside.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"), "sig_a", F.col("sig").alias("sig_b"))
+    pairs = cut(inside.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    signature = lambda x: classes.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"))
+    heads = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).join(signature("a"), "a"), "heads")
+    stars = spread_join(pairs.join(signature("b"), "b"), heads, ["a"], "n", F.xxhash64("b")).select("a", "b", "sig_a", "sig_b")
     stars = stars.mapInArrow(_estimates, "a long, b long, est double").where(F.col("est") >= percent / 100 - SLACK)
     best = cut(stars.groupBy("b").agg(F.max(F.struct("est", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b"), "best")
     wanted = classes.join(inside.select("id").distinct(), "id", "left_semi").select("id", *KEY, "rep")
@@ -236,7 +238,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> tuple[
     confirmed = spread_join(with_b, cut(centers, "centers"), ["a"], "n", F.xxhash64("b")).select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
     found = cut(components(cut(confirmed, "confirmed")), "found")
     named = cut(inside.select("bucket", "id", "n_shingles").join(found, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component")), "named")
-    drop(buckets, inside, best)
+    drop(buckets, inside, pairs, heads, best)
     # a bucket's largest component needs no comparison inside, only with the bucket's other members
     counts = named.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s")).groupBy("bucket")
     open_ = counts.agg(F.max(F.struct("c", "component", "s")).alias("big"), F.sum("c").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).where("k > 1")
