@@ -1,11 +1,12 @@
-"""Shared helpers: table access, global order without a single task, joins with hot keys, components."""
+"""Shared helpers: table access, joins with hot keys, components; lineage and global order as in the rest of the library."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut, drop, new_path, shared_dir
+from ..operators.prefix import ordered
 
 __all__ = ["WORD", "components", "cut", "drop", "new_path", "ordered", "shared_dir", "spread_join", "table"]
 
@@ -17,24 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ordered(df: DataFrame, order: list[Column], rank: str, **sums: str) -> DataFrame:
-    """df with its rank (from 1) in a global order and running sums of columns: name of the sum = column.
-
-    Rows are dealt to ranges of the order, the ranges' counts are added up (one row for each range, as
-    many as shuffle partitions at most) and a window runs inside each range, so no task holds all.
-    """
-    ranges = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranges.groupBy("__range").agg(F.count("*").alias("__n"), *(F.sum(c).alias(f"__{k}") for k, c in sums.items()))
-    totals = totals.select("__range", *(F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in ("n", *sums)))
-    inside = Window.partitionBy("__range").orderBy(*order)
-    out = ranges.withColumn("__at", F.row_number().over(inside))
-    for k, c in sums.items():
-        out = out.withColumn(k, F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.join(F.broadcast(totals), "__range")
-    return out.select(*df.columns, (F.col("__at") + F.col("__n")).alias(rank), *((F.col(k) + F.col(f"__{k}")).alias(k) for k in sums))
-
-
 #: A key is hot if it has more rows than PART and than a thousandth of all; it is joined in parts of about that many.
 PART = 10_000
 

@@ -2,6 +2,8 @@ import html.parser
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from latticework.llm import op9_html as m
 
 CASES = [
@@ -52,6 +54,34 @@ def test_tables(source, text):
     assert m.extract(source) == text
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3), st.integers(0, 30)), min_size=1, max_size=5), min_size=1, max_size=6))
+def test_cells_of_a_column_begin_together(rows):
+    """Against a grid that is filled cell by cell: cells that begin in one column stand at one place, those of later columns no further left, on a line for each row."""
+    held, names, source = {}, {}, "<table>"
+    for r, row in enumerate(rows):
+        source += "<tr>"
+        c = 0
+        for n, (across, down, width) in enumerate(row):
+            while (r, c) in held:
+                c += 1
+            name = f"r{r}n{n}" + "x" * width
+            names[name] = (r, c)
+            for i in range(r, r + down):
+                for j in range(c, c + across):
+                    held[i, j] = name
+            source += f"<td colspan={across} rowspan={down}>{name}"
+            c += across
+    lines = m.extract(source + "</table>").split("\n")
+    assert len(lines) == len(rows)
+    at = {}
+    for name, (r, c) in names.items():
+        at.setdefault(c, set()).add(lines[r].index(name))
+    places = [at[c] for c in sorted(at)]
+    assert all(len(x) == 1 for x in places)
+    assert all(min(x) <= min(y) for x, y in zip(places, places[1:]))
+
+
 def test_wide_tables_stay_small():
     page = "<table><tr>" + "<td>" + "<td>".join(["x" * 90] * 300) + "<tr><td colspan=299><td>y" * 3000 + "</table>"
     text = m.extract(page)
