@@ -25,11 +25,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/latticework/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """df, written once and read again; a lost executor costs no recomputation of earlier rounds."""
+def cut(df: DataFrame, what: str = "cut", **options: str) -> DataFrame:
+    """df, written once (with options of the writer) and read again; a lost executor costs no recomputation of earlier rounds."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
