@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -96,46 +97,85 @@ def compress(a: np.ndarray, tol: float, method: str = "SVD", relative: bool = Fa
     if method == "PQRCP":
         q, r, _, done = _pivoted_qr(a, bound, most)
         return Block(q.shape[1], q, r.T) if done else Block(-1, a, None)
-    random = np.random.RandomState(seed)
-    if method in ("RQRCP", "TQRCP"):
-        # pivots come from a small random sketch, a block of columns at a time
-        rest, q = a.copy(), np.zeros((m, 0), a.dtype)
-        while np.linalg.norm(rest) >= bound and q.shape[1] < min(m, n):
-            if q.shape[1] > most:
-                return Block(-1, a, None)
-            sketch = random.standard_normal((min(m, 24), m)) @ rest
-            _, _, vt = np.linalg.svd(sketch, full_matrices=False) if method == "TQRCP" else (None, None, None)
-            if method == "TQRCP":  # truncated: the sketch's row space
-                basis = rest @ vt[:8].conj().T
-            else:
-                basis = rest[:, np.argsort(-(np.abs(sketch) ** 2).sum(axis=0), kind="stable")[:8]]
-            w, t = np.linalg.qr(basis - q @ (q.conj().T @ basis))
-            w = w[:, np.abs(np.diag(t)) > 1e-14 * norm]
-            if not w.shape[1]:
+    factors = {"RQRCP": _sketched_qr, "TQRCP": partial(_sketched_qr, update=False), "RQRRT": _rotated_qr}[method](a, bound, most, np.random.RandomState(seed))
+    return Block(-1, a, None) if factors is None else Block(factors[0].shape[1], *factors)
+
+
+#: Columns that are taken from one sketch, and rows that a sketch has beyond them.
+_STEP, _MORE = 8, 8
+
+
+def _gaussian(random: np.random.RandomState, m: int, n: int, kind: np.dtype) -> np.ndarray:
+    g = random.standard_normal((m, n))
+    return g + 1j * random.standard_normal((m, n)) if np.issubdtype(kind, np.complexfloating) else g
+
+
+def _sketched_qr(a: np.ndarray, bound: float, most: int, random: np.random.RandomState, update: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
+    """QR whose pivot columns are those of a pivoted QR of a small random sketch, which is updated with the matrix.
+
+    With update the rest of the matrix follows each step; without it a column is reduced when it
+    is chosen, and the size of the rest follows from that of the rows found. Returns Q and R^T, or None beyond `most`.
+    """
+    m, n = a.shape
+    rest, left = (a.copy() if update else a), np.linalg.norm(a) ** 2
+    omega = _gaussian(random, min(m, _STEP + _MORE), m, a.dtype)
+    sketch = omega @ a
+    q, r = np.zeros((m, 0), a.dtype), np.zeros((0, n), a.dtype)
+    while q.shape[1] < min(m, n):
+        small, taken = sketch.copy(), 0
+        for _ in range(min(_STEP, len(sketch))):
+            p = int(np.argmax((np.abs(small) ** 2).sum(axis=0)))
+            size = np.linalg.norm(small[:, p])
+            if size <= 1e-14 * np.linalg.norm(a):
                 break
-            q = np.hstack([q, w])
-            rest = rest - w @ (w.conj().T @ rest)
-        r = q.conj().T @ a
-    else:  # RQRRT: rotated by a random orthogonal basis, then plain QR from the front
-        q, r = np.zeros((m, 0), a.dtype), None
-        rest = a.copy()
-        while np.linalg.norm(rest) >= bound and q.shape[1] < min(m, n):
-            if q.shape[1] > most:
-                return Block(-1, a, None)
-            w, t = np.linalg.qr(rest @ np.linalg.qr(random.standard_normal((n, min(n, 8))))[0])
+            d = small[:, p] / size
+            small -= np.outer(d, d.conj() @ small)
+            w = rest[:, p] - q @ (q.conj().T @ rest[:, p])
             w = w - q @ (q.conj().T @ w)
-            w = np.linalg.qr(w)[0][:, np.abs(np.diag(t)) > 1e-14 * norm]
-            if not w.shape[1]:
-                break
-            q = np.hstack([q, w])
-            rest = rest - w @ (w.conj().T @ rest)
-        r = q.conj().T @ a
-    # the last steps may have gone further than needed
-    u, s, vt = np.linalg.svd(r, full_matrices=False)
-    slack = max(0.0, bound**2 - np.linalg.norm(a - q @ r) ** 2)
-    tail = np.cumsum(s[::-1] ** 2)[::-1]
-    k = int((tail >= slack).sum()) if slack > 0 else len(s)
-    return Block(k, q @ (u[:, :k] * s[:k]), vt[:k].T) if k <= most else Block(-1, a, None)
+            if np.linalg.norm(w) <= 1e-14 * np.linalg.norm(a):
+                continue
+            w = (w / np.linalg.norm(w))[:, None]
+            row = w.conj().T @ a
+            q, r, taken = np.hstack([q, w]), np.vstack([r, row]), taken + 1
+            sketch = sketch - (omega @ w) @ row
+            if update:
+                rest = rest - w @ row
+            left -= np.linalg.norm(row) ** 2
+            # near the end the difference of squares is not told from rounding, so the rest itself is taken
+            if left < 4 * bound**2 and np.linalg.norm(rest if update else a - q @ r) < bound:
+                return q, r.T
+            if q.shape[1] >= most:
+                return None
+        if not taken:
+            break
+    return (q, r.T) if np.linalg.norm(a - q @ r) <= max(bound, 1e-12 * np.linalg.norm(a)) else None
+
+
+def _rotated_qr(a: np.ndarray, bound: float, most: int, random: np.random.RandomState) -> tuple[np.ndarray, np.ndarray] | None:
+    """QR of the matrix in rotated columns: an orthonormal basis of a random sketch's rows comes first, a block at a time. Returns Q R and the basis."""
+    m, n = a.shape
+    rest = a.copy()
+    u, v = np.zeros((m, 0), a.dtype), np.zeros((n, 0), a.dtype)
+    while True:
+        basis = (_gaussian(random, min(_STEP, n), m, a.dtype) @ rest).conj().T
+        basis = basis - v @ (v.conj().T @ basis)
+        basis, t = np.linalg.qr(basis)
+        basis = basis[:, np.abs(np.diag(t)) > 1e-14 * np.linalg.norm(a)]
+        if not basis.shape[1]:
+            break
+        turned = rest @ basis
+        # the rotated columns of a block in order of size, so that the last ones can be left out
+        q, t = np.linalg.qr(turned)
+        left, s, right = np.linalg.svd(t)
+        basis, turned = basis @ right.conj().T, (q @ left) * s
+        for k in range(basis.shape[1]):
+            rest = rest - np.outer(turned[:, k], basis[:, k].conj())
+            u, v = np.hstack([u, turned[:, k : k + 1]]), np.hstack([v, basis[:, k : k + 1]])
+            if np.linalg.norm(rest) < bound:
+                return u, v.conj()
+            if u.shape[1] >= min(most, m, n):
+                return None if np.linalg.norm(rest) > max(bound, 1e-12 * np.linalg.norm(a)) else (u, v.conj())
+    return (u, v.conj()) if np.linalg.norm(rest) <= max(bound, 1e-12 * np.linalg.norm(a)) else None
 
 
 def orthogonalize(u: np.ndarray, v: np.ndarray, method: str = "QR", have: int = 0) -> tuple[np.ndarray, np.ndarray]:
