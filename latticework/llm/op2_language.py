@@ -36,6 +36,8 @@ from .words import U, Words, mix, slices
 CHAIN, SAMPLE, EACH, LONGEST, MOST = 64, 600, 8, 50_000, 256
 BITS, STEPS, RATE, DECAY, SWITCHED = 18, 40, 0.25, 1e-6, 0.25
 NONE = "und"
+#: Pieces of chains that are worked on at once: short texts take a piece each, so this bounds memory where bytes do not.
+GRID = 2048
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -161,15 +163,22 @@ class Model:
         number, owner = features(words.data, words.begin[one], words.end[one], words.hash[one])
         score = emissions(self.weights, number, owner, len(one))[which]
         sizes = np.diff(words.first)
-        row = words.row_of_word()
-        place = np.arange(n) - words.first[row]
-        chains = -(-sizes // CHAIN)
-        chain = (np.cumsum(chains) - chains)[row] + place // CHAIN
-        grid = np.zeros((int(chains.sum()), CHAIN, k))
-        live = np.zeros(grid.shape[:2], dtype=bool)
-        grid[chain, place % CHAIN] = score
-        live[chain, place % CHAIN] = True
-        return whole_chains(grid, live, chains[chains > 0], self.move)[chain, place % CHAIN]
+        pieces = -(-sizes // CHAIN)
+        total, out, at = np.concatenate([[0], np.cumsum(pieces)]), np.empty((n, k)), 0
+        while at < len(sizes):  # documents of about GRID pieces at a time, a longer one alone
+            to = max(at + 1, int(np.searchsorted(total, total[at] + GRID, "right")) - 1)
+            begin, end = words.first[at], words.first[to]
+            if end > begin:
+                place = np.arange(end - begin) - np.repeat(words.first[at:to] - begin, sizes[at:to])
+                piece = np.repeat(total[at:to] - total[at], sizes[at:to]) + place // CHAIN
+                grid = np.zeros((int(total[to] - total[at]), CHAIN, k))
+                live = np.zeros(grid.shape[:2], dtype=bool)
+                grid[piece, place % CHAIN] = score[begin:end]
+                live[piece, place % CHAIN] = True
+                own = pieces[at:to]
+                out[begin:end] = whole_chains(grid, live, own[own > 0], self.move)[piece, place % CHAIN]
+            at = to
+        return out
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model:
