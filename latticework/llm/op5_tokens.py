@@ -44,7 +44,7 @@ from .words import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-FAN, GROW, CACHE, LONGEST = 32, 4, 300_000, 64
+FAN, GROW, CACHE, LONGEST = 32, 4, 100_000, 64
 EDITS = "array<struct<start:int,stop:int,insert:string>>"
 #: Of a stored table: buckets, and tasks that write one of them.
 BUCKETS, SPREAD = 256, 8
@@ -292,7 +292,7 @@ def op5_tokens(spark, sf_dir):
     put = lambda a, b, s: F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"), F.lit(s).alias("insert"))
     n = F.length("text")
     third, half, two = F.floor(n / 3), F.floor(n / 2), F.floor(2 * n / 3)
-    trees = cut(build(table(spark, sf_dir, "documents")), "trees").withColumn("before", F.col("n_tokens"))
+    trees = cut(build(table(spark, sf_dir, "documents")), "trees", compression="zstd").withColumn("before", F.col("n_tokens"))
     one = edited(trees.withColumn("edits", F.array(put(third, third, " (revised 2024)\n"), put(half, half + 9, "it's "), put(two, two + 14, ""))), more=("before",))
     one = one.withColumns({"after": F.col("n_tokens"), "length_1": n.cast("long"), "edits_1": F.col("n_edits"), "encoded_1": F.col("encoded_chars")})
     two_ = edited(one.withColumn("edits", F.array(put(half, half, " once more"))), more=("before", "after", "length_1", "edits_1", "encoded_1"))
