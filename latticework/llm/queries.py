@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_chat, op2_language, op3_embeddings, op4_pii, op5_tokens, op6_warc, op7_decontamination, op8_mixing, op9_html, op10_minhash, op12_fingerprints, op13_alignment
+from . import op1_chat, op2_language, op3_embeddings, op4_pii, op5_tokens, op6_warc, op7_decontamination, op8_mixing, op9_html, op10_minhash, op11_trie, op12_fingerprints, op13_alignment
 
 QUERIES = {
     "op1_chat": op1_chat.op1_chat,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": op8_mixing.op8_mixing,
     "op9_html": op9_html.op9_html,
     "op10_minhash": op10_minhash.op10_minhash,
+    "op11_trie": op11_trie.op11_trie,
     "op12_fingerprints": op12_fingerprints.op12_fingerprints,
     "op13_alignment": op13_alignment.op13_alignment,
 }
@@ -24,4 +25,5 @@ SQL = {
     "op6_warc": op6_warc.SQL,
     "op8_mixing": op8_mixing.SQL,
     "op10_minhash": op10_minhash.SQL,
+    "op11_trie": op11_trie.SQL,
 }
