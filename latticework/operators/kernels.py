@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 from .graph import neighbours
@@ -87,6 +89,86 @@ def dissect(starts: np.ndarray, targets: np.ndarray, leaf: int = 24) -> np.ndarr
     return perm
 
 
+def bisect(weight: np.ndarray, starts: np.ndarray, targets: np.ndarray, w: np.ndarray, most: float) -> np.ndarray:
+    """Side 0 or 1 of each vertex: half the weight grown from the best of a few roots, then moves by gain while they help.
+
+    A side holds at most the part `most` of the weight, as far as single vertices allow.
+    """
+    n, total = len(weight), int(weight.sum())
+    source = np.repeat(np.arange(n), np.diff(starts))
+
+    def grown(root: int) -> np.ndarray:
+        """Vertices in the order in which a front that always takes the one tied closest to it meets them."""
+        seen, tie = np.zeros(n, dtype=bool), np.zeros(n)
+        order, heap, rest = [], [(0.0, root)], 0
+        while len(order) < n:
+            while heap:
+                key, v = heapq.heappop(heap)
+                if not seen[v] and -key == tie[v]:
+                    break
+            else:
+                while seen[rest]:
+                    rest += 1
+                v = rest
+            seen[v] = True
+            order.append(v)
+            for at in range(starts[v], starts[v + 1]):
+                u = targets[at]
+                if not seen[u]:
+                    tie[u] += w[at]
+                    heapq.heappush(heap, (-tie[u], u))
+        return np.array(order)
+
+    def cut_of(side: np.ndarray) -> int:
+        return int(w[side[source] != side[targets]].sum())
+
+    def split(order: np.ndarray) -> np.ndarray:
+        side = np.ones(n, dtype=np.int32)
+        side[order[: max(1, int(np.searchsorted(np.cumsum(weight[order]), total / 2)))]] = 0
+        return side
+
+    first = grown(0)
+    tries = [split(first), split(grown(int(first[-1]))), split(grown(int(first[n // 2])))]
+    side = min(tries, key=cut_of)
+    for _ in range(4):  # passes of moves by gain; a pass is taken back to its best moment
+        differs = side[source] != side[targets]
+        gain = np.bincount(source, np.where(differs, w, -w), n)
+        heap = [(-gain[v], v) for v in np.unique(source[differs]).tolist()]
+        heapq.heapify(heap)
+        held = np.array([weight[side == 0].sum(), weight[side == 1].sum()])
+        moved, fixed, now, best, upto = [], np.zeros(n, dtype=bool), 0.0, 0.0, 0
+        while heap and len(moved) - upto < 200:
+            key, v = heapq.heappop(heap)
+            if fixed[v] or -key != gain[v] or held[1 - side[v]] + weight[v] > most * total:
+                continue
+            fixed[v] = True
+            now += gain[v]
+            held[side[v]] -= weight[v]
+            side[v] = 1 - side[v]
+            held[side[v]] += weight[v]
+            moved.append(v)
+            for at in range(starts[v], starts[v + 1]):
+                u = targets[at]
+                gain[u] += 2 * w[at] if side[u] != side[v] else -2 * w[at]
+                if not fixed[u]:
+                    heapq.heappush(heap, (-gain[u], int(u)))
+            if now > best:
+                best, upto = now, len(moved)
+        for v in moved[upto:]:
+            side[v] = 1 - side[v]
+        if best <= 0:
+            break
+    return side
+
+
+def dissected_postorder(starts: np.ndarray, targets: np.ndarray, leaf: int = 24) -> np.ndarray:
+    """Nested dissection followed by a postorder of its elimination tree: columns of a supernode stand together, fill stays."""
+    perm = dissect(starts, targets, leaf)
+    source = np.repeat(np.arange(len(perm)), np.diff(starts))
+    a, b = perm[source], perm[targets]
+    return postorder(elimination_tree(*neighbours(a, b, len(perm))))[perm]
+
+
 def elimination_tree(starts: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Parent of each vertex of a graph in elimination order; roots are their own parents."""
     n = len(starts) - 1
@@ -278,3 +360,40 @@ def factor_front(front: np.ndarray, pivots: int, kind: str, criterion: float) ->
     if not cholesky:
         low[np.arange(pivots), np.arange(pivots)] = 1
     return low, up, a[pivots:, pivots:], fixed
+
+
+def column_runs(columns: np.ndarray, rows: np.ndarray) -> list[tuple]:
+    """Symbolic elimination of some columns from their entries (column, row >= column): (first, last, rows, None) for each run of columns.
+
+    A run is a chain of consecutive columns, each the only child of the next and with its rows. Rows that a column has for a father
+    outside are given too: (father, father, further rows, father).
+    """
+    order = np.lexsort((rows, columns))
+    columns, rows = columns[order], rows[order]
+    names, starts = np.unique(columns, return_index=True)
+    ends = np.append(starts[1:], len(columns))
+    inside = set(names.tolist())
+    kids: dict[int, list[tuple[int, np.ndarray]]] = {}
+    out, first, last, held = [], None, None, None
+    for name, a, b in zip(names.tolist(), starts, ends, strict=True):
+        mine = rows[a:b]
+        mine = mine[mine > name]
+        given = kids.pop(name, [])
+        below = np.unique(np.concatenate([mine, *(g for _, g in given)])) if given else np.unique(mine)
+        below = below[below > name]
+        if held is not None and last == name - 1 and len(given) == 1 and given[0][0] == last and len(below) == len(held) - 1:
+            last = name
+        else:
+            if held is not None:
+                out.append((first, last, held, None))
+            first = last = name
+        held = below
+        if len(below):
+            father = int(below[0])
+            if father in inside:
+                kids.setdefault(father, []).append((name, below[1:]))
+            elif len(below) > 1:
+                out.append((father, father, below[1:], father))
+    if held is not None:
+        out.append((first, last, held, None))
+    return out

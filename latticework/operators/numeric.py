@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import algebra, layout, lowrank, ordering, symbolic
+from . import algebra, layout, lowrank, multilevel, ordering, subtrees, symbolic
 from .graph import components, prepare
 from .kernels import factor_front
 from .lineage import cut
@@ -124,14 +124,19 @@ def low_rank_front(front: np.ndarray, pivots: int, kind: str, criterion: float,
     return low, up, [(a, x, y) for (a, _), x, y in zip(cuts, lower, upper, strict=True)], rest, fixed
 
 
-def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, ratio: float = 0.05, last: DataFrame | None = None, leaf: int = 24) -> Analysis:
+def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, ratio: float = 0.05, last: DataFrame | None = None, leaf: int = 24, share: int = multilevel.SHARE) -> Analysis:
     """Ordering (nested dissection unless given), elimination tree, supernodes, amalgamation and groups.
 
     last: vertices (i) to put at the end, as a Schur complement needs; they are in supernodes of their own.
-    leaf: vertices that dissection does not cut further.
+    leaf: vertices that dissection does not cut further. share: a graph of more vertices is dissected and analysed by
+    parts, without amalgamation; a smaller one goes by its components, each in a task.
     """
     edges = cut(prepare(a.coo))
     vertices = cut(a.coo.sparkSession.range(a.n).select(F.col("id").alias("i")))
+    if order is None and last is None and a.n > share:
+        order = cut(multilevel.dissection(edges, vertices, share, leaf))
+        tree = cut(subtrees.tree(edges, order))
+        return Analysis(a.n, order.select("i", "perm"), subtrees.columns(tree), tree, *grouping(tree, limit))
     named = cut(components(edges, vertices))
     if order is None:
         order = ordering.nested_dissection(edges, named, leaf)

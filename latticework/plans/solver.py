@@ -8,7 +8,7 @@ from dataclasses import asdict, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import algebra, graph, layout, numeric, ordering, refine
+from ..operators import algebra, graph, incomplete, layout, numeric, ordering, refine
 from ..operators.lineage import cut
 from ..schema import Matrix
 from .parameters import Parameters
@@ -52,7 +52,7 @@ class Solver:
                 order = self.a.coo.sparkSession.range(self.a.n).select(F.col("id").alias("i"), F.col("id").alias("perm"))
             if order is None and self.a.dof > 1:
                 order = self._vertex_order()
-            self.analysis = numeric.analyze(self.a, order, self.parameters.limit, self.parameters.amalgamation, self.isolated if self.listed is None else self.listed, self.parameters.leaf)
+            self.analysis = numeric.analyze(self.a, order, self.parameters.limit, self.parameters.amalgamation, self.isolated if self.listed is None else self.listed, self.parameters.leaf, self.parameters.share)
         return self.analysis
 
     def _vertex_order(self) -> DataFrame:
@@ -79,6 +79,8 @@ class Solver:
     def solve(self, b: DataFrame, refined: bool = False, trans: str | None = None) -> DataFrame:
         """x (i, k, re, im)."""
         trans = trans or self.parameters.trans
+        if self.parameters.incomplete >= 0:  # there is no complete factor to solve with
+            return self.refine(b, None, trans)
         x = numeric.solve(self.factorize(), b, trans)
         return self.refine(b, x, trans) if refined else x
 
@@ -91,6 +93,8 @@ class Solver:
         a = refine.matvec(cut(algebra.operand(self.a, trans)))
         add_k = lambda v: v.select("i", F.lit(0).alias("k"), "re", "im")
         m = (lambda v: numeric.solve(self.factorize(), add_k(v), trans).select("i", "re", "im")) if preconditioned else None
+        if preconditioned and p.incomplete >= 0:
+            m = incomplete.factorize(cut(algebra.operand(self.a, trans)), p.incomplete).preconditioner(p.incomplete_steps)
         out = None
         for k in sorted(r[0] for r in b.select("k").distinct().collect()):
             of = lambda v, k=k: cut(v.where(F.col("k") == k).select("i", "re", "im"))

@@ -1,11 +1,11 @@
 import duckdb
 import pytest
-from latticework.plans import catalog
+from latticework.plans import catalog, tables  # noqa: F401
 
 from .. import TABLES, TINY
 
 #: Solvers are tested on their own.
-QUICK = [n for n in catalog.QUERIES if not n.startswith(("solve_", "refine_", "schur"))]
+QUICK = [n for n in catalog.QUERIES if not n.startswith(("solve_", "refine_", "schur", "mesh_solution"))]
 
 
 def plain(x):
