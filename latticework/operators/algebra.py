@@ -167,8 +167,9 @@ def scale_rows(entries: DataFrame, by: DataFrame, divide: bool = False) -> DataF
     """Vectors or entries times (or over) a diagonal (i, re, im)."""
     d = by.select("i", F.col("re").alias("d_re"), F.col("im").alias("d_im"))
     if divide:
-        m = F.col("d_re") * F.col("d_re") + F.col("d_im") * F.col("d_im")
-        re, im = times(F.col("re"), F.col("im"), F.col("d_re") / m, -F.col("d_im") / m)
+        # by the modulus twice: its square may vanish or overflow where the quotient does not
+        m = F.hypot("d_re", "d_im")
+        re, im = times(F.col("re") / m, F.col("im") / m, F.col("d_re") / m, -F.col("d_im") / m)
     else:
         re, im = times(F.col("re"), F.col("im"), F.col("d_re"), F.col("d_im"))
     return entries.join(d, "i").withColumns({"re": re, "im": im}).drop("d_re", "d_im")

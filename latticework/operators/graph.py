@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import joins
 from .lineage import cut
 from .prefix import ordered
 
@@ -89,26 +90,9 @@ def isolate_range(edges: DataFrame, ordering: DataFrame, first: int, last: int,
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Connected components: (i, component), component the smallest vertex in it.
-
-    Each round takes the smallest label of the neighbours and then the label's own label, so
-    paths shorten by half; rounds end when no label changes.
-    """
-    both = cut(symmetrize(edges))
-    label = cut(vertices.select("i", F.col("i").alias("component")))
-    while True:
-        heard = both.join(label.select(F.col("i").alias("j"), "component"), "j").groupBy("i").agg(F.min("component").alias("heard"))
-        hook = label.join(heard, "i", "left").select("i", "component", F.least("component", F.coalesce("heard", "component")).alias("next"))
-        hook = cut(hook)
-        # the old label hears of the smaller one, too
-        roots = hook.groupBy(F.col("component").alias("i")).agg(F.min("next").alias("root"))
-        step = hook.join(roots.select(F.col("i").alias("component"), "root"), "component").select("i", F.col("root").alias("next"), (F.col("root") < F.col("component")).alias("moved"))
-        step = cut(step)
-        jump = step.select(F.col("i").alias("next"), F.col("next").alias("further"))
-        label = cut(step.join(jump, "next").select("i", F.col("further").alias("component"), "moved"))
-        if not label.where("moved").limit(1).count():
-            return label.select("i", "component")
-        label = label.select("i", "component")
+    """Connected components: (i, component), component the smallest vertex in it. A component may hold most vertices: its joins are dealt out."""
+    found = joins.components(edges.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    return vertices.select("i").join(found.withColumnRenamed("id", "i"), "i", "left").select("i", F.coalesce("component", "i").alias("component"))
 
 
 def partition(edges: DataFrame, labels: DataFrame, parts: int) -> DataFrame:

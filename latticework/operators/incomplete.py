@@ -51,6 +51,7 @@ class Incomplete:
                 z = _minus(start, algebra.scale_rows(up(z), pivots, divide=True))
             return cut(z)
 
+        apply.release = lambda: (low.release(), up.release())
         return apply
 
 
@@ -103,7 +104,7 @@ def _over_pivots(rest: DataFrame, now: DataFrame, least: float) -> DataFrame:
     pivots = now.where("i = j").select("j", one("re", least).alias("d_re"), one("im", 0.0).alias("d_im"))
     # divided by the modulus twice, so that no square over- or underflows
     size = F.hypot("d_re", "d_im")
-    re, im = algebra.times(F.col("re"), F.col("im"), F.col("d_re") / size / size, -F.col("d_im") / size / size)
+    re, im = algebra.times(F.col("re") / size, F.col("im") / size, F.col("d_re") / size, -F.col("d_im") / size)
     low = F.col("i") > F.col("j")
     return rest.join(pivots, "j").select("i", "j", F.when(low, re).otherwise(F.col("re")).alias("re"), F.when(low, im).otherwise(F.col("im")).alias("im"))
 

@@ -40,13 +40,19 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"latticework_{uuid.uuid4().hex}"
     rows = df.repartition(n, key)
-    rows.write.bucketBy(n, key).sortBy(key).option("path", new_path(spark, "buckets")).saveAsTable(name)
-    return spark.table(name)
+    path = new_path(spark, "buckets")
+    rows.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._cut_path, out._table = path, name
+    return out
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes the files of tables that cut made, once all that was made of them is written itself."""
+    """Deletes the files of tables that cut or bucketed made, and the latter's names, once all that was made of them is written itself."""
     for df in tables:
+        name = getattr(df, "_table", None)
+        if name:
+            df.sparkSession.sql(f"drop table if exists {name}")
         path = getattr(df, "_cut_path", None)
         if path:
             spark = df.sparkSession

@@ -30,12 +30,16 @@ class Result:
 
 
 def matvec(entries: DataFrame) -> Apply:
-    """One join and one aggregation for each product. The matrix is stored in buckets of its columns once, so a product shuffles the vector and partial sums only."""
+    """One join and one aggregation for each product. The matrix is stored in buckets of its columns once, so a product shuffles the vector and partial sums only.
+
+    release() of the function drops that table when no more products are wanted and those made are written.
+    """
     held = bucketed(entries, "j")
 
     def apply(x: DataFrame) -> DataFrame:
         return algebra.spmv(held, x.select("i", F.lit(0).alias("k"), "re", "im")).select("i", "re", "im")
 
+    apply.release = lambda: drop(held)
     return apply
 
 

@@ -494,11 +494,12 @@ def incomplete_levels(spark, sf):
     return symbolic.incomplete_levels(_small(spark)[0], 1)
 
 
-@query("with s as (select l_suppkey as k, l_partkey as r from lineitem group by 1, 2), c as (select o_custkey as k, o_orderkey as r from orders) select c.k, count(*) as rows from c group by c.k")
+@query(f"with {PATTERN} select p_size as k, count(distinct p.i) as rows, min(p.i) as first_row, max(p.i) as last_row from p join part on p_partkey = p.j group by 1")
 def column_to_supernode(spark, sf):
-    """Orders are columns with their own row, a customer's orders a supernode."""
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("j"))
-    return symbolic.united_columns(o.select(F.col("j").alias("i"), "j"), o).groupBy("k").agg(F.count("*").alias("rows"))
+    """The customers of all parts of a size: the union of the columns of a supernode of parts."""
+    nodes = table(spark, sf, "part").select(F.col("p_size").alias("k"), F.col("p_partkey").alias("j"))
+    rows = symbolic.united_columns(graph.pattern(customer_part(spark, sf)), nodes)
+    return rows.groupBy("k").agg(F.count("*").alias("rows"), F.min("i").alias("first_row"), F.max("i").alias("last_row"))
 
 
 @query("with n as (select p_partkey as k, p_partkey * 100 as first, p_partkey * 100 + p_size - 1 as last, p_size as w from part), c as (select *, case when ceil(w / 8.0) > 1 and floor(w / ceil(w / 8.0)) < 5 then ceil(w / 8.0) - 1 else ceil(w / 8.0) end::bigint as c from n), p as (select *, unnest(range(0, c)) as piece from c) select k, piece, first + (piece * w) // c as first, first + ((piece + 1) * w) // c - 1 as last from p")

@@ -108,6 +108,8 @@ class Solver:
                 self.log = (refine.cg if p.refinement == "CG" else refine.bicgstab)(a, of(b), start, m, **options)
             one = self.log.x.select("i", F.lit(k).cast("int").alias("k"), "re", "im")
             out = one if out is None else out.unionByName(one)
+        for f in (a, m):  # the results are tables of their own
+            getattr(f, "release", lambda: None)()
         return out
 
     def run(self, start: str = "Init", end: str = "Clean", b: DataFrame | None = None) -> DataFrame | None:
