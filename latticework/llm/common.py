@@ -1,10 +1,10 @@
-"""Shared helpers: table access, joins with hot keys, components; lineage and global order as in the rest of the library."""
+"""Shared helpers: table access; joins with hot keys, components, lineage and global order are those of the rest of the library."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.joins import components, spread_join
 from ..operators.lineage import cut, drop, new_path, shared_dir
 from ..operators.prefix import ordered
 
@@ -16,59 +16,3 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: A key is hot if it has more rows than PART and than a thousandth of all; it is joined in parts of about that many.
-PART = 10_000
-
-
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, salt: Column, how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row for each key and, as `size`, its number of rows in left.
-
-    Rows of hot keys are dealt to parts by salt (a number of the row) and the right row goes to each
-    part. There are at most a thousand hot keys for each time that left's rows are counted in size, so their list is small.
-    """
-    total, most = right.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
-    per = max(PART, total // 1000)
-    if most <= per:
-        return left.join(right, keys, how)
-    hot = right.where(F.col(size) > per).select(*keys, F.ceil(F.col(size) / per).cast("int").alias("__parts"))
-    parts = F.coalesce("__parts", F.lit(1))
-    left = left.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(salt, parts).cast("int")).drop("__parts")
-    right = right.join(F.broadcast(hot), keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return left.join(right, [*keys, "__part"], how).drop("__part")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected edges (a, b): (id, component), component the smallest id.
-
-    Alternates large-star and small-star until the edges stand still; a round's tables are deleted
-    when the next one is written. Only vertices with an edge to another vertex appear. An empty edge
-    table gives an empty result.
-    """
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first())
-
-    def least(pairs: DataFrame) -> DataFrame:
-        return cut(pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-
-    hi, lo = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    now = cut(edges.where("a <> b").select(hi, lo).distinct(), "edges")
-    before = mark(now)
-    while before[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = least(both)
-        large = spread_join(both, low, ["a"], "n", F.col("b")).select("a", "b", F.least("a", "m").alias("m"))
-        large = cut(large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        small = least(large)
-        moved = spread_join(large, small, ["a"], "n", F.col("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = cut(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        drop(now, low, large, small)
-        now, after = new, mark(new)
-        if after == before:
-            break
-        before = after
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
-        now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    )
