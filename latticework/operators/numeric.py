@@ -129,13 +129,15 @@ def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, rati
 
     last: vertices (i) to put at the end, as a Schur complement needs; they are in supernodes of their own.
     leaf: vertices that dissection does not cut further. share: a graph of more vertices is dissected and analysed by
-    parts, without amalgamation; a smaller one goes by its components, each in a task.
+    parts; a smaller one goes by its components, each in a task.
     """
     edges = cut(prepare(a.coo))
     vertices = cut(a.coo.sparkSession.range(a.n).select(F.col("id").alias("i")))
     if order is None and last is None and a.n > share:
         order = cut(multilevel.dissection(edges, vertices, share, leaf))
         tree = cut(subtrees.tree(edges, order))
+        if ratio > 0:
+            tree = cut(subtrees.amalgamated(tree, ratio))
         return Analysis(a.n, order.select("i", "perm"), subtrees.columns(tree), tree, *grouping(tree, limit))
     named = cut(components(edges, vertices))
     if order is None:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .graph import new_numbers
-from .lineage import cut
+from .lineage import cut, drop
 from .multilevel import depth
 from .prefix import ordered
 
@@ -89,3 +89,39 @@ def entries(nodes: DataFrame) -> DataFrame:
     """Entries below the diagonal, counted by runs or supernodes without making them."""
     w = F.col("last") - F.col("first") + 1
     return nodes.agg(F.coalesce(F.sum(F.expr("(last - first + 1) * (last - first) div 2") + w * F.size("rows")), F.lit(0)).alias("entries"))
+
+
+def amalgamated(nodes: DataFrame, ratio: float = 0.05) -> DataFrame:
+    """Supernodes (k, first, last, parent, rows) after merging sons into fathers, by rounds of joins.
+
+    A son whose columns stand right before its father's may become part of it; its columns then have the father's rows too, which
+    adds zeros to the factor. All zeros together are at most `ratio` of the entries. In a round those merges are candidates that add
+    fewer zeros than the ones next to them (ties: the first column), so none touches another; they are taken from
+    the cheapest on while the budget holds. Rounds end when none is taken.
+    """
+    state = nodes.select("first", "last", F.size("rows").cast("long").alias("height"), F.get("rows", 0).alias("head"))
+    w = F.col("last") - F.col("first") + 1
+    state = cut(state, "state")
+    left = state.agg(F.floor(ratio * F.sum(F.expr("(last - first + 1) * (last - first + 2) div 2") + w * F.col("height")))).first()[0] or 0
+    while True:
+        son = state.select((F.col("last") + 1).alias("first"), F.col("first").alias("son"), w.alias("width"), F.col("height").alias("has"), F.col("head").alias("to"))
+        merges = state.join(son, "first").where("to <= last").select("first", "son", (F.col("width") * (w + F.col("height") - F.col("has"))).alias("zeros"))
+        merges = cut(merges.withColumn("key", F.struct("zeros", "first")), "merges")
+        lower = merges.select(F.col("first").alias("son"), F.col("key").alias("lower"))
+        upper = merges.select(F.col("son").alias("first"), F.col("key").alias("upper"))
+        least = merges.join(lower, "son", "left").join(upper, "first", "left")
+        least = least.where(F.coalesce(F.col("key") < F.col("lower"), F.lit(True)) & F.coalesce(F.col("key") < F.col("upper"), F.lit(True)))
+        taken = ordered(least.select("first", "son", "zeros"), [F.col("zeros"), F.col("first")], "at", upto="zeros").where(F.col("upto") <= left)
+        taken = cut(taken.select("first", "son", "zeros"), "taken")
+        count, spent = taken.agg(F.count("*"), F.sum("zeros")).first()
+        if not count:
+            break
+        left -= spent
+        rest = state.join(taken.select(F.col("son").alias("first")), "first", "left_anti")
+        new = cut(rest.join(taken.select("first", "son"), "first", "left").select(F.coalesce("son", "first").alias("first"), "last", "height", "head"), "state")
+        drop(state, merges, taken)
+        state = new
+    held = new_numbers(state.select("first", "last"), "first").select(F.col("number").alias("k"), "first", "last").join(nodes.select("last", "rows"), "last")
+    held = cut(held, "supernodes")
+    of = held.select(F.col("k").alias("parent"), F.explode(F.sequence("first", "last")).alias("up"))
+    return held.withColumn("up", F.coalesce(F.get("rows", 0), F.col("first"))).join(of, "up").select("k", "first", "last", "parent", "rows")

@@ -109,6 +109,31 @@ def mesh_factor_entries(spark, sf):
     return subtrees.entries(subtrees.tree(cut(mesh(p)), cut(strips(p))))
 
 
+#: Fundamental supernodes of the strips, then merging rounds: a row of m is a supernode in a round.
+MERGED = (
+    "t as (select o.perm as i, min(l.i) as parent, count(l.i) as height from o left join l on l.j = o.perm group by o.perm), c as (select parent as i, count(*) as kids from t where parent is not null group by parent), "
+    "b as (select t.i, t.parent, t.height, coalesce(p.parent = t.i and kids = 1 and t.height = p.height - 1, false) as joins from t left join t p on p.i = t.i - 1 left join c on c.i = t.i), "
+    "n as (select *, sum((not joins)::int) over (order by i) as k from b), sn as (select k, min(i) as first, max(i) as last, max_by(height, i) as height, max(parent) filter (i = z) as head from (select *, max(i) over (partition by k) as z from n) group by k), "
+    "m(round, first, last, height, head, budget, again) as (select 0, first, last, height, head, (select floor(0.1 * sum((last - first + 1) * (last - first + 2) // 2 + (last - first + 1) * height))::bigint from sn), true from sn "
+    "union all select round + 1, case when taken then son else first end, last, height, head, budget - spent, true from ("
+    "select *, coalesce(sum(zeros) filter (taken) over (), 0)::bigint as spent, coalesce(lead(taken) over (order by first), false) as gone, bool_or(taken) over () as any_taken from ("
+    "select *, least and upto <= budget as taken from ("
+    "select *, sum(zeros) filter (least) over (order by zeros nulls last, first rows unbounded preceding) as upto from ("
+    "select *, zeros is not null and coalesce((zeros, first) < (lower_zeros, lower_first), true) and coalesce((zeros, first) < (upper_zeros, upper_first), true) as least from ("
+    "select *, lag(zeros) over w as lower_zeros, case when lag(zeros) over w is not null then lag(first) over w end as lower_first, lead(zeros) over w as upper_zeros, case when lead(zeros) over w is not null then lead(first) over w end as upper_first from ("
+    "select *, lag(first) over w as son, case when lag(head) over w <= last then (first - lag(first) over w) * (last - first + 1 + height - lag(height) over w) end as zeros from m window w as (order by first)"
+    ") window w as (order by first)))))) where any_taken and not gone)"
+)
+
+
+@query(f"with recursive {MESH}, {STRIPS}, {MERGED} select row_number() over (order by first) - 1 as k, first, last, height from m where round = (select max(round) from m)")
+def mesh_amalgamated(spark, sf):
+    """Supernodes of the strips merged while zeros are a tenth of the entries at most."""
+    p = cut(places(spark, sf))
+    nodes = cut(subtrees.tree(cut(mesh(p)), cut(strips(p))))
+    return subtrees.amalgamated(nodes, 0.1).select("k", "first", "last", F.size("rows").cast("long").alias("height"))
+
+
 @query("select p_partkey as i, round(p_retailprice, 4) as re from part")
 def mesh_solution(spark, sf):
     """Cholesky factorization of the matrix of parts, dissected and analysed by parts; the solution is the prices."""
