@@ -58,6 +58,9 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.array([vectors[int(i)].values.to_numpy(zero_copy_only=False) for i in rows], dtype=np.float64)
             if size not in planes:
                 planes[size] = _planes(int(size))
+            # scaled by the largest component, so that no sum overflows and parallel vectors have the same signs
+            top = np.abs(x).max(axis=1, initial=0.0, keepdims=True)
+            x = np.divide(x, top, out=np.zeros_like(x), where=top > 0)
             signs = (x @ planes[size] >= 0).reshape(len(rows), TABLES, PLANES)
             codes = signs @ weights + (np.arange(TABLES) << PLANES)
             for i, k in zip(rows, codes, strict=True):

@@ -38,3 +38,15 @@ def test_odd_and_large_buckets(spark):
         assert (got[v].n_links, got[v].component_id, got[v].kept) == (0, v, True)
     assert got[2008].n_links == 2 and got[None].component_id == 2008 and not got[None].kept
     assert m.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_parallel_vectors_of_any_size_are_linked(spark):
+    """Components near the largest and the smallest doubles have the signs of those near one."""
+    r = np.random.RandomState(2)
+    rows = []
+    for k in range(12):
+        v = r.uniform(0.1, 1.0, 32) * r.choice([-1.0, 1.0], 32)
+        rows += [(10 * k + n, [float(x) for x in v * size], k) for n, size in enumerate((1.0, 1e308, 1e-300))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = m.near_duplicates(df).collect()
+    assert {(x.n_links, x.component_id) for x in got} == {(2, 10 * k) for k in range(12)}
