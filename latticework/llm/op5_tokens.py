@@ -44,7 +44,9 @@ from .words import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-FAN, GROW, CACHE, LONGEST = 32, 4, 300_000, 64
+FAN, GROW, CACHE, LONGEST = 32, 4, 200_000, 64
+#: Bytes of texts whose trees a worker holds at once; a longer text is handled alone.
+SLICE = 1 << 18
 EDITS = "array<struct<start:int,stop:int,insert:string>>"
 #: Of a stored table: buckets, and tasks that write one of them.
 BUCKETS, SPREAD = 256, 8
@@ -204,7 +206,7 @@ def _built(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = counter(vocabulary)
         for batch in batches:
-            for at, to in slices(batch.column("text")):
+            for at, to in slices(batch.column("text"), SLICE):
                 part = batch.slice(at, to - at)
                 trees = [Tree(t or "", by) for t in part.column("text").to_pylist()]
                 yield _batch([part.column("doc_id")], [(*t.row(), t.total) for t in trees], ["doc_id", "text", *ARRAYS, "n_tokens"])
@@ -221,7 +223,7 @@ def _edited(vocabulary: str, more: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = counter(vocabulary)
         for batch in batches:
-            for at, to in slices(batch.column("text")):
+            for at, to in slices(batch.column("text"), SLICE):
                 part = batch.slice(at, to - at)
                 out = []
                 columns = [part.column("text").to_pylist(), *(_lists(part.column(a)) for a in ARRAYS)]
