@@ -11,6 +11,8 @@ where that is smaller: compressed before the supernode is eliminated (MinimalMem
 changes V alone) or after it (JustInTime). Updates of later columns are products of such blocks. A block's
 U and V are entries of a table `panels` (part, stage, grp, node, b, q, at, re, im): b the block's first row,
 q the term, at the row or column; a sweep applies V, then U.
+
+A supernode whose front has more than `front` rows is a group of its own and goes by tiles (see tiles), dense whatever the compression; without a Schur complement only.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import algebra, layout, lowrank, multilevel, ordering, subtrees, symbolic
+from . import algebra, layout, lowrank, multilevel, ordering, subtrees, symbolic, tiles
 from .graph import components, prepare
 from .kernels import factor_front
 from .lineage import cut
@@ -45,6 +47,7 @@ class Analysis:
     tree: DataFrame
     groups: DataFrame
     stages: int
+    front: int | None = None
 
 
 @dataclass(frozen=True)
@@ -62,6 +65,7 @@ class Factor:
     is_complex: bool = False
     panels: DataFrame | None = None
     ranks: DataFrame | None = None
+    tiled: tiles.Tiled | None = None
 
     def memory(self) -> DataFrame:
         """Dense, null and low-rank blocks below supernodes with the bytes that they take."""
@@ -124,12 +128,12 @@ def low_rank_front(front: np.ndarray, pivots: int, kind: str, criterion: float,
     return low, up, [(a, x, y) for (a, _), x, y in zip(cuts, lower, upper, strict=True)], rest, fixed
 
 
-def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, ratio: float = 0.05, last: DataFrame | None = None, leaf: int = 24, share: int = multilevel.SHARE) -> Analysis:
+def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, ratio: float = 0.05, last: DataFrame | None = None, leaf: int = 24, share: int = multilevel.SHARE, front: int = tiles.FRONT) -> Analysis:
     """Ordering (nested dissection unless given), elimination tree, supernodes, amalgamation and groups.
 
     last: vertices (i) to put at the end, as a Schur complement needs; they are in supernodes of their own.
     leaf: vertices that dissection does not cut further. share: a graph of more vertices is dissected and analysed by
-    parts; a smaller one goes by its components, each in a task.
+    parts; a smaller one goes by its components, each in a task. front: rows of a front beyond which it goes by tiles.
     """
     edges = cut(prepare(a.coo))
     vertices = cut(a.coo.sparkSession.range(a.n).select(F.col("id").alias("i")))
@@ -138,7 +142,7 @@ def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, rati
         tree = cut(subtrees.tree(edges, order))
         if ratio > 0:
             tree = cut(subtrees.amalgamated(tree, ratio))
-        return Analysis(a.n, order.select("i", "perm"), subtrees.columns(tree), tree, *grouping(tree, limit))
+        return Analysis(a.n, order.select("i", "perm"), subtrees.columns(tree), tree, *grouping(tree, limit, front), front)
     named = cut(components(edges, vertices))
     if order is None:
         order = ordering.nested_dissection(edges, named, leaf)
@@ -164,10 +168,17 @@ def analyze(a: Matrix, order: DataFrame | None = None, limit: int = 20_000, rati
     if ratio > 0 and last is None:
         nodes = cut(ordering.amalgamated(tree, ratio))
         tree = cut(_widened(nodes, columns))
-    if a.n <= limit:  # all of it is one group
+    if last is not None:
+        front = None
+    wide = front is not None and tree.where(_front_rows() > front).limit(1).count()
+    if a.n <= limit and not wide:  # all of it is one group
         return Analysis(a.n, order, columns, tree, tree.select("k", F.lit(0).cast("long").alias("grp"), F.lit(0).alias("stage")), 1)
-    groups, stages = grouping(tree, limit)
-    return Analysis(a.n, order, columns, tree, groups, stages)
+    groups, stages = grouping(tree, limit, front)
+    return Analysis(a.n, order, columns, tree, groups, stages, front)
+
+
+def _front_rows():
+    return F.col("last") - F.col("first") + 1 + F.size("rows")
 
 
 def _renumbered(rows: DataFrame) -> DataFrame:
@@ -191,9 +202,12 @@ def _widened(nodes: DataFrame, columns: DataFrame) -> DataFrame:
     return tree.join(up, "up").select("k", "first", "last", "parent", "rows")
 
 
-def grouping(tree: DataFrame, limit: int) -> tuple[DataFrame, int]:
-    """(k, grp, stage) and the number of stages."""
-    plain = tree.select(F.col("k").alias("i"), "parent", (F.col("last") - F.col("first") + 1).alias("width"))
+def grouping(tree: DataFrame, limit: int, front: int | None = None) -> tuple[DataFrame, int]:
+    """(k, grp, stage) and the number of stages. A node whose front has more than `front` rows is a group of its own, as are those above it."""
+    width = F.col("last") - F.col("first") + 1
+    if front is not None:  # no subtree with such a node fits under the limit
+        width = width + F.when(_front_rows() > front, limit + 1).otherwise(0)
+    plain = tree.select(F.col("k").alias("i"), "parent", width.alias("width"))
     size = cut(ordering.subtree_sizes(plain, "width"))
     node = plain.join(size, "i")
     above = size.select(F.col("i").alias("parent"), F.col("size").alias("above"))
@@ -306,7 +320,7 @@ def _leave(put, index: np.ndarray, block: np.ndarray, symmetric: bool) -> None:
     put("C", -1, index[r], index[c], block[r, c])
 
 
-def factorize(a: Matrix, analysis: Analysis, kind: str = "LU", epsilon: float = 0.0, schur: int | None = None, compression: Compression | None = None) -> Factor:
+def factorize(a: Matrix, analysis: Analysis, kind: str = "LU", epsilon: float = 0.0, schur: int | None = None, compression: Compression | None = None, tile: int = tiles.TILE) -> Factor:
     """Factors of P A P^T, with a compression of low-rank blocks. With schur, columns from that number on are not eliminated and form the Schur complement."""
     if kind not in KINDS:
         raise ValueError(f"no factorization {kind}")
@@ -317,12 +331,30 @@ def factorize(a: Matrix, analysis: Analysis, kind: str = "LU", epsilon: float =
     keyed = lambda df: df.join(of.select(F.col("j").alias("owner"), "grp", "stage"), F.least("i", "j") == F.col("owner")).select("grp", "stage", "i", "j", "re", "im")
     pool = cut(keyed(entries))
     nodes = cut(analysis.tree.join(analysis.groups, "k"))
-    run = _eliminate(kind, threshold(a, epsilon), a.is_complex, schur, compression)
-    done = []
+    criterion = threshold(a, epsilon)
+    run = _eliminate(kind, criterion, a.is_complex, schur, compression)
+    wide = at = None
+    steps: dict[int, int] = {}
+    if analysis.front is not None and schur is None:
+        wide = nodes.where(_front_rows() > analysis.front)
+        steps = tiles.steps(wide, tile)
+    if steps:
+        at = cut(tiles.places(wide, tile))
+        nodes = nodes.where(_front_rows() <= analysis.front)
+    done, kept = [], []
     for stage in range(analysis.stages):
         here = pool.where(F.col("stage") == stage).groupBy("grp", "i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+        large = None
+        if stage in steps:
+            these = wide.where(F.col("stage") == stage)
+            its = at.where(F.col("stage") == stage)
+            front = tiles.fronts(here.join(these.select("grp"), "grp", "left_semi"), these, its, tile, kind != "LU", a.is_complex)
+            here = here.join(these.select("grp"), "grp", "left_anti")
+            found, rest, corners = tiles.factorize(front, steps[stage], kind, criterion, a.is_complex)
+            kept.append(found.withColumn("stage", F.lit(stage)))
+            large = tiles.left_over(rest, corners, its, kind != "LU", a.is_complex)
         made = nodes.where(F.col("stage") == stage).groupBy("grp").cogroup(here.groupBy("grp")).applyInPandas(run, _PARTS)
-        made = cut(made)
+        made = cut(made if large is None else made.unionByName(large))
         done.append(made)
         if stage + 1 < analysis.stages:
             pool = pool.where(F.col("stage") > stage).unionByName(keyed(made.where("part = 'C'").select("i", "j", "re", "im")))
@@ -343,7 +375,8 @@ def factorize(a: Matrix, analysis: Analysis, kind: str = "LU", epsilon: float =
         panels = everything.where("part in ('lu', 'lv', 'uu', 'uv')").withColumnsRenamed({"i": "at", "j": "q"}).join(analysis.groups, "k")
         panels = cut(panels.select("part", "stage", "grp", F.col("k").alias("node"), "b", "q", "at", "re", "im"))
         ranks = everything.where("part = 'R'").select(F.col("k").alias("node"), "b", F.col("i").cast("int").alias("m"), F.col("j").cast("int").alias("n"), F.col("re").cast("int").alias("rank"))
-    return Factor(kind, analysis, lower, upper, d, int(replaced), s, schur, a.is_complex, panels, ranks)
+    tiled = tiles.Tiled(tiles.union(kept), at, steps) if steps else None
+    return Factor(kind, analysis, lower, upper, d, int(replaced), s, schur, a.is_complex, panels, ranks, tiled)
 
 
 def _sweep(is_complex: bool, back: bool):
@@ -395,8 +428,8 @@ def _sweep(is_complex: bool, back: bool):
     return run
 
 
-def triangular(entries: DataFrame, b: DataFrame, analysis: Analysis, back: bool, is_complex: bool, stop: int | None = None, panels: DataFrame | None = None) -> DataFrame:
-    """x with T x = b, T of entries (stage, grp, i, j, re, im) and panels forward, or its transpose backward. stop: columns from there on pass through."""
+def triangular(entries: DataFrame, b: DataFrame, analysis: Analysis, back: bool, is_complex: bool, stop: int | None = None, panels: DataFrame | None = None, tiled: tuple[tiles.Tiled, str, bool] | None = None) -> DataFrame:
+    """x with T x = b, T of entries (stage, grp, i, j, re, im), panels and tiles (with their side and whether conjugate) forward, or its transpose backward. stop: columns from there on pass through."""
     of = layout.columns_of(analysis.tree).join(analysis.groups, "k").select(F.col("j").alias("i"), "grp", "stage")
     rest = cut(b.join(of, "i"))
     solved = rest.where(F.col("i") >= stop).select("i", "k", "re", "im") if stop is not None else None
@@ -409,6 +442,13 @@ def triangular(entries: DataFrame, b: DataFrame, analysis: Analysis, back: bool,
         here = entries.where(F.col("stage") == stage)
         low = None if panels is None else panels.where(F.col("stage") == stage)
         rhs = rest.where(F.col("stage") == stage)
+        large = below = None
+        if tiled and stage in tiled[0].steps:
+            f, side, conjugate = tiled
+            wide = f.tiles.where(F.col("stage") == stage).select("grp").distinct()
+            known = solved if solved is not None else b.select("i", "k", "re", "im").limit(0)
+            large, below = tiles.solve(f, stage, side, rhs.join(wide, "grp", "left_semi").select("i", "k", "re", "im"), back, is_complex, conjugate, known)
+            rhs = rhs.join(wide, "grp", "left_anti")
         if back and solved is not None:
             outer = here.join(solved.select("i", "k", F.col("re").alias("x_re"), F.col("im").alias("x_im")), "i")
             re, im = algebra.times(F.col("re"), F.col("im"), F.col("x_re"), F.col("x_im"))
@@ -429,9 +469,13 @@ def triangular(entries: DataFrame, b: DataFrame, analysis: Analysis, back: bool,
             here = here.unionByName(low.select("grp", "part", "node", "b", F.col("at").alias("i"), F.col("q").alias("j"), "re", "im"))
         made = cut(here.groupBy("grp").cogroup(rhs.groupBy("grp")).applyInPandas(run, "own boolean, i long, k int, re double, im double"))
         new = made.where("own").select("i", "k", "re", "im")
+        if large is not None:
+            new = new.unionByName(cut(large))
         solved = new if solved is None else solved.unionByName(new)
         if not back:
             moved = made.where("not own").select("i", "k", "re", "im")
+            if below is not None:
+                moved = moved.unionByName(cut(below))
             if stop is not None:
                 late = late.unionByName(moved.where(F.col("i") >= stop))
             rest = rest.where(F.col("stage") > stage).unionByName(moved.join(of, "i").select(rest.columns))
@@ -454,13 +498,17 @@ def solve(f: Factor, b: DataFrame, trans: str = algebra.NO, mode: str = "Local")
         if f.kind != "LU":
             of_upper = of_lower if f.kind in ("LLT", "LDLT") else of_lower.withColumn("im", -F.col("im"))
         down_panels, up_panels = (of_upper, of_lower) if swapped else (of_lower, of_upper)
+    down_tiles = up_tiles = None
+    if f.tiled is not None:
+        of_lower, of_upper = (f.tiled, "low", False), (f.tiled, "up" if f.kind == "LU" else "low", f.kind in ("LLH", "LDLH"))
+        down_tiles, up_tiles = (of_upper, of_lower) if swapped else (of_lower, of_upper)
     if mode != "Backward":
-        y = triangular(down, y, f.analysis, False, is_complex, f.first_schur, down_panels)
+        y = triangular(down, y, f.analysis, False, is_complex, f.first_schur, down_panels, down_tiles)
         if f.d is not None:
             scaled = algebra.scale_rows(y, f.d, divide=True)
             y = scaled if f.first_schur is None else scaled.unionByName(y.where(F.col("i") >= f.first_schur))
     if mode != "Interface":
-        y = triangular(up, y, f.analysis, True, is_complex, f.first_schur, up_panels)
+        y = triangular(up, y, f.analysis, True, is_complex, f.first_schur, up_panels, up_tiles)
     x = layout.apply_order(y, f.analysis.ordering, back=True)
     if trans == algebra.CONJ and f.kind in ("LLT", "LDLT", "LU") and is_complex:
         x = x.withColumn("im", -F.col("im"))

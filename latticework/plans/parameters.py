@@ -41,6 +41,8 @@ class Parameters:
     amalgamation: float = 0.05
     limit: int = 20_000
     share: int = 50_000
+    front: int = 6_000
+    tile: int = 1_024
     incomplete: int = -1
     incomplete_steps: int = 6
     epsilon: float = 0.0
@@ -61,7 +63,7 @@ class Parameters:
             value = getattr(self, kind)
             if value is not None:
                 setattr(self, kind, NAMES[kind][parse(kind, value)])
-        for low in ("leaf", "limit", "share", "restart", "refine_most", "incomplete_steps"):
+        for low in ("leaf", "limit", "share", "front", "tile", "restart", "refine_most", "incomplete_steps"):
             if getattr(self, low) < 1:
                 raise ValueError(f"{low} must be positive")
         if not 0 <= self.amalgamation or self.refine_epsilon < 0 or self.compress_tolerance < 0:

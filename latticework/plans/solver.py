@@ -8,7 +8,7 @@ from dataclasses import asdict, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import algebra, graph, incomplete, layout, numeric, ordering, refine
+from ..operators import algebra, graph, incomplete, layout, numeric, ordering, refine, tiles
 from ..operators.lineage import cut
 from ..schema import Matrix
 from .parameters import Parameters
@@ -52,7 +52,7 @@ class Solver:
                 order = self.a.coo.sparkSession.range(self.a.n).select(F.col("id").alias("i"), F.col("id").alias("perm"))
             if order is None and self.a.dof > 1:
                 order = self._vertex_order()
-            self.analysis = numeric.analyze(self.a, order, self.parameters.limit, self.parameters.amalgamation, self.isolated if self.listed is None else self.listed, self.parameters.leaf, self.parameters.share)
+            self.analysis = numeric.analyze(self.a, order, self.parameters.limit, self.parameters.amalgamation, self.isolated if self.listed is None else self.listed, self.parameters.leaf, self.parameters.share, self.parameters.front)
         return self.analysis
 
     def _vertex_order(self) -> DataFrame:
@@ -69,7 +69,7 @@ class Solver:
             first = None if self.listed is None else self.a.n - self.listed.count()
             p = self.parameters
             compression = None if p.compress_when == "Never" else numeric.Compression(p.compress_when, p.compress_method, p.compress_tolerance, p.compress_least_width, p.compress_least_height)
-            self.factor = numeric.factorize(self.a, self.analyze(), self.kind, p.epsilon, first, compression)
+            self.factor = numeric.factorize(self.a, self.analyze(), self.kind, p.epsilon, first, compression, p.tile)
             if self.parameters.mixed:
                 single = lambda df: None if df is None else cut(algebra.to_single(df))
                 f = self.factor
@@ -146,9 +146,11 @@ class Solver:
         tables |= {n: getattr(f, n) for n in ("d", "schur", "panels", "ranks") if getattr(f, n) is not None}
         if f.kind == "LU":
             tables["upper"] = f.upper
+        if f.tiled is not None:
+            tables |= {"tiles": f.tiled.tiles, "places": f.tiled.places}
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-        about = {"tables": sorted(tables), "matrix": [self.a.n, self.a.kind, self.a.arithmetic, self.a.dof], "stages": a.stages, "kind": f.kind, "replaced": f.replaced, "first_schur": f.first_schur, "parameters": asdict(self.parameters)}
+        about = {"tables": sorted(tables), "matrix": [self.a.n, self.a.kind, self.a.arithmetic, self.a.dof], "stages": a.stages, "front": a.front, "steps": f.tiled and sorted(f.tiled.steps.items()), "kind": f.kind, "replaced": f.replaced, "first_schur": f.first_schur, "parameters": asdict(self.parameters)}
         self.a.coo.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
@@ -158,9 +160,10 @@ class Solver:
         t = {name: spark.read.parquet(f"{path}/{name}") for name in about["tables"]}
         n, kind, arithmetic, dof = about["matrix"]
         s = cls(Matrix(t["coo"], n, kind, arithmetic, dof), Parameters(**about["parameters"] | {"factorization": about["kind"]}), order=t["ordering"])
-        s.analysis = numeric.Analysis(n, t["ordering"], t["columns"], t["tree"], t["groups"], about["stages"])
+        s.analysis = numeric.Analysis(n, t["ordering"], t["columns"], t["tree"], t["groups"], about["stages"], about.get("front"))
         upper = t.get("upper", t["lower"] if about["kind"] in ("LLT", "LDLT") else t["lower"].withColumn("im", -F.col("im")))
-        s.factor = numeric.Factor(about["kind"], s.analysis, t["lower"], upper, t.get("d"), about["replaced"], t.get("schur"), about["first_schur"], s.a.is_complex, t.get("panels"), t.get("ranks"))
+        tiled = tiles.Tiled(t["tiles"], t["places"], dict(about["steps"])) if about.get("steps") else None
+        s.factor = numeric.Factor(about["kind"], s.analysis, t["lower"], upper, t.get("d"), about["replaced"], t.get("schur"), about["first_schur"], s.a.is_complex, t.get("panels"), t.get("ranks"), tiled)
         return s
 
     def _listed(self) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import algebra, incomplete, multilevel, subtrees
 from ..operators.lineage import cut
 from ..operators.prefix import ordered
 from ..schema import SYMMETRIC, Matrix
-from .catalog import query, table
+from .catalog import balances, query, supplier_part, table
 from .parameters import Parameters
 from .solver import Solver
 
@@ -142,6 +142,35 @@ def mesh_solution(spark, sf):
     return s.solve(known(p, a)).select("i", F.round("re", 4).alias("re"))
 
 
+#: Rows of a front that goes by tiles, and of a tile, so that the tables' matrices have some.
+FRONT, TILE = 64, 48
+
+
+@query("select p_partkey as i, round(p_retailprice, 4) as re from part")
+def mesh_solution_tiled(spark, sf):
+    """The matrix of parts by L U, its separators' fronts in tiles."""
+    a, p = matrix(spark, sf)
+    s = Solver(a, Parameters(factorization="LU", share=SHARE, limit=LIMIT, front=FRONT, tile=TILE))
+    return s.solve(known(p, a)).select("i", F.round("re", 4).alias("re"))
+
+
+def gram(spark, sf) -> Matrix:
+    """Suppliers by suppliers: products of their quantities per part, and the identity a thousand times. Nearly all entries are there, so it is one front."""
+    rows = cut(supplier_part(spark, sf))
+    one = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_suppkey").alias("j"), F.lit(1000.0).alias("re"), F.lit(0.0).alias("im"))
+    full = algebra.product(rows, algebra.transpose(rows)).select("i", "j", "re", "im").unionByName(one)
+    lower = full.where("i >= j").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return Matrix(cut(lower), table(spark, sf, "supplier").count(), SYMMETRIC)
+
+
+@query("select s_suppkey as i, round(s_acctbal, 4) as re from supplier")
+def gram_solution_tiled(spark, sf):
+    """Cholesky factorization of a dense matrix in tiles; the solution is the suppliers' balances."""
+    a = gram(spark, sf)
+    b = algebra.spmv(algebra.full(a), balances(spark, sf))
+    return Solver(a, Parameters(factorization="LLT", front=FRONT, tile=TILE)).solve(b).select("i", F.round("re", 4).alias("re"))
+
+
 @query(f"with {MESH} select i, j, round(re, 8) as re from a")
 def mesh_incomplete_factor(spark, sf):
     """L U of an incomplete factorization equals the matrix on the matrix's own places."""
