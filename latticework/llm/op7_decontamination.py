@@ -46,6 +46,8 @@ BITS = BLOCKS * WIDTH
 #: Items in one index, 16 tables of 697 entries for each, 45 MB, and characters of their texts.
 CHUNK, CHARS = 1000, 8_000_000
 _GATE = 20
+#: Words of a document whose windows are fingerprinted at once, 4 MB of counters.
+SPAN = 4096
 
 
 def bits_of(hashes: np.ndarray) -> np.ndarray:
@@ -136,7 +138,8 @@ def _match(index: Index, words: np.ndarray, hits: dict[int, np.ndarray], least:
             np.add.at(mark, np.minimum(points, n - window) + 1, -1)
             starts = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
             per = window - size + 1
-            for part in np.array_split(starts, max(1, len(starts) // 4096)):
+            # a stretch of SPAN words at a time, however far apart the windows are
+            for part in np.split(starts, np.flatnonzero(np.diff(starts // SPAN)) + 1):
                 first, last = int(part[0]), int(part[-1]) + per
                 sums = np.zeros((last - first + 1, BITS), dtype=np.int32)
                 np.cumsum(bits_of(all_[first:last]), axis=0, out=sums[1:])

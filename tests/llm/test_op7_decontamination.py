@@ -112,3 +112,20 @@ def test_ids_of_other_types(spark):
 
 if __name__ == "__main__":
     pytest.main([__file__, "-x", "-q"])
+
+
+def test_far_windows_of_a_long_text():
+    """An item at both ends of a long text: the words between are not counted for it, and the first window is returned."""
+    import tracemalloc
+
+    r = np.random.RandomState(5)
+    item = " ".join(f"i{x}" for x in r.randint(0, 10_000, 40))
+    filler = " ".join(f"w{x}" for x in r.randint(0, 50_000, 150_000))
+    index = m.Index(pa.array([9]), [item])
+    texts = pa.array([f"{item} {filler} {item}", f"{filler} {item} {item.replace('i', 'j', 1)}"])
+    tracemalloc.start()
+    found = m.found_in(index, texts, 0.8)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert found == [(0, 0, 1.0, 0, 40), (1, 0, 1.0, 150_000, 40)]
+    assert most < 100 << 20
