@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import algebra, incomplete, multilevel, subtrees
+from ..operators import algebra, incomplete, multilevel, subtrees, symbolic
 from ..operators.lineage import cut
 from ..operators.prefix import ordered
 from ..schema import SYMMETRIC, Matrix
@@ -109,11 +109,15 @@ def mesh_factor_entries(spark, sf):
     return subtrees.entries(subtrees.tree(cut(mesh(p)), cut(strips(p))))
 
 
-#: Fundamental supernodes of the strips, then merging rounds: a row of m is a supernode in a round.
-MERGED = (
+#: Fundamental supernodes of the strips.
+NODES = (
     "t as (select o.perm as i, min(l.i) as parent, count(l.i) as height from o left join l on l.j = o.perm group by o.perm), c as (select parent as i, count(*) as kids from t where parent is not null group by parent), "
     "b as (select t.i, t.parent, t.height, coalesce(p.parent = t.i and kids = 1 and t.height = p.height - 1, false) as joins from t left join t p on p.i = t.i - 1 left join c on c.i = t.i), "
-    "n as (select *, sum((not joins)::int) over (order by i) as k from b), sn as (select k, min(i) as first, max(i) as last, max_by(height, i) as height, max(parent) filter (i = z) as head from (select *, max(i) over (partition by k) as z from n) group by k), "
+    "n as (select *, sum((not joins)::int) over (order by i) as k from b), sn as (select k, min(i) as first, max(i) as last, max_by(height, i) as height, max(parent) filter (i = z) as head from (select *, max(i) over (partition by k) as z from n) group by k)"
+)
+#: Merging rounds: a row of m is a supernode in a round.
+MERGED = (
+    f"{NODES}, "
     "m(round, first, last, height, head, budget, again) as (select 0, first, last, height, head, (select floor(0.1 * sum((last - first + 1) * (last - first + 2) // 2 + (last - first + 1) * height))::bigint from sn), true from sn "
     "union all select round + 1, case when taken then son else first end, last, height, head, budget - spent, true from ("
     "select *, coalesce(sum(zeros) filter (taken) over (), 0)::bigint as spent, coalesce(lead(taken) over (order by first), false) as gone, bool_or(taken) over () as any_taken from ("
@@ -134,6 +138,25 @@ def mesh_amalgamated(spark, sf):
     return subtrees.amalgamated(nodes, 0.1).select("k", "first", "last", F.size("rows").cast("long").alias("height"))
 
 
+BLOCKS = (
+    "r as (select s.first, s.last, l.i as x, f.first as facing from sn s join l on l.j = s.last join sn f on l.i between f.first and f.last), "
+    "runs as (select first, (last - first + 1)::double as w, min(x) as first_row, max(x) as last_row from (select *, x - row_number() over (partition by first, facing order by x) as g from r) group by first, last, facing, g), "
+    "h as (select *, (last_row - first_row + 1)::double as h, coalesce(sum(last_row - first_row + 1) over (partition by first order by first_row rows between 1 following and unbounded following), 0)::double as below from runs)"
+)
+
+
+@query(
+    f"with recursive {MESH}, {STRIPS}, {NODES}, {BLOCKS} select first, first_row, last_row, round(w * w * h + w * h * (h + 1) + 2 * w * h * below, 3) as cost from h "
+    "union all select first, first, last, round(w * w * w / 3 + w * w / 2 + w / 6, 3) from (select *, (last - first + 1)::double as w from sn)"
+)
+def mesh_block_costs(spark, sf):
+    """Operations of every block of the strips' Cholesky factor."""
+    p = cut(places(spark, sf))
+    nodes = cut(subtrees.tree(cut(mesh(p)), cut(strips(p))))
+    found = symbolic.block_costs(symbolic.blocks(nodes), "LLT")
+    return found.join(nodes.select("k", "first"), "k").select("first", "first_row", "last_row", F.round("cost", 3).alias("cost"))
+
+
 @query("select p_partkey as i, round(p_retailprice, 4) as re from part")
 def mesh_solution(spark, sf):
     """Cholesky factorization of the matrix of parts, dissected and analysed by parts; the solution is the prices."""

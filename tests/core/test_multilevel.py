@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from latticework.operators import algebra, graph, incomplete, kernels, layout, multilevel, ordering, refine, subtrees
+from latticework.operators import algebra, graph, incomplete, kernels, layout, multilevel, ordering, refine, subtrees, symbolic
 from latticework.operators.lineage import cut
 from latticework.plans import tables
 from latticework.plans.parameters import Parameters
@@ -171,3 +171,15 @@ def test_pivots_far_from_one(spark):
         rows = [(0, 0, 2 * size, 0.0), (0, 1, size, 0.0), (1, 0, size, 0.0), (1, 1, 3 * size, 0.0)]
         f = incomplete.factorize(spark.createDataFrame(rows, "i long, j long, re double, im double"))
         assert abs(f.lower.first().re - 0.5) < 1e-12
+
+
+def test_costs_of_blocks_add_up_to_those_of_supernodes(spark):
+    pairs, n = odd_graph()
+    e, v = cut(frame(spark, pairs)), cut(spark.range(n).select(F.col("id").alias("i")))
+    blok = cut(symbolic.blocks(subtrees.tree(e, cut(multilevel.dissection(e, v, share=70, leaf=8)))))
+    for kind in ("LLT", "LDLT", "LU"):
+        for complex_ in (False, True):
+            per = symbolic.block_costs(blok, kind, complex_).groupBy("k").agg(F.sum("cost").alias("cost"), F.count("*").alias("c"))
+            want = symbolic.heights(blok).select("k", symbolic.flops(kind, F.col("width"), F.col("below"), complex_).alias("whole"), "bloks")
+            rows = per.join(want, "k").collect()
+            assert rows and max(r.c for r in rows) > 2 and all(r.c == r.bloks and abs(r.cost - r.whole) <= 1e-9 * max(1, r.whole) for r in rows)
