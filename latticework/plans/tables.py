@@ -139,20 +139,21 @@ def mesh_amalgamated(spark, sf):
 
 
 BLOCKS = (
-    "r as (select s.first, s.last, l.i as x, f.first as facing from sn s join l on l.j = s.last join sn f on l.i between f.first and f.last), "
+    "wide as (select first, last from m where round = (select max(round) from m)), "
+    "r as (select distinct s.first, s.last, l.i as x, f.first as facing from wide s join l on l.j between s.first and s.last and l.i > s.last join wide f on l.i between f.first and f.last), "
     "runs as (select first, (last - first + 1)::double as w, min(x) as first_row, max(x) as last_row from (select *, x - row_number() over (partition by first, facing order by x) as g from r) group by first, last, facing, g), "
     "h as (select *, (last_row - first_row + 1)::double as h, coalesce(sum(last_row - first_row + 1) over (partition by first order by first_row rows between 1 following and unbounded following), 0)::double as below from runs)"
 )
 
 
 @query(
-    f"with recursive {MESH}, {STRIPS}, {NODES}, {BLOCKS} select first, first_row, last_row, round(w * w * h + w * h * (h + 1) + 2 * w * h * below, 3) as cost from h "
-    "union all select first, first, last, round(w * w * w / 3 + w * w / 2 + w / 6, 3) from (select *, (last - first + 1)::double as w from sn)"
+    f"with recursive {MESH}, {STRIPS}, {MERGED}, {BLOCKS} select first, first_row, last_row, round(w * w * h + w * h * (h + 1) + 2 * w * h * below, 3) as cost from h "
+    "union all select first, first, last, round(w * w * w / 3 + w * w / 2 + w / 6, 3) from (select *, (last - first + 1)::double as w from wide)"
 )
 def mesh_block_costs(spark, sf):
-    """Operations of every block of the strips' Cholesky factor."""
+    """Operations of every block of the strips' Cholesky factor, with supernodes merged as in mesh_amalgamated."""
     p = cut(places(spark, sf))
-    nodes = cut(subtrees.tree(cut(mesh(p)), cut(strips(p))))
+    nodes = cut(subtrees.amalgamated(cut(subtrees.tree(cut(mesh(p)), cut(strips(p)))), 0.1))
     found = symbolic.block_costs(symbolic.blocks(nodes), "LLT")
     return found.join(nodes.select("k", "first"), "k").select("first", "first_row", "last_row", F.round("cost", 3).alias("cost"))
 
