@@ -7,8 +7,9 @@ up with those of the matrix (partial sums before the shuffle). So the number of
 stages is the height of the cut tree, not that of the tree.
 
 With a Compression the rows below a wide enough supernode are cut into blocks, which are kept as U V^T
-where that is smaller: compressed before the supernode is eliminated (MinimalMemory, the solve with the pivot block then
-changes V alone) or after it (JustInTime). Updates of later columns are products of such blocks. A block's
+where that is smaller. JustInTime compresses them after the elimination of a dense front. MinimalMemory never has a dense front: it is
+a grid of blocks to which contributions are added in compressed form (see blockfront), and what it leaves is such blocks
+up to the group's end. Updates of later columns are products of such blocks. A block's
 U and V are entries of a table `panels` (part, stage, grp, node, b, q, at, re, im): b the block's first row,
 q the term, at the row or column; a sweep applies V, then U.
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import algebra, layout, lowrank, multilevel, ordering, subtrees, symbolic, tiles
+from . import algebra, blockfront, layout, lowrank, multilevel, ordering, subtrees, symbolic, tiles
 from .graph import components, prepare
 from .kernels import factor_front
 from .lineage import cut
@@ -66,11 +67,17 @@ class Factor:
     panels: DataFrame | None = None
     ranks: DataFrame | None = None
     tiled: tiles.Tiled | None = None
+    fronts: DataFrame | None = None
 
     def memory(self) -> DataFrame:
         """Dense, null and low-rank blocks below supernodes with the bytes that they take."""
         return lowrank.memory(self.ranks, 16 if self.is_complex else 8)
 
+    def front_memory(self) -> DataFrame:
+        """Per supernode the rows and pivots of its front, the bytes that it held at most, and those of a dense one."""
+        rows = F.col("rows").cast("long")
+        return self.fronts.select("node", "rows", "pivots", "held_bytes", (rows * rows * (16 if self.is_complex else 8)).alias("dense_bytes"))
+
 
 @dataclass(frozen=True)
 class Compression:
@@ -90,17 +97,14 @@ class Compression:
 
 
 def low_rank_front(front: np.ndarray, pivots: int, kind: str, criterion: float, c: Compression) -> tuple:
-    """As factor_front, with the rows below the pivots as blocks: L of the pivots, D or U of them, blocks (first row, L, U^T or None), what remains, pivots replaced."""
+    """As factor_front, with the rows below the pivots as blocks that are compressed after the solve: L of the pivots, D or U of them, blocks (first row, L, U^T or None), what remains, pivots replaced."""
     low, up, _, fixed = factor_front(front[:pivots, :pivots], pivots, kind, criterion)
     hermitian, general = kind in ("LLH", "LDLH"), kind == "LU"
     d = up if kind in ("LDLT", "LDLH") else np.ones(pivots, dtype=front.dtype)
-    # a block B of rows becomes B R^-1, which changes V of U V^T alone
+    # a block B of rows becomes B R^-1
     right = up if general else (d[:, None] * (low.conj() if hermitian else low).T)
 
     def solved(block: np.ndarray, by: np.ndarray) -> lowrank.Block:
-        if c.when == "MinimalMemory":
-            b = c.of(block)
-            return lowrank.Block(b.rank, b.u, np.linalg.solve(by.T, b.v)) if b.rank >= 0 else lowrank.Block(-1, np.linalg.solve(by.T, b.u.T).T, None)
         return c.of(np.linalg.solve(by.T, block.T).T)
 
     m = len(front)
@@ -265,45 +269,83 @@ def _eliminate(kind: str, criterion: float, is_complex: bool, schur: int | None,
                 r, c = np.meshgrid(at, q, indexing="ij")
                 put(names + side, k, r.ravel(), c.ravel(), values.ravel(), rows[0])
 
+        def put_below(k: int, index: np.ndarray, pivots: int, below: list) -> None:
+            """Blocks below the pivots; those of a supernode that is wide enough to be compressed are listed with their rank."""
+            for at, x, y in below:
+                rows = index[at : at + compression.rows]
+                for names, block in (("l", x), ("u", y)):
+                    if block is not None:
+                        put_block(names, k, rows, index[:pivots], block)
+                        if pivots >= compression.least_width:
+                            out.append(("R", np.array([k]), np.array([len(rows)]), np.array([pivots]), np.array([float(block.rank)]), np.array([rows[0]])))
+
+        def put_pivots(k: int, rows: np.ndarray, low: np.ndarray, up: np.ndarray) -> None:
+            pivots = low.shape[1]
+            r, c = np.nonzero(np.tril(np.ones(low.shape, dtype=bool)))
+            put("L", k, rows[r], rows[c], low[r, c])
+            if kind in ("LDLT", "LDLH"):
+                out.append(("D", np.full(pivots, k), rows[:pivots], rows[:pivots], up, np.zeros(pivots, dtype=np.int64)))
+            elif kind == "LU":
+                put("U", k, rows[r], rows[c], up[c, r])
+
+        def whole(rows: np.ndarray, rest: np.ndarray) -> blockfront.Piece:
+            return blockfront.Piece(rows, rows, lowrank.Block(-1, rest, None))
+
+        def give(node, pieces: list[blockfront.Piece]) -> None:
+            """To the father if it is in the group, else as entries, a piece at a time."""
+            if node.parent in inside:
+                waiting.setdefault(node.parent, []).extend(pieces)
+            else:
+                for piece in pieces:
+                    _leave(put, piece, symmetric)
+
+        def in_blocks(node, pivots: int, m: int) -> bool:
+            """Whether the front is a grid of blocks: with MinimalMemory all that are wide enough or have more than one run of rows."""
+            if compression is None or compression.when != "MinimalMemory" or m == pivots or (schur is not None and node.first >= schur):
+                return False
+            return pivots >= compression.least_width or m - pivots > compression.rows
+
         for node in nodes.itertuples(index=False):
             index = np.concatenate([np.arange(node.first, node.last + 1), np.asarray(node.rows, dtype=np.int64)])
             pivots, m = node.last - node.first + 1, len(index)
-            front = np.zeros((m, m), dtype=complex if is_complex else float)
+            dtype = complex if is_complex else float
             lo, hi = np.searchsorted(owner, node.first), np.searchsorted(owner, node.last, "right")
+            if in_blocks(node, pivots, m):
+                grid = blockfront.Front(index, pivots, kind, compression, dtype)
+                grid.enter(i[lo:hi], j[lo:hi], value[lo:hi])
+                contributions = waiting.pop(node.k, [])
+                while contributions:  # each is dropped once it is added
+                    grid.receive(contributions.pop())
+                low, up, below, pieces, new = grid.eliminate(criterion)
+                put_below(node.k, index, pivots, below)
+                put_pivots(node.k, index[:pivots], low, up)
+                out.append(("F", np.array([node.k]), np.array([m]), np.array([pivots]), np.array([float(grid.peak)]), np.zeros(1, dtype=np.int64)))
+                fixed += new
+                give(node, pieces)
+                continue
+            front = np.zeros((m, m), dtype=dtype)
             np.add.at(front, (np.searchsorted(index, i[lo:hi]), np.searchsorted(index, j[lo:hi])), value[lo:hi])
-            for rows, block in waiting.pop(node.k, ()):
-                at = np.searchsorted(index, rows)
-                front[np.ix_(at, at)] += block
+            for piece in waiting.pop(node.k, ()):
+                blockfront.spread(piece, index, front)
+            if compression is not None:
+                out.append(("F", np.array([node.k]), np.array([m]), np.array([pivots]), np.array([float(front.nbytes)]), np.zeros(1, dtype=np.int64)))
             if schur is not None and node.first >= schur:
                 r, c = np.meshgrid(index, index, indexing="ij")
                 keep = (r >= c) if symmetric else np.ones_like(r, dtype=bool)
                 keep &= np.minimum(r, c) < node.last + 1
                 put("S", node.k, r[keep], c[keep], front[keep])
                 if m > pivots:
-                    waiting.setdefault(node.parent, []).append((index[pivots:], front[pivots:, pivots:])) if node.parent in inside else _leave(put, index[pivots:], front[pivots:, pivots:], symmetric)
+                    give(node, [whole(index[pivots:], front[pivots:, pivots:])])
                 continue
             if compression is None or pivots < compression.least_width or m == pivots:
                 low, up, rest, new = factor_front(front, pivots, kind, criterion)
             else:
                 low, up, below, rest, new = low_rank_front(front, pivots, kind, criterion, compression)
-                for at, x, y in below:
-                    rows = index[at : at + compression.rows]
-                    for names, block in (("l", x), ("u", y)):
-                        if block is not None:
-                            put_block(names, node.k, rows, index[:pivots], block)
-                            out.append(("R", np.array([node.k]), np.array([len(rows)]), np.array([pivots]), np.array([float(block.rank)]), np.array([rows[0]])))
+                put_below(node.k, index, pivots, below)
             fixed += new
-            r, c = np.nonzero(np.tril(np.ones((len(low), pivots), dtype=bool)))
-            put("L", node.k, index[r], index[c], low[r, c])
-            if kind in ("LDLT", "LDLH"):
-                out.append(("D", np.full(pivots, node.k), index[:pivots], index[:pivots], up, np.zeros(pivots, dtype=np.int64)))
-            elif kind == "LU":
-                put("U", node.k, index[r], index[c], up[c, r])
+            put_pivots(node.k, index[: len(low)], low, up)
             if m > pivots:
-                if node.parent in inside:
-                    waiting.setdefault(node.parent, []).append((index[pivots:], rest))
-                else:
-                    _leave(put, index[pivots:], rest, symmetric)
+                give(node, [whole(index[pivots:], rest)])
         if fixed:
             zero = np.zeros(1, dtype=np.int64)
             out.append(("P", zero, zero, zero, np.array([float(fixed)]), zero))
@@ -315,9 +357,11 @@ def _eliminate(kind: str, criterion: float, is_complex: bool, schur: int | None,
     return run
 
 
-def _leave(put, index: np.ndarray, block: np.ndarray, symmetric: bool) -> None:
-    r, c = np.nonzero(np.tril(np.ones(block.shape, dtype=bool)) if symmetric else np.ones(block.shape, dtype=bool))
-    put("C", -1, index[r], index[c], block[r, c])
+def _leave(put, piece: blockfront.Piece, symmetric: bool) -> None:
+    block = piece.block.dense()
+    r, c = (x.ravel() for x in np.meshgrid(piece.rows, piece.cols, indexing="ij"))
+    on = r >= c if symmetric else np.ones(len(r), dtype=bool)
+    put("C", -1, r[on], c[on], block.ravel()[on])
 
 
 def factorize(a: Matrix, analysis: Analysis, kind: str = "LU", epsilon: float = 0.0, schur: int | None = None, compression: Compression | None = None, tile: int = tiles.TILE) -> Factor:
@@ -370,13 +414,14 @@ def factorize(a: Matrix, analysis: Analysis, kind: str = "LU", epsilon: float =
         upper = lower if kind in ("LLT", "LDLT") else lower.withColumn("im", -F.col("im"))
     d = everything.where("part = 'D'").select("i", "re", "im") if kind in ("LDLT", "LDLH") else None
     s = everything.where("part = 'S'").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im")) if schur is not None else None
-    panels = ranks = None
+    panels = ranks = fronts = None
     if compression:
+        fronts = everything.where("part = 'F'").select(F.col("k").alias("node"), F.col("i").alias("rows"), F.col("j").alias("pivots"), F.col("re").cast("long").alias("held_bytes"))
         panels = everything.where("part in ('lu', 'lv', 'uu', 'uv')").withColumnsRenamed({"i": "at", "j": "q"}).join(analysis.groups, "k")
         panels = cut(panels.select("part", "stage", "grp", F.col("k").alias("node"), "b", "q", "at", "re", "im"))
         ranks = everything.where("part = 'R'").select(F.col("k").alias("node"), "b", F.col("i").cast("int").alias("m"), F.col("j").cast("int").alias("n"), F.col("re").cast("int").alias("rank"))
     tiled = tiles.Tiled(tiles.union(kept), at, steps) if steps else None
-    return Factor(kind, analysis, lower, upper, d, int(replaced), s, schur, a.is_complex, panels, ranks, tiled)
+    return Factor(kind, analysis, lower, upper, d, int(replaced), s, schur, a.is_complex, panels, ranks, tiled, fronts)
 
 
 def _sweep(is_complex: bool, back: bool):

@@ -771,7 +771,7 @@ def enumeration_names(spark, sf):
     return parameters.names_table(spark).where("kind = 'norm'").select("name", "number")
 
 
-@query("select unnest(['factorization', 'ordering', 'leaf', 'amalgamation', 'limit', 'share', 'front', 'tile', 'incomplete', 'incomplete_steps', 'epsilon', 'refinement', 'refine_epsilon', 'refine_most', 'restart', 'trans', 'mixed', 'compress_when', 'compress_method', 'compress_tolerance', 'compress_least_width', 'compress_least_height']) as name, unnest(['None', 'Dissection', '24', '0.05', '20000', '50000', '6000', '1024', '-1', '6', '0.0', 'GMRES', '1e-12', '250', '25', 'NoTrans', 'False', 'Never', 'PQRCP', '1e-08', '128', '20']) as value")
+@query("select unnest(['factorization', 'ordering', 'leaf', 'amalgamation', 'limit', 'share', 'front', 'tile', 'incomplete', 'incomplete_steps', 'epsilon', 'refinement', 'refine_epsilon', 'refine_most', 'restart', 'trans', 'mixed', 'compress_when', 'compress_method', 'compress_tolerance', 'compress_least_width', 'compress_least_height', 'compress_rows']) as name, unnest(['None', 'Dissection', '24', '0.05', '20000', '50000', '6000', '1024', '-1', '6', '0.0', 'GMRES', '1e-12', '250', '25', 'NoTrans', 'False', 'Never', 'PQRCP', '1e-08', '128', '20', '256']) as value")
 def parameter_table(spark, sf):
     return parameters.Parameters().table(spark)
 

@@ -57,13 +57,14 @@ class Parameters:
     compress_tolerance: float = 1e-8
     compress_least_width: int = 128
     compress_least_height: int = 20
+    compress_rows: int = 256
 
     def __post_init__(self) -> None:
         for kind in ("factorization", "refinement", "ordering", "trans", "compress_when", "compress_method"):
             value = getattr(self, kind)
             if value is not None:
                 setattr(self, kind, NAMES[kind][parse(kind, value)])
-        for low in ("leaf", "limit", "share", "front", "tile", "restart", "refine_most", "incomplete_steps"):
+        for low in ("leaf", "limit", "share", "front", "tile", "restart", "refine_most", "incomplete_steps", "compress_rows"):
             if getattr(self, low) < 1:
                 raise ValueError(f"{low} must be positive")
         if not 0 <= self.amalgamation or self.refine_epsilon < 0 or self.compress_tolerance < 0:

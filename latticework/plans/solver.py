@@ -68,7 +68,7 @@ class Solver:
         if self.factor is None:
             first = None if self.listed is None else self.a.n - self.listed.count()
             p = self.parameters
-            compression = None if p.compress_when == "Never" else numeric.Compression(p.compress_when, p.compress_method, p.compress_tolerance, p.compress_least_width, p.compress_least_height)
+            compression = None if p.compress_when == "Never" else numeric.Compression(p.compress_when, p.compress_method, p.compress_tolerance, p.compress_least_width, p.compress_least_height, p.compress_rows)
             self.factor = numeric.factorize(self.a, self.analyze(), self.kind, p.epsilon, first, compression, p.tile)
             if self.parameters.mixed:
                 single = lambda df: None if df is None else cut(algebra.to_single(df))
@@ -143,7 +143,7 @@ class Solver:
         """Matrix, analysis and factor as tables, to be loaded in another session."""
         a, f = self.analyze(), self.factorize()
         tables = {"coo": self.a.coo, "ordering": a.ordering, "columns": a.columns, "tree": a.tree, "groups": a.groups, "lower": f.lower}
-        tables |= {n: getattr(f, n) for n in ("d", "schur", "panels", "ranks") if getattr(f, n) is not None}
+        tables |= {n: getattr(f, n) for n in ("d", "schur", "panels", "ranks", "fronts") if getattr(f, n) is not None}
         if f.kind == "LU":
             tables["upper"] = f.upper
         if f.tiled is not None:
@@ -163,7 +163,7 @@ class Solver:
         s.analysis = numeric.Analysis(n, t["ordering"], t["columns"], t["tree"], t["groups"], about["stages"], about.get("front"))
         upper = t.get("upper", t["lower"] if about["kind"] in ("LLT", "LDLT") else t["lower"].withColumn("im", -F.col("im")))
         tiled = tiles.Tiled(t["tiles"], t["places"], dict(about["steps"])) if about.get("steps") else None
-        s.factor = numeric.Factor(about["kind"], s.analysis, t["lower"], upper, t.get("d"), about["replaced"], t.get("schur"), about["first_schur"], s.a.is_complex, t.get("panels"), t.get("ranks"), tiled)
+        s.factor = numeric.Factor(about["kind"], s.analysis, t["lower"], upper, t.get("d"), about["replaced"], t.get("schur"), about["first_schur"], s.a.is_complex, t.get("panels"), t.get("ranks"), tiled, t.get("fronts"))
         return s
 
     def _listed(self) -> DataFrame:

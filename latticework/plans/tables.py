@@ -210,3 +210,27 @@ def refine_mesh_incomplete(spark, sf):
     a, p = matrix(spark, sf)
     s = Solver(a, Parameters(refinement="GMRES", incomplete=1, refine_epsilon=1e-8))
     return s.solve(known(p, a)).select("i", F.round("re", 3).alias("re"))
+
+
+def _low_rank(spark, sf, kind: str, tolerance: float, **options) -> tuple[Solver, DataFrame]:
+    """The matrix of parts with low-rank blocks of few rows, as its separators are short."""
+    a, p = matrix(spark, sf)
+    small = {"compress_least_width": 8, "compress_least_height": 8, "compress_rows": 16}
+    return Solver(a, Parameters(factorization=kind, compress_when="MinimalMemory", compress_tolerance=tolerance, **small, **options)), p
+
+
+@query("select p_partkey as i, round(p_retailprice, 3) as re from part")
+def mesh_solution_low_rank(spark, sf):
+    """CG on the matrix of parts with an approximate L L^T, whose fronts are low-rank from the start, as preconditioner."""
+    s, p = _low_rank(spark, sf, "LLT", 1e-4, refinement="CG", refine_epsilon=1e-9)
+    return s.solve(known(p, s.a), refined=True).select("i", F.round("re", 3).alias("re"))
+
+
+@query("select count(*) as columns, true as less_factor, true as less_front from part")
+def mesh_low_rank_memory(spark, sf):
+    """Columns of all supernodes; bytes of the factor's blocks, and of the largest front while it was eliminated, against dense ones."""
+    s, _ = _low_rank(spark, sf, "LDLT", 1e-2)
+    factor = s.factorize()
+    fronts = factor.front_memory().agg(F.sum("pivots").alias("columns"), (F.max_by("held_bytes", "dense_bytes") < F.max("dense_bytes")).alias("less_front"))
+    less = factor.memory().agg(F.sum("used_bytes") < F.sum("dense_bytes")).first()[0]
+    return fronts.select("columns", F.lit(less).alias("less_factor"), "less_front")

@@ -5,7 +5,7 @@ from latticework.plans import catalog, tables  # noqa: F401
 from .. import TABLES, TINY
 
 #: Solvers are tested on their own.
-QUICK = [n for n in catalog.QUERIES if not n.startswith(("solve_", "refine_", "schur", "mesh_solution"))]
+QUICK = [n for n in catalog.QUERIES if not n.startswith(("solve_", "refine_", "schur", "mesh_solution", "mesh_low_rank"))]
 
 
 def plain(x):
