@@ -66,5 +66,15 @@ def expand_ordering(ordering: DataFrame, dofs: DataFrame) -> DataFrame:
     return out.select("i", (F.col("at") + F.col("i") - F.col("begin")).alias("perm"))
 
 
+def offsets(counts: DataFrame) -> DataFrame:
+    """(i, begin, end) of vertices with dof unknowns each, from (i, dof): they follow each other in the order of i."""
+    return ordered(counts.select("i", "dof"), [F.col("i")], "at", upto="dof").select("i", (F.col("upto") - F.col("dof")).alias("begin"), F.col("upto").alias("end"))
+
+
+def vertices_of(dofs: DataFrame) -> DataFrame:
+    """Unknown i -> vertex."""
+    return dofs.where("end > begin").select(F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("unknown"), F.col("i").alias("vertex")).withColumnRenamed("unknown", "i")
+
+
 def constant_dofs(vertices: DataFrame, dof: int) -> DataFrame:
     return vertices.select("i", (F.col("i") * dof).alias("begin"), ((F.col("i") + 1) * dof).alias("end"))

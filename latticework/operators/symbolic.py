@@ -185,6 +185,14 @@ def expand_blocks(blok: DataFrame, dof: int) -> DataFrame:
     return blok.select("k", (F.col("first_row") * dof).alias("first_row"), ((F.col("last_row") + 1) * dof - 1).alias("last_row"), "facing")
 
 
+def expand_blocks_by(blok: DataFrame, dofs: DataFrame) -> DataFrame:
+    """Blocks of the unknowns of vertices with different numbers of them; dofs (i, begin, end) by the vertices' places in the order. Rows of a vertex without unknowns vanish."""
+    begin = dofs.select(F.col("i").alias("first_row"), "begin")
+    end = dofs.select(F.col("i").alias("last_row"), "end")
+    out = blok.join(begin, "first_row").join(end, "last_row").where("end > begin")
+    return out.select("k", F.col("begin").alias("first_row"), (F.col("end") - 1).alias("last_row"), "facing")
+
+
 def candidates(tree: DataFrame, least_width: int) -> DataFrame:
     """(k, eligible): a supernode stays eligible while it and all its ancestors are at least so wide."""
     ok = (F.col("last") - F.col("first") + 1) >= least_width

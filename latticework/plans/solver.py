@@ -8,7 +8,7 @@ from dataclasses import asdict, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import algebra, graph, incomplete, layout, numeric, ordering, refine, tiles
+from ..operators import algebra, graph, incomplete, layout, multilevel, numeric, ordering, refine, tiles
 from ..operators.lineage import cut
 from ..schema import Matrix
 from .parameters import Parameters
@@ -42,7 +42,7 @@ class Solver:
 
     def setup(self, a: Matrix) -> None:
         """Another matrix: all steps are undone."""
-        self.a = Matrix(cut(a.coo), a.n, a.kind, a.arithmetic, a.dof)
+        self.a = Matrix(cut(a.coo), a.n, a.kind, a.arithmetic, a.dof, None if a.dofs is None else cut(a.dofs))
         self.analysis = self.factor = None
 
     def analyze(self) -> numeric.Analysis:
@@ -50,7 +50,7 @@ class Solver:
             order = self.order
             if order is None and self.parameters.ordering == "Identity":
                 order = self.a.coo.sparkSession.range(self.a.n).select(F.col("id").alias("i"), F.col("id").alias("perm"))
-            if order is None and self.a.dof > 1:
+            if order is None and (self.a.dof > 1 or self.a.dofs is not None):
                 order = self._vertex_order()
             self.analysis = numeric.analyze(self.a, order, self.parameters.limit, self.parameters.amalgamation, self.isolated if self.listed is None else self.listed, self.parameters.leaf, self.parameters.share, self.parameters.front)
         return self.analysis
@@ -58,11 +58,23 @@ class Solver:
     def _vertex_order(self) -> DataFrame:
         """The ordering of the graph of vertices, its places expanded to their unknowns."""
         dof, spark = self.a.dof, self.a.coo.sparkSession
-        vertex = lambda c: F.floor(F.col(c) / dof).alias(c)
-        edges = cut(graph.prepare(self.a.coo.select(vertex("i"), vertex("j"))))
-        vertices = spark.range(self.a.n // dof).select(F.col("id").alias("i"))
-        order = ordering.nested_dissection(edges, cut(graph.components(edges, vertices)), self.parameters.leaf)
-        return layout.expand_ordering(order, layout.constant_dofs(vertices, dof))
+        if self.a.dofs is None:
+            vertex = lambda c: F.floor(F.col(c) / dof).alias(c)
+            pairs = self.a.coo.select(vertex("i"), vertex("j"))
+            vertices = spark.range(self.a.n // dof).select(F.col("id").alias("i"))
+            dofs = layout.constant_dofs(vertices, dof)
+        else:
+            dofs = self.a.dofs.where("end > begin")
+            of = layout.vertices_of(dofs)
+            rows, cols = of.withColumnRenamed("vertex", "row"), of.select(F.col("i").alias("j"), F.col("vertex").alias("col"))
+            pairs = self.a.coo.select("i", "j").join(rows, "i").join(cols, "j").select(F.col("row").alias("i"), F.col("col").alias("j"))
+            vertices = dofs.select("i")
+        edges, p = cut(graph.prepare(pairs)), self.parameters
+        if vertices.count() > p.share:
+            order = multilevel.dissection(edges, cut(vertices), p.share, p.leaf).select("i", "perm")
+        else:
+            order = ordering.nested_dissection(edges, cut(graph.components(edges, vertices)), p.leaf)
+        return layout.expand_ordering(order, dofs)
 
     def factorize(self) -> numeric.Factor:
         if self.factor is None:
@@ -146,6 +158,8 @@ class Solver:
         tables |= {n: getattr(f, n) for n in ("d", "schur", "panels", "ranks", "fronts") if getattr(f, n) is not None}
         if f.kind == "LU":
             tables["upper"] = f.upper
+        if self.a.dofs is not None:
+            tables["dofs"] = self.a.dofs
         if f.tiled is not None:
             tables |= {"tiles": f.tiled.tiles, "places": f.tiled.places}
         for name, df in tables.items():
@@ -159,7 +173,7 @@ class Solver:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
         t = {name: spark.read.parquet(f"{path}/{name}") for name in about["tables"]}
         n, kind, arithmetic, dof = about["matrix"]
-        s = cls(Matrix(t["coo"], n, kind, arithmetic, dof), Parameters(**about["parameters"] | {"factorization": about["kind"]}), order=t["ordering"])
+        s = cls(Matrix(t["coo"], n, kind, arithmetic, dof, t.get("dofs")), Parameters(**about["parameters"] | {"factorization": about["kind"]}), order=t["ordering"])
         s.analysis = numeric.Analysis(n, t["ordering"], t["columns"], t["tree"], t["groups"], about["stages"], about.get("front"))
         upper = t.get("upper", t["lower"] if about["kind"] in ("LLT", "LDLT") else t["lower"].withColumn("im", -F.col("im")))
         tiled = tiles.Tiled(t["tiles"], t["places"], dict(about["steps"])) if about.get("steps") else None

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import algebra, incomplete, multilevel, subtrees, symbolic
+from ..operators import algebra, incomplete, layout, multilevel, subtrees, symbolic
 from ..operators.lineage import cut
 from ..operators.prefix import ordered
 from ..schema import SYMMETRIC, Matrix
+from ..sources import generators
 from .catalog import balances, query, supplier_part, table
 from .parameters import Parameters
 from .solver import Solver
@@ -234,3 +235,46 @@ def mesh_low_rank_memory(spark, sf):
     fronts = factor.front_memory().agg(F.sum("pivots").alias("columns"), (F.max_by("held_bytes", "dense_bytes") < F.max("dense_bytes")).alias("less_front"))
     less = factor.memory().agg(F.sum("used_bytes") < F.sum("dense_bytes")).first()[0]
     return fronts.select("columns", F.lit(less).alias("less_factor"), "less_front")
+
+
+#: Unknowns of a part by its size, one to three, and the unknowns' offsets.
+UNKNOWNS = "d as (select i, s, v, 1 + s % 3 as dof, sum(1 + s % 3) over (order by i)::bigint - 1 - s % 3 as start from p), u as (select i, v, start + t as x, t from d, unnest(range(dof)) as f(t))"
+
+
+def counts(p: DataFrame) -> DataFrame:
+    return p.select("i", (1 + F.col("s") % 3).cast("long").alias("dof"))
+
+
+@query(f"with {MESH}, {UNKNOWNS} select r.x as i, count(*) as entries, round(sum(a.re * case when r.t = c.t then 1 else 1.0 / 6 end), 6) as total from a join u r on r.i = a.i join u c on c.i = a.j group by r.x")
+def mesh_unknowns(spark, sf):
+    """Row sums of the matrix of parts with one to three unknowns a part."""
+    a, p = matrix(spark, sf)
+    rows = algebra.full(generators.with_variable_dofs(a, cut(layout.offsets(counts(p)))))
+    return rows.groupBy("i").agg(F.count("*").alias("entries"), F.round(F.sum("re"), 6).alias("total"))
+
+
+@query(f"with {MESH}, {UNKNOWNS} select x as i, round(v + t, 4) as re from u")
+def mesh_solution_unknowns(spark, sf):
+    """Cholesky factorization with one to three unknowns a part, ordered by the graph of parts; the solution is the price and the number of the unknown."""
+    a, p = matrix(spark, sf)
+    dofs = cut(layout.offsets(counts(p)))
+    m = generators.with_variable_dofs(a, dofs)
+    s = Solver(m, Parameters(factorization="LLT", share=SHARE))
+    x = layout.vertices_of(dofs).withColumnsRenamed({"i": "x", "vertex": "i"}).join(p, "i").join(dofs, "i")
+    x = x.select(F.col("x").alias("i"), F.lit(0).alias("k"), (F.col("v") + F.col("x") - F.col("begin")).alias("re"), F.lit(0.0).alias("im"))
+    return s.solve(algebra.spmv(algebra.full(s.a), x)).select("i", F.round("re", 4).alias("re"))
+
+
+@query(
+    f"with recursive {MESH}, {STRIPS}, {MERGED}, {BLOCKS}, d as (select perm, sum(1 + s % 3) over (order by perm)::bigint as upto, 1 + s % 3 as dof from o join p using (i)), "
+    "held as (select first, first_row, last_row from h union all select first, first, last from wide) "
+    "select b.first, x.upto - x.dof as first_row, y.upto - 1 as last_row from held as b join d x on x.perm = b.first_row join d y on y.perm = b.last_row"
+)
+def mesh_blocks_unknowns(spark, sf):
+    """Blocks of the strips' factor in unknowns, one to three a part."""
+    p = cut(places(spark, sf))
+    order = cut(strips(p))
+    nodes = cut(subtrees.amalgamated(cut(subtrees.tree(cut(mesh(p)), order)), 0.1))
+    dofs = layout.offsets(counts(p).join(order.select("i", "perm"), "i").select(F.col("perm").alias("i"), "dof"))
+    found = symbolic.expand_blocks_by(symbolic.blocks(nodes), cut(dofs))
+    return found.join(nodes.select("k", "first"), "k").select("first", "first_row", "last_row")

@@ -21,13 +21,14 @@ ARITHMETIC = ("Pattern", "Float", "Double", "Complex32", "Complex64")
 
 @dataclass(frozen=True)
 class Matrix:
-    """A square sparse matrix. Symmetric and Hermitian ones store one triangle. dof: unknowns of each vertex, which follow each other."""
+    """A square sparse matrix. Symmetric and Hermitian ones store one triangle. dof: unknowns of each vertex, which follow each other; dofs: where vertices have different numbers of them, (i, begin, end) per vertex."""
 
     coo: DataFrame
     n: int
     kind: str = GENERAL
     arithmetic: str = "Double"
     dof: int = 1
+    dofs: DataFrame | None = None
 
     @property
     def is_complex(self) -> bool:

@@ -59,6 +59,21 @@ def with_dofs(a: Matrix, dof: int) -> Matrix:
     return Matrix(coo, a.n * dof, a.kind, a.arithmetic, dof)
 
 
+def with_variable_dofs(a: Matrix, dofs: DataFrame) -> Matrix:
+    """Every vertex as unknowns of its own number, from offsets (i, begin, end); values as in with_dofs, so definite if A is."""
+    n, most = dofs.agg(F.coalesce(F.max("end"), F.lit(0)), F.coalesce(F.max(F.col("end") - F.col("begin")), F.lit(1))).first()
+    own = dofs.where("end > begin")
+    rows = own.select("i", F.col("begin").alias("row"), F.col("end").alias("row_end"))
+    cols = own.select(F.col("i").alias("j"), F.col("begin").alias("col"), F.col("end").alias("col_end"))
+    cell = lambda begin, end: F.explode(F.sequence(F.lit(0).cast("long"), F.col(end) - F.col(begin) - 1))
+    out = a.coo.join(rows, "i").join(cols, "j").withColumn("a", cell("row", "row_end")).withColumn("b", cell("col", "col_end"))
+    if a.kind != GENERAL:  # the triangle that is stored
+        out = out.where("i <> j or a >= b")
+    by = F.when(F.col("a") == F.col("b"), 1.0).otherwise(1 / (2 * most))
+    coo = out.select((F.col("row") + F.col("a")).alias("i"), (F.col("col") + F.col("b")).alias("j"), (F.col("re") * by).alias("re"), (F.col("im") * by).alias("im"))
+    return Matrix(coo, n, a.kind, a.arithmetic, dofs=dofs)
+
+
 def fake_values(edges: DataFrame) -> DataFrame:
     """Values for a pattern: -1 off the diagonal, and on it one more than the entries of the row."""
     count = edges.where("i <> j").groupBy("i").agg(F.count("*").alias("c"))
