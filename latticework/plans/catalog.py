@@ -796,6 +796,22 @@ def file_formats(spark, sf):
     return out
 
 
+@query(f"with {A}, f as (select unnest(['mm', 'ijv']) as format) select format, i, count(*) as entries, sum(re) as re, sum(j)::bigint as columns from a, f group by format, i")
+def matrix_sources(spark, sf):
+    """The supplier x part matrix written by the data sources and read back in ranges of 64 KB."""
+    from ..sources import datasource
+
+    datasource.register(spark)
+    a, out = cut(supplier_part(spark, sf)), None
+    for name in ("mm", "ijv"):
+        path = new_path(spark, name)
+        a.write.format(f"latticework-{name}").mode("overwrite").save(path)
+        back = spark.read.format(f"latticework-{name}").option("split", 1 << 16).load(path)
+        rows = back.groupBy(F.lit(name).alias("format"), "i").agg(F.count("*").alias("entries"), F.sum("re").alias("re"), F.sum("j").alias("columns"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("select c_custkey as i, c_custkey * 7 % 1000003 as perm from customer")
 def ordering_file(spark, sf):
     from ..sources import files
