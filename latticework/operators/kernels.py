@@ -362,38 +362,119 @@ def factor_front(front: np.ndarray, pivots: int, kind: str, criterion: float) ->
     return low, up, a[pivots:, pivots:], fixed
 
 
-def column_runs(columns: np.ndarray, rows: np.ndarray) -> list[tuple]:
-    """Symbolic elimination of some columns from their entries (column, row >= column): (first, last, rows, None) for each run of columns.
-
-    A run is a chain of consecutive columns, each the only child of the next and with its rows. Rows that a column has for a father
-    outside are given too: (father, father, further rows, father).
+def united_spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of spans first to last of integers, in order; spans that touch are one."""
+    if len(first) < 2:
+        return first, last
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(last[order])
+    opens = np.flatnonzero(first[1:] > reach[:-1] + 1) + 1
+    return first[np.concatenate(([0], opens))], reach[np.concatenate((opens - 1, [len(first) - 1]))]
+
+
+def column_spans(columns: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple]:
+    """Symbolic elimination of some columns from their entries (column, rows begin to end): (first, last, height, spans, None) for each run of columns.
+
+    A run is a chain of consecutive columns, each the only child of the next and with its rows; height and spans (first, last, first, ...) are
+    the rows below its last column. A structure takes memory by its spans, not by its rows. Rows that a column has for a father
+    outside are given too: (father, father, rows, spans, father).
     """
-    order = np.lexsort((rows, columns))
-    columns, rows = columns[order], rows[order]
+    order = np.lexsort((begin, columns))
+    columns, begin, end = columns[order], begin[order], end[order]
     names, starts = np.unique(columns, return_index=True)
     ends = np.append(starts[1:], len(columns))
     inside = set(names.tolist())
-    kids: dict[int, list[tuple[int, np.ndarray]]] = {}
+    kids: dict[int, list[tuple]] = {}
     out, first, last, held = [], None, None, None
-    for name, a, b in zip(names.tolist(), starts, ends, strict=True):
-        mine = rows[a:b]
-        mine = mine[mine > name]
+
+    def run(first: int, last: int, height: int, a: np.ndarray, b: np.ndarray, to: int | None) -> None:
+        out.append((first, last, height, np.column_stack((a, b)).ravel(), to))
+
+    for name, x, y in zip(names.tolist(), starts, ends, strict=True):
+        a, b = begin[x:y], end[x:y]
+        on = b > name
+        a, b = np.maximum(a[on], name + 1), b[on]
         given = kids.pop(name, [])
-        below = np.unique(np.concatenate([mine, *(g for _, g in given)])) if given else np.unique(mine)
-        below = below[below > name]
-        if held is not None and last == name - 1 and len(given) == 1 and given[0][0] == last and len(below) == len(held) - 1:
+        if given:
+            a, b = np.concatenate([a, *(g[1] for g in given)]), np.concatenate([b, *(g[2] for g in given)])
+        a, b = united_spans(a, b)
+        height = int((b - a).sum()) + len(a)
+        if held is not None and last == name - 1 and len(given) == 1 and given[0][0] == last and height == held[0] - 1:
             last = name
         else:
             if held is not None:
-                out.append((first, last, held, None))
+                run(first, last, *held, None)
             first = last = name
-        held = below
-        if len(below):
-            father = int(below[0])
+        held = height, a, b
+        if height:
+            father = int(a[0])
+            cut = 1 if a[0] == b[0] else 0
+            further = a[cut:].copy(), b[cut:]
+            if not cut:
+                further[0][0] += 1
             if father in inside:
-                kids.setdefault(father, []).append((name, below[1:]))
-            elif len(below) > 1:
-                out.append((father, father, below[1:], father))
+                kids.setdefault(father, []).append((name, *further))
+            elif height > 1:
+                run(father, father, height - 1, *further, father)
     if held is not None:
-        out.append((first, last, held, None))
+        run(first, last, *held, None)
     return out
+
+
+def column_runs(columns: np.ndarray, rows: np.ndarray) -> list[tuple]:
+    """As column_spans from entries (column, row), each row below a run listed: (first, last, rows, None), and what is given (father, father, further rows, father)."""
+    every = lambda s: np.concatenate([np.arange(a, b + 1) for a, b in s.reshape(-1, 2)]) if len(s) else s
+    return [(first, last, every(spans), to) for first, last, _, spans, to in column_spans(columns, rows, rows)]
+
+
+def merge_rounds(first: list[int], last: list[int], height: list[int], head: list[int], most: int) -> list[tuple[int, int, int]]:
+    """Merges (at, round, zeros) of consecutive supernodes in rounds, at the last column of a son. head is the first row below a supernode, -1 for none.
+
+    All merges of a round that add fewer zeros than the ones next to them (ties: the first column) are taken; those of more than `most` zeros never.
+    Only what a merge touched is looked at again, so the work grows with the merges, whatever the number of rounds.
+    """
+    n = len(first)
+    first, before, after = list(first), list(range(-1, n - 1)), list(range(1, n + 1))
+    # a supernode goes by the number of its last one; zeros of merging it into the next one
+    zeros: list[int | None] = [None] * (n + 1)
+
+    def cost(a: int) -> int | None:
+        b = after[a]
+        if b >= n or not 0 <= head[a] <= last[b]:
+            return None
+        z = (last[a] - first[a] + 1) * (last[b] - first[b] + 1 + height[b] - height[a])
+        return z if z <= most else None
+
+    for a in range(n):
+        zeros[a] = cost(a)
+
+    def least(a: int) -> bool:
+        z = zeros[a]
+        if z is None:
+            return False
+        lower = zeros[before[a]] if before[a] >= 0 else None
+        upper = zeros[after[a]] if after[a] < n else None
+        return (lower is None or z < lower) and (upper is None or z <= upper)
+
+    out, number, look = [], 0, range(n)
+    while True:
+        taken = [a for a in look if least(a)]
+        if not taken:
+            return out
+        number += 1
+        near: set[int] = set()
+        for a in taken:
+            out.append((last[a], number, zeros[a]))
+        for a in taken:
+            b, p = after[a], before[a]
+            first[b], before[b], zeros[a] = first[a], p, None
+            if p >= 0:
+                after[p] = b
+        for a in taken:
+            b = after[a]
+            near.add(b)
+            if before[b] >= 0:
+                near.add(before[b])
+        for a in near:
+            zeros[a] = cost(a)
+        look = near | {before[a] for a in near if before[a] >= 0} | {after[a] for a in near if after[a] < n}

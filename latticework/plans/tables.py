@@ -100,14 +100,14 @@ def strips(p: DataFrame) -> DataFrame:
 def mesh_columns(spark, sf):
     """Elimination tree and heights of the factor's columns, by parts; each strip is a task, then the separators."""
     p = cut(places(spark, sf))
-    found = subtrees.columns(subtrees.joined(cut(subtrees.runs(cut(mesh(p)), cut(strips(p))))))
-    return found.select("i", "parent", F.size("rows").cast("long").alias("height"))
+    return subtrees.heights(cut(subtrees.spans(cut(mesh(p)), cut(strips(p)))))
 
 
 @query(f"with recursive {MESH}, {STRIPS} select count(*) as entries from l")
 def mesh_factor_entries(spark, sf):
     p = cut(places(spark, sf))
-    return subtrees.entries(subtrees.tree(cut(mesh(p)), cut(strips(p))))
+    found = subtrees.heights(cut(subtrees.spans(cut(mesh(p)), cut(strips(p)))))
+    return found.agg(F.coalesce(F.sum("height"), F.lit(0)).alias("entries"))
 
 
 #: Fundamental supernodes of the strips.

@@ -183,3 +183,70 @@ def test_costs_of_blocks_add_up_to_those_of_supernodes(spark):
             want = symbolic.heights(blok).select("k", symbolic.flops(kind, F.col("width"), F.col("below"), complex_).alias("whole"), "bloks")
             rows = per.join(want, "k").collect()
             assert rows and max(r.c for r in rows) > 2 and all(r.c == r.bloks and abs(r.cost - r.whole) <= 1e-9 * max(1, r.whole) for r in rows)
+
+
+def test_structure_takes_memory_by_spans():
+    """A band of 3,000 rows: each column has 3,000 rows, but few spans."""
+    n, wide = 9_000, 3_000
+    i = np.arange(n)
+    columns = np.concatenate([i, i[:-1], i[:-wide]])
+    rows = np.concatenate([i, i[:-1] + 1, i[:-wide] + wide])
+    out = kernels.column_spans(columns, rows, rows)
+    assert sum(len(r[3]) for r in out) <= 4 * n
+    # column c holds rows c + 1 to c + wide once it has met the column wide before it
+    heights = {r[0]: r[2] for r in out if r[0] == r[1]}
+    assert heights[wide + 5] == wide and heights[5] == 7
+
+
+def _merged_by_rounds(nodes, ratio):
+    """Merging round by round, from the definition."""
+    left = int(ratio * sum((z - a + 1) * (z - a + 2) // 2 + (z - a + 1) * h for a, z, h, _ in nodes))
+    rounds = 0
+    while True:
+        keys = []
+        for (a, z, h, head), (b, y, g, _) in zip(nodes, nodes[1:], strict=False):
+            keys.append(((z - a + 1) * (y - b + 1 + g - h), b) if head is not None and head <= y else None)
+        at = [n for n, k in enumerate(keys) if k and all(o is None or k < o for o in (keys[n - 1] if n else None, keys[n + 1] if n + 1 < len(keys) else None))]
+        taken = set()
+        for n in sorted(at, key=keys.__getitem__):
+            if keys[n][0] > left:
+                break
+            left -= keys[n][0]
+            taken.add(n)
+        if not taken:
+            return [(a, z, h) for a, z, h, _ in nodes], rounds
+        rounds += 1
+        new, first = [], None
+        for n, (a, z, h, head) in enumerate(nodes):
+            first = a if first is None else first
+            if n not in taken:
+                new.append((first, z, h, head))
+                first = None
+        nodes = new
+
+
+@pytest.mark.parametrize("jump", [2, 1_000])
+def test_merging_takes_few_jobs_for_many_rounds(spark, monkeypatch, jump):
+    """Strips of a grid, whose chains merge two supernodes a round; segments of any size give the same."""
+    monkeypatch.setattr(subtrees, "JUMP", jump)
+    wide, high = 30, 9
+    cells = [(x, y) for x in range(high) for y in range(wide)]
+    cells.sort(key=lambda c: (c[0] % 4 == 3, c))
+    place = {c: n for n, c in enumerate(cells)}
+    below = [set() for _ in cells]
+    for (x, y), n in place.items():
+        for c in ((x + 1, y), (x, y + 1), (x - 1, y), (x, y - 1)):
+            if place.get(c, -1) > n:
+                below[n].add(place[c])
+    for rows in below:
+        if rows:
+            below[min(rows)] |= rows - {min(rows)}
+    nodes = [(n, n, len(rows), min(rows, default=None)) for n, rows in enumerate(below)]
+    want, rounds = _merged_by_rounds(nodes, 0.3)
+    table = spark.createDataFrame(nodes, "first long, last long, height long, head long")
+    assert sorted(tuple(r)[1:] for r in subtrees.merged(table, 0.3).collect()) == want
+    assert rounds > 20
+    # the rounds themselves, where the budget never ends
+    want, _ = _merged_by_rounds(nodes, 1e6)
+    gone = {at for at, _, _ in kernels.merge_rounds(*([-1 if x is None else x for x in c] for c in zip(*nodes, strict=True)), 10**9)}
+    assert [z for _, z, _, _ in nodes if z not in gone] == [z for _, z, _ in want]
