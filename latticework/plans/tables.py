@@ -110,6 +110,12 @@ def mesh_factor_entries(spark, sf):
     return found.agg(F.coalesce(F.sum("height"), F.lit(0)).alias("entries"))
 
 
+def supernodes(p: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The strips' supernodes before merging (first, last, height, spans), and after it (k, first, last, height)."""
+    nodes = cut(subtrees.fundamental(cut(subtrees.spans(cut(mesh(p)), order))))
+    return nodes, cut(subtrees.merged(nodes.withColumn("head", F.get("spans", 0)), 0.1))
+
+
 #: Fundamental supernodes of the strips.
 NODES = (
     "t as (select o.perm as i, min(l.i) as parent, count(l.i) as height from o left join l on l.j = o.perm group by o.perm), c as (select parent as i, count(*) as kids from t where parent is not null group by parent), "
@@ -135,8 +141,7 @@ MERGED = (
 def mesh_amalgamated(spark, sf):
     """Supernodes of the strips merged while zeros are a tenth of the entries at most."""
     p = cut(places(spark, sf))
-    nodes = cut(subtrees.tree(cut(mesh(p)), cut(strips(p))))
-    return subtrees.amalgamated(nodes, 0.1).select("k", "first", "last", F.size("rows").cast("long").alias("height"))
+    return supernodes(p, cut(strips(p)))[1]
 
 
 BLOCKS = (
@@ -154,8 +159,9 @@ BLOCKS = (
 def mesh_block_costs(spark, sf):
     """Operations of every block of the strips' Cholesky factor, with supernodes merged as in mesh_amalgamated."""
     p = cut(places(spark, sf))
-    nodes = cut(subtrees.amalgamated(cut(subtrees.tree(cut(mesh(p)), cut(strips(p)))), 0.1))
-    found = symbolic.block_costs(symbolic.blocks(nodes), "LLT")
+    before, nodes = supernodes(p, cut(strips(p)))
+    held = cut(nodes.select("k", "first", "last").join(before.select("last", "spans"), "last"))
+    found = symbolic.block_costs(subtrees.blocks(held), "LLT")
     return found.join(nodes.select("k", "first"), "k").select("first", "first_row", "last_row", F.round("cost", 3).alias("cost"))
 
 
@@ -274,7 +280,8 @@ def mesh_blocks_unknowns(spark, sf):
     """Blocks of the strips' factor in unknowns, one to three a part."""
     p = cut(places(spark, sf))
     order = cut(strips(p))
-    nodes = cut(subtrees.amalgamated(cut(subtrees.tree(cut(mesh(p)), order)), 0.1))
+    before, nodes = supernodes(p, order)
+    held = cut(nodes.select("k", "first", "last").join(before.select("last", "spans"), "last"))
     dofs = layout.offsets(counts(p).join(order.select("i", "perm"), "i").select(F.col("perm").alias("i"), "dof"))
-    found = symbolic.expand_blocks_by(symbolic.blocks(nodes), cut(dofs))
+    found = symbolic.expand_blocks_by(subtrees.blocks(held), cut(dofs))
     return found.join(nodes.select("k", "first"), "k").select("first", "first_row", "last_row")
