@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from latticework.operators import joins
 from latticework.plans import catalog, tables  # noqa: F401
 
 from .. import TABLES, TINY
@@ -48,3 +49,15 @@ def test_whole_tables(spark, name, least):
     assert len({r.j for r in got}) > least
     if name == "permute_matrix":
         assert len(got) == con.execute("select count(*) from (select distinct l_suppkey, l_partkey from lineitem)").fetchone()[0]
+
+
+@pytest.mark.parametrize("name", ["symmetrize", "graph_prepare", "integer_set_union", "factor_difference", "permute_matrix"])
+def test_a_large_table_is_dealt_to_more_partitions(spark, monkeypatch, name):
+    """A task's share of a table does not grow with it: more partitions than shuffles have, with the same rows."""
+    few = catalog.QUERIES[name](spark, TINY)
+    monkeypatch.setattr(joins, "ROWS", 500)
+    many = catalog.QUERIES[name](spark, TINY)
+    parts = -(-catalog.table(spark, TINY, "lineitem").count() // 500)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert parts > 4 and f", {parts}" in plan
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
