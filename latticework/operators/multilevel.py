@@ -1,13 +1,15 @@
 """Nested dissection of graphs of any size: coarsening and refinement are joins, a task holds `share` vertices at most.
 
-All parts of a level of the dissection are cut at once. A part of more than `share` vertices is coarsened until it has no more:
-vertices are matched along heavy edges, each proposing to its heaviest neighbour, and what stays single
+All parts of a pass are cut at once, and a pass goes through several levels of the dissection. A part of more than `share` vertices is coarsened until
+it has no more: vertices are matched along heavy edges, each proposing to its heaviest neighbour, and what stays single
 is paired with another vertex that hangs on the same neighbour, as in stars. No coarse vertex weighs more than a
-twentieth of its part. The coarse graph is halved in a task, and the halves go back level by level; at each, vertices of one side
-that have more edge weight to the other move there, first one way, then the other. Such moves never make the cut heavier, as
-edges between vertices that move together are counted against them; where the other side would grow over its room, a seeded share of them moves.
-Of the finest edge cut the separator is the lightest of three vertex covers: the boundary of either side, or the end of each
-edge with more cut edges. Parts that fit in a task are dissected there. A part without edges needs no cut.
+twentieth of the pieces to come, unless there would be too many. The coarse graph is halved in a task, the halves again, until a piece fits in a task or a coarse
+graph has FEW vertices for a piece. The pieces go back step by step; at each, vertices that have more edge weight to another piece than to their own
+move there, from the pieces of one colour to those of the other, then back. Such moves never make the cut heavier, as
+edges between vertices that move are counted against them; where a piece would grow over its room, a seeded share of them moves.
+Of a halving's finest edge cut the separator is the lightest of three vertex covers: the boundary of either side, or the end of each
+edge with more cut edges; a vertex that several halvings take belongs to the first. Parts that fit in a task are dissected there. A part without edges needs no cut.
+So passes are as many as the levels over those of a pass, and the rounds of joins of a pass as many as its coarsenings.
 
 The order is that of the tree of parts: a part's halves, then its separator. A part is named by its path, a digit 0 or 1 for
 each level; a separator is named by its part's path and the digit 2.
@@ -22,12 +24,20 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .graph import neighbours
-from .lineage import cut, drop
+from .lineage import cut
 from .prefix import ordered
 
 #: Vertices of a task, rounds of proposals, weight of a side and of a coarse vertex in parts of the whole, rows of a group that pairs singles.
 SHARE, ROUNDS, SIDE, HEAVY, BUCKET = 50_000, 2, 0.55, 20, 10_000
 
+#: Coarse vertices for a piece, and the part of a task's vertices that a piece has at most, so that it may grow by refinement.
+FEW, FILL = 32, 0.9
+
+
+def levels(share: int) -> int:
+    """Levels of the dissection that a coarse graph of `share` vertices goes through."""
+    return max(1, int(np.log2(max(2.0, share / FEW))))
+
 
 def _other(v: DataFrame, *names: str) -> DataFrame:
     """v keyed by j, its columns with the suffix _j."""
@@ -40,9 +50,11 @@ def _heaviest(e: DataFrame, seed: int) -> DataFrame:
     return e.groupBy("i").agg(F.max(F.struct("w", tie.alias("t"), "j"))["j"].alias("j"))
 
 
-def matching(v: DataFrame, e: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def matching(v: DataFrame, e: DataFrame, share: int, rounds: int = ROUNDS) -> DataFrame:
     """(i, c): the coarse vertex of each vertex, named by its smallest member. v (i, region, w), e (i, j, region, w) in both directions."""
-    most = v.groupBy("region").agg((F.sum("w") / HEAVY).alias("most"))
+    all_w = F.sum("w")
+    piece = F.least(all_w, F.greatest(F.lit(share / 2), all_w / 2 ** levels(share)))
+    most = v.groupBy("region").agg(F.greatest(piece / HEAVY, 3 * all_w / share).alias("most"))
     room = cut(v.join(F.broadcast(most), "region").select("i", "region", "w", "most"), "room")  # parts of a level: 2^level rows
     fit = e.join(room.select("i", F.col("w").alias("w_i"), "most"), "i").join(_other(v, "w"), "j").where("w_i + w_j <= most")
     free = cut(fit.select("i", "j", "w"), "free")
@@ -54,9 +66,7 @@ def matching(v: DataFrame, e: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         pairs.append(found)
         ends = found.select("i").unionByName(found.select(F.col("j").alias("i")))
         if n + 1 < rounds:
-            left = cut(free.join(ends, "i", "left_anti").join(ends.withColumnRenamed("i", "j"), "j", "left_anti").select("i", "j", "w"), "free")
-            drop(free)
-            free = left
+            free = free.join(ends, "i", "left_anti").join(ends.withColumnRenamed("i", "j"), "j", "left_anti").select("i", "j", "w")
     matched = pairs[0]
     for p in pairs[1:]:
         matched = matched.unionByName(p)
@@ -101,50 +111,74 @@ def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return names, weight, starts, targets, w[order]
 
 
-def halves(v: DataFrame, e: DataFrame) -> DataFrame:
-    """(i, side): each part halved in one task."""
+def halves(v: DataFrame, e: DataFrame, share: int) -> DataFrame:
+    """(i, side): each part halved in one task, and the halves again; side is a piece's path within its part."""
+    depth = levels(share)
 
     def halve(pdf: pd.DataFrame) -> pd.DataFrame:
         names, weight, starts, targets, w = _arrays(pdf)
-        return pd.DataFrame({"i": names, "side": kernels.bisect(weight, starts, targets, w, SIDE)})
-
-    return cut(_grouped(v, e).groupBy("region").applyInPandas(halve, "i long, side int"), "side")
-
-
-def refined(v: DataFrame, e: DataFrame, side: DataFrame, seed: int) -> DataFrame:
-    """(i, side) with vertices moved to where they have more edge weight, within the room of each side."""
+        source = np.repeat(np.arange(len(names)), np.diff(starts))
+        side = np.full(len(names), "", dtype=object)
+        todo = [("", np.arange(len(names)))]
+        while todo:
+            path, of = todo.pop()
+            if len(of) < 2 or (path and (len(path) >= depth or weight[of].sum() <= FILL * share)):
+                side[of] = path
+                continue
+            at = np.full(len(names), -1)
+            at[of] = np.arange(len(of))
+            own = (at[source] >= 0) & (at[targets] >= 0)
+            half = kernels.bisect(weight[of], *neighbours(at[source[own]], at[targets[own]], len(of)), w[own], SIDE)
+            todo += [(path + str(k), of[half == k]) for k in (0, 1) if (half == k).any()]
+        return pd.DataFrame({"i": names, "side": side})
+
+    return cut(_grouped(v, e).groupBy("region").applyInPandas(halve, "i long, side string"), "side")
+
+
+def refined(v: DataFrame, e: DataFrame, side: DataFrame, share: int, seed: int) -> DataFrame:
+    """(i, side) with vertices moved to the piece to which they have more edge weight, within the room of each piece."""
+    # pieces of one colour: those whose path has an even number of ones, or that are in the first half
+    colour = lambda c: F.length(F.regexp_replace(c if seed % 2 else F.substring(c, 1, 1), "0", "")) % 2
     for way in (0, 1):
         with_side = v.join(side, "i")
-        ends = e.join(side, "i").join(_other(side, "side"), "j").where(F.col("side") == way)
-        gain = ends.groupBy("i").agg(F.sum(F.when(F.col("side_j") != way, F.col("w")).otherwise(-F.col("w"))).alias("gain")).where("gain > 0")
-        wish = gain.join(with_side.select("i", "region", "w"), "i")
-        room = with_side.groupBy("region").agg((SIDE * F.sum("w") - F.sum(F.when(F.col("side") != way, F.col("w")).otherwise(0))).alias("room"))
-        asked = wish.groupBy("region").agg(F.sum("w").alias("asked")).join(room, "region").select("region", F.greatest(F.lit(0.0), F.col("room") / F.col("asked")).alias("part"))
-        luck = F.pmod(F.xxhash64(F.lit(seed + way), "i"), F.lit(1 << 20)) / float(1 << 20)
+        ends = e.join(side, "i").where(colour(F.col("side")) == way).join(_other(side, "side"), "j")
+        tied = ends.groupBy("i", "side", "side_j").agg(F.sum("w").alias("w"))
+        other = F.when(colour(F.col("side_j")) != way, F.struct("w", F.col("side_j").alias("to")))
+        best = tied.groupBy("i").agg(F.sum(F.when(F.col("side_j") == F.col("side"), F.col("w")).otherwise(0)).alias("own"), F.max(other).alias("best"))
+        wish = best.where("best.w > own").select("i", "best.to").join(v.select("i", "region", "w"), "i")
+        held = with_side.groupBy("region", F.col("side").alias("to")).agg(F.sum("w").alias("held"))
+        room = F.when(F.col("held") <= share, share - F.col("held")).otherwise((2 * SIDE - 1) * F.col("held"))
+        asked = wish.groupBy("region", "to").agg(F.sum("w").alias("asked")).join(held, ["region", "to"]).select("region", "to", (room / F.col("asked")).alias("part"))
+        luck = F.pmod(F.xxhash64(F.lit(seed * 2 + way), "i"), F.lit(1 << 20)) / float(1 << 20)
         # a share of less than all is kept well below the room, as the weights that move vary
-        moves = wish.join(F.broadcast(asked), "region").where((F.col("part") >= 1) | (luck < F.col("part") * 0.8)).select("i", F.lit(1).alias("moved"))
-        side = cut(side.join(moves, "i", "left").select("i", F.when(F.col("moved").isNotNull(), 1 - F.col("side")).otherwise(F.col("side")).cast("int").alias("side")), "side")
+        moves = wish.join(F.broadcast(asked), ["region", "to"]).where((F.col("part") >= 1) | (luck < F.col("part") * 0.8)).select("i", "to")
+        side = cut(side.join(moves, "i", "left").select("i", F.coalesce("to", "side").alias("side")), "side")
     return side
 
 
 def separated(v: DataFrame, e: DataFrame, side: DataFrame) -> DataFrame:
-    """(i, region, side): side 2 for the lightest of three vertex covers of the edges between sides 0 and 1."""
-    crossing = cut(e.join(side, "i").join(_other(side, "side"), "j").where("side <> side_j").select("i", "j", "region", "side"), "crossing")
-    degree = crossing.groupBy("i").agg(F.count("*").alias("degree"))
-    both = crossing.join(degree, "i").join(degree.select(F.col("i").alias("j"), F.col("degree").alias("degree_j")), "j")
+    """(i, region, side): pieces and separators by their path in the part. A halving's separator is the lightest of three vertex covers of the edges between its halves."""
+    ends = e.join(side, "i").join(_other(side, "side"), "j").where("side <> side_j")
+    # the first digit in which the paths differ tells the halving that cuts the edge
+    digit = F.expr("cast(array_position(zip_with(split(side, ''), split(side_j, ''), (x, y) -> x <> y), true) as int)")
+    crossing = ends.withColumn("digit", digit).select("i", "j", "region", F.expr("substring(side, 1, digit - 1)").alias("node"), F.expr("substring(side, digit, 1)").alias("half"))
+    crossing = cut(crossing, "crossing")
+    degree = crossing.groupBy("i", "node").agg(F.count("*").alias("degree"))
+    both = crossing.join(degree, ["i", "node"]).join(degree.select(F.col("i").alias("j"), "node", F.col("degree").alias("degree_j")), ["j", "node"])
     # of each edge the end with more cut edges, on ties that of side 0
-    chosen = (F.col("degree") > F.col("degree_j")) | ((F.col("degree") == F.col("degree_j")) & (F.col("side") == 0))
-    ends = cut(both.groupBy("i", "region", "side").agg(F.max(chosen).alias("chosen")), "ends")
+    chosen = (F.col("degree") > F.col("degree_j")) | ((F.col("degree") == F.col("degree_j")) & (F.col("half") == "0"))
+    ends = cut(both.groupBy("i", "region", "node", "half").agg(F.max(chosen).alias("chosen")), "ends")
     count = lambda c: F.count(F.when(c, 1))
-    sizes = ends.groupBy("region").agg(count(F.col("side") == 0).alias("a"), count(F.col("side") == 1).alias("b"), count(F.col("chosen")).alias("c"))
-    best = sizes.select("region", F.when((F.col("c") < F.col("a")) & (F.col("c") < F.col("b")), 2).when(F.col("a") <= F.col("b"), 0).otherwise(1).alias("cover"))
-    taken = ends.join(F.broadcast(best), "region").where(F.when(F.col("cover") == 2, F.col("chosen")).otherwise(F.col("side") == F.col("cover"))).select("i", F.lit(2).alias("sep"))
+    sizes = ends.groupBy("region", "node").agg(count(F.col("half") == "0").alias("a"), count(F.col("half") == "1").alias("b"), count(F.col("chosen")).alias("c"))
+    best = sizes.select("region", "node", F.when((F.col("c") < F.col("a")) & (F.col("c") < F.col("b")), "2").when(F.col("a") <= F.col("b"), "0").otherwise("1").alias("cover"))
+    taken = ends.join(F.broadcast(best), ["region", "node"]).where(F.when(F.col("cover") == "2", F.col("chosen")).otherwise(F.col("half") == F.col("cover")))
+    taken = taken.groupBy("i").agg(F.concat(F.min("node"), F.lit("2")).alias("sep"))  # a vertex's nodes are prefixes of its path
     out = v.select("i", "region").join(side, "i").join(taken, "i", "left")
     return cut(out.select("i", "region", F.coalesce("sep", "side").alias("side")), "separated")
 
 
-def bisected(v: DataFrame, e: DataFrame, share: int) -> DataFrame:
-    """(i, region, side) of parts: v (i, region), e (i, j, region)."""
+def pieces(v: DataFrame, e: DataFrame, share: int) -> DataFrame:
+    """(i, region, side) of parts: v (i, region), e (i, j, region); side is the path of a piece or separator in its part."""
     v, e = cut(v.select("i", "region", F.lit(1).cast("long").alias("w")), "vertices"), cut(e.select("i", "j", "region", F.lit(1).cast("long").alias("w")), "edges")
     stack, largest = [], None
     while True:
@@ -152,13 +186,15 @@ def bisected(v: DataFrame, e: DataFrame, share: int) -> DataFrame:
         if most <= share or (largest is not None and most > 0.98 * largest):
             break
         largest = most
-        match = matching(v, e)
+        match = matching(v, e, share)
         stack.append((v, e, match))
         v, e = contracted(v, e, match)
-    side = refined(v, e, halves(v, e), 0)
-    for n, (v, e, match) in enumerate(reversed(stack)):
-        side = cut(match.join(side.withColumnRenamed("i", "c"), "c").select("i", "side"), "side")
-        side = refined(v, e, side, 2 * n + 2)
+    side = refined(v, e, halves(v, e, share), share, 0)
+    for n, (v, e, match) in enumerate(reversed(stack), 1):
+        side = match.join(side.withColumnRenamed("i", "c"), "c").select("i", "side")
+        side = refined(v, e, side, share, n)
+    if stack:
+        side = refined(v, e, side, share, len(stack) + 1)  # in the other colours
     return separated(v, e, side)
 
 
@@ -181,10 +217,10 @@ def dissection(edges: DataFrame, vertices: DataFrame, share: int = SHARE, leaf:
         if not kind.where("kind = 1").limit(1).count():
             break
         inner = cut(of(links, 1), "inner")
-        parts = bisected(of(now, 1), inner, share)
-        done.append(parts.where("side = 2").select("i", F.concat("region", F.lit("2")).alias("region"), F.lit(0).cast("long").alias("local")))
-        halved = parts.where("side < 2")
-        path = F.concat("region", F.col("side").cast("string"))
+        parts = pieces(of(now, 1), inner, share)
+        path = F.concat("region", "side")
+        done.append(parts.where(F.col("side").endswith("2")).select("i", path.alias("region"), F.lit(0).cast("long").alias("local")))
+        halved = parts.where(~F.col("side").endswith("2"))
         now = cut(halved.select("i", path.alias("region")), "parts")
         kept = inner.join(halved.select("i", "side"), "i").join(_other(halved, "side"), "j").where("side = side_j")
         links = cut(kept.select("i", "j", path.alias("region")), "links")

@@ -64,6 +64,21 @@ def test_no_group_is_larger_than_the_share(spark):
     assert sizes["2"] <= 40  # a line across the grid has 20
 
 
+def test_a_pass_goes_through_several_levels(spark, monkeypatch):
+    """As many passes as the levels over those of a pass, and the order is a dissection still."""
+    passes, pieces = [], multilevel.pieces
+    monkeypatch.setattr(multilevel, "pieces", lambda *a: passes.append(1) or pieces(*a))
+    a = generators.laplacian(spark, 40, 32)
+    e = cut(graph.prepare(a.coo))
+    order = cut(multilevel.dissection(e, spark.range(1280).select(F.col("id").alias("i")), share=200, leaf=8))
+    sizes = {r.region: r["count"] for r in order.groupBy("region").count().collect()}
+    assert max(n for r, n in sizes.items() if not r.endswith("2")) <= 200
+    assert max(len(r.rstrip("2")) for r in sizes) > len(passes) and len(passes) <= 2
+    assert ordering.check(order).first() == (1280, True)
+    assert multilevel.crossing(e, order).count() == 0
+    assert sizes["2"] <= 64 and sum(n for r, n in sizes.items() if r.endswith("2")) <= 400  # lines across have 32, 20, 20 and so on
+
+
 def test_empty_graph(spark):
     none = spark.createDataFrame([], "i long, j long")
     assert multilevel.dissection(none, none.select("i")).count() == 0
