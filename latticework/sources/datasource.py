@@ -7,7 +7,8 @@
 A file or folder of any file system of pyarrow. A task of mm and ijv owns the lines that begin in its range of bytes. A file of
 Harwell-Boeing has lines of one length in each section, so a task owns a range of columns and reads the pointers, rows and
 values of these alone; lines of unequal lengths are an error. Options: `split`, bytes of a range (64 MB) or, for hb, `columns` of one (100,000);
-`base` and `complex` of ijv, `field` (real, complex or pattern) and `symmetry` and `n` of a written mm.
+`base` and `complex` of ijv, `field` (real, complex or pattern) and `symmetry` and `n` of a written mm. Files of more than MOST ranges
+are read in longer ones, MOST and one for each file at most. Lines of numbers between single spaces are parsed and written by pyarrow, others one by one.
 An empty folder has no rows. A pattern's re is null, and a null re is read back from no other field.
 """
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import csv, fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -29,8 +30,8 @@ from ..schema import COO
 from .files import _fields, _width
 
 SPLIT, COLUMNS = 64 << 20, 100_000
-#: Lines that are parsed at once.
-BATCH = 50_000
+#: Entries of Harwell-Boeing, and bytes of lines, that are parsed at once; ranges of bytes, each of which is a task.
+BATCH, CHUNK, MOST = 50_000, 1 << 20, 1_000
 _ARROW = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("re", pa.float64()), ("im", pa.float64())])
 
 
@@ -38,8 +39,8 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
 
 
-def _open(system: fs.FileSystem, path: str) -> io.BufferedReader:
-    return io.BufferedReader(system.open_input_file(path), 1 << 20)
+def _open(system: fs.FileSystem, path: str, held: int = 1 << 20) -> io.BufferedReader:
+    return io.BufferedReader(system.open_input_file(path), held)
 
 
 def _files(system: fs.FileSystem, path: str) -> list[fs.FileInfo]:
@@ -81,37 +82,33 @@ class _Lines(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         system, path = _place(self.path)
-        out, field = [], self.field
-        for k, f in enumerate(_files(system, path)):
+        out, field, files = [], self.field, _files(system, path)
+        split = max(self.split, -(-sum(f.size for f in files) // MOST))
+        for k, f in enumerate(files):
             begin = 0
             if k == 0:
                 begin, field = self._body(system, f)
-            out += [Range(f.path, at, min(at + self.split, f.size), field) for at in range(begin, f.size, self.split)]
+            out += [Range(f.path, at, min(at + split, f.size), field) for at in range(begin, f.size, split)]
         return out or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
         system, _ = _place(self.path)
-        with _open(system, part.path) as raw:
+        with _open(system, part.path, min(CHUNK, part.end - part.begin + 1)) as raw:
             at = part.begin
             if at:  # a line belongs to the range that holds its first byte
                 raw.seek(at - 1)
                 at += len(raw.readline()) - 1
             raw.seek(at)
-            lines: list[bytes] = []
             while at < part.end:
-                line = raw.readline()
-                if not line:
+                text = raw.read(min(CHUNK, part.end - at))
+                if not text:
                     break
-                at += len(line)
-                if line.strip() and not line.startswith(b"%"):
-                    lines.append(line)
-                if len(lines) == BATCH:
-                    yield self._parsed(lines, part.field)
-                    lines = []
-            if lines:
-                yield self._parsed(lines, part.field)
+                if not text.endswith(b"\n"):
+                    text += raw.readline()
+                at += len(text)
+                yield _plain(text, part.field, self.base) or self._parsed([x for x in text.split(b"\n") if x.strip() and not x.startswith(b"%")], part.field)
 
     def _parsed(self, lines: list[bytes], field: str) -> pa.RecordBatch:
         t = [line.split() for line in lines]
@@ -121,6 +118,28 @@ class _Lines(DataSourceReader):
         return _batch(i, j, re, im)
 
 
+def _plain(text: bytes, field: str, base: int) -> pa.RecordBatch | None:
+    """Entries of lines that hold as many numbers each, between single spaces; None for others."""
+    width = text.split(b"\n", 1)[0].count(b" ") + 1
+    names = [f"c{k}" for k in range(width)]
+    shown = {"pattern": 2, "real": 3, "complex": 4}[field]
+    if not min(shown, 3) <= width <= shown:
+        return None
+    try:
+        t = csv.read_csv(
+            pa.BufferReader(text),
+            csv.ReadOptions(use_threads=False, column_names=names, block_size=len(text) + 1),
+            csv.ParseOptions(delimiter=" ", quote_char=False),
+            csv.ConvertOptions(column_types={n: pa.int64() if k < 2 else pa.float64() for k, n in enumerate(names)}, null_values=[]),
+        )
+    except pa.ArrowInvalid:
+        return None
+    i, j, *values = (np.concatenate([x.to_numpy() for x in c.chunks]) if c.num_chunks else np.zeros(0) for c in t.columns)
+    if len(i) != text.count(b"\n") + (not text.endswith(b"\n")):  # empty lines
+        return None
+    return _batch(i - base, j - base, values[0] if values else [None] * len(i), values[1] if len(values) > 1 else np.zeros(len(i)))
+
+
 class _MatrixMarket(_Lines):
     def __init__(self, options: dict):
         super().__init__({**options, "base": 1})
@@ -242,8 +261,12 @@ class _Writer(DataSourceArrowWriter):
         with system.open_output_stream(name) as to:
             for batch in batches:
                 i, j = (np.asarray(batch.column(batch.schema.get_field_index(c))) + self.base for c in "ij")
-                values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("re", "im")[:shown]]
-                to.write("".join(" ".join([str(a), str(b), *map(repr, v)]) + "\n" for a, b, *v in zip(i, j, *values, strict=True)).encode())
+                values = [batch.column(batch.schema.get_field_index(c)) for c in ("re", "im")[:shown]]
+                if any(v.null_count for v in values):
+                    to.write("".join(" ".join([str(a), str(b), *map(repr, v)]) + "\n" for a, b, *v in zip(i, j, *(v.to_pylist() for v in values), strict=True)).encode())
+                else:
+                    lines = pa.table([pa.array(i), pa.array(j), *values], names=["i", "j", "re", "im"][: 2 + shown])
+                    csv.write_csv(lines, to, csv.WriteOptions(include_header=False, delimiter=" ", quoting_style="none"))
                 count += len(i)
                 n = max([n, *(int(x.max()) for x in (i, j) if len(x))])
         return Written(name, count, n)

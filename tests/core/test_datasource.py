@@ -44,6 +44,32 @@ def test_written_files_are_those_of_the_readers(source, tmp_path):
     assert read(source, "mm", path) == sorted(((i, j, None, 0.0) for i, j, _, _ in CASES), key=str)
 
 
+def test_ranges_are_no_more_than_a_bound(source, tmp_path, monkeypatch):
+    """A large file is read in longer ranges, and lines in chunks of bytes; the rows are the same."""
+    lines = [f"{k % 97} {k} {k / 7!r}" for k in range(3000)]
+    (tmp_path / "a.ijv").write_text("\n".join(lines))
+    want = sorted(((k % 97, k, k / 7, 0.0) for k in range(3000)), key=str)
+    monkeypatch.setattr(datasource, "MOST", 20)
+    monkeypatch.setattr(datasource, "CHUNK", 500)
+    reader = datasource._Lines({"path": str(tmp_path / "a.ijv"), "split": 64, "base": 0})
+    parts = reader.partitions()
+    assert len(parts) <= 21
+    got = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(got, key=str) == want
+
+
+@pytest.mark.parametrize("line", ["1 2 0.1", "1 2 -1e-300", "1 2 inf", "1  2 3", "1 2 3 ", "\t1 2 3", "1 2", "1 2 3 4", "% 1 2", "", "1 2 3\r", "01 2 +3", "9007199254740993 2 0.30000000000000004"])
+def test_plain_lines_are_parsed_as_others(tmp_path, line):
+    """Whatever pyarrow takes is what lines parsed one by one give."""
+    for field in ("real", "complex", "pattern"):
+        reader = datasource._Lines({"path": "/", "base": 1})
+        for text in (line, f"{line}\n{line}\n", f"{line}\n5 6 7\n"):
+            kept = [x for x in text.encode().split(b"\n") if x.strip() and not x.startswith(b"%")]
+            fast = datasource._plain(text.encode(), field, 1)
+            assert fast is None or fast.to_pylist() == reader._parsed(kept, field).to_pylist()
+    assert datasource._plain(b"1 2 0.1\n3 4 5\n", "real", 1).num_rows == 2
+
+
 def harwell_boeing(kind, columns, values, end="\n"):
     """Cards of fixed width: four pointers, three rows and two values a line."""
     pointers, entries = [1], [e for c in columns for e in c]
