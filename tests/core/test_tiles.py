@@ -99,3 +99,29 @@ def test_pivots_are_replaced_in_tiles(spark):
     _, rest, corners = tiles.factorize(tiles.fronts(entries, nodes, at, 5, True, False), 3, "LDLT", 1e-8, False)
     assert corners.agg(F.sum("fixed")).first()[0] == 1
     assert rest.count() == 0
+
+
+@pytest.mark.parametrize("kind", ["LDLT", "LU", "LLH"])
+def test_columns_of_tiles_go_together(spark, monkeypatch, kind):
+    """Steps are as many as blocks of tiles, and leave the tiles that single columns of tiles leave."""
+    monkeypatch.setattr(tiles, "TILE", 12)
+    n, w, is_complex = 41, 27, kind == "LLH"
+    a = random_front(n, "LLH" if is_complex else "plain", 8)
+    nodes = spark.createDataFrame([(0, 7, 7, 0, w - 1, list(range(w, n)))], "stage int, grp long, k long, first long, last long, rows array<long>")
+    at = cut(tiles.places(nodes, 4))
+    entries = spark.createDataFrame(rows_of(a, kind != "LU"), "grp long, i long, j long, re double, im double")
+    front = cut(tiles.fronts(entries, nodes, at, 4, kind != "LU", is_complex))
+    assert tiles.together(4) == 3
+    made = []
+    for together in (1, 3):
+        written = []
+        with monkeypatch.context() as m:
+            m.setattr(tiles, "cut", lambda df, what="cut", written=written: written.append(what) or cut(df, what))
+            found, rest, corners = tiles.factorize(front, 7, kind, 0.0, is_complex, together)
+        assert written.count("panel") == (7 if together == 1 else 3)
+        values = {(r.a, r.b): np.concatenate([np.frombuffer(x) for x in (r.low, r.up) if x is not None]) for r in found.collect()}
+        values |= {(-1, r.s): np.frombuffer(r.d) for r in corners.where("d is not null").collect()}
+        values |= {(r.i, r.j, "C"): np.array([r.re, r.im]) for r in tiles.left_over(rest, corners, at, kind != "LU", is_complex).where("part = 'C'").collect()}
+        made.append(values)
+    assert made[0].keys() == made[1].keys() and len(made[0]) > 40
+    assert max(np.abs(made[0][x] - made[1][x]).max() for x in made[0]) < 1e-10
