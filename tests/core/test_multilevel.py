@@ -178,6 +178,19 @@ def test_incomplete_factors(spark, level, hermitian):
     assert keep.sum() > (full.count() if level else 0)
 
 
+@pytest.mark.parametrize("n,alone", [(40, 0), (150, 100)])
+def test_incomplete_rows_without_sweeps(spark, n, alone):
+    """Rows whose numbers are in no order are finished in rounds without a sweep; of a long chain those that do not wait."""
+    at = np.random.RandomState(4).permutation(n) if not alone else np.arange(n)
+    a = np.diag(np.arange(n + alone) % 3 + 5.0)
+    for i in range(n - 1):
+        a[at[i], at[i + 1]], a[at[i + 1], at[i]] = -1.0, -1.5
+    i, j = np.nonzero(a)
+    f = incomplete.factorize(spark.createDataFrame([(int(x), int(y), float(a[x, y]), 0.0) for x, y in zip(i, j, strict=True)], "i long, j long, re double, im double"))
+    assert (f.sweeps == 0) == (not alone)
+    assert np.abs(dense(f.lower.unionByName(f.upper), n + alone) - by_elimination(a, a != 0)).max() < 1e-12
+
+
 def test_incomplete_factors_make_gmres_shorter(spark):
     a, p = tables.matrix(spark, TINY)
     b = cut(tables.known(p, a).select("i", "re", "im"))
