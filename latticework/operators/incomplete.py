@@ -151,6 +151,9 @@ def _rows(a: DataFrame, least: float, most: int) -> tuple[DataFrame | None, Data
         rows = each if rows is None else rows.unionByName(each)
     if rows is None and not left:  # a matrix without rows
         rows = a.select("i", "j", F.col("a_re").alias("re"), F.col("a_im").alias("im"))
+    if done:  # one table for those that read it several times
+        rows = cut(rows, "factor")
+        drop(*done)
     return rows, now if left else None
 
 
