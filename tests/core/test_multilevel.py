@@ -79,6 +79,29 @@ def test_a_pass_goes_through_several_levels(spark, monkeypatch):
     assert sizes["2"] <= 64 and sum(n for r, n in sizes.items() if r.endswith("2")) <= 400  # lines across have 32, 20, 20 and so on
 
 
+def test_coarsening_takes_few_rounds(spark, monkeypatch):
+    """What stays single joins a pair, so a round leaves about a third of the vertices."""
+    rounds, contracted = [], multilevel.contracted
+    monkeypatch.setattr(multilevel, "contracted", lambda *a: rounds.append(1) or contracted(*a))
+    a = generators.laplacian(spark, 32, 32)
+    e = cut(graph.prepare(a.coo))
+    v = spark.range(1024).select(F.col("id").alias("i"), F.lit("").alias("region"))
+    side = multilevel.pieces(v, e.withColumn("region", F.lit("")), 110)
+    assert len(rounds) <= 3
+    parts = {r.side: r["count"] for r in side.groupBy("side").count().collect()}
+    assert sum(parts.values()) == 1024 and max(n for s, n in parts.items() if not s.endswith("2")) <= 0.6 * 1024
+
+
+def test_a_coarse_vertex_weighs_no_more_than_it_may(spark):
+    """A star's centre takes its leaves only as long as the weight allows."""
+    e = cut(frame(spark, [(0, k) for k in range(1, 90)]).withColumns({"region": F.lit(""), "w": F.lit(1).cast("long")}))
+    for most in (7.0, 200.0):
+        v = cut(spark.range(90).select(F.col("id").alias("i"), F.lit("").alias("region"), F.lit(1).cast("long").alias("w"), F.lit(most).alias("most")))
+        sizes = [r["count"] for r in multilevel.matching(v, e).groupBy("c").count().collect()]
+        assert sum(sizes) == 90 and max(sizes) <= most
+        assert len(sizes) == (1 if most > 90 else 45)
+
+
 def test_a_large_grid_is_dissected_and_counted_by_parts(spark, monkeypatch):
     """No task holds the whole component, and the row is that of the smaller way."""
     want = catalog.QUERIES["nested_dissection"](spark, TINY).collect()
@@ -263,6 +286,19 @@ def _merged_by_rounds(nodes, ratio):
         nodes = new
 
 
+def test_merging_in_one_task_or_by_segments(spark, monkeypatch):
+    monkeypatch.setattr(subtrees, "JUMP", 2)
+    draw = np.random.RandomState(3)
+    nodes = [(2 * n, 2 * n + 1, int(h), 2 * n + 2 + int(g) if h else None) for n, (h, g) in enumerate(zip(draw.randint(0, 6, 80), draw.randint(0, 5, 80), strict=True))]
+    table = spark.createDataFrame(nodes, "first long, last long, height long, head long")
+    for ratio in (0.1, 0.5):
+        monkeypatch.setattr(subtrees, "NODES", 50_000)
+        whole = sorted(map(tuple, subtrees.merged(table, ratio).collect()))
+        monkeypatch.setattr(subtrees, "NODES", 0)
+        assert whole == sorted(map(tuple, subtrees.merged(table, ratio).collect()))
+        assert [r[1:] for r in whole] == _merged_by_rounds(nodes, ratio)[0]
+
+
 @pytest.mark.parametrize("jump", [2, 1_000])
 def test_merging_takes_few_jobs_for_many_rounds(spark, monkeypatch, jump):
     """Strips of a grid, whose chains merge two supernodes a round; segments of any size give the same."""

@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
-from latticework.operators import algebra, numeric, refine
+from latticework.operators import algebra, kernels, numeric, refine
 from latticework.plans.parameters import Parameters
 from latticework.plans.solver import Solver
 from latticework.schema import GENERAL, HERMITIAN, SYMMETRIC, Matrix
 from latticework.sources import generators
+from pyspark.sql import functions as F
 
 
 def dense(df, n, m=None):
@@ -165,3 +166,32 @@ def test_segments_of_the_schur_unknowns(spark):
     assert sorted((r.i, r.re) for r in s.schur_values(y).collect()) == [(0, 1.0), (1, 3.0)]
     new = spark.createDataFrame([(0, 0, 7.0, 0.0), (1, 0, 8.0, 0.0)], "i long, k int, re double, im double")
     assert sorted((r.i, r.re) for r in s.with_schur_values(y, new).collect()) == [(0, 0.0), (1, 7.0), (2, 2.0), (3, 8.0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_of_a_cut_tree(seed):
+    """Groups are connected, hold no more than they may, and come after those below them; a chain of small fronts is one."""
+    draw = np.random.RandomState(seed)
+    n, limit, room = 300, 12, 400
+    parent = [min(n - 1, k + 1 + int(draw.exponential(6))) for k in range(n)]
+    width, entries = draw.randint(1, 5, n).tolist(), draw.randint(1, 200, n).tolist()
+    top, stage = kernels.cut_tree(parent, width, entries, limit, room)
+    for k in range(n):
+        assert top[k] == k or (top[parent[k]] == top[k] and stage[parent[k]] == stage[k])
+        assert top[k] != k or parent[k] == k or stage[parent[k]] > stage[k]
+    for t in set(top):
+        of = [k for k in range(n) if top[k] == t]
+        assert len(of) == 1 or sum(width[k] for k in of) <= limit and (stage[t] == 0 or sum(entries[k] for k in of) <= room)
+    chain = [*range(1, 50), 49]
+    assert max(kernels.cut_tree(chain, [30] + [1] * 49, [1] * 50, 29, 100)[1]) == 3
+
+
+@pytest.mark.parametrize("nodes", [0, 1_000_000])
+def test_solution_with_groups_above_the_subtrees(spark, monkeypatch, nodes):
+    monkeypatch.setattr(numeric, "NODES", nodes)
+    a = generators.laplacian(spark, 14, 12, alpha=2.0)
+    x = spark.range(a.n).select(F.col("id").alias("i"), F.lit(0).alias("k"), (F.col("id") % 5 + 1.0).alias("re"), F.lit(0.0).alias("im"))
+    s = Solver(a, Parameters(factorization="LLT", limit=20, amalgamation=0.0))
+    got = {r.i: r.re for r in s.solve(algebra.spmv(algebra.full(a), x)).collect()}
+    assert max(abs(got[i] - (i % 5 + 1.0)) for i in range(a.n)) < 1e-9
+    assert s.analysis.stages > 1 and (s.analysis.stages <= 5 or not nodes)
