@@ -1,11 +1,12 @@
 import duckdb
 import numpy as np
 import pytest
-from latticework.operators import algebra, layout, symbolic
+from latticework.operators import algebra, layout, ordering, symbolic
 from latticework.plans import catalog, tables  # noqa: F401
 from latticework.plans.parameters import Parameters
 from latticework.plans.solver import Solver
 from latticework.sources import generators
+from pyspark.sql import functions as F
 
 from .. import TABLES, TINY
 from .test_catalog import rows
@@ -41,6 +42,19 @@ def test_matrix_and_solution_of_uneven_vertices(spark, tmp_path):
         assert of == list(range(of[0], of[0] + len(of))) if of else True
 
 
+def test_many_vertices_are_analysed_by_parts(spark, monkeypatch):
+    """No task walks the whole component of unknowns, and supernodes are those of the vertices."""
+    a = generators.laplacian(spark, 9, 8, alpha=2.0)
+    dofs = layout.offsets(spark.createDataFrame([(k, k % 4) for k in range(72)], "i long, dof long")).cache()
+    m = generators.with_variable_dofs(a, dofs)
+    monkeypatch.setattr(ordering, "elimination", lambda *a, **k: pytest.fail("the component is one task"))
+    x = spark.range(m.n).select(F.col("id").alias("i"), F.lit(0).alias("k"), (F.col("id") % 7 + 1.0).alias("re"), F.lit(0.0).alias("im"))
+    s = Solver(m, Parameters(factorization="LLT", share=30, limit=30))
+    got = {r.i: r.re for r in s.solve(algebra.spmv(algebra.full(m), x)).collect()}
+    assert len(got) == m.n and max(abs(got[i] - (i % 7 + 1.0)) for i in got) < 1e-9
+    assert ordering.check(s.analysis.ordering).first() == (m.n, True)
+
+
 def test_blocks_of_vertices_without_unknowns_vanish(spark):
     dofs = layout.offsets(spark.createDataFrame([(0, 2), (1, 0), (2, 3)], "i long, dof long"))
     blok = spark.createDataFrame([(0, 0, 1, 0), (0, 1, 1, 1), (0, 2, 2, 2)], "k long, first_row long, last_row long, facing long")
