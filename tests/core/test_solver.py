@@ -195,3 +195,20 @@ def test_solution_with_groups_above_the_subtrees(spark, monkeypatch, nodes):
     got = {r.i: r.re for r in s.solve(algebra.spmv(algebra.full(a), x)).collect()}
     assert max(abs(got[i] - (i % 5 + 1.0)) for i in range(a.n)) < 1e-9
     assert s.analysis.stages > 1 and (s.analysis.stages <= 5 or not nodes)
+
+
+def test_steps_send_only_small_tables_through_the_driver(spark, monkeypatch):
+    key, seen = "spark.sql.autoBroadcastJoinThreshold", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(numeric, "analyze", lambda *a: seen.append(spark.conf.get(key)))
+    monkeypatch.setattr(numeric, "factorize", lambda *a: seen.append(spark.conf.get(key)))
+    s = Solver(generators.laplacian(spark, 3, 3))
+    try:
+        for allowed, want in ((before, "262144"), ("10m", "262144"), ("100k", "100k"), ("-1", "-1")):
+            spark.conf.set(key, allowed)
+            s.analysis = s.factor = None
+            s.factorize()
+            assert seen == [want] * 2 and spark.conf.get(key) == allowed
+            seen.clear()
+    finally:
+        spark.conf.set(key, before)
