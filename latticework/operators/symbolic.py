@@ -140,22 +140,28 @@ def costs(blok: DataFrame, kind: str) -> DataFrame:
     return heights(blok).select("k", flops(kind, F.col("width"), F.col("below")).alias("cost"))
 
 
+def block_cost(kind: str, w: Column, h: Column, below: Column, complex_: bool = False) -> Column:
+    """Flops of a block of h rows below a diagonal block of w columns, with `below` rows under it in the panel: the solve, and its products with itself and the blocks under it."""
+    mul, add = (6.0, 2.0) if complex_ else (1.0, 1.0)
+    w, h, below = w.cast("double"), h.cast("double"), below.cast("double")
+    general = kind == "LU"
+    solve, divide = (h * w * w, h * w) if general else (h * w * w / 2, h * w / 2)
+    pairs = h * h + 2 * h * below if general else h * (h + 1) / 2 + h * below
+    return (solve + divide + w * pairs) * mul + (solve - divide + w * pairs) * add
+
+
 def block_costs(blok: DataFrame, kind: str, complex_: bool = False) -> DataFrame:
     """Flops of each block (k, first_row, last_row, facing, cost): a diagonal block's factorization; of another one the solve with it and its products with itself and all blocks below it in the panel.
 
     They add up to `costs` of the supernode. A panel's blocks are one window, of as many rows as it has blocks.
     """
-    mul, add = (6.0, 2.0) if complex_ else (1.0, 1.0)
     own, rows = F.col("k") == F.col("facing"), F.col("last_row") - F.col("first_row") + 1
     panel = Window.partitionBy("k").orderBy("first_row")
     sized = blok.withColumn("h", rows.cast("double")).withColumn("w", F.first("h").over(panel))
     sized = sized.withColumn("below", F.coalesce(F.sum("h").over(panel.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
     w, h, below = F.col("w"), F.col("h"), F.col("below")
-    general = kind == "LU"
-    solve, divide = (h * w * w, h * w) if general else (h * w * w / 2, h * w / 2)
-    pairs = h * h + 2 * h * below if general else h * (h + 1) / 2 + h * below
-    cost = (solve + divide + w * pairs) * mul + (solve - divide + w * pairs) * add
-    return sized.select("k", "first_row", "last_row", "facing", F.when(own, flops(kind, w, F.lit(0), complex_)).otherwise(cost).alias("cost"))
+    cost = F.when(own, flops(kind, w, F.lit(0), complex_)).otherwise(block_cost(kind, w, h, below, complex_))
+    return sized.select("k", "first_row", "last_row", "facing", cost.alias("cost"))
 
 
 def split_constant(nodes: DataFrame, most: int, least: int = 1) -> DataFrame:

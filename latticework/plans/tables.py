@@ -7,15 +7,19 @@ positive definite; it grows with the table, and the separators of its halves are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import algebra, incomplete, layout, multilevel, subtrees, symbolic
-from ..operators.lineage import cut
+from ..operators.lineage import cut, small_broadcasts
 from ..operators.prefix import ordered
 from ..schema import SYMMETRIC, Matrix
 from ..sources import generators
-from .catalog import balances, query, supplier_part, table
+from . import catalog
+from .catalog import balances, supplier_part, table
 from .parameters import Parameters
 from .solver import Solver
 
@@ -29,6 +33,20 @@ MESH = (
 )
 
 
+def query(sql: str) -> Callable:
+    """Registers a query whose many joins send no more than small tables through the driver."""
+
+    def add(f: Callable) -> Callable:
+        @wraps(f)
+        def run(spark, sf):
+            with small_broadcasts(spark):
+                return f(spark, sf)
+
+        return catalog.query(sql)(run)
+
+    return add
+
+
 def places(spark, sf) -> DataFrame:
     """(i, s, r, v): a part's size, its rank in it, and its price."""
     line = Window.partitionBy("p_size").orderBy("p_retailprice", "p_partkey")
@@ -161,8 +179,8 @@ def mesh_block_costs(spark, sf):
     p = cut(places(spark, sf))
     before, nodes = supernodes(p, cut(strips(p)))
     held = cut(nodes.select("k", "first", "last").join(before.select("last", "spans"), "last"))
-    found = symbolic.block_costs(subtrees.blocks(held), "LLT")
-    return found.join(nodes.select("k", "first"), "k").select("first", "first_row", "last_row", F.round("cost", 3).alias("cost"))
+    found = subtrees.block_costs(held, "LLT")
+    return found.select(F.col("head").alias("first"), "first_row", "last_row", F.round("cost", 3).alias("cost"))
 
 
 @query("select p_partkey as i, round(p_retailprice, 4) as re from part")

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from latticework.operators import algebra, graph, incomplete, kernels, layout, multilevel, ordering, refine, subtrees, symbolic
+from latticework.operators import algebra, graph, incomplete, kernels, layout, lineage, multilevel, ordering, refine, subtrees, symbolic
 from latticework.operators.lineage import cut
 from latticework.plans import catalog, tables
 from latticework.plans.parameters import Parameters
@@ -324,3 +324,42 @@ def test_merging_takes_few_jobs_for_many_rounds(spark, monkeypatch, jump):
     want, _ = _merged_by_rounds(nodes, 1e6)
     gone = {at for at, _, _ in kernels.merge_rounds(*([-1 if x is None else x for x in c] for c in zip(*nodes, strict=True)), 10**9)}
     assert [z for _, z, _, _ in nodes if z not in gone] == [z for _, z, _ in want]
+
+
+def odd_supernodes(spark):
+    pairs, n = odd_graph()
+    e, v = cut(frame(spark, pairs)), cut(spark.range(n).select(F.col("id").alias("i")))
+    nodes = cut(subtrees.fundamental(cut(subtrees.spans(e, cut(multilevel.dissection(e, v, share=70, leaf=8))))))
+    return nodes, cut(subtrees.blocks(nodes)), n
+
+
+def plan_above_the_blocks(df):
+    """The plan of a table from its end to the join that makes the blocks."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[: plan.index("SortMergeJoin")]
+
+
+@pytest.mark.parametrize("kind", ["LLT", "LU"])
+def test_costs_of_blocks_are_made_without_moving_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(subtrees, "BUCKET", 16)
+    nodes, blok, _ = odd_supernodes(spark)
+    found = subtrees.block_costs(nodes, kind)
+    above = plan_above_the_blocks(found)
+    assert "Window" not in above and "Exchange" not in above
+    got = {(r.k, r.first_row, r.last_row): (r.facing, r.head, r.cost) for r in found.collect()}
+    heads = {r.k: r.first for r in nodes.collect()}
+    want = {(r.k, r.first_row, r.last_row): (r.facing, heads[r.k], pytest.approx(r.cost)) for r in symbolic.block_costs(blok, kind).collect()}
+    assert len(got) > 100 and got == want
+
+
+def test_queries_on_the_mesh_send_small_tables_alone(spark, monkeypatch):
+    seen, key = [], "spark.sql.autoBroadcastJoinThreshold"
+
+    def places(spark, sf):
+        seen.append(int(spark.conf.get(key).rstrip("b")))
+        return whole(spark, sf)
+
+    before, whole = spark.conf.get(key), tables.places
+    monkeypatch.setattr(tables, "places", places)
+    assert catalog.QUERIES["mesh_product"](spark, TINY).count() == 200
+    assert seen and max(seen) <= lineage.SMALL and spark.conf.get(key) == before
