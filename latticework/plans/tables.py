@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import algebra, incomplete, layout, multilevel, subtrees, symbolic
+from ..operators import algebra, incomplete, layout, multilevel, subtrees
 from ..operators.lineage import cut, small_broadcasts
 from ..operators.prefix import ordered
 from ..schema import SYMMETRIC, Matrix
@@ -301,5 +301,4 @@ def mesh_blocks_unknowns(spark, sf):
     before, nodes = supernodes(p, order)
     held = cut(nodes.select("k", "first", "last").join(before.select("last", "spans"), "last"))
     dofs = layout.offsets(counts(p).join(order.select("i", "perm"), "i").select(F.col("perm").alias("i"), "dof"))
-    found = symbolic.expand_blocks_by(subtrees.blocks(held), cut(dofs))
-    return found.join(nodes.select("k", "first"), "k").select("first", "first_row", "last_row")
+    return subtrees.blocks_by(held, cut(dofs)).select(F.col("head").alias("first"), "first_row", "last_row")

@@ -363,3 +363,13 @@ def test_queries_on_the_mesh_send_small_tables_alone(spark, monkeypatch):
     monkeypatch.setattr(tables, "places", places)
     assert catalog.QUERIES["mesh_product"](spark, TINY).count() == 200
     assert seen and max(seen) <= lineage.SMALL and spark.conf.get(key) == before
+
+
+def test_blocks_of_unknowns_are_made_without_moving_blocks(spark, monkeypatch):
+    monkeypatch.setattr(subtrees, "BUCKET", 16)
+    nodes, blok, n = odd_supernodes(spark)
+    dofs = cut(layout.offsets(spark.range(n).select(F.col("id").alias("i"), (F.col("id") % 3).alias("dof"))))
+    found = subtrees.blocks_by(nodes, dofs)
+    assert "Exchange" not in plan_above_the_blocks(found)
+    got = sorted((r.k, r.first_row, r.last_row, r.facing) for r in found.collect())
+    assert len(got) > 100 and got == sorted(map(tuple, symbolic.expand_blocks_by(blok, dofs).collect()))
