@@ -172,6 +172,45 @@ def product(a: DataFrame, b: DataFrame, alpha: complex = 1.0) -> DataFrame:
     return scal(alpha, summed(pairs.select("l.i", "r.j", re.alias("re"), im.alias("im")), "i", "j"))
 
 
+def gram(a: DataFrame, d: DataFrame | None = None, alpha: complex = 1.0, lower: bool = False) -> DataFrame:
+    """alpha * A D A^T of entries, with a diagonal d (i, re, im) or none; lower: its entries i >= j alone.
+
+    As product, but the entries of A go to the ranges once, the diagonal along with them, and the products of one triangle are made and shuffled: the other one is its mirror image.
+    """
+    left = a.where("j is not null").select(F.col("j").alias("m"), F.struct("i", "re", "im").alias("l"))
+    sizes = left.groupBy("m").agg(F.count("*").alias("n"))
+    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    hot = F.broadcast(sizes.where(F.col("n") > HOT).select("m")) if most > HOT else None  # total / HOT rows at most
+    if d is not None:
+        left = left.withColumn("d", F.lit(None).cast("struct<re:double,im:double>"))
+        d = d.where("i is not null").select(F.col("i").alias("m"), F.struct("re", "im").alias("d"))
+    cold = left if hot is None else left.join(hot, "m", "left_anti")
+    rows = cold if d is None else cold.unionByName(d if hot is None else d.join(hot, "m", "left_anti"), allowMissingColumns=True)
+    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
+    scale = [] if d is None else [F.sum("d.re").alias("d_re"), F.sum("d.im").alias("d_im")]
+    # null entries are not collected
+    met = rows.repartitionByRange(parts, "m").groupBy("m").agg(F.collect_list("l").alias("ls"), *scale)
+    if d is not None:
+        met = met.where("d_re is not null")
+    names = [c for c in met.columns if c.startswith("d_")]
+    pairs = met.select("ls", *names, F.explode("ls").alias("l")).select("l", *names, F.explode("ls").alias("r"))
+    if hot is not None:
+        whole = left.select("m", "l").join(hot, "m", "left_semi")
+        if d is not None:
+            whole = whole.join(d.join(hot, "m", "left_semi").groupBy("m").agg(*scale), "m")
+        pairs = pairs.unionByName(whole.join(left.select("m", F.col("l").alias("r")), "m").select("l", *names, "r"))
+    pairs = pairs.where("r.i is null or l.i >= r.i")
+    re, im = F.col("l.re"), F.col("l.im")
+    if d is not None:
+        re, im = times(re, im, F.col("d_re"), F.col("d_im"))
+    re, im = times(re, im, F.col("r.re"), F.col("r.im"))
+    out = summed(pairs.select("l.i", F.col("r.i").alias("j"), re.alias("re"), im.alias("im")), "i", "j")
+    if not lower:
+        place, mirror = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+        out = out.select(F.explode(F.when(F.col("i").eqNullSafe(F.col("j")), F.array(place)).otherwise(F.array(place, mirror))).alias("at"), "re", "im").select("at.*", "re", "im")
+    return scal(alpha, out)
+
+
 def largest(entries: DataFrame, n: int) -> DataFrame:
     """The n entries of largest modulus; ties by row, then column. Each task keeps n at most."""
     return entries.orderBy(F.hypot("re", "im").desc(), "i", "j").limit(n)
