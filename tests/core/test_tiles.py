@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from latticework.operators import algebra, tiles
+from latticework.operators import algebra, multilevel, numeric, ordering, tiles
 from latticework.operators.lineage import cut
 from latticework.plans.parameters import Parameters
 from latticework.plans.solver import Solver
@@ -125,3 +125,23 @@ def test_columns_of_tiles_go_together(spark, monkeypatch, kind):
         made.append(values)
     assert made[0].keys() == made[1].keys() and len(made[0]) > 40
     assert max(np.abs(made[0][x] - made[1][x]).max() for x in made[0]) < 1e-10
+
+
+@pytest.mark.parametrize("kind", ["LLT", "LDLH", "LU"])
+def test_dense_graphs_are_analysed_by_classes(spark, monkeypatch, kind):
+    """Cliques that hang on a common vertex: four classes are dissected, whatever their members' number; no task walks a component."""
+    monkeypatch.setattr(numeric, "DENSE", 8)
+    monkeypatch.setattr(ordering, "elimination", lambda *a, **k: pytest.fail("a component is walked"))
+    members = [[v for v in range(60) if v % 3 == c] for c in range(3)]
+    pairs = {(max(a, b), min(a, b)) for m in members for a in m for b in m if a != b} | {(60, v) for v in range(0, 60, 3)} | {(60, v) for v in range(1, 60, 3)}
+    rows = [(i, j, 1.0 + (i + j) % 3, 0.25 * ((i * j) % 5) if kind == "LDLH" else 0.0) for i, j in sorted(pairs)] + [(v, v, 200.0, 0.0) for v in range(61)]
+    a = Matrix(cut(spark.createDataFrame(rows, "i long, j long, re double, im double")), 61, HERMITIAN if kind == "LDLH" else SYMMETRIC)
+    if kind == "LU":
+        a = Matrix(cut(algebra.full(a).withColumn("re", F.col("re") + 0.5 * (F.col("i") < F.col("j")).cast("double"))), 61, GENERAL)
+    seen, whole = [], multilevel.dissection
+    monkeypatch.setattr(multilevel, "dissection", lambda edges, vertices, *rest: seen.append(vertices.count()) or whole(edges, vertices, *rest))
+    _, b = known(spark, a)
+    s = Solver(a, Parameters(factorization=kind))
+    assert unlike(s.solve(b).collect(), a) < 1e-9
+    assert seen == [4] and ordering.check(s.analysis.ordering).first() == (61, True)
+    assert sorted(r["last"] - r["first"] + 1 for r in s.analysis.tree.collect())[-1] >= 20
