@@ -48,6 +48,26 @@ def grid_places(i: np.ndarray, nx: int, ny: int, nz: int, leaf: int = 15) -> np.
     return out
 
 
+def grid_regions(i: np.ndarray, nx: int, ny: int, nz: int, leaf: int) -> np.ndarray:
+    """Paths of vertices i of a regular grid: a digit 0 or 1 for each halving of grid_places, down to boxes of fewer than `leaf` vertices, and a last digit 2 on a separator."""
+    at = np.stack([i % nx, i // nx % ny, i // (nx * ny)])
+    low, high = np.zeros_like(at), np.repeat(np.array([[nx], [ny], [nz]], dtype=np.int64), len(i), axis=1)
+    out, todo = np.full(len(i), "", dtype=object), np.arange(len(i))
+    while len(todo):
+        size = high[:, todo] - low[:, todo]
+        large = size.prod(axis=0) >= leaf
+        todo, size = todo[large], size[:, large]
+        axis = size.argmax(axis=0)
+        cut = low[axis, todo] + size[axis, np.arange(len(todo))] // 2
+        c = at[axis, todo]
+        for digit, of in (("0", c < cut), ("1", c > cut), ("2", c == cut)):
+            out[todo[of]] += digit
+        high[axis[c < cut], todo[c < cut]] = cut[c < cut]
+        low[axis[c > cut], todo[c > cut]] = cut[c > cut] + 1
+        todo = todo[c != cut]
+    return out
+
+
 def dissect(starts: np.ndarray, targets: np.ndarray, leaf: int = 24) -> np.ndarray:
     """Nested dissection of a graph by level-set separators: perm of each vertex."""
     n = len(starts) - 1

@@ -27,15 +27,20 @@ def personal(vertices: DataFrame, given: DataFrame, inverse: bool = False) -> Da
     return vertices.select("i").join(given, "i")
 
 
-def grid(spark: SparkSession, nx: int, ny: int = 1, nz: int = 1, leaf: int = 15) -> DataFrame:
-    """Geometric nested dissection of a regular grid. A vertex's place follows from its coordinates alone, so tasks need nothing else."""
+def grid(spark: SparkSession, nx: int, ny: int = 1, nz: int = 1, leaf: int = 15, share: int | None = None) -> DataFrame:
+    """Geometric nested dissection of a regular grid. A vertex's place follows from its coordinates alone, so tasks need nothing else.
+
+    With share also the part or separator of each vertex, as of multilevel.dissection: (i, region, perm); boxes of at most `share` vertices are parts.
+    """
 
     def places(batches):
         for pdf in batches:
             i = pdf["i"].to_numpy()
-            yield pd.DataFrame({"i": i, "perm": kernels.grid_places(i, nx, ny, nz, leaf)})
+            out = {"i": i} if share is None else {"i": i, "region": kernels.grid_regions(i, nx, ny, nz, max(leaf, share + 1))}
+            yield pd.DataFrame(out | {"perm": kernels.grid_places(i, nx, ny, nz, leaf)})
 
-    return spark.range(nx * ny * nz).select(F.col("id").alias("i")).mapInPandas(places, "i long, perm long")
+    names = "i long, perm long" if share is None else "i long, region string, perm long"
+    return spark.range(nx * ny * nz).select(F.col("id").alias("i")).mapInPandas(places, names)
 
 
 def random_order(vertices: DataFrame, seed: int) -> DataFrame:

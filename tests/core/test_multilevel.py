@@ -373,3 +373,19 @@ def test_blocks_of_unknowns_are_made_without_moving_blocks(spark, monkeypatch):
     assert "Exchange" not in plan_above_the_blocks(found)
     got = sorted((r.k, r.first_row, r.last_row, r.facing) for r in found.collect())
     assert len(got) > 100 and got == sorted(map(tuple, symbolic.expand_blocks_by(blok, dofs).collect()))
+
+
+def test_a_large_grids_geometric_order_is_counted_by_parts(spark, monkeypatch):
+    """No task holds the whole grid; parts and separators are those of the order, and their columns are those of the walk over the component."""
+    want = catalog.QUERIES["grid_ordering"](spark, TINY).collect()
+    e, labels = cut(graph.prepare(generators.laplacian(spark, 9, 7, 3).coo)), spark.range(189).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("component"))
+    order = cut(ordering.grid(spark, 9, 7, 3, share=40))
+    assert sorted(map(tuple, order.select("i", "perm").collect())) == sorted(map(tuple, ordering.grid(spark, 9, 7, 3).collect()))
+    assert multilevel.crossing(e, order).count() == 0
+    sizes = order.where("region not like '%2'").groupBy("region").count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) <= 40
+    whole = ordering.elimination(layout.permute(e, order), layout.apply_order(labels, order))
+    assert structure(subtrees.columns(subtrees.listed(subtrees.spans(e, order)))) == structure(whole)
+    monkeypatch.setattr(multilevel, "SHARE", 70)
+    monkeypatch.setattr(ordering, "elimination", lambda *a, **k: pytest.fail("the component is one task"))
+    assert catalog.QUERIES["grid_ordering"](spark, TINY).collect() == want == [(150, True, True)]
